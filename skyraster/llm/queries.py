@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyraster.llm import decontaminate
+from skyraster.llm import decontaminate, tokenfile
 from skyraster.llm.common import table
 
 
@@ -13,8 +13,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op8_token_files": op8_token_files,
 }
 
 ORACLES: dict[str, str] = {}
