@@ -17,6 +17,7 @@ words, each block is one automaton and one scan, and blocks add to the same hit
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from skyraster.llm.common import ensure
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # of the original, so A-Z too
 WINDOW = 10
 MAX_BLOCK_WORDS = 500_000
 
@@ -36,9 +37,6 @@ _FOLD = bytes(
     b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20
     for b in range(256)
 )
-_UNKNOWN = "\x01"
-
-
 def words(text: bytes | str | None) -> list[bytes]:
     """Folded words of a text, as UTF-8 bytes."""
     if not text:
@@ -47,43 +45,53 @@ def words(text: bytes | str | None) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def _symbol(k: int) -> str:
-    """The k-th character above the two control marks, leaving out the surrogates."""
-    k += 2
-    return chr(k if k < 0xD800 else k + 0x800)
+def _character(k: int) -> str:
+    """The k-th character above the mark for unknown words, leaving out the surrogates."""
+    return chr(k + 2 if k + 2 < 0xD800 else k + 2 + 0x800)
 
 
 class Automaton:
-    """Patterns of one block of (item_id, text) rows."""
+    """Patterns of one block of (item_id, text) rows.
+
+    A word is written as two digits from two separate alphabets, so a node of the automaton
+    has few children and no match starts inside a word. Runs of known words that are shorter
+    than every pattern are passed over.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         import ahocorasick
 
-        self.codes: dict[bytes, str] = {}
+        lists = [(item, words(text)) for item, text in items]
+        known = sorted({w for _, found in lists for w in found})
+        base = math.isqrt(len(known)) + 1
+        self.codes = {w: _character(k // base) + _character(base + k % base) for k, w in enumerate(known)}
         self.ids = sorted({i for i, _ in items})
         rank = {x: k for k, x in enumerate(self.ids)}
         owners: dict[str, set[int]] = {}
-        for item, text in items:
-            coded = "".join(self.codes.setdefault(w, _symbol(len(self.codes))) for w in words(text))
-            for k in range(max(1, len(coded) - window + 1) if coded else 0):
-                owners.setdefault(coded[k : k + window], set()).add(rank[item])
+        for item, found in lists:
+            for k in range(max(1, len(found) - window + 1) if found else 0):
+                owners.setdefault("".join([self.codes[w] for w in found[k : k + window]]), set()).add(rank[item])
         self.machine = ahocorasick.Automaton()
         for pattern, who in owners.items():
-            self.machine.add_word(pattern, (len(pattern), tuple(who)))
+            self.machine.add_word(pattern, (len(pattern) // 2, tuple(who)))
         if owners:
             self.machine.make_automaton()
         self.empty = not owners
+        self.runs = re.compile(r"[^\x01]{%d,}" % min(map(len, owners), default=1))
 
     def scan(self, found: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged [first, last) word ranges inside any window, and the items they belong to."""
         if self.empty or not found:
             return [], set()
-        coded = "".join([self.codes.get(w, _UNKNOWN) for w in found])
+        get = self.codes.get
+        coded = "".join([get(w, "\x01\x01") for w in found])
         ranges: list[list[int]] = []
         who: set[int] = set()
-        for last, (size, owners) in self.machine.iter(coded):
-            who.update(owners)
-            _add(ranges, last + 1 - size, last + 1)
+        for run in self.runs.finditer(coded):
+            for last, (size, owners) in self.machine.iter(run[0]):
+                end = (run.start() + last + 1) // 2
+                who.update(owners)
+                _add(ranges, end - size, end)
         return [(a, b) for a, b in ranges], {self.ids[k] for k in who}
 
 
