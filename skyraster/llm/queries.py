@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyraster.llm import decontaminate, tokenfile
+from skyraster.llm import decontaminate, mixing, pii, quality_rules, tokenfile
 from skyraster.llm.common import table
 
 
@@ -19,16 +19,34 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rate(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_pii": op5_pii,
+    "op6_mix": op6_mix,
     "op8_token_files": op8_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+    "op6_mix": mixing.ORACLE,
+}
 
 ORACLES["op2_decontaminate"] = r"""
 WITH dw AS (
