@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyraster.llm import decontaminate, mixing, pii, quality_rules, tokenfile
+from skyraster.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, tokenfile
 from skyraster.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rate(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_rules": op3_quality_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_mix": op6_mix,
     "op8_token_files": op8_token_files,
@@ -45,6 +50,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op4_jaccard_join": jaccard_join.ORACLE,
     "op6_mix": mixing.ORACLE,
 }
 
