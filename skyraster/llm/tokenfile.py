@@ -68,34 +68,40 @@ def _width(kind: str) -> np.dtype:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id and ids (little-endian bytes, end id last) of every document."""
+    """doc_id and ids (little-endian bytes, end id last) of every document.
+
+    After each batch comes a row with ids null and the batch's own counts: pairs of int64.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         end = np.array([end_id], _width(tool.kind)).tobytes()
         for batch in batches:
-            texts = batch.column("text")
-            ids = [x + end for x in tool.encode(texts[k].as_py() or "" for k in range(batch.num_rows))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = [x + end for x in tool.encode_column(batch.column("text"))]
+            total = np.zeros(1, np.int64)
+            for one in ids:
+                n = np.bincount(np.frombuffer(one, _width(tool.kind)), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+            seen = np.flatnonzero(total)
+            docs = pa.concat_arrays([batch.column("doc_id"), pa.nulls(1, pa.int64())])
+            yield pa.RecordBatch.from_arrays(
+                [docs, pa.array([*ids, None], pa.binary()), pa.array([*[None] * len(ids), np.stack([seen, total[seen]]).tobytes()], pa.binary())],
+                names=["doc_id", "ids", "counts"])
 
-    return ensure(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids binary")
+    return ensure(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids binary, counts binary")
 
 
-def frequencies(tokens: DataFrame, kind: str) -> DataFrame:
-    """(id, n) over all documents, counted within each task before the shuffle."""
+def frequencies(tokens: DataFrame) -> DataFrame:
+    """(id, n) over all documents, from the counts of the batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
         for batch in batches:
-            for k in range(batch.num_rows):
-                one = np.bincount(np.frombuffer(batch.column(0)[k].as_py(), _width(kind)))
-                if len(one) > len(total):
-                    total = np.pad(total, (0, len(one) - len(total)))
-                total[: len(one)] += one
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+            for raw in batch.column(0).to_pylist():
+                ids, n = np.frombuffer(raw, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("counts is not null").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> int:
@@ -103,7 +109,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> int:
     spark = docs.sparkSession
     kind = encoder(path).kind
     tokens = cut(tokenize(docs, path, end_id), f"{folder}/tokens")
-    counted = frequencies(tokens, kind).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
+    counted = frequencies(tokens).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     ids = np.array([r.id for r in counted], np.int64)
     total = int(sum(r.n for r in counted))
     spark.createDataFrame([(k, int(x)) for k, x in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
@@ -111,39 +117,28 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> int:
     rank[ids] = np.arange(len(ids), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank)
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document packed on its own, which is what the shuffle then moves."""
-        table = shared.value
-        for batch in batches:
-            n, control, data = [], [], []
-            for k in range(batch.num_rows):
-                one = table[np.frombuffer(batch.column("ids")[k].as_py(), _width(kind))]
-                c, d = pack(one)
-                n.append(len(one)), control.append(c), data.append(d)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                names=["doc_id", "n", "control", "data"])
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        table, width = shared.value, _width(kind)
         shard, start, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
-            control, data = _join(held)
+            control, data = pack(table[np.frombuffer(b"".join([x[1] for x in held]), width)])
             row = {
                 "shard": pa.array([shard], pa.int32()), "start": pa.array([start], pa.int64()), "n": pa.array([size], pa.int64()),
                 "doc_ids": pa.array([np.array([x[0] or 0 for x in held], "<i8").tobytes()], pa.binary()),
                 "nulls": pa.array([[k for k, x in enumerate(held) if x[0] is None]], pa.list_(pa.int64())),
-                "sizes": pa.array([np.array([x[1] for x in held], "<i8").tobytes()], pa.binary()),
+                "sizes": pa.array([np.array([len(x[1]) // width.itemsize for x in held], "<i8").tobytes()], pa.binary()),
                 "control": pa.array([control], pa.binary()), "data": pa.array([data], pa.binary()),
             }
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data")], strict=True):
-                held.append(row)
-                size += row[1]
+            docs, ids = batch.column("doc_id"), batch.column("ids")
+            for k in range(batch.num_rows):
+                held.append((docs[k].as_py(), ids[k].as_py()))
+                size += len(held[-1][1]) // width.itemsize
                 if size >= BLOCK_IDS:
                     yield block()
                     start, held, size = start + size, [], 0
@@ -151,24 +146,13 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> int:
             yield block()
 
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_IDS))
-    keyed = tokens.mapInArrow(coded, "doc_id long, n long, control binary, data binary").withColumn("tie", F.xxhash64("data"))
+    keyed = tokens.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), "tie"]
-    ranged = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order, "data").drop("tie")
+    ranged = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids").drop("tie")
     ranged.mapInArrow(packed, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     return total
 
 
-def _join(rows: list[tuple]) -> tuple[bytes, bytes]:
-    """Codes of several documents as one block: the control bits move up together."""
-    codes = [_LENGTHS[np.frombuffer(r[2], np.uint8)].reshape(-1)[: r[1]] for r in rows]
-    size = np.concatenate(codes) - 1
-    code = np.zeros(-(-len(size) // 4) * 4, np.uint8)
-    code[: len(size)] = size
-    code = code.reshape(-1, 4)
-    control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    return control.astype(np.uint8).tobytes(), b"".join(r[3] for r in rows)
-
-
 def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) decoded from a file set."""
     ranks = np.array([r.id for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()], "<u4")

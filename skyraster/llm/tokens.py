@@ -2,7 +2,10 @@
 
 A tokenizer that never merges across a space gives the same ids for a text as for its
 space-separated pieces one after the other, so each distinct piece is encoded once by the
-library and then looked up. The memo is bounded: when full, the older half goes.
+library and then looked up. The word vocabulary folds case and parts a letter from the mark
+after it, so an unknown piece of Latin-1 letters and at most one mark is a folded word, which
+goes to the library's model alone, and that mark; all others go through the whole tokenizer.
+The memo is bounded: when full, the older half goes.
 """
 
 from __future__ import annotations
@@ -11,8 +14,14 @@ import os
 from array import array
 from collections.abc import Iterable, Iterator
 
-MEMO = 800_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+MEMO = 700_000
 CHUNK_CHARS = 1_000_000
+ROWS = 10_000
+STRIP = 500_000
 
 
 class PieceEncoder:
@@ -21,7 +30,7 @@ class PieceEncoder:
     def __init__(self, path: str, lead: bool = False, memo: int = MEMO):
         """``lead``: pieces keep the one space before them (byte-level vocabularies)."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.lead, self.limit = lead, memo
@@ -29,6 +38,10 @@ class PieceEncoder:
         self.width = array(self.kind).itemsize
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        if not lead:
+            self.model = self.library.model
+            shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.letters = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100) if chr(c).isalpha()}
 
     def pieces(self, text: str) -> list[str]:
         if not self.lead:
@@ -47,10 +60,44 @@ class PieceEncoder:
             for x in known:
                 self.new[x] = self.old[x]
             missing -= known
-        if missing:
-            order = list(missing)
-            for x, e in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                self.new[x] = array(self.kind, e.ids).tobytes()
+        if not missing:
+            return
+        if self.lead:
+            self._encode(list(missing))
+            return
+        have = self.new
+        slow = []
+        for x in missing:
+            core, mark = (x[:-1], x[-1]) if x[-1] in ".,;:!?" and x[-2:-1].isalpha() else (x, "")
+            core = core.lower() if core.isascii() else core
+            if core not in have:
+                if core.isascii():
+                    plain = core.isalpha()
+                else:
+                    plain = core.isalpha() and max(core) <= "\xff"
+                if not plain:
+                    slow.append(x)
+                    continue
+                have[core] = self._word(core.lower())
+            have[x] = have[core] + self._mark(mark)
+        if slow:
+            self._encode(slow)
+
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.new:
+            self._encode([mark])
+        return self.new[mark]
+
+    def _word(self, word: str) -> bytes:
+        """A folded word of Latin-1 letters is one pre-token: straight to the library's model."""
+        if not word.isascii():
+            word = word.translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _encode(self, order: list[str]) -> None:
+        """Remember the ids of pieces of any kind, by the whole tokenizer."""
+        for x, e in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False), strict=True):
+            self.new[x] = array(self.kind, e.ids).tobytes()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """One bytes object for each text, in order."""
@@ -71,6 +118,54 @@ class PieceEncoder:
             for pieces in waiting:
                 yield b"".join(map(get, pieces))
 
+    def _parts(self, texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """For runs of rows: ids of the distinct pieces, which piece stands where, ends of the rows."""
+        for start in range(0, len(texts), ROWS):
+            part = pc.fill_null(texts.slice(start, ROWS), "")
+            lists = pc.split_pattern(pc.replace_substring(part, "\n", " "), " ")
+            coded = lists.flatten().dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            self.learn(set(pieces))
+            yield list(map(self.new.__getitem__, pieces)), coded.indices.to_numpy(), lists.value_lengths().to_numpy().cumsum()
+
+    def count_column(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of each text of an Arrow column."""
+        out = [np.zeros(0, np.int64)]
+        for ids, index, ends in self._parts(texts):
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+            total = np.concatenate([[0], np.cumsum(size[index])])
+            out.append(np.diff(total[ends], prepend=0))
+        return np.concatenate(out)
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The same as ``encode`` for a whole Arrow column: distinct pieces are told apart by
+        Arrow, ids are put together by numpy, and Python sees each distinct piece once."""
+        for ids, index, ends in self._parts(texts):
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+            first = np.cumsum(size) - size
+            flat = np.frombuffer(b"".join(ids), f"u{self.width}")
+            at = 0
+            for lo, hi in _strips(ends):
+                end = int(ends[hi - 1])
+                used = index[at:end]
+                n = size[used]
+                stop = np.cumsum(n)
+                out = flat[np.repeat(first[used] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)].tobytes()
+                bounds = [0, *(np.concatenate([[0], stop])[ends[lo:hi] - at] * self.width).tolist()]
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    yield out[a:b]
+                at = end
+
+
+def _strips(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of documents with about STRIP pieces each."""
+    lo = 0
+    while lo < len(ends):
+        base = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + STRIP, side="right")))
+        yield lo, hi
+        lo = hi
+
 
 _READY: dict[tuple, PieceEncoder] = {}
 
