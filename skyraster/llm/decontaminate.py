@@ -216,3 +216,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         (F.size("ranges") > 0).alias("contaminated"),
         "spans",
     )
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs that hold no window, columns unchanged."""
+    inner = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
+    return mark(inner, benchmark, ["_row"], window).where(F.size("ranges") == 0).select("_row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyraster.llm import decontaminate, html_main, jaccard_join, mixing, pii, quality_rules, tokenfile
+from skyraster.llm import decontaminate, html_main, jaccard_join, language, mixing, pii, quality_model, quality_rules, token_counts, tokenfile
 from skyraster.llm.common import table
 
 
@@ -43,6 +43,18 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintain(table(spark, sf_dir, "documents"), tokenizer_path(), "word_bpe_49k")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_decontaminate": op2_decontaminate,
@@ -50,7 +62,10 @@ QUERIES = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_mix": op6_mix,
+    "op7_quality_model": op7_quality_model,
     "op8_token_files": op8_token_files,
+    "op9_token_counts": op9_token_counts,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {
