@@ -1,17 +1,17 @@
 """Quality rules: base counts of a text and a hashed n-gram log-likelihood ratio.
 
-Features of a text are its tokens (runs of letters and digits, runs of punctuation) and its
-token pairs, hashed by CRC-32 into ``BUCKETS`` buckets each; a token that follows itself
-counts in one bucket of its own. Two multinomials over the buckets, with add-``ALPHA``
-smoothing, are estimated from all documents (raw) and from the trusted ones (target); a text's
-score is the mean over its features of log(target / raw), with logs kept as whole units of
-1 / ``UNIT`` so that sums do not depend on order. Texts below ``THRESHOLD`` are rejected.
+Features of a text are its words, its pairs of neighbouring words and its words' last two
+characters, hashed by CRC-32 into ``BUCKETS`` buckets each; a word beside itself always falls into
+the first bucket of the pairs. Two multinomials over the buckets, with add-``ALPHA`` smoothing,
+are estimated from all documents (raw) and from the trusted ones (target); a text's score is the
+mean over its features of log(target / raw), with logs kept as whole units of 1 / ``UNIT`` so that
+sums do not depend on order. Texts below ``THRESHOLD`` are rejected.
 
 Trusted texts are told by strict form: ``TRUST_WORDS`` words or more, under 0.5 % symbols,
 under 2 % pairs of capitals, no repeated line, and a fifth or more of the words distinct.
 
-Everything is DataFrame functions. Two scans: one for the counts (at most 2 * BUCKETS + 1 sums
-reach the driver), one for the decisions; no text is shuffled.
+Everything is DataFrame functions. Two scans: one for the counts (at most 3 * BUCKETS sums reach
+the driver), one for the decisions; no text is shuffled.
 
 Cases: null and empty texts have no words, so the base fails them; a table without trusted
 texts scores everything 0 and keeps what the base keeps; repeated rows are decided alike; very
@@ -21,12 +21,13 @@ long texts cost time n log n only if they repeat a window; extra columns are ign
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import WORD_BREAK, ensure
+from skyraster.llm.common import ensure
 
 BUCKETS = 1 << 14
 ALPHA = 1.0
@@ -36,7 +37,6 @@ TRUST_WORDS = 30
 MIN_WORDS = 10
 REPEAT_SHARE = 20
 WINDOW = 5
-TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -48,8 +48,31 @@ def _text(name: str = "text") -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
+def _spaced(text: Column) -> Column:
+    """The text with every white space a plain one, which splits without a pattern."""
+    return F.regexp_replace(text, r"[\x09-\x0D]", " ")
+
+
+def _words(spaced: Column) -> Column:
+    return F.filter(F.split(spaced, " "), lambda w: w != "")
+
+
+def _code(text: Column) -> Column:
+    """A non-negative int for a text. Arithmetic on these stays within int."""
+    return (F.crc32(text.cast("binary")) % (1 << 31)).cast("int")
+
+
+def _codes(words: Column) -> Column:
+    return F.transform(words, _code)
+
+
+def _pair(c: Column, after: Column) -> Column:
+    """Bucket of two neighbours' codes: 0 if they are equal."""
+    return c.bitwiseXOR(after) % BUCKETS
+
+
+def _end(word: Column) -> Column:
+    return _code(F.substring(word, -2, 2)) % BUCKETS
 
 
 def _repeats(words: Column) -> Column:
@@ -71,63 +94,68 @@ def _repeats(words: Column) -> Column:
     return let(F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WINDOW)])), look)
 
 
-def _features(text: Column) -> Column:
-    """Bucket numbers of the tokens and of the token pairs."""
-
-    def buckets(codes: Column) -> Column:
-        pairs = F.transform(
-            F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))),
-            lambda c, i: F.when(c == F.get(codes, i + 1), F.lit(2 * BUCKETS)).otherwise(BUCKETS + (c * 31 + F.get(codes, i + 1)) % BUCKETS).cast("int"))
-        return F.concat(F.transform(codes, lambda c: (c % BUCKETS).cast("int")), pairs)
-
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return let(F.transform(tokens, lambda t: F.crc32(t.cast("binary"))), buckets)
-
-
 def _dup_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def trusted(text: Column) -> Column:
+def trusted(text: Column, codes: Column) -> Column:
     """Whether a text's form is strict enough for the target distribution."""
     chars = F.length(text)
     cheap = (F.regexp_count(text, F.lit(r"[#*$%&|<>]")) * 200 <= chars) & (F.regexp_count(text, F.lit("[A-Z][A-Z]")) * 50 <= chars)
-    words = let(_words(text), lambda w: (F.size(w) >= TRUST_WORDS) & (F.size(F.array_distinct(w)) * 5 >= F.size(w)))
-    return F.coalesce(cheap & words & (_dup_lines(text) == 0), F.lit(False))
+    words = (F.size(codes) >= TRUST_WORDS) & (F.size(F.array_distinct(codes)) * 5 >= F.size(codes))
+    return F.coalesce(words & cheap & (_dup_lines(text) == 0), F.lit(False))
 
 
 def log_ratios(docs: DataFrame) -> list[int]:
     """log(target / raw) of every bucket in units, from all documents."""
     text = _text()
-    seen = docs.select(trusted(text).cast("int").alias("t"), F.explode(_features(text)).alias("b"))
-    counts = seen.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
-    n = 2 * BUCKETS + 1
-    total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
-    ratio = F.log((F.col("target") + ALPHA) / (F.col("all_target") + ALPHA * n)) - F.log((F.col("raw") + ALPHA) / (F.col("all_raw") + ALPHA * n))
-    weights = counts.crossJoin(F.broadcast(total)).select(  # total is one row
-        "b", F.when(F.col("all_target") > 0, F.rint(ratio * UNIT)).otherwise(0).cast("int").alias("w"))
+
+    def marked(words: Column, codes: Column, base: Column) -> Column:
+        # Trusted texts count in buckets of their own: a flag beside the exploded column would be
+        # worked out again for every feature.
+        first = F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0)))
+        return F.concat(F.transform(codes, lambda c: c % BUCKETS + base), F.transform(first, lambda c, i: _pair(c, F.get(codes, i + 1)) + (base + BUCKETS)),
+                        F.transform(words, lambda w: _end(w) + (base + 2 * BUCKETS)))
+
+    def features(words: Column, codes: Column) -> Column:
+        return let(F.when(trusted(text, codes), F.lit(3 * BUCKETS)).otherwise(F.lit(0)), lambda base: marked(words, codes, base))
+
+    seen = docs.select(F.explode(let(_words(_spaced(text)), lambda w: let(_codes(w), lambda c: features(w, c)))).alias("bt"))
+    seen = seen.groupBy("bt").agg(F.count(F.lit(1)).alias("n"))
+    target = F.when(F.col("bt") >= 3 * BUCKETS, F.col("n")).otherwise(0)
+    counts = seen.groupBy((F.col("bt") % (3 * BUCKETS)).alias("b")).agg(F.sum("n").alias("raw"), F.sum(target).alias("target"))
+    rows = counts.collect()  # at most 3 * BUCKETS sums
+    n, all_raw, all_target = 3 * BUCKETS, sum(r.raw for r in rows), sum(r.target for r in rows)
     out = [0] * n
-    for row in weights.collect():
-        out[row.b] = row.w
+    for r in rows if all_target else []:
+        ratio = math.log((r.target + ALPHA) / (all_target + ALPHA * n)) - math.log((r.raw + ALPHA) / (all_raw + ALPHA * n))
+        out[r.b] = round(ratio * UNIT)
     return out
 
 
 def decisions(text: Column, ratios: list[int]) -> Column:
-    """Struct of the base counts, the score in units over all features, and both verdicts."""
+    """Struct of the base counts, and the score in units over the number of features."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
-    base = let(_words(text), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeats(w).cast("long").alias("n_repeat_words")))
-    rated = let(_features(text), lambda f: F.struct(
-        F.aggregate(f, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)).alias("units"), F.size(f).cast("long").alias("n_features")))
+
+    def units(words: Column, codes: Column) -> Column:
+        each = F.transform(words, lambda w, i: F.get(table, F.get(codes, i) % BUCKETS) + F.get(table, _end(w) + 2 * BUCKETS)
+                           + F.coalesce(F.get(table, _pair(F.get(codes, i), F.get(codes, i + 1)) + BUCKETS), F.lit(0)))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    def counted(spaced: Column) -> Column:
+        return let(_words(spaced), lambda w: F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
+            _repeats(w).cast("long").alias("n_repeat_words"), let(_codes(w), lambda c: units(w, c)).alias("units"),
+            F.greatest(3 * F.size(w) - 1, F.lit(0)).cast("long").alias("n_features")))
+
     return F.struct(
-        base.alias("base"), rated.alias("rated"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        _dup_lines(text).cast("long").alias("n_dup_lines"))
+        let(_spaced(text), counted).alias("of"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), _dup_lines(text).cast("long").alias("n_dup_lines"))
 
 
 def _rated(docs: DataFrame, ratios: list[int], threshold: float, *keep: Column) -> DataFrame:
     out = docs.select(*keep, let(decisions(_text(), ratios), lambda d: d).alias("_d"))
-    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_d"], "_d.base.*", "_d.rated.*", "_d.n_symbols", "_d.n_dup_lines")
+    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_d"], "_d.of.*", "_d.n_symbols", "_d.n_dup_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     passed = F.col("units") >= F.col("n_features") * int(threshold * UNIT)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & passed)
@@ -151,7 +179,6 @@ ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
-    regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS t,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 grams AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
@@ -166,20 +193,22 @@ crc_table AS (
   SELECT list(c ORDER BY k) AS tab FROM (
     SELECT k, list_reduce(list_prepend(k::ubigint, range(8)::ubigint[]),
       lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384::ubigint) ELSE a >> 1 END) AS c FROM range(256) t(k))),
-tok AS (SELECT DISTINCT unnest(t) AS tok FROM w),
+tok AS (SELECT DISTINCT unnest(w) AS tok FROM w UNION SELECT DISTINCT right(tok, 2) FROM (SELECT unnest(w) AS tok FROM w)),
 crc AS (
   SELECT tok, xor(list_reduce(list_prepend(4294967295::ubigint, [('0x' || substr(hex(tok), 2 * i + 1, 2))::ubigint FOR i IN range(strlen(tok))]),
-    lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::bigint])), 4294967295::ubigint)::bigint AS c FROM tok, crc_table),
-pos AS (SELECT rid, trusted, unnest(t) AS tok, unnest(range(1, len(t) + 1)) AS i FROM base),
-coded AS (SELECT rid, trusted, i, c, lead(c) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM pos JOIN crc USING (tok)),
+    lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::bigint])), 4294967295::ubigint)::bigint % 2147483648 AS c FROM tok, crc_table),
+pos AS (SELECT rid, trusted, unnest(w) AS tok, unnest(range(1, len(w) + 1)) AS i FROM base),
+coded AS (SELECT rid, trusted, i, tok, c, lead(c) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM pos JOIN crc USING (tok)),
 feat AS (
   SELECT rid, trusted, c % 16384 AS b FROM coded
   UNION ALL
-  SELECT rid, trusted, CASE WHEN c = nxt THEN 32768 ELSE 16384 + (c * 31 + nxt) % 16384 END FROM coded WHERE nxt IS NOT NULL),
+  SELECT rid, trusted, 16384 + xor(c, nxt) % 16384 FROM coded WHERE nxt IS NOT NULL
+  UNION ALL
+  SELECT rid, trusted, 32768 + crc.c % 16384 FROM coded JOIN crc ON crc.tok = right(coded.tok, 2)),
 cnt AS (SELECT b, count(*)::double AS raw, sum(trusted::int)::double AS target FROM feat GROUP BY b),
 tot AS (SELECT sum(raw) AS all_raw, sum(target) AS all_target FROM cnt),
 lw AS (
-  SELECT b, CASE WHEN all_target > 0 THEN round_even((ln((target + 1) / (all_target + 32769)) - ln((raw + 1) / (all_raw + 32769))) * 10000, 0)::bigint ELSE 0 END AS u
+  SELECT b, CASE WHEN all_target > 0 THEN round_even((ln((target + 1) / (all_target + 49152)) - ln((raw + 1) / (all_raw + 49152))) * 10000, 0)::bigint ELSE 0 END AS u
   FROM cnt, tot),
 sc AS (SELECT rid, sum(u) AS units, count(*) AS n FROM feat JOIN lw USING (b) GROUP BY rid)
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
