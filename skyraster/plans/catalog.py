@@ -2,5 +2,31 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from skyraster.plans.adapters import duck
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = duck(sql)
+        return f
+
+    return add
+
+
+def _fill() -> None:
+    from skyraster.plans import queries_catalog, queries_grid, queries_model  # noqa: F401  (they register themselves)
+
+
+_fill()
