@@ -1,4 +1,4 @@
-"""Connected components of an undirected edge table, by minimum label with pointer jumping."""
+"""Connected components of an undirected edge table, by contraction."""
 
 from __future__ import annotations
 
@@ -11,23 +11,24 @@ MAX_ROUNDS = 64
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
-    """(node, label) for every node of edges(u, v); the label is the component's smallest node.
+    """(node, label) for every node of edges(u, v): equal labels, the same component.
 
-    Each round takes the smallest label among a node's neighbours, then the label of that
-    label, so paths shorten by doubling; rounds end when no label changed. All of it stays in
-    tables; hot nodes are only summed over (partial aggregation) or split by the joins.
+    Each round gives a node the smallest of itself and its neighbours, and goes on with the edges
+    between different labels; node ids are hashes, so a round leaves at most about half the
+    nodes, and a star none. All of it stays in tables, which shrink round by round; hot nodes are
+    only summed over (partial aggregation) or split by the joins.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = cut(both, f"{folder}/{name}-edges")
-    labels = both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = cut(labels, f"{folder}/{name}-0")
-    for k in range(1, MAX_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label"))
-        after = cut(after, f"{folder}/{name}-{k}")
-        if after.where("was <> label").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
-    raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+    edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), f"{folder}/{name}-edges")
+    out = None
+    for k in range(MAX_ROUNDS):
+        both = edges.union(edges.select("v", "u"))
+        labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+        labels = cut(labels, f"{folder}/{name}-labels-{k}")
+        step = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        out = labels if out is None else out.join(step, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+        from_, to = (labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")) for c in "uv")
+        left = edges.join(from_, "u").join(to, "v").where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct()
+        edges = cut(left, f"{folder}/{name}-edges-{k}")
+        if edges.isEmpty():
+            return cut(out, f"{folder}/{name}-components")
+    raise RuntimeError(f"edges left after {MAX_ROUNDS} rounds")

@@ -9,16 +9,17 @@ it is connected with) and its number of links (documents linked with it, copies
 2. ``HASHES`` MinHash values a node, in bands of ``ROWS``: nodes that share a band are compared
    value by value, ``STEP`` at a time. With a uniform prior the posterior that the similarity
    reaches the threshold after m matches of n is P(Binomial(n + 1, threshold) <= m); a pair goes
-   as soon as this falls below ``TOLERANCE``. A band's survivors leave as a spanning forest, so a
-   bucket of m nodes yields at most m - 1 rows, whatever its pairs.
-3. The forests' components hold every surviving pair. Inside each, all pairs go through the same
-   pruning, and those that remain are verified on the full sets: counts of links, and again a
-   spanning forest, whose components are the classes.
-
-Buckets and components of more than ``BLOCK`` nodes are cut into blocks, and each pair of blocks
-is a task's work of bounded size; nothing is capped. Pairs are lost only as the method has it: a
-pair at exactly the threshold shares no band with probability 3e-6, and is pruned with about
-TOLERANCE.
+   as soon as this falls below ``TOLERANCE``. A bucket's surviving pairs matter only by their
+   components: those are searched breadth first, each node against the nodes not reached yet, and
+   leave as stars, so a bucket of m nodes yields at most m - 1 rows, and a tight one little work.
+3. The stars' components hold every surviving pair. Inside each, all pairs go through the same
+   pruning, and those that remain are verified on the full sets: counts of links, and again
+   stars, whose components are the classes.
+
+Buckets of more than ``BUCKET`` and components of more than ``BLOCK`` nodes are cut into blocks,
+and each pair of blocks is a task's work of bounded size; nothing is capped. Pairs are lost only
+as the method has it: a pair at exactly the threshold shares no band with probability 3e-6, and
+is pruned with about TOLERANCE.
 
 Cases: null, empty and wordless texts link to nothing and are their own class; equal rows are
 copies of each other; an empty table gives no rows; a null doc_id is carried along, and is a
@@ -45,7 +46,9 @@ BANDS = 24
 HASHES = ROWS * BANDS
 STEP = 16
 TOLERANCE = 1e-4
-BLOCK = 256
+BLOCK = 512
+BUCKET = 4096
+STRIP = 128
 MAX_BROADCAST = 300_000
 MEMO = 500_000
 
@@ -113,36 +116,80 @@ _LEAST = least_matches()
 
 def survivors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of two signature matrices that outlive the pruning."""
-    matches = np.zeros((len(a), len(b)), np.int16)
-    for k in range(STEP):
-        matches += a[:, k, None] == b[None, :, k]
-    i, j = np.nonzero(matches >= _LEAST[STEP])
-    m = matches[i, j]
-    for n in range(2 * STEP, HASHES + 1, STEP):
-        m = m + (a[i, n - STEP : n] == b[j, n - STEP : n]).sum(1)
+    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(a), STRIP):  # so that memory is bounded
+        part = a[lo : lo + STRIP]
+        matches = np.zeros((len(part), len(b)), np.int16)
+        for k in range(STEP):
+            matches += part[:, k, None] == b[None, :, k]
+        i, j = np.nonzero(matches >= _LEAST[STEP])
+        m = matches[i, j]
+        for n in range(2 * STEP, HASHES + 1, STEP):
+            m = m + (part[i, n - STEP : n] == b[j, n - STEP : n]).sum(1)
+            keep = m >= _LEAST[n]
+            i, j, m = i[keep], j[keep], m[keep]
+        rows.append(i + lo)
+        columns.append(j)
+    return np.concatenate(rows), np.concatenate(columns)
+
+
+def _alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Which rows of ``many`` outlive the pruning against ``one``."""
+    left = np.arange(len(many))
+    m = np.zeros(len(many), np.int64)
+    for n in range(STEP, HASHES + 1, STEP):
+        m = m + (many[left, n - STEP : n] == one[n - STEP : n]).sum(1)
         keep = m >= _LEAST[n]
-        i, j, m = i[keep], j[keep], m[keep]
-    return i, j
+        left, m = left[keep], m[keep]
+        if not len(left):
+            break
+    return left
+
+
+def reached(sig: np.ndarray) -> list[list[int]]:
+    """Components (of two or more) of the surviving pairs, breadth first."""
+    out, left = [], np.arange(len(sig))
+    while len(left) > 1:
+        found, left, at = [int(left[0])], left[1:], 0
+        while at < len(found) and len(left):
+            hit = _alike(sig[found[at]], sig[left])
+            at += 1
+            if len(hit):
+                found += left[hit].tolist()
+                left = np.delete(left, hit)
+        if len(found) > 1:
+            out.append(found)
+    return out
 
 
-class _Forest:
-    """Union-find over 0..n-1 that remembers the joining edges."""
+def _stars(groups: list[list[int]], node: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Edges from each group's smallest node to the others."""
+    u, v = [], []
+    for group in groups:
+        names = sorted(node[k] for k in group)
+        u += names[:1] * (len(names) - 1)
+        v += names[1:]
+    return u, v
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
-        self.edges: list[tuple[int, int]] = []
 
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
+def joined(n: int, pairs: list[tuple[int, int]]) -> list[list[int]]:
+    """Components (of two or more) of index pairs."""
+    up = list(range(n))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
-    def join(self, x: int, y: int) -> None:
-        a, b = self.top(x), self.top(y)
+    for x, y in pairs:
+        a, b = top(x), top(y)
         if a != b:
-            self.up[b] = a
-            self.edges.append((x, y))
+            up[b] = a
+    out: dict[int, list[int]] = {}
+    for x in {k for p in pairs for k in p}:
+        out.setdefault(top(x), []).append(x)
+    return list(out.values())
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -195,38 +242,34 @@ def sign(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, node binary, sig binary")
 
 
-def _block_pairs(rows: DataFrame, size: str) -> DataFrame:
+def _block_pairs(rows: DataFrame, size: str, block: int) -> DataFrame:
     """Rows of a group of ``size``, once for each pair of blocks (bi <= bj) that holds the row's block."""
-    n = F.ceil(F.col(size) / BLOCK).cast("int")
+    n = F.ceil(F.col(size) / block).cast("int")
     out = rows.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     return out.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("n_blocks", "other", size)
 
 
 def candidates(nodes: DataFrame, folder: str) -> DataFrame:
-    """(u, v) spanning forests of the pairs that share a band and outlive the pruning."""
+    """(u, v) stars over the components of the pairs that share a band and outlive the pruning."""
     width = 4 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substr(F.col("sig"), k * width + 1, F.lit(width)), k))
     rows = nodes.select("node", F.explode(keys).alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(rows.join(shared, "band"), f"{folder}/bands")
-    rows = _block_pairs(shared, "size").join(nodes.select("node", "sig"), "node")
+    rows = _block_pairs(shared, "size", BUCKET).join(nodes.select("node", "sig"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["band", "bi", "bj"]):
-            node = group.column("node").to_pylist()
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-            block = group.column("block").to_numpy()
-            forest = _Forest(len(node))
-            for x, y in _pairs(sig, block, group.column("bi")[0].as_py(), group.column("bj")[0].as_py()):
-                forest.join(x, y)
-            if forest.edges:
-                u, v = [node[x] for x, _ in forest.edges], [node[y] for _, y in forest.edges]
+            found = reached(sig)
+            if found:
+                u, v = _stars(found, group.column("node").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     keys = ["band", "bi", "bj"]
-    rows = rows.select(*keys, "block", "node", "sig").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "u binary, v binary").distinct()
+    rows = rows.select(*keys, "node", "sig").repartition(*keys).sortWithinPartitions(*keys)
+    return rows.mapInArrow(run, "u binary, v binary")
 
 
 def _pairs(sig: np.ndarray, block: np.ndarray, bi: int, bj: int) -> Iterator[tuple[int, int]]:
@@ -262,7 +305,7 @@ def _reaches(both: int, a: int, b: int, threshold: float) -> bool:
 
 
 def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(u, v, n): links of node u counted in documents (v null), and spanning edges (n null)."""
+    """(u, v, n): links of node u counted in documents (v null), and star edges (n null)."""
     sized = groups.join(groups.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
     wanted = sized.join(nodes.select("node", "rep", "copies"), "node").withColumnRenamed("node", "wanted")
     wanted = cut(wanted, f"{folder}/wanted")
@@ -270,7 +313,7 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, folder: str, th
     small = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     rows = texts.join(small, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     keys = ["label", "bi", "bj"]
-    rows = _block_pairs(rows.select("label", "size", "node", "copies", "text"), "size").select(*keys, "block", "node", "copies", "text")
+    rows = _block_pairs(rows.select("label", "size", "node", "copies", "text"), "size", BLOCK).select(*keys, "block", "node", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
@@ -281,15 +324,15 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, folder: str, th
             sig = np.stack([signature(x) for x in sets])
             block = group.column("block").to_numpy()
             pairs = list(_pairs(sig, block, group.column("bi")[0].as_py(), group.column("bj")[0].as_py()))
-            links, forest = [0] * len(node), _Forest(len(node))
-            for x, y in _similar(sets, pairs, threshold):
+            pairs = _similar(sets, pairs, threshold)
+            links = [0] * len(node)
+            for x, y in pairs:
                 links[x] += copies[y]
                 links[y] += copies[x]
-                forest.join(x, y)
+            u, v = _stars(joined(len(node), pairs), node)
             linked = [k for k, n in enumerate(links) if n]
-            u = [node[k] for k in linked] + [node[x] for x, _ in forest.edges]
-            v = [None] * len(linked) + [node[y] for _, y in forest.edges]
-            n = [links[k] for k in linked] + [None] * len(forest.edges)
+            n = [None] * len(u) + [links[k] for k in linked]
+            u, v = u + [node[k] for k in linked], v + [None] * len(linked)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], names=["u", "v", "n"])
 
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
