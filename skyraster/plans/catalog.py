@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _fill() -> None:
-    from skyraster.plans import queries_catalog, queries_grid, queries_model  # noqa: F401  (they register themselves)
+    from skyraster.plans import queries_catalog, queries_grid, queries_model, queries_more  # noqa: F401  (they register themselves)
 
 
 _fill()

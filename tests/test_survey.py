@@ -373,3 +373,18 @@ def test_pipeline_runs_from_a_cloud(spark):
     assert run.tables["ortho"].where("alpha = 255").count() == run.grids["ortho"].nx * run.grids["ortho"].ny
     page = report.generate(survey, run.tables["cameras"], spark.createDataFrame([], schema.GCPS), run.tables["classified"])
     assert "Ground" in page and "DJI M3E" in page and "3,000 points" in page
+
+
+def test_photo_pixels(spark, tmp_path):
+    from skyraster.sources import photos
+
+    image = np.zeros((3, 4, 4), np.uint8)
+    image[..., 3] = 255
+    image[1, 2, :3] = (250, 100, 5)
+    (tmp_path / "a b.png").write_bytes(tiles.png(image))
+    (tmp_path / "note.txt").write_text("no photo")
+    assert [r.path.rsplit("/", 1)[1] for r in photos.find_photos(spark, str(tmp_path)).collect()] == ["a b.png"]
+    (row,) = photos.read_photos(spark, str(tmp_path / "*.png")).collect()
+    assert (row.h, row.w) == (3, 4) and np.frombuffer(row.data, np.uint8).reshape(3, 4, 3)[1, 2].tolist() == [250, 100, 5]
+    plain = photos.image_sizes(photos.read_photos(spark, str(tmp_path / "*.png")))
+    assert photos.camera_set(plain, plain.limit(0)) is plain
