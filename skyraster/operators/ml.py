@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyraster.operators import cloud
@@ -19,48 +18,62 @@ from skyraster.operators import cloud
 LABELS = {2: "Ground", 5: "Vegetation", 6: "Building"}
 DOMAIN = 200.0
 
+# The rehearsal scene. Roofs are (x, y, width, depth, height).
+GROUND_POINTS, ROOF_POINTS, TREES, TREE_POINTS = 55_000, 4_200, 40, (250, 600)
+ROOFS = [(60.0, 55.0, 26.0, 20.0, 11.0), (130.0, 120.0, 30.0, 24.0, 8.0), (95.0, 150.0, 18.0, 18.0, 14.0)]
+COLORS = {2: (150, 121, 78, 10), 6: (182, 184, 190, 8), 5: (48, 122, 46, 14)}
 
-def scene(spark: SparkSession, seeds: list[int], noise: bool = False, domain: float = DOMAIN) -> DataFrame:
-    """Labelled scenes (seed, pt_id, x, y, z, r, g, b, cls): rolling ground, three flat roofs, forty trees.
 
-    One task a seed; with ``noise`` positions, heights and colours are shaken as a survey would.
+def _terrain(x: Column, y: Column) -> Column:
+    return 12 + 3 * F.sin(x / 34) + 2.2 * F.cos(y / 27) + 0.6 * F.sin((x + y) / 15)
+
+
+def _chance(*keys) -> Column:
+    """A number in (0, 1) that hangs on its keys alone, so any task draws the same scene."""
+    return (F.pmod(F.xxhash64(*[k if isinstance(k, Column) else F.lit(k) for k in keys]), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def _bell(*keys) -> Column:
+    return F.sqrt(-2 * F.log(_chance(*keys, "radius"))) * F.cos(2 * math.pi * _chance(*keys, "angle"))
+
+
+def scene(spark: SparkSession, seeds: list[int], noise: bool = False) -> DataFrame:
+    """Labelled scenes (seed, pt_id, x, y, z, r, g, b, cls): rolling ground, flat roofs, round trees.
+
+    Every coordinate is an expression of (seed, pt_id); with ``noise`` positions, heights and
+    colours are shaken as a survey would.
     """
+    runs = F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])).alias("seed")
+    key = [F.col("seed"), F.col("pt_id")]
+    roofs = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(ROOFS)], "k int, bx double, by double, w double, d double, h double")
+
+    ground = spark.range(GROUND_POINTS).select(F.col("id").alias("pt_id"), runs)
+    ground = ground.withColumn("x", DOMAIN * _chance(*key, "x")).withColumn("y", DOMAIN * _chance(*key, "y"))
+    ground = ground.withColumn("z", _terrain(F.col("x"), F.col("y")) + 0.04 * _bell(*key, "z")).withColumn("cls", F.lit(2))
+
+    tops = spark.range(ROOF_POINTS * len(ROOFS)).select((F.col("id") + GROUND_POINTS).alias("pt_id"), (F.col("id") % len(ROOFS)).cast("int").alias("k"), runs).join(F.broadcast(roofs), "k")  # three rows
+    tops = tops.withColumn("x", F.col("bx") + F.col("w") * _chance(*key, "x")).withColumn("y", F.col("by") + F.col("d") * _chance(*key, "y"))
+    tops = tops.withColumn("z", _terrain(F.col("bx") + F.col("w") / 2, F.col("by") + F.col("d") / 2) + F.col("h") + 0.06 * _bell(*key, "z")).withColumn("cls", F.lit(6))
+
+    trees = spark.range(TREES).select(F.col("id").alias("tree"), runs)
+    at = lambda name: 10 + (DOMAIN - 20) * _chance(F.col("seed"), F.col("tree"), name)
+    trees = trees.withColumn("cx", at("cx")).withColumn("cy", at("cy")).withColumn("tall", 3 + 6 * _chance(F.col("seed"), F.col("tree"), "tall"))
+    n = (TREE_POINTS[0] + F.floor((TREE_POINTS[1] - TREE_POINTS[0]) * _chance(F.col("seed"), F.col("tree"), "n"))).cast("int")
+    trees = trees.withColumn("i", F.explode(F.sequence(F.lit(1), n)))
+    trees = trees.withColumn("pt_id", GROUND_POINTS + ROOF_POINTS * len(ROOFS) + F.col("tree") * TREE_POINTS[1] + F.col("i") - 1)
+    trees = trees.withColumn("x", F.col("cx") + 3 * _bell(*key, "x")).withColumn("y", F.col("cy") + 3 * _bell(*key, "y"))
+    trees = trees.withColumn("z", _terrain(F.col("cx"), F.col("cy")) + 0.5 + (F.col("tall") - 0.5) * _chance(*key, "z")).withColumn("cls", F.lit(5))
 
-    def height(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return 12 + 3 * np.sin(x / 34) + 2.2 * np.cos(y / 27) + 0.6 * np.sin((x + y) / 15)
-
-    def draw(rng: np.random.Generator, n: int, x: np.ndarray, y: np.ndarray, z: np.ndarray, color: tuple, spread: float, cls: int) -> np.ndarray:
-        rgb = np.trunc(np.clip(np.array(color) + rng.normal(0, spread, (n, 3)), 0, 255))
-        return np.column_stack([x, y, z, rgb, np.full(n, cls)])
-
-    def make(batches):
-        for batch in batches:
-            for seed in batch["id"]:
-                rng = np.random.default_rng(int(seed))
-                x, y = rng.uniform(0, domain, 55_000), rng.uniform(0, domain, 55_000)
-                parts = [draw(rng, 55_000, x, y, height(x, y) + rng.normal(0, 0.04, 55_000), (150, 121, 78), 10, 2)]
-                for bx, by, w, h, tall in ((60, 55, 26, 20, 11), (130, 120, 30, 24, 8), (95, 150, 18, 18, 14)):
-                    x, y = rng.uniform(bx, bx + w, 4200), rng.uniform(by, by + h, 4200)
-                    top = height(np.float64(bx + w / 2), np.float64(by + h / 2)) + tall
-                    parts.append(draw(rng, 4200, x, y, top + rng.normal(0, 0.06, 4200), (182, 184, 190), 8, 6))
-                for _ in range(40):
-                    cx, cy = rng.uniform(10, domain - 10, 2)
-                    n = int(rng.integers(250, 600))
-                    x, y = cx + rng.normal(0, 3, n), cy + rng.normal(0, 3, n)
-                    tall = rng.uniform(3, 9)
-                    parts.append(draw(rng, n, x, y, height(cx, cy) + rng.uniform(0.5, tall, n), (48, 122, 46), 14, 5))
-                all_ = np.concatenate(parts)
-                if noise:
-                    all_[:, :3] += rng.normal(0, 0.06, (len(all_), 3))
-                    all_[:, 2] += rng.normal(0, 0.20, len(all_))
-                    all_[:, 3:6] = np.clip(all_[:, 3:6] + rng.normal(0, 28, (len(all_), 3)), 0, 255)
-                out = pd.DataFrame(all_, columns=["x", "y", "z", "r", "g", "b", "cls"])
-                out.insert(0, "pt_id", np.arange(len(out)))
-                out.insert(0, "seed", int(seed))
-                yield out.astype({"r": int, "g": int, "b": int, "cls": int})
-
-    ids = spark.createDataFrame([(s,) for s in seeds], "id long").repartition(len(seeds))
-    return ids.mapInPandas(make, "seed long, pt_id long, x double, y double, z double, r int, g int, b int, cls int")
+    out = None
+    for part in (ground, tops, trees):
+        part = part.select("seed", "pt_id", "x", "y", "z", "cls")
+        out = part if out is None else out.unionByName(part)
+    colors = spark.createDataFrame([(c, *v) for c, v in COLORS.items()], "cls int, r0 int, g0 int, b0 int, spread int")
+    out = out.join(F.broadcast(colors), "cls")  # three rows
+    more = 28 if noise else 0
+    paint = lambda c: F.least(F.greatest(F.col(f"{c}0") + F.col("spread") * _bell(*key, c) + more * _bell(*key, c, "noise"), F.lit(0.0)), F.lit(255.0)).cast("int")
+    shake = lambda c: F.col(c) + ((0.06 * _bell(*key, c, "noise") + (0.20 * _bell(*key, "height", "noise") if c == "z" else 0.0)) if noise else 0.0)
+    return out.select("seed", "pt_id", *[shake(c).alias(c) for c in "xyz"], *[paint(c).alias(c) for c in "rgb"], "cls")
 
 
 def training_set(spark: SparkSession, seeds: tuple[int, ...] = (7, 11, 23, 42, 99, 128)) -> DataFrame:

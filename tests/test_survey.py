@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyraster import schema
 from skyraster.functions import geo, photo
-from skyraster.operators import control, ml, ortho, terrain, tiles
+from skyraster.operators import cloud, control, ml, ortho, terrain, tiles
 from skyraster.plans import pipeline, report
 from skyraster.schema import RasterMeta, Settings
 from skyraster.sources import binary, products, project, text_models
@@ -351,6 +351,12 @@ def test_scene_and_forest(spark):
     scene = ml.scene(spark, [7])
     n = {r.cls: r.n for r in scene.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert n[2] == 55_000 and n[6] == 12_600 and 40 * 250 <= n[5] < 40 * 600
+    assert scene.select("pt_id").distinct().count() == sum(n.values())
+    roof = scene.where("cls = 6 and x > 130 and y > 120 and y < 144").agg(F.stddev_pop("z")).first()[0]
+    assert roof < 0.08
+    small = cloud.features(ml.scene(spark, [11], noise=True).where("x < 70 and y < 70").drop("seed"), 8)
+    trained = ml.train(small, trees=15, depth=8)
+    assert trained.accuracy > 0.95 and abs(sum(trained.importances.values()) - 1) < 1e-6
 
 
 def test_pipeline_stops_at_the_first_failure(spark):
