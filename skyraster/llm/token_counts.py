@@ -37,6 +37,7 @@ def count(docs: DataFrame, path: str) -> DataFrame:
             n = pa.array(tool.count_column(batch.column("text")), pa.int64())
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], n], names=[*keep, "n_tokens"])
+        tool.rest()
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = ensure(docs, doc_id="long", source="string", lang="string", text="string").select(

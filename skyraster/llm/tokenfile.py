@@ -88,6 +88,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [docs, pa.array([*ids, None], pa.binary()), pa.array([*[None] * len(ids), np.stack([seen, total[seen]]).tobytes()], pa.binary())],
                 names=["doc_id", "ids", "counts"])
+        tool.rest()
 
     return ensure(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, ids binary, counts binary")
 

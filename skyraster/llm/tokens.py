@@ -18,9 +18,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 700_000
+MEMO = 250_000
 CHUNK_CHARS = 1_000_000
-ROWS = 10_000
+ROWS = 3_000
 STRIP = 500_000
 
 
@@ -43,6 +43,11 @@ class PieceEncoder:
             shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.letters = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100) if chr(c).isalpha()}
 
+    def rest(self) -> None:
+        """Give memory back at the end of a task: the worker may idle beside other work."""
+        self.old = {}
+        pa.default_memory_pool().release_unused()
+
     def pieces(self, text: str) -> list[str]:
         if not self.lead:
             return text.replace("\n", " ").split(" ")
