@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from skyraster.llm.common import cut, ensure, shared_dir
 
 PERIOD = 4
+DEPTH = 150  # what nests deeper stands side by side
+LCS_CELLS = 4_000_000
 TEMPLATE_PAGES = 5
 SALTS = 16
 MAX_BROADCAST_CHARS = 32_000_000
@@ -56,6 +58,8 @@ NOT_MAIN = set(
     " masthead footer comment comments disqus respond replies reply share sharing social related recommended recommendations newsletter subscribe subscription signup"
     " login cookie cookies consent notice notices alert popup modal overlay gdpr widget widgets toolbar pagination pager skip hidden paywall outbrain taboola".split()
 )
+_NOT_MAIN_STARTS = ("advert", "adsense", "sidebar", "cookie", "newsletter", "breadcrumb", "footer", "navbar", "sponsor", "popup", "subscri", "commentlist", "commentform", "commentbox")
+_NOT_MAIN_ENDS = ("nav", "menu", "footer", "sidebar", "banner", "comments")
 MAIN_NAMES = set("article articlebody post entry story content main maincontent bodytext".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -146,7 +150,7 @@ def parse(page: str) -> tuple[list, list[tuple[str, int]]]:
                     break
         node: list = [_key(tag, attributes), [], tag]
         stack[-1][1].append(node)
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
             stack.append(node)
     if at < len(page):
         add(page[at:])
@@ -229,7 +233,19 @@ def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
         head += 1
     pairs = [(k, k) for k in range(head)]
     x, y = x[head:], y[head:]
-    if x and y:
+    if len(x) * len(y) > LCS_CELLS:  # long lists: each name at its next place, in one pass
+        places: dict[str, list[int]] = {}
+        for j in range(len(y) - 1, -1, -1):
+            places.setdefault(y[j], []).append(j)
+        at = -1
+        for i, name in enumerate(x):
+            later = places.get(name, [])
+            while later and later[-1] <= at:
+                later.pop()
+            if later and later[-1] - at <= len(y) // 100 + 16:
+                at = later.pop()
+                pairs.append((head + i, head + at))
+    elif x and y:
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i in range(len(x) - 1, -1, -1):
             for j in range(len(y) - 1, -1, -1):
@@ -262,7 +278,8 @@ def align(x: list[dict], y: list[dict]) -> list[dict]:
 
 def _outside(key: str, inside: bool) -> bool:
     tag, *said = key.split(".")
-    return (tag in OUTSIDE and not (tag == "header" and inside)) or not NOT_MAIN.isdisjoint(said)
+    return (tag in OUTSIDE and not (tag == "header" and inside)) or not NOT_MAIN.isdisjoint(said) or any(
+        w.startswith(_NOT_MAIN_STARTS) or w.endswith(_NOT_MAIN_ENDS) for w in said)
 
 
 def _rank(key: str) -> int:
@@ -309,9 +326,14 @@ def label(w: dict) -> dict:
             mark(c, inside or _rank(c["k"]) == rank)
 
     mark(w, not rank)
+    w["rank"] = rank
     return w
 
 
+def _holds(w: dict, rank: int) -> bool:
+    return w["k"] != "#" and (_rank(w["k"]) == rank or any(_holds(c, rank) for c in w["c"]))
+
+
 def chosen(page: dict, wrapper: dict) -> set[int]:
     """Numbers of the page's blocks that the wrapper's main text nodes accept."""
     out: set[int] = set()
@@ -393,7 +415,10 @@ class Extractor:
             if len(self.ready) > 5000:
                 self.ready.clear()
             self.ready[host] = json.loads(wrapper) if wrapper else label(wrap(root, blocks))
-        main = chosen(one, self.ready[host])
+        known = self.ready[host]
+        if known["rank"] and not _holds(one, known["rank"]):
+            known = label(wrap(root, blocks))  # a page without its host's container stands for itself
+        main = chosen(one, known)
         return " ".join(blocks[k][0] for k in sorted(main))
 
 

@@ -43,12 +43,15 @@ PAGE = """<!doctype html><html><head><title>t</title><style>p{{}}</style></head>
 def test_other_layouts(spark):
     rows = [(k, f"https://h.example/{k}", PAGE.format(title=f"T{k}", a="x" * (k + 1))) for k in range(8)]
     rows += [(100, None, None), (101, "u", ""), (102, "u", "just words &lt;here&gt;"), (103, "https://h.example/x", "<p>only <a href=x>a</a> page"), (103, "https://h.example/x", "<p>only <a href=x>a</a> page"),
-             (104, "http://bad", "<div><p>open <b>tags<p>go on"), (105, "http://q", "<p class='a>b\" x>quote</p><p>after"), (106, "http://long", "<article>" + "<p>word</p>" * 20_000 + "</article>")]
+             (104, "http://bad", "<div><p>open <b>tags<p>go on"), (105, "http://q", "<p class='a>b\" x>quote</p><p>after"), (106, "http://long", "<article>" + "<p>word</p>" * 20_000 + "</article>"),
+             (107, "http://deep", "<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after"), (108, "http://odd", "".join(f"<p class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>{k}" for k in range(6000))),
+             (109, "http://odd", "".join(f"<p class=c{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}>{k}" for k in range(6000, 0, -1)))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("wrapper", F.lit(1))
     got = {r.page_id: r.text for r in html_main.extract(df).collect()}
     assert got[3] == "T3 xxxx & b second bold, part line one two cell next"
     assert got[100] == got[101] == "" and got[102] == "just words <here>" and got[103] == "only a page" and got[104] == "open tags go on"
     assert got[106] == " ".join(["word"] * 20_000)
+    assert got[107] == "deep after" and len(got[108].split()) == 6000 and len(got[109].split()) == 6000
     assert html_main.extract(df).count() == len(rows) and html_main.extract(df.limit(0)).count() == 0
 
 
