@@ -47,7 +47,7 @@ VIEWS["pairs"] = """
 SELECT vec_id AS pid, label, CAST(x AS DOUBLE) AS sx, CAST(y AS DOUBLE) AS sy, CAST(z AS DOUBLE) AS sz,
   CAST(500000 AS DOUBLE) - 2 * CAST(y AS DOUBLE) + label / CAST(1000 AS DOUBLE) AS dx, CAST(4000000 AS DOUBLE) + 2 * CAST(x AS DOUBLE) - label / CAST(2000 AS DOUBLE) AS dy,
   CAST(50 AS DOUBLE) + 2 * CAST(z AS DOUBLE) + (label % 3) / CAST(500 AS DOUBLE) AS dz
-FROM (SELECT vec_id, label, embedding[__1] * 100 AS x, embedding[__2] * 100 AS y, embedding[__3] * 100 AS z FROM embeddings) e"""
+FROM (SELECT vec_id, label, CAST(embedding[__1] AS DOUBLE) * 100 AS x, CAST(embedding[__2] AS DOUBLE) * 100 AS y, CAST(embedding[__3] AS DOUBLE) * 100 AS z FROM embeddings) e"""
 
 VIEWS["tie_points"] = "SELECT vec_id AS pt_id, CAST(embedding[__1] AS DOUBLE) * 100 AS x, CAST(embedding[__2] AS DOUBLE) * 100 AS y, CAST(embedding[__3] AS DOUBLE) * 100 AS z FROM embeddings"
 
