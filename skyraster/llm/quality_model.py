@@ -20,7 +20,7 @@ and null labels are ignored; an empty table gives no rows; extra columns are ign
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -44,15 +44,17 @@ CUT = 0.3
 PARTS = 64
 SALTS = 64
 ROWS = 4000
+STRIP = 128
 REPEAT, UPPER, DIGITS, OTHER = VOCAB - 1, VOCAB - 2, VOCAB - 3, VOCAB - 4
 _HASHED = VOCAB - 4
-_MARKS = re.compile(r"^(.*?)([^\w\s]*)$", re.S)
+_MARKS = string.punctuation + "…–—“”«»¡¿"
 
 _RNG = np.random.default_rng(1_984)
 INDEX_AT = _RNG.integers(0, DIMS, (VOCAB, ONES))
 INDEX_SIGN = _RNG.choice([-1, 1], (VOCAB, ONES))
 INDEX = np.zeros((VOCAB, DIMS), np.int64)
 np.add.at(INDEX, (np.arange(VOCAB)[:, None], INDEX_AT), INDEX_SIGN)
+_AT, _SIGN = INDEX_AT.T.astype(np.int32).copy(), INDEX_SIGN.T.astype(np.float64).copy()
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -61,7 +63,8 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _ids(piece: str) -> list[int]:
-    core, marks = _MARKS.match(piece).groups()
+    core = piece.rstrip(_MARKS)
+    marks = piece[len(core) :]
     out = []
     if core:
         out.append(DIGITS if core.isdigit() else zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % _HASHED)
@@ -72,45 +75,47 @@ def _ids(piece: str) -> list[int]:
     return out or [OTHER]
 
 
-def word_ids(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word ids, row of each) for runs of rows; REPEAT follows the others of its row."""
+def word_ids(texts: pa.Array, repeats: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word ids, row of each, number of REPEAT words of each row) for runs of rows."""
     for start in range(0, len(texts), ROWS):
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.slice(start, ROWS), ""))
         coded = lists.flatten().dictionary_encode()
         ids = [_ids(x) if x else [] for x in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         first = np.cumsum(size) - size
-        flat = np.array([k for x in ids for k in x], np.int64)
+        flat = np.array([k for x in ids for k in x], np.int32)
         index = coded.indices.to_numpy()
         row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
         n = size[index]
         stop = np.cumsum(n)
         words = flat[np.repeat(first[index] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)]
         at = np.repeat(row, n)
-        real = n > 0
-        index, row = index[real].astype(np.uint64), row[real]
-        if len(index) > 2:
-            gram = (index[:-2] * np.uint64(0x9E3779B97F4A7C15) + index[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + index[2:]
-            gram = (gram ^ gram >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + row[2:].astype(np.uint64)
-            whole = row[2:] == row[:-2]
-            _, one = np.unique(gram[whole], return_index=True)
-            again = np.ones(int(whole.sum()), bool)
-            again[one] = False
-            more = row[2:][whole][again]
-            words, at = np.concatenate([words, np.full(len(more), REPEAT)]), np.concatenate([at, more])
-        yield words, at
+        again = np.zeros(len(lists), np.int64)
+        if repeats:
+            real = n > 0
+            index, row = index[real].astype(np.uint64), row[real]
+            if len(index) > 2:
+                whole = row[2:] == row[:-2]
+                gram = (index[:-2] * np.uint64(0x9E3779B97F4A7C15) + index[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + index[2:]
+                gram = ((gram ^ gram >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + row[2:].astype(np.uint64))[whole]
+                grams = np.bincount(row[2:][whole], minlength=len(lists))
+                order = np.argsort(gram)
+                new = np.ones(len(gram), bool)
+                new[1:] = gram[order][1:] != gram[order][:-1]
+                again = grams - np.bincount(row[2:][whole][order[new]], minlength=len(lists))
+        yield words, at, again
 
 
 def context_sums(texts: pa.Array) -> np.ndarray:
     """VOCAB x DIMS sums of neighbours' index vectors."""
     total = np.zeros(VOCAB * DIMS)
-    for words, row in word_ids(texts):
+    for words, row, _ in word_ids(texts, repeats=False):
         for k in range(1, REACH + 1):
             near = np.flatnonzero(row[k:] == row[:-k])
             a, b = words[near], words[near + k]
             for x, y in ((a, b), (b, a)):
                 for one in range(ONES):
-                    total += np.bincount(x * DIMS + INDEX_AT[y, one], INDEX_SIGN[y, one], VOCAB * DIMS)
+                    total += np.bincount(x * DIMS + _AT[one][y], _SIGN[one][y], VOCAB * DIMS)
     return np.rint(total).astype(np.int64).reshape(VOCAB, DIMS)
 
 
@@ -121,6 +126,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
         total = np.zeros((VOCAB, DIMS), np.int64)
         for batch in batches:
             total += context_sums(batch.column(0))
+        pa.default_memory_pool().release_unused()
         for k, part in enumerate(np.split(total, PARTS)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "sums"])
 
@@ -148,16 +154,14 @@ def vectors(sums: np.ndarray) -> np.ndarray:
 def pool(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     """One row for each text: mean word vector, log of the number of words."""
     out = []
-    for k, (words, row) in enumerate(word_ids(texts)):
-        rows = min(ROWS, len(texts) - k * ROWS)
-        n = np.bincount(row, minlength=rows).astype(np.float32)
-        order = np.argsort(row, kind="stable")
-        words, row = words[order], row[order]
-        total = np.zeros((rows, table.shape[1]), np.float32)
-        for a in range(0, len(words), 200_000):
-            part = row[a : a + 200_000]
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            total[part[starts]] += np.add.reduceat(table[words[a : a + 200_000]], starts, axis=0)
+    for words, row, again in word_ids(texts):
+        n = (np.bincount(row, minlength=len(again)) + again).astype(np.float32)
+        total = again[:, None].astype(np.float32) * table[REPEAT]
+        cuts = np.searchsorted(row, np.arange(0, len(again) + STRIP, STRIP))
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):  # counts of words times vectors
+            some = total[k * STRIP : (k + 1) * STRIP]
+            bag = np.bincount((row[lo:hi] - k * STRIP) * VOCAB + words[lo:hi], minlength=len(some) * VOCAB)
+            some += bag.reshape(len(some), VOCAB).astype(np.float32) @ table
         out.append(np.hstack([total / np.maximum(n, 1)[:, None], np.log1p(n)[:, None]]))
     return np.concatenate(out) if out else np.zeros((0, table.shape[1] + 1), np.float32)
 
