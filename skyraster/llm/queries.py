@@ -71,6 +71,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op4_jaccard_join": jaccard_join.ORACLE,
+    "op5_pii": pii.ORACLE,
     "op6_mix": mixing.ORACLE,
 }
 
