@@ -45,12 +45,12 @@ ROWS = 4
 BANDS = 24
 HASHES = ROWS * BANDS
 STEP = 16
-TOLERANCE = 1e-4
+TOLERANCE = 1e-8
 BLOCK = 512
 BUCKET = 4096
 STRIP = 128
 MAX_BROADCAST = 300_000
-MEMO = 500_000
+MEMO = 200_000
 
 _RNG = np.random.default_rng(20_240_229)
 _MUL = _RNG.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
