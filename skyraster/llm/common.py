@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +42,27 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker may idle beside other work."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 4000) -> Iterator[None]:
+    """Arrow batches of whole texts that stay small on both sides, for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ensure(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; anything else the table holds cannot clash."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import ensure
+from skyraster.llm.common import ensure, release
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # of the original, so A-Z too
 WINDOW = 10
@@ -169,6 +169,7 @@ def _scanner(shared, token: str, window: int, names: list[str]):
                 "spans": pa.array(spans, _SPANS),
             }
             yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in names], names=names)
+        release()
 
     return run
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, shared_dir
+from skyraster.llm.common import cut, ensure, release, shared_dir, small_batches
 from skyraster.llm.graph import components
 
 NGRAM = 5
@@ -237,6 +237,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 h = shingles(texts[k].as_py())
                 sigs.append(signature(h).tobytes() if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(sigs, pa.binary())], names=["doc_id", "node", "sig"])
+        release()
 
     rows = ensure(docs, doc_id="long", text="string").select("doc_id", "text", node_of("text").alias("node"))
     return rows.mapInArrow(run, "doc_id long, node binary, sig binary")
@@ -266,6 +267,7 @@ def candidates(nodes: DataFrame, folder: str) -> DataFrame:
             if found:
                 u, v = _stars(found, group.column("node").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+        release()
 
     keys = ["band", "bi", "bj"]
     rows = rows.select(*keys, "node", "sig").repartition(*keys).sortWithinPartitions(*keys)
@@ -334,6 +336,7 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, folder: str, th
             n = [None] * len(u) + [links[k] for k in linked]
             u, v = u + [node[k] for k in linked], v + [None] * len(linked)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], names=["u", "v", "n"])
+        release()
 
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
     return cut(rows.mapInArrow(run, "u binary, v binary, n long"), f"{folder}/links")
@@ -341,7 +344,8 @@ def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, folder: str, th
 
 def _join(docs: DataFrame, folder: str, threshold: float) -> DataFrame:
     """doc_id, node, worded, class_id, n_links of every row."""
-    signed = cut(sign(docs), f"{folder}/signed")
+    with small_batches(docs.sparkSession):
+        signed = cut(sign(docs), f"{folder}/signed")
     nodes = signed.where("sig is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     nodes = cut(nodes, f"{folder}/nodes")
     groups = components(candidates(nodes, folder), folder, "candidates")

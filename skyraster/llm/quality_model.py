@@ -9,8 +9,8 @@ Random indexing. Every word has a fixed sparse index vector of ``DIMS`` places (
 within ``REACH`` places of it. Sums are whole numbers, so any order gives the same.
 
 A document is the mean of its words' vectors (scaled context, and index) and the log of its
-length. A two-layer network (tanh) is trained by Adam on at most ``MAX_TRAIN`` labelled rows, the
-ones with the smallest hash of doc_id, none of which is held out; a tenth of them only sets the
+length. A two-layer network (tanh) is trained by Adam on about ``MAX_TRAIN`` labelled rows at most,
+chosen by hash of doc_id, none of which is held out; a tenth of them only sets the
 temperature by which the logits are divided.
 
 Cases: null and empty texts are scored from the zero vector; with no labels, or only one value,
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, shared_dir
+from skyraster.llm.common import cut, ensure, release, shared_dir, small_batches
 
 VOCAB = 8192
 DIMS = 32
@@ -126,7 +126,7 @@ def contexts(docs: DataFrame) -> np.ndarray:
         total = np.zeros((VOCAB, DIMS), np.int64)
         for batch in batches:
             total += context_sums(batch.column(0))
-        pa.default_memory_pool().release_unused()
+        release()
         for k, part in enumerate(np.split(total, PARTS)):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "sums"])
 
@@ -216,10 +216,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train(pooled: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Network | Constant:
-    """A model from the labelled, not held-out rows with the smallest hashes."""
+    """A model from labelled rows that are not held out: all of them, or about max_rows by hash."""
     known = ensure(labels, doc_id="long", quality="int").where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = pooled.where(~held_out()).join(known, "doc_id").select("doc_id", "quality", "vector", F.xxhash64(F.lit("train"), "doc_id").alias("h"))
-    rows = rows.orderBy("h", "doc_id", "vector").limit(max_rows).collect()
+    rows = pooled.where(~held_out()).join(known, "doc_id").withColumn("h", F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)))
+    share = max_rows / max(rows.count(), 1)
+    # A cut on the hash, not a sort with a limit, for which every task would send its own max_rows.
+    rows = rows.where(F.col("h") < share * (1 << 30)).select("doc_id", "quality", "vector", "h").collect()
+    rows.sort(key=lambda r: (r.h, r.doc_id, r.vector))
     if len({r.quality for r in rows}) < 2:
         return Constant(float(rows[0].quality) if rows else 0.5)
     x = np.stack([np.frombuffer(r.vector, np.float32) for r in rows]).astype(np.float64)
@@ -232,14 +235,17 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> D
     """Per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession
     docs = ensure(docs, doc_id="long", text="string")
-    table = spark.sparkContext.broadcast(vectors(contexts(docs)))
+    with small_batches(spark):
+        table = spark.sparkContext.broadcast(vectors(contexts(docs)))
 
     def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = pool(batch.column("text"), table.value).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "vector"])
+        release()
 
-    pooled = cut(docs.mapInArrow(vector, "doc_id long, vector binary"), f"{shared_dir(spark)}/pooled")
+    with small_batches(spark):
+        pooled = cut(docs.mapInArrow(vector, "doc_id long, vector binary"), f"{shared_dir(spark)}/pooled")
     model = spark.sparkContext.broadcast(train(pooled, labels, max_rows))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, shared_dir
+from skyraster.llm.common import cut, ensure, shared_dir, small_batches
 from skyraster.llm.tokens import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -103,7 +103,8 @@ def maintain(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    counts = cut(count(docs, path), f"{folder}/counts")
+    with small_batches(spark):
+        counts = cut(count(docs, path), f"{folder}/counts")
     first = counts.groupBy("node").agg(F.min("doc_id").alias("first"))
     copies = counts.join(first, "node").where("not (doc_id <=> first)")
     rollup = Rollup(spark, f"{folder}/totals")

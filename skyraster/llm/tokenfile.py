@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, shared_dir
+from skyraster.llm.common import cut, ensure, release, shared_dir, small_batches
 from skyraster.llm.tokens import encoder
 
 END_ID = 2
@@ -109,7 +109,8 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> int:
     """Tokenize docs and write the file set under ``folder``; returns the number of ids."""
     spark = docs.sparkSession
     kind = encoder(path).kind
-    tokens = cut(tokenize(docs, path, end_id), f"{folder}/tokens")
+    with small_batches(spark):
+        tokens = cut(tokenize(docs, path, end_id), f"{folder}/tokens")
     counted = frequencies(tokens).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     ids = np.array([r.id for r in counted], np.int64)
     total = int(sum(r.n for r in counted))
@@ -145,12 +146,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> int:
                     start, held, size = start + size, [], 0
         if held:
             yield block()
+        release()
 
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_IDS))
     keyed = tokens.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), "tie"]
     ranged = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids").drop("tie")
-    ranged.mapInArrow(packed, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    with small_batches(spark):
+        ranged.mapInArrow(packed, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
     return total
 
 

@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 250_000
+from skyraster.llm.common import release
+
+MEMO = 600_000
 CHUNK_CHARS = 1_000_000
-ROWS = 3_000
+ROWS = 4_000
 STRIP = 500_000
 
 
@@ -46,7 +48,7 @@ class PieceEncoder:
     def rest(self) -> None:
         """Give memory back at the end of a task: the worker may idle beside other work."""
         self.old = {}
-        pa.default_memory_pool().release_unused()
+        release()
 
     def pieces(self, text: str) -> list[str]:
         if not self.lead:
