@@ -14,7 +14,9 @@ on ``TEMPLATE_PAGES`` or more pages while other slots of the host vary.
 
 Inference never brings a host's pages together: each task folds the pages it reads, host by
 host, then partial wrappers are merged by (host, salt) and by host. Pages are matched against
-their host's wrapper by the same alignment.
+their host's wrapper by the same alignment; what a page holds once and its host in a repeated
+group, or grouped otherwise, is matched within the groups, and a block that still finds no
+place is labelled by its own page.
 
 Cases: null, empty and tagless pages (tagless text is one block); a page without url belongs to
 the host ''; unclosed and misnested tags close where the next block begins; repeated rows are
@@ -28,6 +30,7 @@ import json
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -294,8 +297,16 @@ def _mass(w: dict) -> int:
     return 0 if _outside(w["k"], True) else sum(map(_mass, w["c"]))
 
 
-def label(w: dict) -> dict:
-    """Marks the main text nodes ("m": 1) of a wrapper, in place."""
+def _texts(w: dict) -> Iterator[dict]:
+    if w["k"] == "#":
+        yield w
+    else:
+        for c in w["c"]:
+            yield from _texts(c)
+
+
+def label(w: dict, rank: int | None = None) -> dict:
+    """Marks the main text nodes ("m": 1) of a wrapper, in place. ``rank``: of the container, if it is known."""
     found: dict[int, int] = {}
 
     def survey(x: dict) -> None:
@@ -304,16 +315,10 @@ def label(w: dict) -> dict:
             for c in x["c"]:
                 survey(c)
 
-    def texts(x: dict) -> Iterator[dict]:
-        if x["k"] == "#":
-            yield x
-        else:
-            for c in x["c"]:
-                yield from texts(c)
-
-    survey(w)
-    rank = max((r for r, mass in found.items() if r and mass), default=0)
-    varies = any(t["v"] == SLOT for t in texts(w))
+    if rank is None:
+        survey(w)
+        rank = max((r for r, mass in found.items() if r and mass), default=0)
+    varies = any(t["v"] == SLOT for t in _texts(w))
 
     def mark(x: dict, inside: bool) -> None:
         if x["k"] == "#":
@@ -335,30 +340,65 @@ def _holds(w: dict, rank: int) -> bool:
 
 
 def chosen(page: dict, wrapper: dict) -> set[int]:
-    """Numbers of the page's blocks that the wrapper's main text nodes accept."""
+    """Numbers of the page's main blocks: the wrapper's word, and the page's own for blocks that it cannot place."""
     out: set[int] = set()
+    placed: set[int] = set()
 
     def walk(x: dict, y: dict) -> None:
         if x["k"] == "#":
+            placed.update(x["b"])
             if y.get("m"):
                 out.update(x["b"])
             return
-        for i, j in _match(x["c"], y["c"]):
-            walk(x["c"][i], y["c"][j])
+        for a, b in _match(x["c"], y["c"]):
+            walk(a, b)
 
     walk(page, wrapper)
+    if not all(placed.issuperset(leaf["b"]) for leaf in _texts(page)):
+        for leaf in _texts(label(page, wrapper["rank"])):
+            if leaf.get("m"):
+                out.update(k for k in leaf["b"] if k not in placed)
     return out
 
 
-def _match(x: list[dict], y: list[dict]) -> list[tuple[int, int]]:
-    pairs = _common([shape(w) for w in x], [shape(w) for w in y])
-    left = set(range(len(x))) - {i for i, _ in pairs}
-    for i in sorted(left):  # folded further in the wrapper than in the page: its like, or its like within a group
-        name = shape(x[i])
-        for j, w in enumerate(y):
-            if shape(w) == name:
-                pairs.append((i, j))
-                break
+def _members(nodes: list[dict]) -> Iterator[dict]:
+    """The nodes in order, each group followed by what it repeats."""
+    for w in nodes:
+        yield w
+        if w["k"] == "()":
+            yield from _members(w["c"])
+
+
+def _match(x: list[dict], y: list[dict]) -> list[tuple[dict, dict]]:
+    """Pairs of nodes: a longest common subsequence, then for what is left its like, within groups too."""
+    common = dict(_common([shape(w) for w in x], [shape(w) for w in y]))
+    pairs = [(x[i], y[j]) for i, j in common.items()]
+    if len(common) == len(x):
+        return pairs
+    flat = list(_members(y))
+    places: dict[str, list[int]] = {}
+    for k, w in enumerate(flat):
+        places.setdefault(shape(w), []).append(k)
+    where = {id(w): k for k, w in enumerate(flat)}
+    at = -1
+
+    def place(w: dict) -> None:
+        """Folded otherwise in the wrapper than in the page: its next like, or the first; else each part of a group."""
+        nonlocal at
+        found = places.get(shape(w))
+        if found:
+            k = bisect_right(found, at)
+            at = found[k if k < len(found) else 0]
+            pairs.append((w, flat[at]))
+        elif w["k"] == "()":
+            for part in w["c"]:
+                place(part)
+
+    for i, w in enumerate(x):
+        if i in common:
+            at = where[id(y[common[i]])]
+        else:
+            place(w)
     return pairs
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
+import json
 import re
 import zlib
 
@@ -67,6 +70,26 @@ def test_wrappers_generalise():
     assert [html_main.shape(x) for x in squares["c"]] == ["(h2 p)"] and squares["c"][0]["r"] == 1
 
 
+@pytest.mark.parametrize("bodies", [
+    ["<h2>a</h2><p>b</p><h2>c</h2><p>d</p>", "<h2>x</h2><p>y</p>"], ["<h1>t</h1><p>b</p><h2>c</h2><p>d</p><h2>e</h2><p>f</p>", "<h1>u</h1><p>x</p><h2>y</h2><p>z</p>"],
+    ["<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></dl>", "<dl><dt>x</dt><dd>y</dd></dl>"], ["<h2>a</h2><p>b</p><hr><h2>c</h2><p>d</p><hr>", "<h2>v</h2><p>w</p><h2>x</h2><p>y</p>", "<p>z</p>"],
+    ["<h2>a</h2><p>b</p><h2>c</h2><p>d</p><hr>" * 2, "<h2>x</h2><p>y</p>"]])
+def test_runs_held_once_and_repeated(bodies):
+    pages = [f"<nav>menu</nav><article>{b}</article><footer>end</footer>" for b in bodies]
+    for order in itertools.permutations(pages):
+        known = functools.reduce(html_main.merge, [html_main.wrap(*html_main.parse(p)) for p in order])
+        tool = html_main.Extractor()
+        for page, body in zip(pages, bodies, strict=True):
+            assert tool.text("h", page, json.dumps(html_main.label(json.loads(json.dumps(known))))) == " ".join(re.sub("<[^>]*>", " ", body).split())
+
+
+def test_page_without_container_keeps_a_folded_run():
+    many = "<p>Welcome to the site</p>" + "".join(f"<h2>h{k}</h2><p>text {{0}} {k}</p>" for k in range(3))
+    pages = [many.format(k) for k in range(6)] + ["<p>Welcome to the site</p><h2>once</h2><p>told</p>"]
+    known = functools.reduce(html_main.merge, [html_main.wrap(*html_main.parse(p)) for p in pages])
+    assert html_main.Extractor().text("h", pages[-1], json.dumps(html_main.label(known))).endswith("once told")
+
+
 # --- quality classifier -----------------------------------------------------------------------
 
 
