@@ -13,6 +13,10 @@ an entity in ``SUPPORT`` or more different texts and disclose ``THRESHOLD`` or m
 spans of kind ``term`` wherever they stand in a context of that entity; from ``REMOVE`` up the
 sanitised text drops them, below that it generalises them.
 
+That is the report, as its SQL has it. Sanitising takes whole texts for contexts: a term of any
+text that holds the entity is a candidate, and a term that discloses an entity is a span wherever
+it stands outside base spans, in every text, whether or not that text holds a base span.
+
 Everything is DataFrame functions. Positions come from the pieces between matches, so no
 Python sees a text. Candidates are terms near an entity in SUPPORT texts; a second scan counts the
 documents of every term, added up within each task before the shuffle, and candidates meet
@@ -43,6 +47,9 @@ REMOVE = 0.95
 MAX_BROADCAST = 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_CHAR = TERM.removesuffix("+")
+_HIDDEN = "\x02"  # stands for a base span
+_WHOLE = rf"(?<!{_CHAR}|{_HIDDEN}){_CHAR}{{{TERM_CHARS},}}+(?!{_HIDDEN})"  # a run that no base span touches
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -55,7 +62,7 @@ _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def find_all(text: Column, pattern: str, kind: str) -> Column:
+def find_all(text: Column, pattern: str | Column, kind: str) -> Column:
     """All matches with their places (code points), from the matches and the pieces between them."""
     empty = F.expr(f"cast(array() as {_SPANS})")
 
@@ -146,28 +153,69 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (text hash), base spans and contexts of every row."""
+def replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
+    """The text with a mark for each span; of spans that overlap, the first and longest has one."""
+
+    def step(a: Column, s: Column) -> Column:
+        put = F.concat(a["out"], F.substr(text, a["pos"] + 1, F.greatest(s["start"] - a["pos"], F.lit(0))), F.when(s["start"] >= a["pos"], mark(s)).otherwise(F.lit("")))
+        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), put.alias("out"))
+
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    return F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["pos"] + 1, F.greatest(F.length(text) - a["pos"], F.lit(0)))))
+
+
+def _fold(value: Column) -> Column:
+    return F.translate(value, _UPPER, _LOWER)
+
+
+def _words(text: Column, pattern: str = TERM) -> Column:
+    """The different terms of a text, folded."""
+    return F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.length(w) >= TERM_CHARS), _fold))
+
+
+def outside_terms(text: Column, base: Column) -> Column:
+    """The different terms of a whole text that no base span touches."""
+    bare = replaced(F.translate(text, _HIDDEN, " "), base, lambda s: F.lit(_HIDDEN))
+    return F.filter(_words(bare, _WHOLE), lambda w: w.rlike("[^0-9]"))
+
+
+def measure(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, tie (text hash), base spans and contexts of every row; ``whole``: terms of texts with base spans instead."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, contexts(text, b)).alias("near")))
+    more, name = (outside_terms, "terms") if whole else (contexts, "near")
+    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, more(text, b)).alias(name)))
     out = docs.select("doc_id", F.xxhash64("text").alias("tie"), let(both, lambda x: x).alias("_b"))
-    return out.select("doc_id", "tie", "_b.base", F.expr("coalesce(_b.near, array())").alias("near"))
+    return out.select("doc_id", "tie", "_b.base", F.expr(f"coalesce(_b.{name}, array())").alias(name))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it is small enough."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+
+
+def _pairs(measured: DataFrame, folder: str) -> DataFrame:
+    """(tie, entity, term), one row for each text row that holds both, in a context or anywhere."""
+    held = measured.where(F.size("base") > 0)
+    if "near" in measured.columns:
+        pairs = F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))
+        return held.select("tie", F.explode(pairs).alias("p")).select("tie", "p.*")
+    entities = held.select("tie", "terms", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    # Entities of fewer texts have no candidates.
+    known = entities.groupBy("entity").agg(F.count_distinct("tie").alias("n")).where(F.col("n") >= SUPPORT).select("entity")
+    return entities.join(_few(cut(known, f"{folder}/known")), "entity").select("tie", "entity", F.explode("terms").alias("term"))
 
 
 def disclosing(docs: DataFrame, measured: DataFrame, folder: str) -> DataFrame:
     """(entity, term, disclosure) of the terms that reach the threshold."""
     held = measured.where(F.size("base") > 0)
-    pairs = held.select("tie", F.explode(F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))).alias("p"))
-    joint = pairs.select("tie", "p.*").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("tie").alias("texts"))
+    joint = _pairs(measured, folder).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("tie").alias("texts"))
     joint = cut(joint.where(F.col("texts") >= SUPPORT), f"{folder}/joint")
     entities = held.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     wanted = cut(joint.select("term").distinct(), f"{folder}/terms")
     if wanted.isEmpty():
         return joint.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_distinct(F.transform(
-        F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= TERM_CHARS), lambda w: F.translate(w, _UPPER, _LOWER)))
-    seen = docs.select(F.explode(words).alias("term"))
+    seen = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     # An inner join: a semi join would move below the sums and meet every word.
     n_term = n_term.join(wanted, "term")
@@ -179,17 +227,38 @@ def disclosing(docs: DataFrame, measured: DataFrame, folder: str) -> DataFrame:
     return scored.select("entity", "term", F.round(score, 6).alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
 
 
-def detect(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id, tie, spans (kind, start, end, disclosure) of every row, base spans first."""
+def _told_near(measured: DataFrame, found: DataFrame) -> DataFrame:
+    """(d, t, told): the disclosing terms within contexts of their entity."""
+    near = measured.where(F.size("near") > 0).select("doc_id", "tie", F.explode("near").alias("n")).select("doc_id", "tie", "n.*")
+    told = near.join(_few(found), ["entity", "term"])
+    told = told.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    return told.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("told"))
+
+
+def _told_anywhere(docs: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
+    """(d, t, told): the disclosing terms of every text, wherever they stand outside base spans."""
+    terms = found.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text").distinct()
+    held = rows.select("d", "t", F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term")).join(_few(terms), "term")
+    held = held.groupBy("d", "t").agg(F.collect_list(F.struct("term", "disclosure")).alias("said"))
+    rows = rows.join(held.select(F.col("d").alias("d2"), F.col("t").alias("t2"), "said"), F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")))
+    base = measured.select(F.col("doc_id").alias("d3"), F.col("tie").alias("t3"), "base").distinct()
+    rows = rows.join(base, F.col("d").eqNullSafe(F.col("d3")) & (F.col("t") == F.col("t3")))
+    # A text's own terms, which are letters and digits only, as whole runs.
+    pattern = F.concat(F.lit(f"(?<!{_CHAR})(?i:"), F.array_join(F.col("said.term"), "|"), F.lit(f")(?!{_CHAR})"))
+    free = F.filter(find_all(F.col("text"), pattern, "term"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    told = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+        F.filter("said", lambda x: x["term"] == _fold(s["value"])).getItem(0)["disclosure"].alias("disclosure")))
+    return rows.select("d", "t", told.alias("told"))
+
+
+def detect(docs: DataFrame, folder: str | None = None, whole: bool = False) -> DataFrame:
+    """doc_id, tie, spans (kind, start, end, disclosure) of every row, base spans first. ``whole``: whole texts are contexts."""
     docs = ensure(docs, doc_id="long", text="string")
     folder = folder or shared_dir(docs.sparkSession)
-    measured = cut(measure(docs), f"{folder}/measured")
+    measured = cut(measure(docs, whole), f"{folder}/measured")
     found = cut(disclosing(docs, measured, folder), f"{folder}/disclosing")
-    near = measured.where(F.size("near") > 0).select("doc_id", "tie", F.explode("near").alias("n")).select("doc_id", "tie", "n.*")
-    small = found.count() <= MAX_BROADCAST
-    told = near.join(F.broadcast(found) if small else found, ["entity", "term"])
-    told = told.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    told = told.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("told"))
+    told = _told_anywhere(docs, measured, found) if whole else _told_near(measured, found)
     out = measured.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tie").eqNullSafe(F.col("t")), "left")
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("disclosure")))
     more = F.transform(F.expr("coalesce(told, array())"), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["disclosure"].alias("disclosure")))
@@ -213,21 +282,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, spans and the text with spans replaced by [KIND], or dropped (terms from REMOVE up)."""
+    """doc_id, spans and the text with spans replaced by [KIND], or dropped (terms from REMOVE up); whole texts are contexts."""
     docs = ensure(docs, doc_id="long", text="string")
-    found = detect(docs).select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "spans").distinct()
+    found = detect(docs, whole=True).select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "spans").distinct()
     both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.xxhash64("text").eqNullSafe(F.col("t")))
-    text = F.col("text")
 
-    def step(a: Column, s: Column) -> Column:
-        mark = F.when(F.coalesce(s["disclosure"], F.lit(0.0)) >= REMOVE, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        put = F.concat(a["out"], F.substr(text, a["pos"] + 1, F.greatest(s["start"] - a["pos"], F.lit(0))), F.when(s["start"] >= a["pos"], mark).otherwise(F.lit("")))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), put.alias("out"))
+    def mark(s: Column) -> Column:
+        return F.when(F.coalesce(s["disclosure"], F.lit(0.0)) >= REMOVE, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    clean = F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["pos"] + 1, F.greatest(F.length(text) - a["pos"], F.lit(0)))))
-    return both.select("doc_id", "text", "spans", clean.alias("clean_text"))
+    return both.select("doc_id", "text", "spans", replaced(F.col("text"), F.col("spans"), mark).alias("clean_text"))
 
 
 def _raw(kind: str, rank: int, pattern: str) -> str:

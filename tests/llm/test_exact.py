@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import re
 import zlib
@@ -260,6 +261,21 @@ def test_disclosing_terms(spark, nothing):
     assert pii.report(nothing).count() == 0
 
 
+def test_sanitise_over_whole_texts(spark, documents, nothing):
+    gap = "and so on " * 30
+    rows = [(k, f"Dear ZanzibarProject, {gap}{k} write to boss@corp.example") for k in range(4)]
+    rows += [(10, "zanzibarproject again, without address; zanzibarprojects x_ZANZIBARPROJECT"), (11, "at boss@zanzibarproject.example"), (None, "Zanzibarproject"), (None, None)]
+    rows += [(100 + k, f"dear all, the weather is fine, and write {k} {gap}") for k in range(60)]
+    clean = collections.defaultdict(list)
+    for r in pii.sanitise(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect():
+        clean[r.doc_id].append(r.clean_text)
+    assert clean[0] == [f"Dear [TERM], {gap}0 write to [EMAIL]"] * 2
+    assert clean[10] == ["[TERM] again, without address; zanzibarprojects x_[TERM]"] and clean[11] == ["at [EMAIL]"]
+    assert sorted(clean[None], key=str) == [None, "[TERM]"] and all(clean[100 + k] == [rows[8 + k][1]] for k in range(60))
+    short = documents.where("text is null or length(text) < 50000")
+    assert pii.sanitise(short).count() == short.count() and pii.sanitise(nothing).count() == 0
+
+
 # --- mixing -----------------------------------------------------------------------------------
 
 
