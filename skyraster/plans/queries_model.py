@@ -12,7 +12,6 @@ from skyraster.operators import cloud, control, grid, knn, ml, ortho, terrain, t
 from skyraster.plans.adapters import load
 from skyraster.plans.catalog import query
 from skyraster.plans.tables import cut
-from skyraster.schema import RasterMeta
 
 _SIM = control.similarity_from([2, 0, -1, 0, 1, 0, 0, 0, 0, 1, 500000, 4000000, 50])
 
@@ -108,7 +107,7 @@ def true_ortho(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     photos = cams.select("site").mapInPandas(paint, "site string, h int, w int, data binary")
     gains = {r.site: np.ones(3) for r in cams.select("site").collect()}
-    return ortho.true_ortho(surface, meta, RasterMeta(meta.minx, meta.maxy, 5.0, 40, 40), cams, photos, sim, gains)
+    return ortho.true_ortho(surface, meta, grid.plan(points, 5.0), cams, photos, sim, gains)
 
 
 @query()

@@ -6,8 +6,10 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from skyraster.operators import grid
 from skyraster.plans import adapters, catalog
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +54,9 @@ def test_imports_without_the_optional_parts(tmp_path):
     subprocess.run(["rm", "-rf", f"{tmp_path}/skyraster/llm"], check=True)
     code = "import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op1_') for k in e.queries()); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_true_ortho_covers_the_surface(spark):
+    meta = grid.plan(adapters.load(spark, SF, "points"), 5.0)
+    got = catalog.QUERIES["true_ortho"](spark, SF)
+    assert got.agg(F.count(F.lit(1)), F.max("row") + 1, F.max("col") + 1).first() == (meta.nx * meta.ny, meta.ny, meta.nx)
