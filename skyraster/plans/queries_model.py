@@ -136,7 +136,7 @@ def triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ties = control.tie_sample(load(spark, sf_dir, "tie_points").withColumnRenamed("pt_id", "pid"), 60).collect()
+    ties = control.tie_sample(load(spark, sf_dir, "tie_points").withColumnRenamed("pt_id", "pid")).collect()
     rng = np.random.default_rng(0)
     pts = np.array([(r.x / 10, r.y / 10, r.z / 10) for r in ties])
     rvecs, tvecs = rng.normal(0, 0.05, (5, 3)), np.column_stack([rng.normal(0, 2, (5, 2)), np.full(5, 60.0)])
@@ -161,7 +161,7 @@ def forest_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forest that learns the rule-based classes of the points from their features."""
     points = load(spark, sf_dir, "tie_points").withColumns({c: F.pmod(F.xxhash64("pt_id", F.lit(c)), F.lit(256)).cast("int") for c in "rgb"})
     data = cut(cloud.features(points).withColumn("cls", F.when(F.col("hag") > 20, 6).when(F.col("greenness") > 0.1, 5).otherwise(2)), "forest")
-    return ml.train(data, trees=20, depth=6).confusion
+    return ml.train(data).confusion
 
 
 @query("""SELECT stage, epoch_ms(time_bucket(INTERVAL 1 HOUR, ts)::timestamp) AS hour_ms, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type AS stage, ts, value FROM events) GROUP BY 1, 2""")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from skyraster.operators import grid
+from skyraster.operators import grid, ml
 from skyraster.plans import adapters, catalog
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +60,16 @@ def test_true_ortho_covers_the_surface(spark):
     meta = grid.plan(adapters.load(spark, SF, "points"), 5.0)
     got = catalog.QUERIES["true_ortho"](spark, SF)
     assert got.agg(F.count(F.lit(1)), F.max("row") + 1, F.max("col") + 1).first() == (meta.nx * meta.ny, meta.ny, meta.nx)
+
+
+def test_bundle_adjusts_all_tie_points(spark):
+    n = adapters.load(spark, "/root/testdata/sf0.01", "tie_points").count()
+    got = catalog.QUERIES["bundle"](spark, "/root/testdata/sf0.01").first()
+    assert n > 60 and got.n_obs == 5 * n and got.rmse_after < got.rmse_before
+
+
+def test_forest_is_trained_with_the_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ml, "train", lambda data, **settings: seen.append(settings) or ml.Trained(None, 0.0, data, {}))
+    catalog.QUERIES["forest_classes"](spark, SF)
+    assert seen == [{}]
