@@ -8,7 +8,8 @@ pattern holds. Matches are word positions, which map to character offsets of the
 
 Cases: null and word-less texts have no words and no hits; word-less items have no windows;
 items with equal texts all count; repeated document rows are scored alike, row by row; an
-empty table gives no rows (documents) or no hits (benchmark). Extra columns are ignored.
+empty table gives no rows (documents) or no hits (benchmark). Extra columns are ignored. Items
+without an id hit like others; together they are one item in n_items and none in the digest.
 
 The automaton's size is bounded: items are taken in blocks of at most ``max_block_words``
 words, each block is one automaton and one scan, and blocks add to the same hit positions.
@@ -58,14 +59,14 @@ class Automaton:
     than every pattern are passed over.
     """
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         import ahocorasick
 
         lists = [(item, words(text)) for item, text in items]
         known = sorted({w for _, found in lists for w in found})
         base = math.isqrt(len(known)) + 1
         self.codes = {w: _character(k // base) + _character(base + k % base) for k, w in enumerate(known)}
-        self.ids = sorted({i for i, _ in items})
+        self.ids = sorted({i for i, _ in items}, key=_null_last)
         rank = {x: k for k, x in enumerate(self.ids)}
         owners: dict[str, set[int]] = {}
         for item, found in lists:
@@ -119,7 +120,11 @@ def offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[str, str]]]:
+def _null_last(item: str | None) -> tuple[bool, str]:
+    return item is None, item or ""
+
+
+def blocks(items: DataFrame, max_words: int) -> Iterator[list[tuple[str | None, str]]]:
     """Benchmark rows in blocks of bounded size; one block at a time is on the driver."""
     block, size = [], 0
     for row in items.toLocalIterator():
@@ -160,7 +165,7 @@ def _scanner(shared, token: str, window: int, names: list[str]):
                     who |= set(had[k].as_py())
                 n_words.append(len(found))
                 ranges.append([{"a": a, "b": b} for a, b in hit])
-                items.append(sorted(who))
+                items.append(sorted(who, key=_null_last))
                 spans.append([{"start": a, "end": b} for a, b in (offsets(raw.decode(), hit) if hit else [])])
             new = {
                 "n_words": pa.array(n_words, pa.int64()),
@@ -181,12 +186,12 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = W
     ``docs`` needs a column ``text``; ``keep`` must not hold the names that are added.
     """
     spark = docs.sparkSession
-    items = ensure(benchmark, item_id="string", text="string").where("item_id is not null and text is not null")
+    items = ensure(benchmark, item_id="string", text="string").where("text is not null")
     out = docs.select(
         *[F.col(f"`{c}`") for c in dict.fromkeys([*keep, "text"])],
         F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<a:long,b:long>>)").alias("ranges"),
-        F.expr("cast(array() as array<string>)").alias("items"),
+        F.expr("filter(array(cast(null as string)), x -> false)").alias("items"),
         F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"),
     )
     ahead = blocks(items, max_block_words)

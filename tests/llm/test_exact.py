@@ -59,6 +59,17 @@ def test_windows_by_brute_force(spark, documents):
     assert sum(r.contaminated for r in got) == 1
 
 
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "a leaked line here"), (2, "a leaked line and the other one"), (3, "clean"), (4, "named thing, leaked line")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "leaked line"), (None, "other one"), ("7", "named thing")], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(docs, bench).collect()}
+    none, seven = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"7").hexdigest()
+    assert got == {1: (2, 1, none, True), 2: (4, 1, none, True), 3: (0, 0, none, False), 4: (4, 2, seven, True)}
+    parts = decontaminate.mark(docs, bench, ["doc_id"], max_block_words=2).select("doc_id", "items").collect()
+    assert {r.doc_id: r["items"] for r in parts} == {1: [None], 2: [None], 3: [], 4: ["7", None]}
+    assert [r.doc_id for r in decontaminate.remove(docs, bench).collect()] == [3]
+
+
 def test_blocks_give_the_same(spark, documents):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     docs = documents.select("doc_id", "text")
