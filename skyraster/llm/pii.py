@@ -1,32 +1,32 @@
 """Personal data: pattern spans, and terms that give away what the patterns protect.
 
 Base spans are leftmost non-overlapping matches of each kind (email, ip, card, phone) that
-pass the kind's test. Around each base span lies a context of ``REACH`` characters on either
-side; a context term is a run of letters and digits of ``TERM_CHARS`` or more, folded A-Z,
-whole inside the context and outside every base span. Over the whole corpus of N documents
+pass the kind's test. A term is a run of letters and digits of ``TERM_CHARS`` or more, folded A-Z,
+not all digits, that no base span overlaps or touches. Terms and entities meet in whole texts: over the
+corpus of N documents
 
     disclosure(term, entity) = log2(N * n(term, entity) / (n(term) * n(entity))) / log2(N / n(entity))
 
 is the pointwise mutual information as a share of the entity's information content: 1 means
-that the term never appears without that entity beside it. Terms that share contexts with
-an entity in ``SUPPORT`` or more different texts and disclose ``THRESHOLD`` or more of it are
-spans of kind ``term`` wherever they stand in a context of that entity; from ``REMOVE`` up the
-sanitised text drops them, below that it generalises them.
-
-That is the report, as its SQL has it. Sanitising takes whole texts for contexts: a term of any
-text that holds the entity is a candidate, and a term that discloses an entity is a span wherever
-it stands outside base spans, in every text, whether or not that text holds a base span.
-
-Everything is DataFrame functions. Positions come from the pieces between matches, so no
-Python sees a text. Candidates are terms near an entity in SUPPORT texts; a second scan counts the
-documents of every term, added up within each task before the shuffle, and candidates meet
-counts, not words. Terms that disclose are broadcast only up to ``MAX_BROADCAST`` rows.
+that the term never appears without that entity. A term that shares ``SUPPORT`` or more different
+texts with an entity and discloses ``THRESHOLD`` or more of it is a span of kind ``term`` wherever
+it stands, in every text, with or without a base span beside it. From ``REMOVE`` up the
+sanitised text drops it, below that it generalises it to [TERM]; base spans become [KIND].
+
+Everything is DataFrame functions; no Python sees a text. Positions are prefix sums over the pieces
+between matches, worked out in blocks, so that n matches in one text take about n ** (4 / 3)
+steps, and no step copies more than a block. Texts with base spans keep their terms once for each
+different text. Of entities that the same texts hold, one stands for all, and a term is paired
+with an entity only if its own count allows the threshold. Counts of terms are added up within each
+task before the shuffle. Tables are broadcast only up to ``MAX_BROADCAST`` rows.
 
 Patterns are written so that no text costs more than linear time: a local part or a digit run
 is tried from its first character only, and repeats never give back what they took.
 
-Cases: null and empty texts hold nothing; equal rows get equal spans; a table without base
-spans has no terms; extra columns are ignored.
+Cases: null and empty texts hold nothing (and stay null and empty); equal rows get equal spans; a table without base
+spans has no terms; where spans of several kinds overlap, each character goes to the first kind in
+the order of KINDS, and neighbouring characters of one kind share a mark; the control characters
+that stand for kinds here (U+0002 to U+0005) are spaces in sanitised texts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ from pyspark.sql import functions as F
 from skyraster.llm.common import cut, ensure, shared_dir
 from skyraster.llm.quality_rules import let
 
-REACH = 64
 TERM_CHARS = 4
 SUPPORT = 3
 THRESHOLD = 0.8
@@ -47,9 +46,9 @@ REMOVE = 0.95
 MAX_BROADCAST = 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_CHAR = TERM.removesuffix("+")
-_HIDDEN = "\x02"  # stands for a base span
-_WHOLE = rf"(?<!{_CHAR}|{_HIDDEN}){_CHAR}{{{TERM_CHARS},}}+(?!{_HIDDEN})"  # a run that no base span touches
+_FILL = dict(zip(KINDS, "\x02\x03\x04\x05", strict=False))  # stand for characters of base spans
+_MASKED = r"[^\x00\x01\x06-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a term's characters, or those
+_RUN = _MASKED + f"{{{TERM_CHARS},}}+"
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -62,20 +61,39 @@ _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def find_all(text: Column, pattern: str | Column, kind: str) -> Column:
+def running(sizes: Column, depth: int = 2) -> Column:
+    """Sums of what stands before each element of an int array, in nested blocks."""
+    empty = F.expr("cast(array() as array<int>)")
+    if depth == 0:
+        zero = F.struct(F.lit(0).alias("sum"), empty.alias("out"))
+        return F.aggregate(sizes, zero, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out")), lambda a: a["out"])
+
+    def over(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return let(running(sums, 0), lambda before: F.flatten(F.transform(blocks, lambda b, i: F.transform(running(b, depth - 1), lambda x: x + F.get(before, i)))))
+
+    def cut_up(all_: Column) -> Column:
+        width = F.ceil(F.pow(F.size(all_).cast("double"), depth / (depth + 1))).cast("int")
+        blocks = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / w).cast("int")), lambda k: F.slice(all_, k * w + 1, w)))
+        return F.when(F.size(all_) == 0, empty).otherwise(let(blocks, over))
+
+    return let(sizes, cut_up)
+
+
+def find_all(text: Column, pattern: str, kind: str) -> Column:
     """All matches with their places (code points), from the matches and the pieces between them."""
     empty = F.expr(f"cast(array() as {_SPANS})")
 
     def walk(found: Column) -> Column:
         def place(gaps: Column) -> Column:
-            def step(a: Column, i: Column) -> Column:
-                start = a["pos"] + F.length(F.get(gaps, i))
-                end = start + F.length(F.get(found, i))
-                one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))
-                return F.struct(end.alias("pos"), F.concat(a["out"], F.array(one)).alias("out"))
+            def spans(before: Column) -> Column:
+                def one(v: Column, i: Column) -> Column:
+                    return let(F.get(before, i) + F.length(F.get(gaps, i)), lambda start: F.struct(
+                        F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value")))
+
+                return F.transform(found, one)
 
-            zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda a: a["out"])
+            return let(running(F.transform(found, lambda v, i: F.length(F.get(gaps, i)) + F.length(v))), spans)
 
         return F.when(F.size(found) == 0, empty).otherwise(let(F.split(text, pattern, -1), place))
 
@@ -116,36 +134,37 @@ def _passes(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda span: test(span["value"])
 
 
+def _gate(text: Column, kind: str) -> Column:
+    return text.contains(GATES[kind]) if kind == "email" else text.rlike(GATES[kind])
+
+
 def base_spans(text: Column) -> Column:
     """Array of (kind, start, end, value) in the order of KINDS, then start."""
     parts = []
     for kind, pattern in PATTERNS.items():
-        gate = text.contains(GATES[kind]) if kind == "email" else text.rlike(GATES[kind])
         kept = F.filter(find_all(text, pattern, kind), _passes(TESTS[kind]))
-        parts.append(F.when(gate, kept).otherwise(F.expr(f"cast(array() as {_SPANS})")))
+        parts.append(F.when(_gate(text, kind), kept).otherwise(F.expr(f"cast(array() as {_SPANS})")))
     return F.concat(*parts)
 
 
-def contexts(text: Column, base: Column) -> Column:
-    """Array of (entity, term, start, end) around the base spans."""
+def masked(text: Column) -> Column:
+    """The text with every character of a base span replaced by its kind's filler; as long as the text."""
+
+    def one(kind: str) -> Column:
+        def fill(found: Column) -> Column:
+            def put(gaps: Column) -> Column:
+                pieces = F.transform(found, lambda v, i: F.concat(F.get(gaps, i), F.when(TESTS[kind](v), F.repeat(F.lit(_FILL[kind]), F.length(v))).otherwise(v)))
+                return F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(found)))
+
+            return F.when(F.size(found) == 0, text).otherwise(let(F.split(text, PATTERNS[kind], -1), put))
 
-    def terms(s: Column, side: Column, offset: Column, more: Column) -> Column:
-        inside = F.filter(find_all(side, TERM, "term"), lambda t: (
-            (F.length(t["value"]) >= TERM_CHARS) & t["value"].rlike("[^0-9]")
-            & ~((t["start"] == 0) & (offset > 0) & (offset != s["end"]))
-            & ~((t["end"] == REACH) & more & (offset == s["end"]))
-            & ~F.exists(base, lambda b: (b["start"] < t["end"] + offset) & (b["end"] > t["start"] + offset))))
-        return F.transform(inside, lambda t: F.struct(
-            entity(s).alias("entity"), F.translate(t["value"], _UPPER, _LOWER).alias("term"),
-            (t["start"] + offset).alias("start"), (t["end"] + offset).alias("end")))
+        return F.when(_gate(text, kind), let(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), fill)).otherwise(text)
 
-    def around(s: Column) -> Column:
-        at = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substr(text, at + 1, s["start"] - at)
-        right = F.substr(text, s["end"] + 1, F.lit(REACH))
-        return F.concat(terms(s, left, at, F.lit(False)), terms(s, right, s["end"], F.length(text) > s["end"] + REACH))
+    def over(a: Column, b: Column) -> Column:
+        return F.array_join(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x.between(_FILL["email"], _FILL["phone"]), x).otherwise(y)), "")
 
-    return F.flatten(F.transform(base, around))
+    changed = F.filter(F.array(*[one(k) for k in PATTERNS]), lambda m: m != text)
+    return let(changed, lambda ms: F.when(F.size(ms) == 0, text).otherwise(F.aggregate(F.slice(ms, 2, 4), F.get(ms, F.lit(0)), over)))
 
 
 def entity(span: Column) -> Column:
@@ -153,40 +172,40 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def replaced(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
-    """The text with a mark for each span; of spans that overlap, the first and longest has one."""
-
-    def step(a: Column, s: Column) -> Column:
-        put = F.concat(a["out"], F.substr(text, a["pos"] + 1, F.greatest(s["start"] - a["pos"], F.lit(0))), F.when(s["start"] >= a["pos"], mark(s)).otherwise(F.lit("")))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), put.alias("out"))
-
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(ordered, zero, step, lambda a: F.concat(a["out"], F.substr(text, a["pos"] + 1, F.greatest(F.length(text) - a["pos"], F.lit(0)))))
+def _text(name: str = "text") -> Column:
+    """The text, with no filler of its own."""
+    return F.translate(F.coalesce(F.col(name), F.lit("")), "".join(_FILL.values()), "    ")
 
 
 def _fold(value: Column) -> Column:
     return F.translate(value, _UPPER, _LOWER)
 
 
-def _words(text: Column, pattern: str = TERM) -> Column:
-    """The different terms of a text, folded."""
-    return F.array_distinct(F.transform(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda w: F.length(w) >= TERM_CHARS), _fold))
+def _words(text: Column) -> Column:
+    """The different runs of a text, folded."""
+    return F.array_distinct(F.regexp_extract_all(_fold(text), F.lit(TERM.removesuffix("+") + f"{{{TERM_CHARS},}}+"), F.lit(0)))
+
+
+def _free(run: Column) -> Column:
+    """Whether a run of a masked text is a term: no base span in it, and not all digits."""
+    return ~run.rlike("[\x02-\x05]") & run.rlike("[^0-9]")
 
 
-def outside_terms(text: Column, base: Column) -> Column:
+def outside_terms(text: Column) -> Column:
     """The different terms of a whole text that no base span touches."""
-    bare = replaced(F.translate(text, _HIDDEN, " "), base, lambda s: F.lit(_HIDDEN))
-    return F.filter(_words(bare, _WHOLE), lambda w: w.rlike("[^0-9]"))
+    return F.filter(F.array_distinct(F.regexp_extract_all(_fold(masked(text)), F.lit(_RUN), F.lit(0))), _free)
 
 
-def measure(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, tie (text hash), base spans and contexts of every row; ``whole``: terms of texts with base spans instead."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    more, name = (outside_terms, "terms") if whole else (contexts, "near")
-    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, more(text, b)).alias(name)))
-    out = docs.select("doc_id", F.xxhash64("text").alias("tie"), let(both, lambda x: x).alias("_b"))
-    return out.select("doc_id", "tie", "_b.base", F.expr(f"coalesce(_b.{name}, array())").alias(name))
+def _node(name: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(name), F.lit(""))))
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, node (text hash), base spans, and the terms of texts that have some, of every row."""
+    text = _text()
+    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, outside_terms(text)).alias("terms")))
+    out = docs.select("doc_id", _node().alias("node"), let(both, lambda x: x).alias("_b"))
+    return out.select("doc_id", "node", "_b.base", F.expr("coalesce(_b.terms, array())").alias("terms"))
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -194,75 +213,91 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
 
 
-def _pairs(measured: DataFrame, folder: str) -> DataFrame:
-    """(tie, entity, term), one row for each text row that holds both, in a context or anywhere."""
-    held = measured.where(F.size("base") > 0)
-    if "near" in measured.columns:
-        pairs = F.array_distinct(F.transform("near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))))
-        return held.select("tie", F.explode(pairs).alias("p")).select("tie", "p.*")
-    entities = held.select("tie", "terms", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
-    # Entities of fewer texts have no candidates.
-    known = entities.groupBy("entity").agg(F.count_distinct("tie").alias("n")).where(F.col("n") >= SUPPORT).select("entity")
-    return entities.join(_few(cut(known, f"{folder}/known")), "entity").select("tie", "entity", F.explode("terms").alias("term"))
+def _entities(texts: DataFrame) -> DataFrame:
+    """(entity, n_entity): of entities in the same texts the least, with SUPPORT texts or more."""
+    held = texts.select("node", "copies", F.explode("entities").alias("entity"))
+    marks = [F.pmod(F.xxhash64("node", F.lit(k)), F.lit(1 << 31)) for k in range(2)]
+    each = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                      F.sum(marks[0]).alias("y"), F.sum(marks[1]).alias("z"))
+    return each.where(F.col("texts") >= SUPPORT).groupBy("n_entity", "texts", "x", "y", "z").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
 
 
 def disclosing(docs: DataFrame, measured: DataFrame, folder: str) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reach the threshold."""
-    held = measured.where(F.size("base") > 0)
-    joint = _pairs(measured, folder).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.count_distinct("tie").alias("texts"))
-    joint = cut(joint.where(F.col("texts") >= SUPPORT), f"{folder}/joint")
-    entities = held.select(F.explode(F.array_distinct(F.transform("base", entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = cut(joint.select("term").distinct(), f"{folder}/terms")
+    """(term, disclosure) of the terms that reach the threshold for an entity, by the entity they disclose most of."""
+    held = measured.where(F.size("base") > 0).select("node", F.array_distinct(F.transform("base", entity)).alias("entities"), "terms")
+    texts = cut(held.groupBy("node", "entities", "terms").agg(F.count(F.lit(1)).alias("copies")), f"{folder}/texts")
+    known = _few(cut(_entities(texts), f"{folder}/entities"))
+    near = texts.select("node", "copies", "terms", F.explode("entities").alias("entity")).join(known, "entity")
+    near = cut(near, f"{folder}/near")
+    wanted = near.select("node", "terms").dropDuplicates(["node"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    wanted = cut(wanted.where(F.col("texts") >= SUPPORT).select("term"), f"{folder}/terms")
     if wanted.isEmpty():
-        return joint.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    seen = docs.select(F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
+        return wanted.select("term", F.lit(0.0).alias("disclosure"))
+    seen = docs.select(F.explode(_words(_text())).alias("term"))
     n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     # An inner join: a semi join would move below the sums and meet every word.
-    n_term = n_term.join(wanted, "term")
-    total = measured.agg(F.count(F.lit(1)).alias("n_all"))
-    scored = joint.join(n_term, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # total is one row
-    n = {c: F.col(c).cast("double") for c in ("n_all", "n_both", "n_term", "n_entity")}
-    content = F.log(n["n_all"] / n["n_entity"])
-    score = F.when(content > 0, F.log(n["n_all"] * n["n_both"] / (n["n_term"] * n["n_entity"])) / content).otherwise(0.0)
-    return scored.select("entity", "term", F.round(score, 6).alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
-
-
-def _told_near(measured: DataFrame, found: DataFrame) -> DataFrame:
-    """(d, t, told): the disclosing terms within contexts of their entity."""
-    near = measured.where(F.size("near") > 0).select("doc_id", "tie", F.explode("near").alias("n")).select("doc_id", "tie", "n.*")
-    told = near.join(_few(found), ["entity", "term"])
-    told = told.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return told.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("told"))
-
-
-def _told_anywhere(docs: DataFrame, measured: DataFrame, found: DataFrame) -> DataFrame:
-    """(d, t, told): the disclosing terms of every text, wherever they stand outside base spans."""
-    terms = found.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text").distinct()
-    held = rows.select("d", "t", F.explode(_words(F.coalesce(F.col("text"), F.lit("")))).alias("term")).join(_few(terms), "term")
-    held = held.groupBy("d", "t").agg(F.collect_list(F.struct("term", "disclosure")).alias("said"))
-    rows = rows.join(held.select(F.col("d").alias("d2"), F.col("t").alias("t2"), "said"), F.col("d").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")))
-    base = measured.select(F.col("doc_id").alias("d3"), F.col("tie").alias("t3"), "base").distinct()
-    rows = rows.join(base, F.col("d").eqNullSafe(F.col("d3")) & (F.col("t") == F.col("t3")))
-    # A text's own terms, which are letters and digits only, as whole runs.
-    pattern = F.concat(F.lit(f"(?<!{_CHAR})(?i:"), F.array_join(F.col("said.term"), "|"), F.lit(f")(?!{_CHAR})"))
-    free = F.filter(find_all(F.col("text"), pattern, "term"), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
-    told = F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
-        F.filter("said", lambda x: x["term"] == _fold(s["value"])).getItem(0)["disclosure"].alias("disclosure")))
-    return rows.select("d", "t", told.alias("told"))
-
-
-def detect(docs: DataFrame, folder: str | None = None, whole: bool = False) -> DataFrame:
-    """doc_id, tie, spans (kind, start, end, disclosure) of every row, base spans first. ``whole``: whole texts are contexts."""
+    n_term = _few(cut(n_term.join(wanted, "term"), f"{folder}/counts"))
+    total = measured.count()
+    n = {c: F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity")}
+    content = F.log(total / n["n_entity"])
+    # n_both is n_entity at most; the threshold is met only up to this count of the term.
+    allowed = n["n_term"] <= n["n_entity"] * F.pow(total / n["n_entity"], F.lit(1 - THRESHOLD + 1e-4)) + 1e-6
+    pairs = near.select("copies", "entity", "n_entity", F.explode("terms").alias("term")).join(n_term, "term").where(allowed)
+    joint = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= SUPPORT)
+    score = F.when(content > 0, F.log(total * n["n_both"] / (n["n_term"] * n["n_entity"])) / content).otherwise(0.0)
+    scored = joint.select("term", F.round(score, 6).alias("disclosure")).where(F.col("disclosure") >= THRESHOLD)
+    return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def hits(docs: DataFrame, terms: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, node, hits): where each text that holds disclosing terms has them: run number, start, end, disclosure."""
+    terms = _few(terms)
+    rows = docs.select("doc_id", _node().alias("node"), _text().alias("text"))
+    held = rows.select("node", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term").select("node").distinct()
+    held = _few(cut(held, f"{folder}/held"))
+    runs = rows.join(held, "node", "left_semi").select("doc_id", "node", F.posexplode(find_all(masked(F.col("text")), _RUN, "term")).alias("at", "run"))
+    runs = runs.where(_free(F.col("run.value"))).select("doc_id", "node", "at", "run.start", "run.end", _fold(F.col("run.value")).alias("term"))
+    found = runs.join(terms, "term").groupBy("doc_id", "node", "at", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    return found.groupBy("doc_id", "node").agg(F.sort_array(F.collect_list(F.struct("at", "start", "end", "disclosure"))).alias("hits"))
+
+
+def detect(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """doc_id, node, base (kind, start, end, value) and hits (terms: at, start, end, disclosure) of every row."""
     docs = ensure(docs, doc_id="long", text="string")
     folder = folder or shared_dir(docs.sparkSession)
-    measured = cut(measure(docs, whole), f"{folder}/measured")
-    found = cut(disclosing(docs, measured, folder), f"{folder}/disclosing")
-    told = _told_anywhere(docs, measured, found) if whole else _told_near(measured, found)
-    out = measured.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("tie").eqNullSafe(F.col("t")), "left")
-    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("double").alias("disclosure")))
-    more = F.transform(F.expr("coalesce(told, array())"), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["disclosure"].alias("disclosure")))
-    return out.select("doc_id", "tie", F.concat(base, more).alias("spans"))
+    measured = cut(measure(docs), f"{folder}/measured")
+    terms = cut(disclosing(docs, measured, folder), f"{folder}/disclosing")
+    out = measured.select("doc_id", "node", "base")
+    if terms.isEmpty():
+        return out.withColumn("hits", F.expr("cast(array() as array<struct<at:int,start:int,end:int,disclosure:double>>)"))
+    told = cut(hits(docs, terms, folder), f"{folder}/hits").select(F.col("doc_id").alias("d"), F.col("node").alias("t"), "hits")
+    out = out.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node") == F.col("t")), "left")
+    return out.select("doc_id", "node", "base", F.expr("coalesce(hits, array())").alias("hits"))
+
+
+def cleaned(text: Column, told: Column) -> Column:
+    """The text without what its base spans and hits cover."""
+
+    def marked(pieces: Column) -> Column:
+        def part(h: Column, k: Column) -> Column:
+            since = F.coalesce(F.get(told, k - 1)["at"] + 1, F.lit(0))  # pieces are gap, run, gap, run ...
+            before = F.array_join(F.slice(pieces, 2 * since + 1, 2 * (h["at"] - since) + 1), "")
+            return F.concat(before, F.when(h["disclosure"] >= REMOVE, "").otherwise("[TERM]"))
+
+        rest = F.array_join(F.slice(pieces, 2 * F.element_at(told, -1)["at"] + 3, F.size(pieces)), "")
+        return F.concat(F.array_join(F.transform(told, part), ""), rest)
+
+    def with_runs(hidden: Column) -> Column:
+        def woven(gaps: Column) -> Column:
+            runs = F.regexp_extract_all(hidden, F.lit(_RUN), F.lit(0))
+            return let(let(runs, lambda r: F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(r), F.array(g, F.get(r, i))).otherwise(F.array(g))))), marked)
+
+        return F.when(F.size(told) == 0, hidden).otherwise(let(F.split(hidden, _RUN, -1), woven))
+
+    out = let(masked(text), with_runs)
+    for kind, fill in _FILL.items():
+        out = F.regexp_replace(out, f"{fill}+", f"[{kind.upper()}]")
+    return out
 
 
 def _join(spans: Column) -> Column:
@@ -273,24 +308,26 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
 
-def report(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts by kind, base_sha256, spans."""
-    found = detect(docs)
-    count = {k: F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS}
-    base = F.filter("spans", lambda s: s["kind"] != "term")
-    return found.select("doc_id", *[count[k] for k in KINDS], F.sha2(_join(base), 256).alias("base_sha256"), _join(F.col("spans")).alias("spans"))
-
-
-def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, spans and the text with spans replaced by [KIND], or dropped (terms from REMOVE up); whole texts are contexts."""
+def sanitise(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Per document: doc_id, text, base and hits (as of ``detect``), and clean_text."""
     docs = ensure(docs, doc_id="long", text="string")
-    found = detect(docs, whole=True).select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "spans").distinct()
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & F.xxhash64("text").eqNullSafe(F.col("t")))
+    found = cut(detect(docs, folder), f"{folder or shared_dir(docs.sparkSession)}/found")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (_node() == F.col("t"))
+    told = found.where("size(base) > 0 or size(hits) > 0").dropDuplicates(["doc_id", "node"])
+    rows = docs.join(told.select(F.col("doc_id").alias("d"), F.col("node").alias("t"), "base", "hits"), same, "left")
+    clean = F.when(F.col("text").isNotNull(), F.when(F.col("t").isNull(), _text()).otherwise(cleaned(_text(), F.col("hits"))))
+    none = (F.expr(f"coalesce(base, cast(array() as {_SPANS}))").alias("base"), F.expr("coalesce(hits, array())").alias("hits"))
+    return rows.select("doc_id", "text", *none, clean.alias("clean_text"))
 
-    def mark(s: Column) -> Column:
-        return F.when(F.coalesce(s["disclosure"], F.lit(0.0)) >= REMOVE, F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    return both.select("doc_id", "text", "spans", replaced(F.col("text"), F.col("spans"), mark).alias("clean_text"))
+def report(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, counts by kind, base_sha256, spans, clean_text."""
+    found = sanitise(docs)
+    count = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    terms = F.transform("hits", lambda h: F.struct(F.lit("term").alias("kind"), h["start"].alias("start"), h["end"].alias("end")))
+    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select("doc_id", *count, F.size("hits").cast("long").alias("n_term"), F.sha2(_join(F.col("base")), 256).alias("base_sha256"),
+                        _join(F.concat(base, terms)).alias("spans"), "clean_text")
 
 
 def _raw(kind: str, rank: int, pattern: str) -> str:
@@ -308,7 +345,7 @@ _DIGIT = "substr(digits, (length(digits) - j)::bigint, 1)::int"
 _FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text IS NULL AS missing, translate(coalesce(text, ''), chr(2) || chr(3) || chr(4) || chr(5), '    ') AS text FROM documents),
 raw AS ({' UNION ALL '.join(_raw(kind, n, p) for n, (kind, p) in enumerate(zip(KINDS[:4], _PLAIN, strict=True)))}),
 one AS (SELECT rid, kind, k, m, g, unnest(range(1, len(m) + 1)) AS i FROM raw WHERE len(m) > 0),
 placed AS (SELECT rid, kind, k, m[i] AS value, {_PLACE} AS start, regexp_replace(m[i], '[^0-9]', '', 'g') AS digits FROM one),
@@ -318,32 +355,44 @@ base AS (
     OR (kind = 'ip' AND list_bool_and([length(ltrim(x, '0')) < 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') <= '255') FOR x IN string_split(value, '.')]))
     OR (kind = 'card' AND length(digits) BETWEEN 13 AND 19 AND
       list_sum([CASE WHEN j % 2 = 1 THEN 2 * {_DIGIT} - CASE WHEN {_DIGIT} > 4 THEN 9 ELSE 0 END ELSE {_DIGIT} END FOR j IN range(length(digits))]) % 10 = 0)),
-sides AS (
-  SELECT rid, entity, greatest(start - {REACH}, 0) AS off, substr(text, greatest(start - {REACH}, 0) + 1, start - greatest(start - {REACH}, 0)) AS side, start > {REACH} AS cut_left, false AS cut_right
-  FROM base JOIN d USING (rid)
-  UNION ALL SELECT rid, entity, stop, substr(text, stop + 1, {REACH}), false, length(text) > stop + {REACH} FROM base JOIN d USING (rid)),
-runs AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, regexp_extract_all(side, '{TERM}') AS m, string_split_regex(side, '{TERM}') AS g FROM sides)),
-found AS (SELECT rid, entity, {_FOLDED.format('m[i]')} AS term, off + {_PLACE} AS s, off + {_PLACE} + length(m[i]) AS e, {_PLACE} AS p, cut_left, cut_right FROM runs),
-near AS (
-  SELECT rid, entity, term, s, e FROM found t
-  WHERE length(term) >= {TERM_CHARS} AND regexp_matches(term, '[^0-9]') AND NOT (cut_left AND p = 0) AND NOT (cut_right AND p + length(term) = {REACH})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = t.rid AND b.start < t.e AND b.stop > t.s)),
-joint AS (
-  SELECT entity, term, count(*)::double AS n_both FROM (SELECT DISTINCT rid, entity, term FROM near) JOIN d USING (rid) GROUP BY 1, 2 HAVING count(DISTINCT text) >= {SUPPORT}),
+words AS (SELECT rid, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
+  SELECT rid, regexp_extract_all(text, '{TERM}') AS m, string_split_regex(text, '{TERM}') AS g FROM d)),
+seen AS (SELECT DISTINCT rid, {_FOLDED.format('m[i]')} AS term FROM words WHERE length(m[i]) >= {TERM_CHARS}),
+run AS (
+  SELECT rid, {_FOLDED.format('m[i]')} AS term, s, s + length(m[i]) AS e FROM (
+    SELECT rid, m, i, (sum(length(g[i])) OVER w + sum(length(m[i])) OVER w - length(m[i]))::bigint AS s FROM words WINDOW w AS (PARTITION BY rid ORDER BY i))
+  WHERE length(m[i]) >= {TERM_CHARS} AND regexp_matches(m[i], '[^0-9]')),
+free AS (SELECT * FROM run r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.start <= r.e AND b.stop >= r.s)),
 ent AS (SELECT entity, count(DISTINCT rid)::double AS n_entity FROM base GROUP BY 1),
-held AS (SELECT DISTINCT rid, {_FOLDED.format('w')} AS term FROM (SELECT rid, unnest(regexp_extract_all(text, '{TERM}')) AS w FROM d) WHERE length(w) >= {TERM_CHARS}),
-words AS (SELECT term, count(*)::double AS n_term FROM held WHERE term IN (SELECT term FROM joint) GROUP BY 1),
-scored AS (
-  SELECT entity, term, CASE WHEN ln(n_all / n_entity) > 0 THEN ln(n_all * n_both / (n_term * n_entity)) / ln(n_all / n_entity) ELSE 0 END AS score
-  FROM joint JOIN words USING (term) JOIN ent USING (entity), (SELECT count(*)::double AS n_all FROM d)),
-told AS (SELECT DISTINCT rid, s, e FROM near JOIN scored USING (entity, term) WHERE round(score, 6) >= {THRESHOLD}),
-spans AS (SELECT rid, k, kind, start AS s, stop AS e FROM base UNION ALL SELECT rid, 9, 'term', s, e FROM told),
+joint AS (
+  SELECT entity, term, count(*)::double AS n_both FROM (SELECT DISTINCT rid, entity FROM base) JOIN (SELECT DISTINCT rid, term FROM free) USING (rid) JOIN d USING (rid)
+  GROUP BY 1, 2 HAVING count(DISTINCT text) >= {SUPPORT}),
+counts AS (SELECT term, count(*)::double AS n_term FROM seen WHERE term IN (SELECT term FROM joint) GROUP BY 1),
+told AS (
+  SELECT term, max(score) AS score FROM (
+    SELECT term, round(CASE WHEN ln(n_all / n_entity) > 0 THEN ln(n_all * n_both / (n_term * n_entity)) / ln(n_all / n_entity) ELSE 0 END, 6) AS score
+    FROM joint JOIN counts USING (term) JOIN ent USING (entity), (SELECT count(*)::double AS n_all FROM d))
+  WHERE score >= {THRESHOLD} GROUP BY 1),
+hit AS (SELECT rid, s, e, score FROM free JOIN told USING (term)),
+spans AS (SELECT rid, k, kind, start AS s, stop AS e FROM base UNION ALL SELECT rid, 9, 'term', s, e FROM hit),
 joined AS (
   SELECT rid, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
     count(*) FILTER (WHERE kind = 'phone') AS n_phone, count(*) FILTER (WHERE kind = 'term') AS n_term,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s, e) FILTER (WHERE kind <> 'term') AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s, e) AS spans
-  FROM spans GROUP BY rid)
+  FROM spans GROUP BY rid),
+covered AS (
+  SELECT rid, p, min(k) AS k, min(upper(kind)) FILTER (WHERE k = least_k) AS kind FROM (
+    SELECT rid, k, kind, p, min(k) OVER (PARTITION BY rid, p) AS least_k FROM (SELECT rid, k, kind, unnest(range(s, e)) AS p FROM spans WHERE kind <> 'term')) GROUP BY 1, 2),
+marks AS (
+  SELECT c.rid, c.p, CASE WHEN before.k IS NOT DISTINCT FROM c.k THEN '' ELSE '[' || c.kind || ']' END AS put
+  FROM covered c LEFT JOIN covered before ON before.rid = c.rid AND before.p = c.p - 1
+  UNION ALL
+  SELECT rid, unnest(range(s, e)) AS p, CASE WHEN unnest(range(s, e)) = s AND score < {REMOVE} THEN '[TERM]' ELSE '' END FROM hit),
+clean AS (
+  SELECT t.rid, string_agg(coalesce(put, ch), '' ORDER BY t.p) AS clean_text FROM (
+    SELECT rid, unnest(range(length(text))) AS p, unnest(string_split(text, '')) AS ch FROM d WHERE rid IN (SELECT rid FROM joined)) t
+  LEFT JOIN marks ON marks.rid = t.rid AND marks.p = t.p GROUP BY t.rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, coalesce(n_term, 0) AS n_term,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN joined USING (rid)
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CASE WHEN NOT missing THEN coalesce(clean_text, text) END AS clean_text
+FROM d LEFT JOIN joined USING (rid) LEFT JOIN clean USING (rid)
 """

@@ -5,10 +5,13 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -283,8 +286,48 @@ def test_sanitise_over_whole_texts(spark, documents, nothing):
     assert clean[0] == [f"Dear [TERM], {gap}0 write to [EMAIL]"] * 2
     assert clean[10] == ["[TERM] again, without address; zanzibarprojects x_[TERM]"] and clean[11] == ["at [EMAIL]"]
     assert sorted(clean[None], key=str) == [None, "[TERM]"] and all(clean[100 + k] == [rows[8 + k][1]] for k in range(60))
-    short = documents.where("text is null or length(text) < 50000")
-    assert pii.sanitise(short).count() == short.count() and pii.sanitise(nothing).count() == 0
+    assert pii.sanitise(documents).count() == documents.count() and pii.sanitise(nothing).count() == 0
+
+
+def test_terms_equal_their_sql(spark):
+    """Texts with entities that share texts, copies, overlapping kinds, and terms on both sides of the threshold."""
+    rng = np.random.default_rng(4)
+    words = ["plain", "Weather", "notes", "today", "über", "12345", "x1y2z3", "Nachricht"]
+    rows = []
+    for k in range(240):
+        parts = [words[i] for i in rng.integers(0, len(words), 12)] + [f"only{k % 40}", f"pair{k // 2}"]
+        if k % 5 < 2:
+            who = k % 15
+            parts += [f"user{who}@host{who}.org", f"project{who}", f"Secret{who}", f"+49 170 10.0.0.{who} 55{who:02d}@ab.cd"][: 2 + k % 3]
+        if k % 7 == 0:
+            parts += [f"project{k % 15}", "4111 1111 1111 1111.2.3.4", "q4111111111111111q", "\x02ctrl\x05"]
+        rng.shuffle(parts)
+        rows.append((k, " ".join(parts)))
+    rows += [rows[5], rows[5], rows[10], (None, rows[20][1]), (900, None), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.report(docs)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().assign(doc_id=lambda d: d["doc_id"].astype("Int64")))
+    want = con.sql(pii.ORACLE).df()[got.columns]
+    mine = got.collect()
+    assert sum(r.n_term for r in mine) > 100
+    assert sorted(map(repr, map(tuple, mine))) == sorted(repr(tuple(None if v is pd.NA or v != v else v for v in r)) for r in want.astype(object).itertuples(index=False))
+
+
+def test_long_texts_in_proportion(spark):
+    def seconds(text):
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        row = pii.report(df).collect()[0]
+        return time.time() - began, row
+
+    seconds("warm up 12.1 a@b.cc")
+    few, _ = seconds(" ".join(f"{10 + k % 90}.{k}" for k in range(5000)))
+    many, _ = seconds(" ".join(f"{10 + k % 90}.{k}" for k in range(80_000)))
+    assert many < 16 * few + 4
+    few, _ = seconds(" ".join(f"name{k} user{k}@host{k}.org" for k in range(1000)))
+    many, row = seconds(" ".join(f"name{k} user{k}@host{k}.org" for k in range(10_000)))
+    assert many < 10 * few + 4 and row.n_email == 10_000 and row.clean_text.count("[EMAIL]") == 10_000
 
 
 # --- mixing -----------------------------------------------------------------------------------

@@ -135,7 +135,7 @@ def test_side_parts_go(side):
 
 
 def test_names_only_break_ties():
-    talk = "".join(f"<div class=comment><b>reader {{0}}</b><p>opinion {k} about page {{0}}, and quite a long one</p></div>" for k in range(5))
+    talk = "".join(f"<div class=comment><b>reader {{0}}</b><p>opinion {k} about page {{0}}, and quite a long one</p></div>" for k in range(3))
     pages = [f"<article><h1>T{k}</h1><p>{k} is a short story about a page of a site that has readers</p></article><div class=comments>{talk.format(k)}</div>" for k in range(6)]
     assert told(wrapper(pages), pages[3]) == "T3 3 is a short story about a page of a site that has readers"  # a third of the weight, but the name
     inside = [f"<div class=menu><div class=sidebar><h1>T{k}</h1>{STORY.format(k)}</div></div><div class=content>Call us {k}</div>" for k in range(6)]
