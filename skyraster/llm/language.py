@@ -1,52 +1,50 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A text is split at ASCII white space, A-Z folded, and longer pieces are cut every ``SPAN`` bytes.
-Over each such segment one GRU runs forwards and one backwards; at every byte the two states give
-a probability for each language. A document's probability of a language is the mean over all its
-bytes, so each distinct segment of a batch is worked out once and counted as often as it occurs.
+One GRU reads a text's UTF-8 bytes (A-Z folded) from its beginning to its end, one from its end to
+its beginning; neither stops at words. At every byte the two states give a probability for each
+language, and a document's probability is the mean over all its bytes.
 
-Training is numpy, by backpropagation through time: cross-entropy at every byte, Adam, batches
-of equally long segments, the same number drawn for each language. The sample is bounded: rows
-that are not held out, have a language and at most ``TRAIN_CHARS`` characters, about
-``TRAIN_DOCS`` of each language by hash of doc_id, and ``TRAIN_SEGMENTS`` segments of each.
+Long texts are cut into chunks of ``CHUNK`` bytes that run side by side, without being read
+apart: the state with which a chunk begins is that of the text so far. It is worked out by
+running the ``BACK`` bytes before the chunk, and twice as many: if both end in the same
+state (to ``SAME``), what lies before has no more say; otherwise twice as many again, as far as the
+text goes.
+
+Training is numpy, by backpropagation through time over windows of ``WINDOW`` bytes: cross-entropy at
+every byte, Adam. The sample is bounded: about ``TRAIN_WINDOWS`` windows in all, the same number for each
+language, up to ``DOC_WINDOWS`` from anywhere in a text, from rows that are not held out and
+have a language, chosen by hash of doc_id.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; without any language to
-learn, everything is ``und``; very long texts cost as much as their distinct segments in a batch;
+learn, everything is ``und``; very long texts take memory by chunks and time by length;
 repeated rows are labelled alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import ensure
+from skyraster.llm.common import ensure, release
 from skyraster.llm.quality_model import held_out
 
 HIDDEN = 16
-SPAN = 24
-ROWS = 4000
-STRIP = 20_000
-TRAIN_DOCS = 300
-TRAIN_CHARS = 20_000
-TRAIN_SEGMENTS = 12_000
-EPOCHS = 4
+CHUNK = 1024
+BACK = 64
+SAME = 1e-3
+LANES = 2048
+CELLS = 1 << 24  # of a table of logits: lanes * CHUNK * languages
+BYTES = 16_000_000
+WINDOW = 96
+TRAIN_WINDOWS = 40_000
+DOC_WINDOWS = 40
+EPOCHS = 3
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def segments(raw: bytes | np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, size, piece) of the pieces' segments of at most SPAN bytes."""
-    n = -(-sizes // SPAN)
-    piece = np.repeat(np.arange(len(sizes)), n)
-    part = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-    return starts[piece] + part * SPAN, np.minimum(sizes[piece] - part * SPAN, SPAN), piece
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 class Model:
@@ -123,20 +121,21 @@ class Model:
         self._back(data[:, ::-1], self.p["ub"], tapes[1], ds[::-1, :, HIDDEN:], g["xb"], g["ub"])
         return g
 
-    def fit(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model:
+    def fit(self, windows: list[bytes], label: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Model:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        size = np.array([len(w) for w in windows])
         step = 0
         for epoch in range(epochs):
             batches = []
-            for n in range(1, SPAN + 1):
+            for n in np.unique(size[size > 0]):
                 rows = rng.permutation(np.flatnonzero(size == n))
                 batches += [rows[a : a + 256] for a in range(0, len(rows), 256)]
             rate = 0.02 / (1 + epoch)
             for k in rng.permutation(len(batches)):
                 rows = batches[k]
-                data = raw[start[rows][:, None] + np.arange(size[rows[0]])]
+                data = _FOLD[np.frombuffer(b"".join([windows[r] for r in rows]), np.uint8).reshape(len(rows), -1)]
                 g = self.gradients(data, label[rows])
                 step += 1
                 for name, x in g.items():
@@ -146,74 +145,157 @@ class Model:
                     self.p[name] = (self.p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def pieces(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Sum of the probabilities over the bytes of each piece."""
-        start, size, piece = segments(raw, starts, sizes)
+    def _pass(self, way: str, data: np.ndarray, active: list[int], state: np.ndarray, sink: Callable[[int, np.ndarray], None] | None = None) -> np.ndarray:
+        """Last states after the steps (rows) of data; at step k the first active[k] lanes run. ``sink``: sees the states of each step."""
+        h, size = HIDDEN, state.shape
+        x, u = self.p["x" + way].copy(), self.p["u" + way].copy()
+        x[:, : 2 * h] *= 0.5
+        u[:, : 2 * h] *= 0.5  # a sigmoid is a tanh of half its argument
+        xs, us = ([np.ascontiguousarray(w[:, k * h : (k + 1) * h]) for k in range(3)] for w in (x, u))
+        room = [np.empty(size, np.float32) for _ in range(4)]
+        for k, n in enumerate(active):
+            now, byte = state[:n], data[k, :n]
+            reset, update, new, inner = (r[:n] for r in room)
+            for gate, w, v in ((reset, xs[0], us[0]), (update, xs[1], us[1])):
+                np.take(w, byte, axis=0, out=gate, mode="clip")
+                gate += np.matmul(now, v, out=inner)
+                np.tanh(gate, out=gate)
+                gate *= 0.5
+                gate += 0.5
+            np.take(xs[2], byte, axis=0, out=new, mode="clip")
+            reset *= np.matmul(now, us[2], out=inner)
+            new += reset
+            np.tanh(new, out=new)
+            now -= new
+            now *= update
+            now += new
+            if sink is not None:
+                sink(k, now)
+        return state
+
+    def _carried(self, way: str, raw: np.ndarray, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """States with which the text between edge and at (in reading order) leaves its reader at ``at``."""
+        out = np.zeros((len(at), HIDDEN), np.float32)
+        todo, before, back = np.arange(len(at)), None, BACK
+        while len(todo):
+            have = np.abs(at[todo] - edge[todo])
+            n = np.minimum(have, back)
+            order = np.argsort(-n, kind="stable")
+            state = np.zeros((len(todo), HIDDEN), np.float32)
+            for lo in range(0, len(todo), LANES):
+                some = order[lo : lo + LANES]
+                state[some] = self._from(way, raw, at[todo[some]], n[some])
+            done = have <= back
+            if before is not None:
+                done |= np.abs(state - before).max(1, initial=0) < SAME
+            out[todo[done]] = state[done]
+            todo, before, back = todo[~done], state[~done], 2 * back
+        return out
+
+    def _from(self, way: str, raw: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """States after the n bytes before ``at``, from nothing; n in falling order."""
+        sign, active = (1, 0) if way == "f" else (-1, -1), [int(k) for k in (n[:, None] > np.arange(n.max(initial=0))).sum(0)]
+        step = np.arange(len(active))[:, None]
+        place = at + sign[1] - sign[0] * n + sign[0] * step
+        return self._pass(way, raw[np.clip(place, 0, len(raw) - 1)], active, np.zeros((len(at), HIDDEN), np.float32))
+
+    def texts(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sum over its bytes of each text's probabilities."""
+        n = -(-sizes // CHUNK)
+        text = np.repeat(np.arange(len(sizes)), n)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        first, last = starts[text] + part * CHUNK, np.minimum(starts[text] + (part + 1) * CHUNK, (starts + sizes)[text])
         total = np.zeros((len(sizes), len(self.languages)))
-        for n in range(1, SPAN + 1):
-            rows = np.flatnonzero(size == n)
-            for a in range(0, len(rows), STRIP):
-                some = rows[a : a + STRIP]
-                prob, _ = self.positions(raw[start[some][:, None] + np.arange(n)])
-                np.add.at(total, piece[some], prob.sum(0))
+        ahead, behind = np.zeros((len(text), HIDDEN), np.float32), np.zeros((len(text), HIDDEN), np.float32)
+        inner, more = np.flatnonzero(part > 0), np.flatnonzero(part < n[text] - 1)
+        ahead[inner] = self._carried("f", raw, first[inner], starts[text[inner]])
+        behind[more] = self._carried("b", raw, last[more], (starts + sizes)[text[more]])
+        order = np.argsort(first - last, kind="stable")  # longest first
+        lanes = max(16, min(LANES, CELLS // (CHUNK * len(self.languages))))
+        for lo in range(0, len(order), lanes):
+            some = order[lo : lo + lanes]
+            length = (last - first)[some]
+            steps = int(length[0])
+            step = np.arange(steps)[:, None]
+            # Lanes end together, so that both readers' steps meet without looking places up.
+            logits = np.empty((steps, len(self.languages), len(some)), np.float32)
+            out = np.ascontiguousarray(self.p["o"].T)
+
+            def forwards(k: int, state: np.ndarray) -> None:
+                np.matmul(out[:, :HIDDEN], state.T, out=logits[k, :, : len(state)])
+
+            data = raw[np.clip(last[some] - steps + step, 0, len(raw) - 1)]
+            self._pass("f", data, (length[None, :] >= steps - step).sum(1).tolist(), ahead[some], forwards)
+            sums = np.zeros((len(self.languages), len(some)))
+
+            def backwards(k: int, state: np.ndarray) -> None:
+                m = len(state)
+                z = out[:, HIDDEN:] @ state.T
+                z += logits[steps - 1 - k, :, :m]
+                z += self.p["c"][:, None]
+                z -= z.max(0)
+                np.exp(z, out=z)
+                z /= z.sum(0)
+                sums[:, :m] += z
+
+            data = raw[np.clip(last[some] - 1 - step, 0, len(raw) - 1)]
+            self._pass("b", data, (length[None, :] > step).sum(1).tolist(), behind[some], backwards)
+            np.add.at(total, text[some], sums.T)
         return total
 
     def column(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Language and probability of every text of an Arrow column."""
         names, scores = [], []
-        for a in range(0, len(texts), ROWS):
-            part = pc.fill_null(texts.slice(a, ROWS), "")
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
-            coded = lists.flatten().dictionary_encode()
-            words = coded.dictionary.cast(pa.large_binary())
-            ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-            raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-            sizes = np.diff(ends)
-            sums = self.pieces(raw, ends[:-1], sizes) if len(sizes) else np.zeros((0, len(self.languages)))
-            index = coded.indices.to_numpy()
-            cuts = np.concatenate([[0], lists.value_lengths().to_numpy().cumsum()])
-            total = np.zeros((len(index) + 1, len(self.languages)))
-            np.cumsum(sums[index], axis=0, out=total[1:])
-            prob = np.diff(total[cuts], axis=0)
-            n = np.diff(np.concatenate([[0], np.cumsum(sizes[index])])[cuts])
+        whole = [t or "" for t in texts.to_pylist()]
+        codes = [t.encode("utf-8", "surrogatepass") for t in whole]
+        at = 0
+        while at < len(whole):
+            held, end = 0, at
+            while end < len(whole) and (end == at or held + len(codes[end]) <= BYTES):
+                held += len(codes[end])
+                end += 1
+            sizes = np.array([len(c) for c in codes[at:end]], np.int64)
+            raw = _FOLD[np.frombuffer(b"".join(codes[at:end]), np.uint8)]
+            prob = self.texts(raw, np.cumsum(sizes) - sizes, sizes)
             best = prob.argmax(1)
-            share = prob[np.arange(len(prob)), best] / np.maximum(n, 1)
-            for k, text in enumerate(part.to_pylist()):
-                known = n[k] > 0 and _LETTER.search(text) is not None
+            share = prob[np.arange(len(prob)), best] / np.maximum(sizes, 1)
+            for k, text in enumerate(whole[at:end]):
+                known = any(map(str.isalpha, text))
                 names.append(self.languages[best[k]] if known else UNKNOWN)
                 scores.append(min(max(float(share[k]), 0.0), 1.0) if known else 0.0)
+            at = end
         return names, np.array(scores)
 
 
-def sample(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> list:
-    """About n_docs rows (lang, text) of each language, by hash of doc_id."""
-    rows = docs.where(~held_out()).where(f"lang is not null and text is not null and length(text) <= {TRAIN_CHARS}")
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+def sample(docs: DataFrame, n_windows: int = TRAIN_WINDOWS) -> list:
+    """About n_windows rows (lang, window) in all, as many of each language, from texts chosen by hash of doc_id."""
+    rows = docs.where(~held_out()).where("lang is not null and length(text) > 0")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row for each output of the network
+    counts = docs.sparkSession.createDataFrame(counts.collect(), counts.schema)
+    n_docs = max(1.0, n_windows / DOC_WINDOWS / max(counts.count(), 1))
     u = (F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    few = rows.join(F.broadcast(counts), "lang").where(u < n_docs / F.col("n"))  # one row a language
-    return few.select("lang", "text", "doc_id").orderBy("lang", "doc_id", "text").collect()
+    few = rows.join(F.broadcast(counts), "lang").where(u < n_docs / F.col("n"))
+    most = F.least(F.ceil(F.length("text") / WINDOW).cast("int"), F.lit(DOC_WINDOWS))
+    room = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
+    start = F.pmod(F.xxhash64("doc_id", F.col("k")), room.cast("long")).cast("int") + 1
+    windows = few.select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(1), most)).alias("k")).select("lang", "doc_id", "k", F.substr("text", start, F.lit(WINDOW)).alias("text"))
+    return windows.orderBy("lang", "doc_id", "k", "text").collect()
 
 
-def train(rows: list, n_segments: int = TRAIN_SEGMENTS, epochs: int = EPOCHS) -> Model | None:
+def train(rows: list, epochs: int = EPOCHS) -> Model | None:
+    """A model of rows (lang, text), each cut to WINDOW bytes."""
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
-    rng = np.random.default_rng(3)
-    raw, starts, sizes, labels, at = [], [], [], [], 0
-    for k, lang in enumerate(languages):
-        words = [w for r in rows if r.lang == lang for w in r.text.encode("utf-8", "surrogatepass").lower().split()]
-        for i in rng.permutation(len(words))[:n_segments]:
-            raw.append(words[i]), starts.append(at), sizes.append(len(words[i])), labels.append(k)
-            at += len(words[i])
-    raw = np.frombuffer(b"".join(raw), np.uint8)
-    start, size, piece = segments(raw, np.array(starts, np.int64), np.array(sizes, np.int64))
-    return Model(languages).fit(raw, start, size, np.array(labels)[piece], epochs)
-
-
-def identify(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> DataFrame:
+    number = {x: k for k, x in enumerate(languages)}
+    windows = [r.text.encode("utf-8", "surrogatepass")[:WINDOW] for r in rows]
+    return Model(languages).fit(windows, np.array([number[r.lang] for r in rows]), epochs)
+
+
+def identify(docs: DataFrame, n_windows: int = TRAIN_WINDOWS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
     docs = ensure(docs, doc_id="long", text="string", lang="string")
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, n_docs)))
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, n_windows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,6 +305,7 @@ def identify(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> DataFrame:
                 names, scores = model.value.column(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
+        release()
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

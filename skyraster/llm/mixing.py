@@ -8,8 +8,9 @@ fractional part takes the documents with the smallest keys, up to the one whose
 is the last within the budget.
 
 No source is sorted as a whole: keys fall into ``BUCKETS`` buckets of equal probability at
-weight 1, bucket sums give the bucket in which the budget ends, and only that bucket is
-ordered. The decision for a document is then a comparison with its source's cut-off.
+weight 1, and bucket sums give the bucket in which the budget ends. That one is divided again as long
+as it has more than ``EDGE_ROWS`` rows, and only what is left is ordered. The decision for a document
+is then a comparison with its source's cut-off.
 
 Cases: null text or no word has size 0 and takes nothing; null sources form one source, the
 last; ties in key go by doc_id, size and text hash, and rows equal in all of them go together;
@@ -19,7 +20,7 @@ by ``plan`` and kept by ``apply``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyraster.llm.common import cut, ensure, shared_dir
@@ -28,6 +29,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 BUCKETS = 1024
+EDGE_ROWS = 50_000
 SEED = "mix"
 MAX_BROADCAST_SOURCES = 100_000
 _TEXT = "coalesce(cast(`text` as string), '')"
@@ -52,56 +54,68 @@ def measure(docs: DataFrame, seed: str = SEED, *keep: str) -> DataFrame:
     return out.withColumn("_bucket", F.least(F.floor(BUCKETS * (1 - F.exp(-F.col("_key")))), F.lit(BUCKETS - 1)).cast("int")).drop("_u", "_weight")
 
 
+def _within(df: DataFrame, source: str, *order: Column) -> WindowSpec:
+    return Window.partitionBy(source).orderBy(*order)
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Budgets of the sources (one row each): target = least(cap * size, level * weight)."""
-    case = " ".join(f"when {k} then {float(w)!r}D" for k, w in enumerate(weights))
-    sizes.createOrReplaceTempView("_mix_sizes")
-    return sizes.sparkSession.sql(f"""
-      with ranked as (
-        select _source, source_size,
-          case (row_number() over (order by _source asc nulls last) - 1) % {len(weights)} {case} end as weight from _mix_sizes),
-      capped as (
-        select *, {cap}D * source_size as most, {cap}D * source_size / weight as ratio from ranked),
-      levels as (
-        select *, ({float(share)!r}D * sum(source_size) over ()
-            - coalesce(sum(most) over (order by ratio, _source asc nulls last rows between unbounded preceding and 1 preceding), 0D))
-          / sum(weight) over (order by ratio, _source asc nulls last rows between current row and unbounded following) as level
-        from capped),
-      met as (select min_by(level, ratio) as level from levels where level <= ratio)
-      select c._source, c.source_size, least(c.most, coalesce(met.level, c.ratio) * c.weight) as target from capped c cross join met
-    """)
-
-
-def plan(measured: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """One row a source: source_size, target, epochs, and the cut-off (edge bucket, last struct taken in it)."""
-    by_bucket = measured.groupBy("_source", "_bucket").agg(F.sum("_size").alias("n"))
-    goals = targets(measured.groupBy("_source").agg(F.sum("_size").alias("source_size")), weights, share, cap)
+    by_name = Window.orderBy(F.col("_source").asc_nulls_last())  # one row a source
+    turn = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1)
+    capped = sizes.withColumn("weight", weight).withColumn("most", F.lit(float(cap)) * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("weight"))
+    by_ratio = Window.orderBy("ratio", F.col("_source").asc_nulls_last())
+    before = F.coalesce(F.sum("most").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    level = (F.lit(float(share)) * F.sum("source_size").over(Window.partitionBy()) - before) / F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
+    met = capped.withColumn("level", level).where("level <= ratio").agg(F.min_by("level", "ratio").alias("level"))
+    target = F.least(F.col("most"), F.coalesce(F.col("level"), F.col("ratio")) * F.col("weight"))
+    return capped.crossJoin(F.broadcast(met)).select("_source", "source_size", target.alias("target"))  # met is one row
+
+
+def _edge(groups: DataFrame, goals: DataFrame) -> DataFrame:
+    """Of groups (_source, low, high, n, rows; in order of low) the one of each source in which the rest of its target ends.
+
+    goals: source, source_size, target, epochs, rest, before (words taken before the groups).
+    """
+    joined = groups.join(goals, F.col("_source").eqNullSafe(F.col("source")))
+    through = F.col("before") + F.sum("n").over(_within(joined, "_source", F.col("low")))
+    sums = joined.withColumn("through", through).withColumn("final", F.max("low").over(Window.partitionBy("_source")) == F.col("low"))
+    edge = F.min(F.struct("low", "high", (F.col("through") - F.col("n")).alias("before"), "rows")).alias("edge")
+    found = sums.where("through > rest or final").groupBy("source", "source_size", "target", "epochs", "rest").agg(edge)
+    return found.select("source", "source_size", "target", "epochs", "rest", "edge.*")
+
+
+def plan(measured: DataFrame, folder: str, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """One row a source: source_size, target, epochs, low (all keys below are in), and the last (key, doc, size, tie) taken."""
+    sums = (F.min("_key").alias("low"), F.max("_key").alias("high"), F.sum("_size").alias("n"), F.count(F.lit(1)).alias("rows"))
+    groups = cut(measured.groupBy("_source", "_bucket").agg(*sums), f"{folder}/buckets")
+    goals = targets(groups.groupBy("_source").agg(F.sum("n").alias("source_size")), weights, share, cap)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    goals = goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    by_bucket.createOrReplaceTempView("_mix_buckets")
-    goals.createOrReplaceTempView("_mix_goals")
-    spark = measured.sparkSession
-    edges = spark.sql("""
-      select _source, source_size, target, epochs, rest, min(struct(_bucket, before)) as edge from (
-        select g._source, g.source_size, g.target, g.epochs, g.rest, b._bucket,
-          sum(b.n) over (partition by b._source order by b._bucket) - b.n as before,
-          sum(b.n) over (partition by b._source order by b._bucket) as through
-        from _mix_goals g join _mix_buckets b on b._source <=> g._source)
-      where through > rest or through = source_size
-      group by _source, source_size, target, epochs, rest""")
-    edges = edges.select("_source", "source_size", "target", "epochs", "rest", F.col("edge._bucket").alias("edge"), F.col("edge.before").alias("before"))
-    edges.createOrReplaceTempView("_mix_edges")
-    measured.createOrReplaceTempView("_mix_measured")
-    return spark.sql("""
-      with last as (
-        select _source, max(at) as last from (
-          select m._source, e.rest, struct(m._key, m._doc, m._size, m._tie) as at, m._size,
-            e.before + sum(m._size) over (partition by m._source order by m._key, m._doc, m._size, m._tie rows unbounded preceding) - m._size as cum
-          from _mix_measured m join _mix_edges e on m._source <=> e._source and m._bucket = e.edge)
-        where cum + _size / 2D <= rest and rest > 0
-        group by _source)
-      select e._source as plan_source, e.source_size, e.target, e.epochs, e.edge, last.last
-      from _mix_edges e left join last on e._source <=> last._source""")
+    goals = goals.select(F.col("_source").alias("source"), "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("before"))
+    edges = cut(_edge(groups, goals), f"{folder}/edges")
+    level = 0
+    while not (wide := edges.where((F.col("rows") > edge_rows) & (F.col("high") > F.col("low")))).isEmpty():
+        level += 1
+        inside = _inside(measured, wide)
+        part = F.least(F.floor(BUCKETS * (F.col("_key") - F.col("low")) / (F.col("high") - F.col("low"))), F.lit(BUCKETS - 1))
+        groups = inside.withColumn("part", part).groupBy("_source", "part").agg(*sums)
+        finer = _edge(groups, wide.drop("low", "high", "rows"))
+        done = edges.where((F.col("rows") <= edge_rows) | (F.col("high") <= F.col("low")))
+        edges = cut(done.unionByName(finer), f"{folder}/edges-{level}")
+    # Rows that are equal in all of these go together, and count as one.
+    at = F.struct("_key", "_doc", "_size", "_tie")
+    rows = _inside(measured, edges).groupBy("_source", "rest", "before", at.alias("at"), "_size").agg(F.sum("_size").alias("n"))
+    rows = rows.withColumn("since", F.col("before") + F.sum("n").over(_within(rows, "_source", F.col("at"))) - F.col("n"))
+    last = rows.where("rest > 0 and since + _size / 2D <= rest").groupBy("_source").agg(F.max("at").alias("last"))
+    out = edges.join(last, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return out.select(F.col("source").alias("plan_source"), "source_size", "target", "epochs", "low", "last")
+
+
+def _inside(measured: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows of each source within its edge."""
+    edges = edges.select("source", "low", "high", "before", "rest")
+    small = F.broadcast(edges) if edges.count() <= MAX_BROADCAST_SOURCES else edges
+    return measured.join(small, F.col("_source").eqNullSafe(F.col("source")) & F.col("_key").between(F.col("low"), F.col("high")))
 
 
 def decide(measured: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -109,8 +123,7 @@ def decide(measured: DataFrame, chosen: DataFrame) -> DataFrame:
     small = chosen.count() <= MAX_BROADCAST_SOURCES
     out = measured.join(F.broadcast(chosen) if small else chosen, F.col("_source").eqNullSafe(F.col("plan_source")))
     at = F.struct("_key", "_doc", "_size", "_tie")
-    taken = (F.col("target") > F.col("epochs") * F.col("source_size")) & (
-        (F.col("_bucket") < F.col("edge")) | ((F.col("_bucket") == F.col("edge")) & F.coalesce(at <= F.col("last"), F.lit(False))))
+    taken = (F.col("target") > F.col("epochs") * F.col("source_size")) & ((F.col("_key") < F.col("low")) | F.coalesce(at <= F.col("last"), F.lit(False)))
     return out.withColumn("copies", F.col("epochs") + F.when(taken, 1).otherwise(0))
 
 
@@ -118,7 +131,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     """Per document: doc_id, size, source_size, target, taken."""
     folder = shared_dir(docs.sparkSession)
     measured = cut(measure(ensure(docs, doc_id="long", text="string", source="string"), seed), f"{folder}/measured")
-    chosen = cut(plan(measured, weights, share, cap), f"{folder}/plan")
+    chosen = cut(plan(measured, folder, weights, share, cap), f"{folder}/plan")
     return decide(measured, chosen).select(
         F.col("_doc").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
@@ -127,7 +140,7 @@ def apply(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     """The mixture itself: every row of docs as often as the mix takes it, columns unchanged."""
     folder = shared_dir(docs.sparkSession)
     measured = cut(measure(docs.select("doc_id", "text", "source"), seed), f"{folder}/measured")
-    chosen = cut(plan(measured, weights, share, cap), f"{folder}/plan")
+    chosen = cut(plan(measured, folder, weights, share, cap), f"{folder}/plan")
     rows = decide(measure(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"), seed, "_row"), chosen)
     return rows.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 

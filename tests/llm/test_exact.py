@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import concurrent.futures
 import hashlib
 import re
 import time
@@ -374,6 +375,26 @@ def test_mixture_properties(spark, documents, nothing):
     assert mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("edge_rows", [1, 20])
+def test_edges_are_divided_until_small(spark, nothing, edge_rows, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 4)  # many levels
+    rows = [(k if k % 3 else None, "w " * (k % 17), "a" if k % 5 else "b") for k in range(900)] + [(5, "w w w", "c")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    folder = common.shared_dir(spark)
+    measured = common.cut(mixing.measure(docs), f"{folder}/m")
+    chosen = mixing.plan(measured, folder, edge_rows=edge_rows)
+    got = Counter((r._source, r._key, r._doc, r._size, r._tie, r.copies) for r in mixing.decide(measured, chosen).collect())
+    want, goals = Counter(), {r.plan_source: r for r in chosen.collect()}
+    each = Counter((r._source, r._key, r._doc is not None, r._doc or 0, r._size, r._tie, r._doc) for r in measured.collect())
+    since = Counter()
+    for (source, key, _, _, size, tie, doc), n in sorted(each.items()):
+        g = goals[source]
+        rest = g.target - g.epochs * g.source_size
+        want[source, key, doc, size, tie, g.epochs + (rest > 0 and since[source] + size / 2 <= rest)] += n
+        since[source] += n * size
+    assert got == want
+
+
 def test_mixture_repeats_rows(spark, documents):
     mixed = mixing.apply(documents)
     want = mixing.mix(documents).agg(F.sum("taken")).first()[0]
@@ -432,8 +453,12 @@ def test_rollup_is_idempotent(spark, documents, nothing):
     assert rollup.commit("a", token_counts.inserts(counts, "v1", "n_words")) and not rollup.commit("a", token_counts.inserts(counts, "v1", "n_words"))
     first = rollup.totals()
     assert first.agg(F.sum("n_docs"), F.sum("n_tokens")).first() == (documents.count(), counts.agg(F.sum("n_words")).first()[0])
+    with pytest.raises(ValueError, match="other sums"):
+        rollup.commit("a", token_counts.inserts(counts, "v1", "n_tokens"))
     rollup.commit("b", token_counts.revisions(counts, ("v1", "n_words"), ("v2", "n_tokens")))
     assert {r.tokenizer for r in rollup.totals().collect()} == {"v2"}
+    rollup.compact()
+    assert rollup.batches() == ["a", "b"] and not rollup.commit("b", token_counts.revisions(counts, ("v1", "n_words"), ("v2", "n_tokens")))
     rollup.commit("c", token_counts.deletes(counts, "v2", "n_tokens"))
     rollup.commit("d", token_counts.inserts(counts.limit(0), "v2", "n_tokens"))
     assert rollup.totals().count() == 0 and rollup.batches() == ["a", "b", "c", "d"]
@@ -442,18 +467,29 @@ def test_rollup_is_idempotent(spark, documents, nothing):
     assert token_counts.maintain(nothing, tokenizer_path(), "t").count() == 0
 
 
+def test_writers_side_by_side(spark):
+    folder = f"{common.shared_dir(spark)}/totals"
+    rows = [spark.createDataFrame([(f"s{k % 2}", None, "v", 1, k, "x")], "source string, lang string, tokenizer string, n_docs long, n_tokens long, more string") for k in range(4)]
+    with concurrent.futures.ThreadPoolExecutor(8) as pool:  # each batch by two writers
+        done = list(pool.map(lambda k: token_counts.Rollup(spark, folder).commit(f"b{k // 2}", rows[k // 2]), range(8)))
+    assert sum(done) == 4 and all(done[k] + done[k + 1] == 1 for k in range(0, 8, 2))
+    rollup = token_counts.Rollup(spark, folder)
+    rollup.compact()
+    rollup.compact()
+    assert {(r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == {("s0", 2, 2), ("s1", 2, 4)} and rollup.batches() == ["b0", "b1", "b2", "b3"]
+
+
 def test_token_totals_by_brute_force(spark, documents):
     from tokenizers import Tokenizer
 
     tool, seen, want = Tokenizer.from_file(tokenizer_path()), {}, Counter()
     for r in documents.collect():
         n = len(tool.encode(r.text or "", add_special_tokens=False).ids)
-        seen.setdefault(r.text or "", []).append((r.doc_id, r.source, r.lang, n))
+        seen.setdefault(r.text or "", []).append((r.doc_id is None, r.doc_id or 0, (r.source is not None, r.source or ""), (r.lang is not None, r.lang or ""), r.source, r.lang, n))
     for rows in seen.values():
-        first = min((x[0] for x in rows if x[0] is not None), default=None)
-        for doc, source, lang, n in rows:
-            if doc == first:
-                want[source, lang, "docs"] += 1
-                want[source, lang, "tokens"] += n
+        for kind, some in (("t", rows), ("t-unique", [min(rows)])):
+            for *_, source, lang, n in some:
+                want[source, lang, kind, "docs"] += 1
+                want[source, lang, kind, "tokens"] += n
     got = token_counts.maintain(documents, tokenizer_path(), "t").collect()
-    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == {(s, g): (want[s, g, "docs"], want[s, g, "tokens"]) for s, g, k in want if k == "docs"}
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in got} == {(s, g, t): (want[s, g, t, "docs"], want[s, g, t, "tokens"]) for s, g, t, k in want if k == "docs"}

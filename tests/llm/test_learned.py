@@ -206,12 +206,17 @@ def test_language_on_held_out_rows(spark, documents, nothing):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = queries.op10_language(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97 and all(0 <= r.score <= 1 for r in got)
-    odd = language.identify(documents.withColumn("lang_pred", F.lit("clash")), 40)
+    odd = language.identify(documents.withColumn("lang_pred", F.lit("clash")), 2000)
     rows = {r.doc_id: r for r in odd.collect()}
     assert odd.count() == documents.count() and all(rows[k].lang_pred == "und" and rows[k].score == 0 for k in (100_001, 100_002, 100_003))
     assert language.identify(nothing).count() == 0
     unknown = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert language.identify(unknown).first().lang_pred == "und"
+    again = language.identify(documents.repartition(9), 2000).collect()
+    assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 4)) for r in again) == sorted((str(r.doc_id), r.lang_pred, round(r.score, 4)) for r in odd.collect())
+    signs = spark.createDataFrame([(-1, "½ ² ① Ⅷ 12 --"), (-2, "½ a")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    got = language.identify(documents.select("doc_id", "text", "lang").unionByName(signs), 2000).where("doc_id < 0").collect()
+    assert {r.doc_id: r.lang_pred == "und" for r in got} == {-1: True, -2: False}
 
 
 def test_gradients_by_differences():
@@ -237,10 +242,22 @@ def test_gradients_by_differences():
             assert g[name].reshape(-1)[k] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=2e-4), name
 
 
-def test_every_byte_counts():
-    raw = np.frombuffer(b"abc" + b"x" * 100, np.uint8)
-    start, size, piece = language.segments(raw, np.array([0, 3]), np.array([3, 100]))
-    assert size.sum() == 103 and size.max() <= language.SPAN and piece.tolist() == [0, 1, 1, 1, 1, 1] and start.tolist() == [0, 3, 27, 51, 75, 99]
+@pytest.mark.parametrize(("chunk", "back", "lanes"), [(7, 2, 3), (50, 64, 4), (1024, 64, 2048)])
+def test_whole_texts_are_read(chunk, back, lanes, monkeypatch):
+    """Chunks give what one run over each whole text gives, and words are not read by themselves."""
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    monkeypatch.setattr(language, "BACK", back)
+    monkeypatch.setattr(language, "LANES", lanes)
+    monkeypatch.setattr(language, "SAME", 1e-7)
+    model, rng = language.Model(["a", "b", "c"]), np.random.default_rng(1)
+    texts = [b"", b"x", b"one two three", bytes(rng.integers(32, 250, 333, dtype=np.uint8)), b"ab " * 90, b"three two one"]
+    sizes = np.array([len(t) for t in texts])
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    got = model.texts(raw, np.cumsum(sizes) - sizes, sizes)
+    for k, t in enumerate(texts):
+        want = model.positions(np.frombuffer(t, np.uint8)[None])[0].sum((0, 1)) if t else np.zeros(3)
+        assert got[k] == pytest.approx(want, abs=2e-3)
+    assert not np.allclose(got[2], got[5], atol=1e-3)
 
 
 # --- pipeline ---------------------------------------------------------------------------------
