@@ -1,8 +1,8 @@
 """Personal data: pattern spans, and terms that give away what the patterns protect.
 
 Base spans are leftmost non-overlapping matches of each kind (email, ip, card, phone) that
-pass the kind's test. A term is a run of letters and digits of ``TERM_CHARS`` or more, folded A-Z,
-not all digits, that no base span overlaps or touches. Terms and entities meet in whole texts: over the
+pass the kind's test. A term is a run of letters and digits of ``TERM_CHARS`` or more, in lower
+case, not all digits, that no base span overlaps or touches. Terms and entities meet in whole texts: over the
 corpus of N documents
 
     disclosure(term, entity) = log2(N * n(term, entity) / (n(term) * n(entity))) / log2(N / n(entity))
@@ -47,8 +47,11 @@ MAX_BROADCAST = 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FILL = dict(zip(KINDS, "\x02\x03\x04\x05", strict=False))  # stand for characters of base spans
-_MASKED = r"[^\x00\x01\x06-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a term's characters, or those
-_RUN = _MASKED + f"{{{TERM_CHARS},}}+"
+_MASK = r"[^\x00\x01\x06-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a term's characters, or those
+_RUN = _MASK + f"{{{TERM_CHARS},}}+"
+_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MANY = 256
+_HITS = "array<struct<at:int,start:int,end:int,disclosure:double>>"
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -58,7 +61,6 @@ PATTERNS = {
 }
 GATES = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def running(sizes: Column, depth: int = 2) -> Column:
@@ -147,8 +149,17 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def _bare(text: Column) -> Column:
+    """The text without fillers of its own."""
+    return F.when(text.rlike("[\x02-\x05]"), F.translate(text, "".join(_FILL.values()), "    ")).otherwise(text)
+
+
 def masked(text: Column) -> Column:
     """The text with every character of a base span replaced by its kind's filler; as long as the text."""
+    return let(_bare(text), _masked)
+
+
+def _masked(text: Column) -> Column:
 
     def one(kind: str) -> Column:
         def fill(found: Column) -> Column:
@@ -168,22 +179,17 @@ def masked(text: Column) -> Column:
 
 
 def entity(span: Column) -> Column:
-    value = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.translate(span["value"], _UPPER, _LOWER))
+    value = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
     return F.concat(span["kind"], F.lit(":"), value)
 
 
 def _text(name: str = "text") -> Column:
-    """The text, with no filler of its own."""
-    return F.translate(F.coalesce(F.col(name), F.lit("")), "".join(_FILL.values()), "    ")
-
-
-def _fold(value: Column) -> Column:
-    return F.translate(value, _UPPER, _LOWER)
+    return F.coalesce(F.col(name), F.lit(""))
 
 
 def _words(text: Column) -> Column:
-    """The different runs of a text, folded."""
-    return F.array_distinct(F.regexp_extract_all(_fold(text), F.lit(TERM.removesuffix("+") + f"{{{TERM_CHARS},}}+"), F.lit(0)))
+    """The different runs of a text, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), _BREAK)), lambda w: F.length(w) >= TERM_CHARS)
 
 
 def _free(run: Column) -> Column:
@@ -193,19 +199,21 @@ def _free(run: Column) -> Column:
 
 def outside_terms(text: Column) -> Column:
     """The different terms of a whole text that no base span touches."""
-    return F.filter(F.array_distinct(F.regexp_extract_all(_fold(masked(text)), F.lit(_RUN), F.lit(0))), _free)
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(masked(text)), F.lit(_RUN), F.lit(0))), _free)
 
 
 def _node(name: str = "text") -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(name), F.lit(""))))
+    return F.unhex(F.md5(_text(name)))
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, node (text hash), base spans, and the terms of texts that have some, of every row."""
+    """node (text hash), entities and terms of every row with base spans."""
     text = _text()
-    both = let(base_spans(text), lambda b: F.struct(b.alias("base"), F.when(F.size(b) > 0, outside_terms(text)).alias("terms")))
-    out = docs.select("doc_id", _node().alias("node"), let(both, lambda x: x).alias("_b"))
-    return out.select("doc_id", "node", "_b.base", F.expr("coalesce(_b.terms, array())").alias("terms"))
+    gates = [_gate(text, k) for k in PATTERNS]
+    some = docs.where(gates[0] | gates[1] | gates[2] | gates[3])
+    out = some.select(_node().alias("node"), let(base_spans(text), lambda b: F.when(F.size(b) > 0, F.struct(
+        F.array_distinct(F.transform(b, entity)).alias("entities"), outside_terms(text).alias("terms")))).alias("of"))
+    return out.where("of is not null").select("node", "of.*")
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -222,22 +230,23 @@ def _entities(texts: DataFrame) -> DataFrame:
     return each.where(F.col("texts") >= SUPPORT).groupBy("n_entity", "texts", "x", "y", "z").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
 
 
-def disclosing(docs: DataFrame, measured: DataFrame, folder: str) -> DataFrame:
+def disclosing(docs: DataFrame, folder: str) -> DataFrame:
     """(term, disclosure) of the terms that reach the threshold for an entity, by the entity they disclose most of."""
-    held = measured.where(F.size("base") > 0).select("node", F.array_distinct(F.transform("base", entity)).alias("entities"), "terms")
+    held = cut(measure(docs), f"{folder}/measured")
     texts = cut(held.groupBy("node", "entities", "terms").agg(F.count(F.lit(1)).alias("copies")), f"{folder}/texts")
     known = _few(cut(_entities(texts), f"{folder}/entities"))
-    near = texts.select("node", "copies", "terms", F.explode("entities").alias("entity")).join(known, "entity")
-    near = cut(near, f"{folder}/near")
+    near = cut(texts.select("node", "copies", "terms", F.explode("entities").alias("entity")).join(known, "entity"), f"{folder}/near")
     wanted = near.select("node", "terms").dropDuplicates(["node"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
     wanted = cut(wanted.where(F.col("texts") >= SUPPORT).select("term"), f"{folder}/terms")
     if wanted.isEmpty():
         return wanted.select("term", F.lit(0.0).alias("disclosure"))
     seen = docs.select(F.explode(_words(_text())).alias("term"))
-    n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    # An inner join: a semi join would move below the sums and meet every word.
-    n_term = _few(cut(n_term.join(wanted, "term"), f"{folder}/counts"))
-    total = measured.count()
+    if wanted.count() <= MAX_BROADCAST:  # words meet the few terms before they are counted
+        n_term = seen.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    else:  # an inner join: a semi join would move below the sums and meet every word
+        n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
+    n_term = _few(cut(n_term, f"{folder}/counts"))
+    total = docs.count()
     n = {c: F.col(c).cast("double") for c in ("n_both", "n_term", "n_entity")}
     content = F.log(total / n["n_entity"])
     # n_both is n_entity at most; the threshold is met only up to this count of the term.
@@ -249,52 +258,68 @@ def disclosing(docs: DataFrame, measured: DataFrame, folder: str) -> DataFrame:
     return scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def hits(docs: DataFrame, terms: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, node, hits): where each text that holds disclosing terms has them: run number, start, end, disclosure."""
+def told(docs: DataFrame, terms: DataFrame, folder: str) -> DataFrame:
+    """(t, said, placed) of each text (by its hash) with disclosing terms: these, or, of MANY or more, where they stand."""
     terms = _few(terms)
-    rows = docs.select("doc_id", _node().alias("node"), _text().alias("text"))
-    held = rows.select("node", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term").select("node").distinct()
-    held = _few(cut(held, f"{folder}/held"))
-    runs = rows.join(held, "node", "left_semi").select("doc_id", "node", F.posexplode(find_all(masked(F.col("text")), _RUN, "term")).alias("at", "run"))
-    runs = runs.where(_free(F.col("run.value"))).select("doc_id", "node", "at", "run.start", "run.end", _fold(F.col("run.value")).alias("term"))
-    found = runs.join(terms, "term").groupBy("doc_id", "node", "at", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return found.groupBy("doc_id", "node").agg(F.sort_array(F.collect_list(F.struct("at", "start", "end", "disclosure"))).alias("hits"))
+    rows = docs.select(_node().alias("node"), _text().alias("text"))
+    said = rows.select("node", F.explode(_words(F.col("text"))).alias("term")).join(terms, "term").groupBy("node").agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("said"))
+    said = cut(said, f"{folder}/said")
+    few = said.where(F.size("said") < MANY).select(F.col("node").alias("t"), "said", F.expr(f"cast(null as {_HITS}) as placed"))
+    # Looking each run up in the text's own list would take the product of both.
+    many = said.where(F.size("said") >= MANY).select("node")
+    runs = rows.join(_few(many), "node", "left_semi").select("node", F.posexplode(find_all(masked(F.col("text")), _RUN, "term")).alias("at", "run"))
+    runs = runs.where(_free(F.col("run.value"))).select("node", "at", "run.start", "run.end", F.lower("run.value").alias("term")).join(terms, "term")
+    placed = runs.groupBy("node", "at", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    placed = placed.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("at", "start", "end", "disclosure"))).alias("placed"))
+    return few.unionByName(placed.select(F.col("node").alias("t"), F.lit(None).cast("array<struct<term:string,disclosure:double>>").alias("said"), "placed"))
+
+
+def _hits(hidden: Column) -> Column:
+    """Run number, start, end and disclosure of each disclosing term, in order, from columns said and placed."""
 
+    def of(r: Column, i: Column) -> Column:
+        found = F.when(_free(r["value"]), let(F.lower(r["value"]), lambda v: F.get(F.filter("said", lambda x: x["term"] == v), F.lit(0))["disclosure"]))
+        return F.struct(i.alias("at"), r["start"].alias("start"), r["end"].alias("end"), found.alias("disclosure"))
 
-def detect(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id, node, base (kind, start, end, value) and hits (terms: at, start, end, disclosure) of every row."""
+    looked = F.filter(F.transform(find_all(hidden, _RUN, "term"), of), lambda h: h["disclosure"].isNotNull())
+    return F.coalesce(F.col("placed"), F.when(F.col("said").isNotNull(), looked), F.expr(f"cast(array() as {_HITS})"))
+
+
+def sanitise(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Per document: doc_id, text, base (kind, start, end, value), hits (terms: at, start, end, disclosure) and clean_text."""
     docs = ensure(docs, doc_id="long", text="string")
     folder = folder or shared_dir(docs.sparkSession)
-    measured = cut(measure(docs), f"{folder}/measured")
-    terms = cut(disclosing(docs, measured, folder), f"{folder}/disclosing")
-    out = measured.select("doc_id", "node", "base")
+    terms = cut(disclosing(docs, folder), f"{folder}/disclosing")
     if terms.isEmpty():
-        return out.withColumn("hits", F.expr("cast(array() as array<struct<at:int,start:int,end:int,disclosure:double>>)"))
-    told = cut(hits(docs, terms, folder), f"{folder}/hits").select(F.col("doc_id").alias("d"), F.col("node").alias("t"), "hits")
-    out = out.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("node") == F.col("t")), "left")
-    return out.select("doc_id", "node", "base", F.expr("coalesce(hits, array())").alias("hits"))
+        rows = docs.withColumns({"said": F.lit(None).cast("array<struct<term:string,disclosure:double>>"), "placed": F.expr(f"cast(null as {_HITS})")})
+    else:
+        rows = docs.join(_few(cut(told(docs, terms, folder), f"{folder}/told")), _node() == F.col("t"), "left")
+    # Steps of their own: one nested expression would be too deep for the analyser. Each is used more than once, so they stay apart.
+    rows = rows.select("doc_id", "text", "said", "placed", base_spans(_text()).alias("base"))
+    plain = F.size("base") == 0
+    rows = rows.withColumn("hidden", F.when(plain & F.col("said").isNull() & F.col("placed").isNull(), F.lit("")).otherwise(masked(_text())))
+    rows = rows.withColumn("hits", _hits(F.col("hidden")))
+    clean = F.when(plain & (F.size("hits") == 0), _bare(_text())).otherwise(cleaned(F.col("hidden"), F.col("hits")))
+    return rows.select("doc_id", "text", "base", "hits", F.when(F.col("text").isNotNull(), clean).alias("clean_text"))
 
 
-def cleaned(text: Column, told: Column) -> Column:
-    """The text without what its base spans and hits cover."""
+def cleaned(hidden: Column, hits: Column) -> Column:
+    """A masked text with its base spans named, and without its hits."""
 
     def marked(pieces: Column) -> Column:
         def part(h: Column, k: Column) -> Column:
-            since = F.coalesce(F.get(told, k - 1)["at"] + 1, F.lit(0))  # pieces are gap, run, gap, run ...
+            since = F.coalesce(F.get(hits, k - 1)["at"] + 1, F.lit(0))  # pieces are gap, run, gap, run ...
             before = F.array_join(F.slice(pieces, 2 * since + 1, 2 * (h["at"] - since) + 1), "")
             return F.concat(before, F.when(h["disclosure"] >= REMOVE, "").otherwise("[TERM]"))
 
-        rest = F.array_join(F.slice(pieces, 2 * F.element_at(told, -1)["at"] + 3, F.size(pieces)), "")
-        return F.concat(F.array_join(F.transform(told, part), ""), rest)
-
-    def with_runs(hidden: Column) -> Column:
-        def woven(gaps: Column) -> Column:
-            runs = F.regexp_extract_all(hidden, F.lit(_RUN), F.lit(0))
-            return let(let(runs, lambda r: F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(r), F.array(g, F.get(r, i))).otherwise(F.array(g))))), marked)
+        rest = F.array_join(F.slice(pieces, 2 * F.element_at(hits, -1)["at"] + 3, F.size(pieces)), "")
+        return F.concat(F.array_join(F.transform(hits, part), ""), rest)
 
-        return F.when(F.size(told) == 0, hidden).otherwise(let(F.split(hidden, _RUN, -1), woven))
+    def woven(gaps: Column) -> Column:
+        runs = F.regexp_extract_all(hidden, F.lit(_RUN), F.lit(0))
+        return let(let(runs, lambda r: F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(r), F.array(g, F.get(r, i))).otherwise(F.array(g))))), marked)
 
-    out = let(masked(text), with_runs)
+    out = F.when(F.size(hits) == 0, hidden).otherwise(let(F.split(hidden, _RUN, -1), woven))
     for kind, fill in _FILL.items():
         out = F.regexp_replace(out, f"{fill}+", f"[{kind.upper()}]")
     return out
@@ -308,18 +333,6 @@ def _is(kind: str) -> Callable[[Column], Column]:
     return lambda span: span["kind"] == kind
 
 
-def sanitise(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Per document: doc_id, text, base and hits (as of ``detect``), and clean_text."""
-    docs = ensure(docs, doc_id="long", text="string")
-    found = cut(detect(docs, folder), f"{folder or shared_dir(docs.sparkSession)}/found")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (_node() == F.col("t"))
-    told = found.where("size(base) > 0 or size(hits) > 0").dropDuplicates(["doc_id", "node"])
-    rows = docs.join(told.select(F.col("doc_id").alias("d"), F.col("node").alias("t"), "base", "hits"), same, "left")
-    clean = F.when(F.col("text").isNotNull(), F.when(F.col("t").isNull(), _text()).otherwise(cleaned(_text(), F.col("hits"))))
-    none = (F.expr(f"coalesce(base, cast(array() as {_SPANS}))").alias("base"), F.expr("coalesce(hits, array())").alias("hits"))
-    return rows.select("doc_id", "text", *none, clean.alias("clean_text"))
-
-
 def report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, counts by kind, base_sha256, spans, clean_text."""
     found = sanitise(docs)
@@ -342,7 +355,7 @@ _PLAIN = [
 ]
 _PLACE = "(coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0))::bigint"
 _DIGIT = "substr(digits, (length(digits) - j)::bigint, 1)::int"
-_FOLDED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLDED = "lower({})"
 
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text IS NULL AS missing, translate(coalesce(text, ''), chr(2) || chr(3) || chr(4) || chr(5), '    ') AS text FROM documents),
