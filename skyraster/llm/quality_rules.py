@@ -1,17 +1,18 @@
 """Quality rules: base counts of a text and a hashed n-gram log-likelihood ratio.
 
-Features of a text are its words, its pairs of neighbouring words and its words' last two
-characters, hashed by CRC-32 into ``BUCKETS`` buckets each; a word beside itself always falls into
-the first bucket of the pairs. Two multinomials over the buckets, with add-``ALPHA`` smoothing,
-are estimated from all documents (raw) and from the trusted ones (target); a text's score is the
-mean over its features of log(target / raw), with logs kept as whole units of 1 / ``UNIT`` so that
-sums do not depend on order. Texts below ``THRESHOLD`` are rejected.
+Features of a text are its runs of one, two and three words, in their order, hashed into
+``BUCKETS`` buckets for each length: a word's code is its CRC-32 modulo 2 ** 26, and a run's is
+``STEP`` times that of the run without its last word, and that word's. Two multinomials over the
+buckets, with add-``ALPHA`` smoothing, are estimated from all documents (raw) and from the trusted
+ones (target); a text's score is the mean over its features of log(target / raw), with logs kept as
+whole units of 1 / ``UNIT`` so that sums do not depend on order. Texts below ``THRESHOLD`` are rejected.
 
 Trusted texts are told by strict form: ``TRUST_WORDS`` words or more, under 0.5 % symbols,
 under 2 % pairs of capitals, no repeated line, and a fifth or more of the words distinct.
 
-Everything is DataFrame functions. Two scans: one for the counts (at most 3 * BUCKETS sums reach
-the driver), one for the decisions; no text is shuffled.
+Everything is DataFrame functions. One scan of the texts gives the base counts and the words'
+codes, which are kept in a table; buckets are counted (at most 3 * BUCKETS sums reach the driver) and
+texts decided from that. No text is shuffled.
 
 Cases: null and empty texts have no words, so the base fails them; a table without trusted
 texts scores everything 0 and keeps what the base keeps; repeated rows are decided alike; very
@@ -27,12 +28,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import ensure
+from skyraster.llm.common import cut, ensure, shared_dir
 
 BUCKETS = 1 << 14
+CODES = 1 << 26  # so that what is added below stays within int
+STEP = 5
 ALPHA = 1.0
 UNIT = 10_000
-THRESHOLD = -0.35
+THRESHOLD = -0.125
 TRUST_WORDS = 30
 MIN_WORDS = 10
 REPEAT_SHARE = 20
@@ -58,24 +61,18 @@ def _words(spaced: Column) -> Column:
 
 
 def _code(text: Column) -> Column:
-    """A non-negative int for a text. Arithmetic on these stays within int."""
-    return (F.crc32(text.cast("binary")) % (1 << 31)).cast("int")
+    """A word's code: a non-negative int."""
+    return (F.crc32(text.cast("binary")) % CODES).cast("int")
 
 
-def _codes(words: Column) -> Column:
-    return F.transform(words, _code)
+def _runs(codes: Column, a: Column, i: Column) -> list[Column]:
+    """Buckets of the runs of one, two and three words that begin at a; null past the end."""
+    b, c = F.get(codes, i + 1), F.get(codes, i + 2)
+    two = a * STEP + b
+    return [a % BUCKETS, two % BUCKETS + BUCKETS, (a * STEP % CODES * STEP + b * STEP + c) % BUCKETS + 2 * BUCKETS]
 
 
-def _pair(c: Column, after: Column) -> Column:
-    """Bucket of two neighbours' codes: 0 if they are equal."""
-    return c.bitwiseXOR(after) % BUCKETS
-
-
-def _end(word: Column) -> Column:
-    return _code(F.substring(word, -2, 2)) % BUCKETS
-
-
-def _repeats(words: Column) -> Column:
+def _repeats(words: Column, codes: Column) -> Column:
     """Words inside windows of WINDOW words that the text holds twice or more."""
 
     def covered(at: Column) -> Column:
@@ -86,93 +83,92 @@ def _repeats(words: Column) -> Column:
         same = F.filter(rows, lambda r, i: F.coalesce(F.get(rows, i - 1)["h"] == r["h"], F.lit(False)) | F.coalesce(F.get(rows, i + 1)["h"] == r["h"], F.lit(False)))
         return let(F.sort_array(F.transform(same, lambda r: r["i"])), covered)
 
+    def windows(of: Column) -> Column:
+        starts = F.slice(of, 1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(0)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(of, i + k) for k in range(1, WINDOW)]))
+
     def look(hashes: Column) -> Column:
-        rows = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(rows, again))
+        return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), again)
 
-    starts = F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
-    return let(F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, WINDOW)])), look)
+    # Where no two windows have the same codes, no two are the same; else the words themselves are hashed.
+    return let(windows(codes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(windows(words), look)))
 
 
 def _dup_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return F.when(text.contains("\n"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(F.lit(0))
+
 
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
 
-def trusted(text: Column, codes: Column) -> Column:
+
+def trusted(text: Column, words: Column, codes: Column) -> Column:
     """Whether a text's form is strict enough for the target distribution."""
     chars = F.length(text)
-    cheap = (F.regexp_count(text, F.lit(r"[#*$%&|<>]")) * 200 <= chars) & (F.regexp_count(text, F.lit("[A-Z][A-Z]")) * 50 <= chars)
-    words = (F.size(codes) >= TRUST_WORDS) & (F.size(F.array_distinct(codes)) * 5 >= F.size(codes))
-    return F.coalesce(words & cheap & (_dup_lines(text) == 0), F.lit(False))
+    cheap = (F.size(codes) >= TRUST_WORDS) & (_symbols(text) * 200 <= chars) & (F.regexp_count(text, F.lit("[A-Z][A-Z]")) * 50 <= chars) & (_dup_lines(text) == 0)
+    return F.coalesce(cheap & (F.size(F.array_distinct(words)) * 5 >= F.size(codes)), F.lit(False))
+
 
+def analysis(text: Column) -> Column:
+    """Struct of the base counts, whether the text is trusted, and its words' codes."""
 
-def log_ratios(docs: DataFrame) -> list[int]:
-    """log(target / raw) of every bucket in units, from all documents."""
-    text = _text()
+    def counted(spaced: Column) -> Column:
+        return let(_words(spaced), lambda w: let(F.transform(w, _code), lambda c: F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"), _symbols(text).cast("long").alias("n_symbols"),
+            _dup_lines(text).cast("long").alias("n_dup_lines"), _repeats(w, c).cast("long").alias("n_repeat_words"), trusted(text, w, c).alias("trusted"), c.alias("codes"))))
 
-    def marked(words: Column, codes: Column, base: Column) -> Column:
-        # Trusted texts count in buckets of their own: a flag beside the exploded column would be
-        # worked out again for every feature.
-        first = F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0)))
-        return F.concat(F.transform(codes, lambda c: c % BUCKETS + base), F.transform(first, lambda c, i: _pair(c, F.get(codes, i + 1)) + (base + BUCKETS)),
-                        F.transform(words, lambda w: _end(w) + (base + 2 * BUCKETS)))
+    return let(_spaced(text), counted)
 
-    def features(words: Column, codes: Column) -> Column:
-        return let(F.when(trusted(text, codes), F.lit(3 * BUCKETS)).otherwise(F.lit(0)), lambda base: marked(words, codes, base))
 
-    seen = docs.select(F.explode(let(_words(_spaced(text)), lambda w: let(_codes(w), lambda c: features(w, c)))).alias("bt"))
-    seen = seen.groupBy("bt").agg(F.count(F.lit(1)).alias("n"))
+def log_ratios(coded: DataFrame) -> list[int]:
+    """log(target / raw) of every bucket in units, from the trusted and codes of all documents."""
+    following = [F.slice("codes", k, F.size("codes")) for k in (1, 2, 3)]
+    rows = coded.where(F.size("codes") > 0).select(F.when(F.col("trusted"), 3 * BUCKETS).otherwise(0).alias("base"), F.inline(F.arrays_zip(*[x.alias(n) for x, n in zip(following, "abc", strict=True)])).alias("a", "b", "c"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    each = F.array(a % BUCKETS, (a * STEP + b) % BUCKETS + BUCKETS, (a * STEP % CODES * STEP + b * STEP + c) % BUCKETS + 2 * BUCKETS)
+    # Trusted texts count in buckets of their own, so that the sums need one key.
+    seen = rows.select("base", F.explode(each).alias("b")).where("b is not null").groupBy((F.col("base") + F.col("b")).alias("bt")).agg(F.count(F.lit(1)).alias("n"))
     target = F.when(F.col("bt") >= 3 * BUCKETS, F.col("n")).otherwise(0)
     counts = seen.groupBy((F.col("bt") % (3 * BUCKETS)).alias("b")).agg(F.sum("n").alias("raw"), F.sum(target).alias("target"))
-    rows = counts.collect()  # at most 3 * BUCKETS sums
-    n, all_raw, all_target = 3 * BUCKETS, sum(r.raw for r in rows), sum(r.target for r in rows)
+    found = counts.collect()  # at most 3 * BUCKETS sums
+    n, all_raw, all_target = 3 * BUCKETS, sum(r.raw for r in found), sum(r.target for r in found)
     out = [0] * n
-    for r in rows if all_target else []:
+    for r in found if all_target else []:
         ratio = math.log((r.target + ALPHA) / (all_target + ALPHA * n)) - math.log((r.raw + ALPHA) / (all_raw + ALPHA * n))
         out[r.b] = round(ratio * UNIT)
     return out
 
 
-def decisions(text: Column, ratios: list[int]) -> Column:
-    """Struct of the base counts, and the score in units over the number of features."""
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
-
-    def units(words: Column, codes: Column) -> Column:
-        each = F.transform(words, lambda w, i: F.get(table, F.get(codes, i) % BUCKETS) + F.get(table, _end(w) + 2 * BUCKETS)
-                           + F.coalesce(F.get(table, _pair(F.get(codes, i), F.get(codes, i + 1)) + BUCKETS), F.lit(0)))
-        return F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
-
-    def counted(spaced: Column) -> Column:
-        return let(_words(spaced), lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
-            _repeats(w).cast("long").alias("n_repeat_words"), let(_codes(w), lambda c: units(w, c)).alias("units"),
-            F.greatest(3 * F.size(w) - 1, F.lit(0)).cast("long").alias("n_features")))
+def _rated(coded: DataFrame, threshold: float) -> DataFrame:
+    """Adds units, n_features, base_failed and kept to coded rows."""
+    table = F.split(F.lit(",".join(map(str, log_ratios(coded)))), ",").cast("array<int>")
 
-    return F.struct(
-        let(_spaced(text), counted).alias("of"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), _dup_lines(text).cast("long").alias("n_dup_lines"))
+    def units(codes: Column) -> Column:
+        def at(c: Column, i: Column) -> Column:
+            one, two, three = _runs(codes, c, i)
+            return F.get(table, one) + F.coalesce(F.get(table, two), F.lit(0)) + F.coalesce(F.get(table, three), F.lit(0))
 
+        return F.aggregate(F.transform(codes, at), F.lit(0).cast("long"), lambda x, y: x + y)
 
-def _rated(docs: DataFrame, ratios: list[int], threshold: float, *keep: Column) -> DataFrame:
-    out = docs.select(*keep, let(decisions(_text(), ratios), lambda d: d).alias("_d"))
-    out = out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_d"], "_d.of.*", "_d.n_symbols", "_d.n_dup_lines")
+    features = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, 3)), F.col("n_words"))
+    out = coded.withColumn("units", units(F.col("codes"))).withColumn("n_features", features)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
-    passed = F.col("units") >= F.col("n_features") * int(threshold * UNIT)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & passed)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("units") >= F.col("n_features") * int(threshold * UNIT)))
 
 
 def rate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, n_words, base counts, base_failed, kept, and score (units a feature)."""
     docs = ensure(docs, doc_id="long", text="string")
-    out = _rated(docs, log_ratios(docs), threshold, F.col("doc_id"))
+    coded = cut(docs.select("doc_id", analysis(_text()).alias("of")).select("doc_id", "of.*"), f"{shared_dir(docs.sparkSession)}/coded")
     score = F.when(F.col("n_features") > 0, F.floor(F.col("units") / F.col("n_features"))).otherwise(0).cast("long")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", score.alias("score"))
+    return _rated(coded, threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", score.alias("score"))
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    ratios = log_ratios(docs.select("text"))
-    return _rated(docs, ratios, threshold, F.struct("*").alias("_row")).where("kept").select("_row.*")
+    coded = docs.select(F.struct("*").alias("_row"), analysis(_text()).alias("of")).select("_row", "of.*")
+    return _rated(cut(coded, f"{shared_dir(docs.sparkSession)}/coded"), threshold).where("kept").select("_row.*")
 
 
 ORACLE = r"""
@@ -193,18 +189,18 @@ crc_table AS (
   SELECT list(c ORDER BY k) AS tab FROM (
     SELECT k, list_reduce(list_prepend(k::ubigint, range(8)::ubigint[]),
       lambda a, b: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384::ubigint) ELSE a >> 1 END) AS c FROM range(256) t(k))),
-tok AS (SELECT DISTINCT unnest(w) AS tok FROM w UNION SELECT DISTINCT right(tok, 2) FROM (SELECT unnest(w) AS tok FROM w)),
+tok AS (SELECT DISTINCT unnest(w) AS tok FROM w),
 crc AS (
   SELECT tok, xor(list_reduce(list_prepend(4294967295::ubigint, [('0x' || substr(hex(tok), 2 * i + 1, 2))::ubigint FOR i IN range(strlen(tok))]),
-    lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::bigint])), 4294967295::ubigint)::bigint % 2147483648 AS c FROM tok, crc_table),
+    lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::bigint])), 4294967295::ubigint)::bigint % 67108864 AS c FROM tok, crc_table),
 pos AS (SELECT rid, trusted, unnest(w) AS tok, unnest(range(1, len(w) + 1)) AS i FROM base),
-coded AS (SELECT rid, trusted, i, tok, c, lead(c) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM pos JOIN crc USING (tok)),
+coded AS (SELECT rid, trusted, c, lead(c) OVER o AS c2, lead(c, 2) OVER o AS c3 FROM pos JOIN crc USING (tok) WINDOW o AS (PARTITION BY rid ORDER BY i)),
 feat AS (
   SELECT rid, trusted, c % 16384 AS b FROM coded
   UNION ALL
-  SELECT rid, trusted, 16384 + xor(c, nxt) % 16384 FROM coded WHERE nxt IS NOT NULL
+  SELECT rid, trusted, 16384 + (5 * c + c2) % 16384 FROM coded WHERE c2 IS NOT NULL
   UNION ALL
-  SELECT rid, trusted, 32768 + crc.c % 16384 FROM coded JOIN crc ON crc.tok = right(coded.tok, 2)),
+  SELECT rid, trusted, 32768 + (25 * c + 5 * c2 + c3) % 16384 FROM coded WHERE c3 IS NOT NULL),
 cnt AS (SELECT b, count(*)::double AS raw, sum(trusted::int)::double AS target FROM feat GROUP BY b),
 tot AS (SELECT sum(raw) AS all_raw, sum(target) AS all_target FROM cnt),
 lw AS (
@@ -213,7 +209,7 @@ lw AS (
 sc AS (SELECT rid, sum(u) AS units, count(*) AS n FROM feat JOIN lw USING (b) GROUP BY rid)
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
   n_repeat_words::bigint AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(units, 0) >= coalesce(n, 0) * -3500 AS kept,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(units, 0) >= coalesce(n, 0) * -1250 AS kept,
   coalesce(floor(units / n::double), 0)::bigint AS score
 FROM base LEFT JOIN sc USING (rid)
 """

@@ -114,6 +114,21 @@ def test_base_counts_by_brute_force(spark, documents):
         assert not (r.kept and r.base_failed)
 
 
+def test_word_order_counts(spark):
+    rng = np.random.default_rng(2)
+    prose = [" ".join(f"{a}{k}" for k in rng.integers(0, 30, 20) for a in ("the", "noun", "verb")) for _ in range(200)]
+    rows = list(enumerate(prose + [" ".join([*reversed(t.split()), "#" * 80]) for t in prose])) + [(1000, " ".join(reversed(prose[0].split()))), (1001, " ".join(sorted(prose[0].split())))]
+    got = {r.doc_id: r.score for r in quality_rules.rate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({got[0], got[1000], got[1001]}) == 3
+
+
+def test_windows_with_equal_codes_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "CODES", 2)  # nearly all windows share their codes
+    texts = ["a b c d e f g h i j k l", "a b c d e f g a b c d e", " ".join(f"w{k % 9}" for k in range(40))]
+    got = quality_rules.rate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {k: base_counts(t)[4] for k, t in enumerate(texts)}
+
+
 def test_rules_part_junk_from_prose(spark, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
