@@ -42,6 +42,14 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``cut`` wrote, once nothing reads it any more."""
+    spark = table.sparkSession
+    for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def release() -> None:
     """Give freed memory back to the system: a Python worker may idle beside other work."""
     import pyarrow as pa

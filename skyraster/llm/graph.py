@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut
-
-MAX_ROUNDS = 64
+from skyraster.llm.common import cut, drop
 
 
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
@@ -20,15 +20,17 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """
     edges = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), f"{folder}/{name}-edges")
     out = None
-    for k in range(MAX_ROUNDS):
+    for k in itertools.count():  # the smallest node of a component is never left over, so this ends
         both = edges.union(edges.select("v", "u"))
         labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
         labels = cut(labels, f"{folder}/{name}-labels-{k}")
         step = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        out = labels if out is None else out.join(step, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+        before, out = out, labels if out is None else cut(out.join(step, "label", "left").select("node", F.coalesce("further", "label").alias("label")), f"{folder}/{name}-components-{k}")
         from_, to = (labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}2")) for c in "uv")
         left = edges.join(from_, "u").join(to, "v").where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct()
-        edges = cut(left, f"{folder}/{name}-edges-{k}")
+        done, edges = edges, cut(left, f"{folder}/{name}-edges-{k}")
+        for table in (done, before, labels):
+            if table is not None and table is not out:
+                drop(table)
         if edges.isEmpty():
-            return cut(out, f"{folder}/{name}-components")
-    raise RuntimeError(f"edges left after {MAX_ROUNDS} rounds")
+            return out

@@ -12,13 +12,16 @@ it is connected with) and its number of links (documents linked with it, copies
    as soon as this falls below ``TOLERANCE``. A bucket's surviving pairs matter only by their
    components: those are searched breadth first, each node against the nodes not reached yet, and
    leave as stars, so a bucket of m nodes yields at most m - 1 rows, and a tight one little work.
-3. The stars' components hold every surviving pair. Inside each, all pairs go through the same
-   pruning, and those that remain are verified on the full sets: counts of links, and again
-   stars, whose components are the classes.
-
-Buckets of more than ``BUCKET`` and components of more than ``BLOCK`` nodes are cut into blocks,
-and each pair of blocks is a task's work of bounded size; nothing is capped. Pairs are lost only
-as the method has it: a pair at exactly the threshold shares no band with probability 3e-6, and
+3. The stars' components hold every surviving pair, and all pairs inside each are verified on the
+   full sets: counts of links, and again stars, whose components are the classes. For that a text is
+   shipped once, to be compared with its component's reference text (the least node): what it
+   has less or more than that, its difference, is all that goes on. With r shingles of the reference R
+   missing, |A and B| = |R| - r(A) - r(B) + |difference of A and difference of B|.
+
+Buckets of more than ``BUCKET`` nodes and components of more than ``BLOCK`` are cut into blocks, and
+each pair of blocks is a task's work of bounded size; nothing is capped. A component's differences go
+to up to ``SPREAD`` blocks of pairs each, to more only if blocks would grow over ``MOST``. Pairs are
+lost only as the method has it: a pair at exactly the threshold shares no band with probability 3e-6, and
 is pruned with about TOLERANCE.
 
 Cases: null, empty and wordless texts link to nothing and are their own class; equal rows are
@@ -46,9 +49,12 @@ BANDS = 24
 HASHES = ROWS * BANDS
 STEP = 16
 TOLERANCE = 1e-8
-BLOCK = 512
+BLOCK = 128
+SPREAD = 32
+MOST = 8192
 BUCKET = 4096
-STRIP = 128
+PART_SHINGLES = 1 << 19
+CELLS = 1 << 22
 MAX_BROADCAST = 300_000
 MEMO = 200_000
 
@@ -114,25 +120,6 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 _LEAST = least_matches()
 
 
-def survivors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of two signature matrices that outlive the pruning."""
-    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo in range(0, len(a), STRIP):  # so that memory is bounded
-        part = a[lo : lo + STRIP]
-        matches = np.zeros((len(part), len(b)), np.int16)
-        for k in range(STEP):
-            matches += part[:, k, None] == b[None, :, k]
-        i, j = np.nonzero(matches >= _LEAST[STEP])
-        m = matches[i, j]
-        for n in range(2 * STEP, HASHES + 1, STEP):
-            m = m + (part[i, n - STEP : n] == b[j, n - STEP : n]).sum(1)
-            keep = m >= _LEAST[n]
-            i, j, m = i[keep], j[keep], m[keep]
-        rows.append(i + lo)
-        columns.append(j)
-    return np.concatenate(rows), np.concatenate(columns)
-
-
 def _alike(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Which rows of ``many`` outlive the pruning against ``one``."""
     left = np.arange(len(many))
@@ -172,26 +159,6 @@ def _stars(groups: list[list[int]], node: list[bytes]) -> tuple[list[bytes], lis
     return u, v
 
 
-def joined(n: int, pairs: list[tuple[int, int]]) -> list[list[int]]:
-    """Components (of two or more) of index pairs."""
-    up = list(range(n))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for x, y in pairs:
-        a, b = top(x), top(y)
-        if a != b:
-            up[b] = a
-    out: dict[int, list[int]] = {}
-    for x in {k for p in pairs for k in p}:
-        out.setdefault(top(x), []).append(x)
-    return list(out.values())
-
-
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal keys, whole, from batches in key order."""
     held: list[pa.Table] = []
@@ -227,28 +194,28 @@ def node_of(text: str) -> Column:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, node (text hash), sig (null for wordless texts) of every row."""
+    """doc_id, node (text hash), sig (null for wordless texts), n (size of the set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            sigs = []
+            sigs, sizes = [], []
             for k in range(batch.num_rows):
                 h = shingles(texts[k].as_py())
                 sigs.append(signature(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(sigs, pa.binary())], names=["doc_id", "node", "sig"])
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "node", "sig", "n"])
         release()
 
     rows = ensure(docs, doc_id="long", text="string").select("doc_id", "text", node_of("text").alias("node"))
-    return rows.mapInArrow(run, "doc_id long, node binary, sig binary")
+    return rows.mapInArrow(run, "doc_id long, node binary, sig binary, n long")
 
 
-def _block_pairs(rows: DataFrame, size: str, block: int) -> DataFrame:
-    """Rows of a group of ``size``, once for each pair of blocks (bi <= bj) that holds the row's block."""
-    n = F.ceil(F.col(size) / block).cast("int")
-    out = rows.withColumn("n_blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+def _block_pairs(rows: DataFrame, n_blocks: Column) -> DataFrame:
+    """Rows with their block of n_blocks, once for each pair of blocks (bi <= bj) that holds it."""
+    out = rows.withColumn("n_blocks", n_blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    return out.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("n_blocks", "other", size)
+    return out.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("n_blocks", "other")
 
 
 def candidates(nodes: DataFrame, folder: str) -> DataFrame:
@@ -258,7 +225,7 @@ def candidates(nodes: DataFrame, folder: str) -> DataFrame:
     rows = nodes.select("node", F.explode(keys).alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = cut(rows.join(shared, "band"), f"{folder}/bands")
-    rows = _block_pairs(shared, "size", BUCKET).join(nodes.select("node", "sig"), "node")
+    rows = _block_pairs(shared, F.ceil(F.col("size") / BUCKET)).join(nodes.select("node", "sig"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["band", "bi", "bj"]):
@@ -274,91 +241,147 @@ def candidates(nodes: DataFrame, folder: str) -> DataFrame:
     return rows.mapInArrow(run, "u binary, v binary")
 
 
-def _pairs(sig: np.ndarray, block: np.ndarray, bi: int, bj: int) -> Iterator[tuple[int, int]]:
-    """Surviving pairs, one from each of the two blocks (or both from the one)."""
-    left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
-    i, j = survivors(sig[left], sig[right])
-    if bi == bj:
-        i, j = i[i < j], j[i < j]
-    yield from zip(left[i].tolist(), right[j].tolist(), strict=True)
-
-
-def _similar(sets: list[np.ndarray], pairs: list[tuple[int, int]], threshold: float) -> list[tuple[int, int]]:
-    """The pairs whose exact Jaccard similarity reaches the threshold."""
-    if len(pairs) < 64:
-        return [(x, y) for x, y in pairs if _reaches(len(np.intersect1d(sets[x], sets[y], True)), len(sets[x]), len(sets[y]), threshold)]
-    used = sorted({k for p in pairs for k in p})
-    place = {k: r for r, k in enumerate(used)}
-    _, column = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True)
-    row = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used])
-    both = np.zeros((len(used), len(used)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for a in range(0, int(column[-1]) + 1, 4096):  # strips of shingles, so that memory is bounded
-        lo, hi = np.searchsorted(column, [a, a + 4096])
-        strip = np.zeros((len(used), 4096), np.float32)
-        strip[row[lo:hi], column[lo:hi] - a] = 1
-        both += strip @ strip.T
-    return [(x, y) for x, y in pairs if _reaches(int(both[place[x], place[y]]), len(sets[x]), len(sets[y]), threshold)]
-
-
-def _reaches(both: int, a: int, b: int, threshold: float) -> bool:
+def _shared(d: list[np.ndarray], e: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, counts) strip by strip: how many elements each set of d shares with each of e."""
+    names, owner = np.concatenate(e) if e else np.zeros(0, np.uint64), np.repeat(np.arange(len(e)), [len(x) for x in e])
+    order = np.argsort(names, kind="stable")
+    names, owner = names[order], owner[order]
+    strip = max(1, CELLS // max(len(e), 1))
+    for lo in range(0, len(d), strip):
+        part = d[lo : lo + strip]
+        counts = np.zeros(len(part) * len(e), np.int64)
+        wanted, row = np.concatenate(part), np.repeat(np.arange(len(part)), [len(x) for x in part])
+        first, last = np.searchsorted(names, wanted), np.searchsorted(names, wanted, side="right")
+        hits = last - first
+        ends = np.cumsum(hits)
+        at = 0
+        while at < len(wanted):  # a bounded number of meetings at a time
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+            n = hits[at:to]
+            stop = np.cumsum(n)
+            place = np.repeat(first[at:to] - (stop - n), n) + np.arange(int(stop[-1]))
+            counts += np.bincount(np.repeat(row[at:to], n) * len(e) + owner[place], minlength=len(counts))
+            at = to
+        yield lo, counts.reshape(len(part), len(e))
+
+
+def _reaches(both: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     return both >= threshold * (a + b - both) - 1e-9
 
 
+def linked(ref: int, diffs: list[np.ndarray], less: np.ndarray, size: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each node, label of its component) from the pairs of left with right, or within left, that reach the threshold."""
+    links, label = np.zeros(len(diffs), np.int64), np.arange(len(diffs))
+    other = left if right is None else right
+    for lo, counts in _shared([diffs[k] for k in left], [diffs[k] for k in other]):
+        mine = left[lo : lo + len(counts)]
+        both = counts + (ref - less[mine][:, None] - less[other][None, :])
+        ok = _reaches(both, size[mine][:, None], size[other][None, :], threshold)
+        if right is None:
+            ok &= np.arange(len(other))[None, :] > np.arange(lo, lo + len(mine))[:, None]
+        links[mine] += ok @ copies[other]
+        links[other] += copies[mine] @ ok
+        for k in np.flatnonzero(ok.any(1)):
+            near = other[ok[k]]
+            old = np.unique(np.append(label[near], label[mine[k]]))
+            if len(old) > 1:
+                label[np.isin(label, old)] = old[0]
+    return links, label
+
+
+def differences(rows: DataFrame) -> DataFrame:
+    """label, size, ref (its number of shingles), node, copies, n, less and diff of each node of (label, part, size, node, copies, text).
+
+    Each part of a label holds the reference's row too, which has node = label.
+    """
+    kind = "label binary, size long, ref long, node binary, copies long, n long, less long, diff binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["label", "part"]):
+            label, texts = group.column("label")[0].as_py(), group.column("text").cast(pa.binary())
+            node, home = group.column("node").to_pylist(), group.column("home").to_pylist()
+            ref = shingles(texts[node.index(label)].as_py())
+            out: dict[str, list] = {k: [] for k in ("node", "copies", "n", "less", "diff")}
+            seen = set()
+            for k in range(group.num_rows):
+                if not home[k] or node[k] in seen:  # the reference is at home in one part; equal rows of the table are one node
+                    continue
+                seen.add(node[k])
+                h = shingles(texts[k].as_py())
+                both = np.intersect1d(ref, h, True)
+                diff = np.setxor1d(ref, h, True)
+                for c, v in (("node", node[k]), ("copies", group.column("copies")[k].as_py()), ("n", len(h)), ("less", len(ref) - len(both)), ("diff", diff.tobytes())):
+                    out[c].append(v)
+            m = len(out["node"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([label] * m, pa.binary()), pa.array([group.column("size")[0].as_py()] * m, pa.int64()), pa.array([len(ref)] * m, pa.int64()), pa.array(out["node"], pa.binary()),
+                 *[pa.array(out[c], pa.int64()) for c in ("copies", "n", "less")], pa.array(out["diff"], pa.binary())],
+                names=["label", "size", "ref", "node", "copies", "n", "less", "diff"])
+        release()
+
+    keys = ["label", "part"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
+
+
 def verify(docs: DataFrame, nodes: DataFrame, groups: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
     """(u, v, n): links of node u counted in documents (v null), and star edges (n null)."""
-    sized = groups.join(groups.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
-    wanted = sized.join(nodes.select("node", "rep", "copies"), "node").withColumnRenamed("node", "wanted")
-    wanted = cut(wanted, f"{folder}/wanted")
+    members = groups.join(nodes.select("node", "rep", "copies", "n"), "node")
+    members = cut(members, f"{folder}/members")
+    sums = members.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    wanted = members.join(sums, "label").withColumn("parts", F.greatest(F.ceil(F.col("total") / PART_SHINGLES), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    wanted = cut(wanted.withColumnRenamed("node", "wanted").drop("n", "total"), f"{folder}/wanted")
     texts = ensure(docs, doc_id="long", text="string").withColumn("node", node_of("text"))
     small = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
     rows = texts.join(small, (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    every = F.when(F.col("node") == F.col("label"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    rows = rows.select("label", F.explode(every).alias("part"), "size", "node", "copies", "text", own.alias("own"))
+    diffs = differences(rows.withColumn("home", F.col("part") == F.col("own")).drop("own"))
+    n_blocks = F.greatest(F.ceil(F.col("size") / MOST), F.least(F.lit(SPREAD), F.ceil(F.col("size") / BLOCK)))
     keys = ["label", "bi", "bj"]
-    rows = _block_pairs(rows.select("label", "size", "node", "copies", "text"), "size", BLOCK).select(*keys, "block", "node", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
-            first = dict(zip(reversed(group.column("node").to_pylist()), range(group.num_rows - 1, -1, -1), strict=True))
-            group = group.take(sorted(first.values()))  # equal rows of the table are one node
-            node, copies = group.column("node").to_pylist(), group.column("copies").to_pylist()
-            sets = [shingles(x.as_py()) for x in group.column("text").cast(pa.binary())]
-            sig = np.stack([signature(x) for x in sets])
-            block = group.column("block").to_numpy()
-            pairs = list(_pairs(sig, block, group.column("bi")[0].as_py(), group.column("bj")[0].as_py()))
-            pairs = _similar(sets, pairs, threshold)
-            links = [0] * len(node)
-            for x, y in pairs:
-                links[x] += copies[y]
-                links[y] += copies[x]
-            u, v = _stars(joined(len(node), pairs), node)
-            linked = [k for k, n in enumerate(links) if n]
-            n = [None] * len(u) + [links[k] for k in linked]
-            u, v = u + [node[k] for k in linked], v + [None] * len(linked)
+            node, block = group.column("node").to_pylist(), group.column("block").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in group.column("diff").to_pylist()]
+            bi, bj = group.column("bi")[0].as_py(), group.column("bj")[0].as_py()
+            left, right = np.flatnonzero(block == bi), None if bi == bj else np.flatnonzero(block == bj)
+            counts = [group.column(c).to_numpy() for c in ("less", "n", "copies")]
+            links, label = linked(group.column("ref")[0].as_py(), sets, *counts, left, right, threshold)
+            inside: dict[int, list[int]] = {}
+            for k, x in enumerate(label.tolist()):
+                inside.setdefault(x, []).append(k)
+            u, v = _stars([x for x in inside.values() if len(x) > 1], node)
+            some = np.flatnonzero(links).tolist()
+            n = [None] * len(u) + links[some].tolist()
+            u, v = u + [node[k] for k in some], v + [None] * len(some)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary()), pa.array(n, pa.int64())], names=["u", "v", "n"])
         release()
 
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return cut(rows.mapInArrow(run, "u binary, v binary, n long"), f"{folder}/links")
+    pairs = _block_pairs(diffs, n_blocks).select(*keys, "block", "ref", "node", "copies", "n", "less", "diff")
+    pairs = pairs.repartition(*keys).sortWithinPartitions(*keys)
+    return cut(pairs.mapInArrow(run, "u binary, v binary, n long"), f"{folder}/links")
 
 
 def _join(docs: DataFrame, folder: str, threshold: float) -> DataFrame:
-    """doc_id, node, worded, class_id, n_links of every row."""
+    """doc_id, node, worded, class_id, n_links of every row; and of each class the row that stands for it: chosen, chosen_node."""
     with small_batches(docs.sparkSession):
         signed = cut(sign(docs), f"{folder}/signed")
-    nodes = signed.where("sig is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    nodes = signed.where("sig is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     nodes = cut(nodes, f"{folder}/nodes")
     groups = components(candidates(nodes, folder), folder, "candidates")
     links = verify(docs, nodes, groups, folder, threshold)
     found = components(links.where("n is null"), folder, "classes").join(nodes.select("node", "rep"), "node")
-    classes = found.join(found.groupBy("label").agg(F.min("rep").alias("class_id")), "label").select("node", "class_id")
-    counts = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    least = F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("least")
+    classes = found.join(found.groupBy("label").agg(least), "label").select("node", F.col("least.rep").alias("class_id"), F.col("least.node").alias("chosen_node"))
+    counts = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     per_node = nodes.select("node", "rep", "copies").join(classes, "node", "left").join(counts, "node", "left").select(
-        "node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        "node", F.when(F.col("chosen_node").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("chosen_node", "node").alias("chosen_node"),
+        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rows = signed.select("doc_id", "node", F.col("sig").isNotNull().alias("worded"))
     out = rows.join(cut(per_node, f"{folder}/per_node"), "node", "left")
     return out.select("doc_id", "node", "worded", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-                      F.when(F.col("worded"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
+                      F.when(F.col("worded"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "chosen_node")
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -367,14 +390,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class (that of its smallest doc_id), columns unchanged."""
+    """One row of each class (of its smallest doc_id, nulls last, then text hash), columns unchanged."""
     folder = shared_dir(docs.sparkSession)
     found = cut(_join(docs.select("doc_id", "text"), folder, threshold), f"{folder}/found")
-    gone = found.where("worded and not (doc_id <=> class_id)").select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")).distinct()
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("chosen_node"))
+    gone = found.where(F.col("worded") & ~stays).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")).distinct()
     gone = cut(gone, f"{folder}/gone")
-    again = found.where("worded and doc_id <=> class_id").groupBy("doc_id", "node").count().where("count > 1")
+    again = found.where(F.col("worded") & stays).groupBy("doc_id", "node").count().where("count > 1")
     again = cut(again.select(F.col("doc_id").alias("_again"), F.col("node").alias("_again_node")), f"{folder}/again")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), node_of("text").alias("_node"), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), node_of("text").alias("_node"))
     rows = rows.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, F.col("_doc").eqNullSafe(F.col("_gone")) & (F.col("_node") == F.col("_gone_node")), "left_anti")
     if not again.isEmpty():
         same = F.col("_doc").eqNullSafe(F.col("_again")) & (F.col("_node") == F.col("_again_node"))

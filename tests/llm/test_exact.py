@@ -200,6 +200,44 @@ def test_near_duplicates_kept_once(spark, documents, nothing):
     assert jaccard_join.join(nothing).count() == 0 and jaccard_join.keep(nothing).count() == 0
 
 
+def test_one_row_a_class_whatever_the_ids(spark):
+    rows = near_copies()[:40]
+    for ids in ([7] * 40, [None] * 40, [3, None, 3, 9] * 10):
+        df = spark.createDataFrame([(i, t) for i, (_, t) in zip(ids, rows, strict=True)], "doc_id long, text string")
+        kept = jaccard_join.keep(df).collect()
+        assert len(kept) == 1 and kept[0].doc_id == min((i for i in ids if i is not None), default=None)
+
+
+def test_texts_are_shipped_once(spark):
+    rows = spark.createDataFrame([(b"r" if k == 3 else b"n%d" % k, t, k % 3 == 0, k % 3 if k != 3 else p) for k, (_, t) in enumerate(near_copies()[:60]) for p in ((0, 1, 2) if k == 3 else (0,))],
+                                 "node binary, text string, x boolean, part int")
+    rows = rows.select(F.lit(b"r").alias("label"), "part", F.lit(60).cast("long").alias("size"), "node", F.lit(1).cast("long").alias("copies"), "text", (F.col("node") != b"r").alias("other"))
+    rows = rows.withColumn("home", F.col("other") | (F.col("part") == 0)).drop("other")
+    got = jaccard_join.differences(rows).collect()
+    sets = {r.node: set(jaccard_join.shingles(r.text.encode()).tolist()) for r in rows.collect()}
+    assert len(got) == 60 and rows.count() == 62  # each text once, and the reference in each part
+    for r in got:
+        diff = set(np.frombuffer(r.diff, np.uint64).tolist())
+        assert diff == sets[r.node] ^ sets[b"r"] and r.less == len(sets[b"r"] - sets[r.node]) and r.n == len(sets[r.node]) and r.ref == len(sets[b"r"])
+    assert np.mean([len(r.diff) / 8 / r.n for r in got]) < 0.2
+
+
+def test_block_pairs_by_brute_force():
+    rng = np.random.default_rng(8)
+    ref = set(range(100))
+    sets = [ref - set(rng.integers(0, 100, 12).tolist()) | set(rng.integers(100, 130, 6).tolist()) for _ in range(90)]
+    diffs = [np.array(sorted(s ^ ref), np.uint64) for s in sets]
+    less, size, copies = np.array([len(ref - s) for s in sets]), np.array(list(map(len, sets))), rng.integers(1, 4, 90)
+    for left, right in ((np.arange(90), None), (np.arange(40), np.arange(40, 90))):
+        links, label = jaccard_join.linked(100, diffs, less, size, copies, left, right, 0.8)
+        pairs = [(x, y) for x in left for y in (left if right is None else right) if (right is not None or x < y) and 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y])]
+        want = np.zeros(90, int)
+        for x, y in pairs:
+            want[x] += copies[y]
+            want[y] += copies[x]
+        assert pairs and links.tolist() == want.tolist() and all(label[x] == label[y] for x, y in pairs)
+
+
 def test_pruning_bounds():
     least = jaccard_join.least_matches()
     assert list(least) == list(range(16, 97, 16)) and all(0 < m < 0.8 * n for n, m in least.items())
