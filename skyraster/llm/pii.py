@@ -82,8 +82,9 @@ def running(sizes: Column, depth: int = 2) -> Column:
     return let(sizes, cut_up)
 
 
-def find_all(text: Column, pattern: str, kind: str) -> Column:
+def find_all(text: Column, pattern: str | Column, kind: str) -> Column:
     """All matches with their places (code points), from the matches and the pieces between them."""
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
     empty = F.expr(f"cast(array() as {_SPANS})")
 
     def walk(found: Column) -> Column:
@@ -99,7 +100,7 @@ def find_all(text: Column, pattern: str, kind: str) -> Column:
 
         return F.when(F.size(found) == 0, empty).otherwise(let(F.split(text, pattern, -1), place))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
+    return let(F.regexp_extract_all(text, regex, F.lit(0)), walk)
 
 
 def _digits(value: Column) -> Column:
@@ -274,15 +275,24 @@ def told(docs: DataFrame, terms: DataFrame, folder: str) -> DataFrame:
     return few.unionByName(placed.select(F.col("node").alias("t"), F.lit(None).cast("array<struct<term:string,disclosure:double>>").alias("said"), "placed"))
 
 
+def _own(said: Column) -> Column:
+    """Pattern of a text's own terms, which are letters and digits only, as whole runs of a masked text."""
+    return F.concat(F.lit(f"(?<!{_MASK})(?iu:"), F.array_join(F.transform(said, lambda x: x["term"]), "|"), F.lit(f")(?!{_MASK})"))
+
+
+def _told(said: Column, run: Column) -> Column:
+    return let(F.lower(run), lambda v: F.get(F.filter(said, lambda x: x["term"] == v), F.lit(0))["disclosure"])
+
+
 def _hits(hidden: Column) -> Column:
-    """Run number, start, end and disclosure of each disclosing term, in order, from columns said and placed."""
+    """Run number (where it is known), start, end and disclosure of each disclosing term, in order, from columns said and placed."""
+    none = F.expr(f"cast(array() as {_HITS})")
 
-    def of(r: Column, i: Column) -> Column:
-        found = F.when(_free(r["value"]), let(F.lower(r["value"]), lambda v: F.get(F.filter("said", lambda x: x["term"] == v), F.lit(0))["disclosure"]))
-        return F.struct(i.alias("at"), r["start"].alias("start"), r["end"].alias("end"), found.alias("disclosure"))
+    def of(r: Column) -> Column:
+        return F.struct(F.lit(None).cast("int").alias("at"), r["start"].alias("start"), r["end"].alias("end"), _told(F.col("said"), r["value"]).alias("disclosure"))
 
-    looked = F.filter(F.transform(find_all(hidden, _RUN, "term"), of), lambda h: h["disclosure"].isNotNull())
-    return F.coalesce(F.col("placed"), F.when(F.col("said").isNotNull(), looked), F.expr(f"cast(array() as {_HITS})"))
+    looked = F.filter(F.transform(find_all(hidden, _own(F.col("said")), "term"), of), lambda h: h["disclosure"].isNotNull())
+    return F.when(F.col("placed").isNotNull(), F.col("placed")).when(F.col("said").isNotNull(), looked).otherwise(none)
 
 
 def sanitise(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -299,27 +309,38 @@ def sanitise(docs: DataFrame, folder: str | None = None) -> DataFrame:
     plain = F.size("base") == 0
     rows = rows.withColumn("hidden", F.when(plain & F.col("said").isNull() & F.col("placed").isNull(), F.lit("")).otherwise(masked(_text())))
     rows = rows.withColumn("hits", _hits(F.col("hidden")))
-    clean = F.when(plain & (F.size("hits") == 0), _bare(_text())).otherwise(cleaned(F.col("hidden"), F.col("hits")))
+    clean = F.when(plain & (F.size("hits") == 0), _bare(_text())).otherwise(cleaned(F.col("hidden"), F.col("said"), F.col("placed")))
     return rows.select("doc_id", "text", "base", "hits", F.when(F.col("text").isNotNull(), clean).alias("clean_text"))
 
 
-def cleaned(hidden: Column, hits: Column) -> Column:
-    """A masked text with its base spans named, and without its hits."""
+def _mark(disclosure: Column) -> Column:
+    return F.when(disclosure >= REMOVE, "").when(disclosure < REMOVE, "[TERM]")
 
-    def marked(pieces: Column) -> Column:
+
+def cleaned(hidden: Column, said: Column, placed: Column) -> Column:
+    """A masked text with its base spans named, and without its disclosing terms."""
+
+    def by_number(pieces: Column) -> Column:
         def part(h: Column, k: Column) -> Column:
-            since = F.coalesce(F.get(hits, k - 1)["at"] + 1, F.lit(0))  # pieces are gap, run, gap, run ...
+            since = F.coalesce(F.get(placed, k - 1)["at"] + 1, F.lit(0))  # pieces are gap, run, gap, run ...
             before = F.array_join(F.slice(pieces, 2 * since + 1, 2 * (h["at"] - since) + 1), "")
-            return F.concat(before, F.when(h["disclosure"] >= REMOVE, "").otherwise("[TERM]"))
+            return F.concat(before, _mark(h["disclosure"]))
 
-        rest = F.array_join(F.slice(pieces, 2 * F.element_at(hits, -1)["at"] + 3, F.size(pieces)), "")
-        return F.concat(F.array_join(F.transform(hits, part), ""), rest)
+        rest = F.array_join(F.slice(pieces, 2 * F.element_at(placed, -1)["at"] + 3, F.size(pieces)), "")
+        return F.concat(F.array_join(F.transform(placed, part), ""), rest)
 
     def woven(gaps: Column) -> Column:
         runs = F.regexp_extract_all(hidden, F.lit(_RUN), F.lit(0))
-        return let(let(runs, lambda r: F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(r), F.array(g, F.get(r, i))).otherwise(F.array(g))))), marked)
+        return let(let(runs, lambda r: F.flatten(F.transform(gaps, lambda g, i: F.when(i < F.size(r), F.array(g, F.get(r, i))).otherwise(F.array(g))))), by_number)
+
+    def by_name(found: Column) -> Column:
+        def put(gaps: Column) -> Column:
+            pieces = F.transform(found, lambda v, i: F.concat(F.get(gaps, i), F.coalesce(_mark(_told(said, v)), v)))
+            return F.concat(F.array_join(pieces, ""), F.get(gaps, F.size(found)))
+
+        return F.when(F.size(found) == 0, hidden).otherwise(let(F.split(hidden, _own(said), -1), put))
 
-    out = F.when(F.size(hits) == 0, hidden).otherwise(let(F.split(hidden, _RUN, -1), woven))
+    out = F.when(F.size(placed) > 0, let(F.split(hidden, _RUN, -1), woven)).when(said.isNotNull(), let(F.regexp_extract_all(hidden, _own(said), F.lit(0)), by_name)).otherwise(hidden)
     for kind, fill in _FILL.items():
         out = F.regexp_replace(out, f"{fill}+", f"[{kind.upper()}]")
     return out

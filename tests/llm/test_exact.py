@@ -343,8 +343,10 @@ def test_sanitise_over_whole_texts(spark, documents, nothing):
     assert pii.sanitise(documents).count() == documents.count() and pii.sanitise(nothing).count() == 0
 
 
-def test_terms_equal_their_sql(spark):
+@pytest.mark.parametrize("many", [0, 256])
+def test_terms_equal_their_sql(spark, many, monkeypatch):
     """Texts with entities that share texts, copies, overlapping kinds, and terms on both sides of the threshold."""
+    monkeypatch.setattr(pii, "MANY", many)  # with 0 no text's terms are looked up by name
     rng = np.random.default_rng(4)
     words = ["plain", "Weather", "notes", "today", "über", "12345", "x1y2z3", "Nachricht"]
     rows = []
