@@ -105,6 +105,8 @@ def measure_volume(dsm: DataFrame, meta: RasterMeta, polygon: Sequence[tuple[flo
     sums = inside.withColumn("base", level).agg(
         F.count(F.lit(1)).alias("n_cells"), (F.sum(F.greatest(d, F.lit(0.0))) * area).alias("cut_m3"), (F.sum(F.greatest(-d, F.lit(0.0))) * area).alias("fill_m3"),
         F.min("base").alias("base_z_min"), F.max("base").alias("base_z_max"))
+    none = F.raise_error(F.lit("no valid surface cells inside the polygon")).cast("long")
+    sums = sums.withColumn("n_cells", F.when(F.col("n_cells") > 0, F.col("n_cells")).otherwise(none))
     out = sums.crossJoin(F.broadcast(polygon_area(polygon_rows)))  # both are one row
     measured = F.col("n_cells") * area
     out = out.withColumn("measured_m2", measured).withColumn("coverage", F.least(measured / F.greatest("area_m2", F.lit(1e-9)), F.lit(1.0)))

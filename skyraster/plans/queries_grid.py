@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,15 @@ _FILL = """filled AS (SELECT h.row, h.col, coalesce(any_value(h.value), arg_min(
   FROM full_ h LEFT JOIN v o ON h.value IS NULL GROUP BY h.row, h.col)"""
 
 
+_UNIT = 1 << 20  # of a metre: sums that differ in their last bits agree, and no decimal of ten places or fewer lies halfway
+
+
 def _near(c: str) -> Column:
-    """Rounded off the middle between two results, where engines differ."""
-    return F.round(F.col(c) + 3.7e-7, 5).alias(c)
+    return (F.floor(F.col(c) * _UNIT + 0.5) / _UNIT).alias(c)
+
+
+def _near_sql(value: str) -> str:
+    return f"floor(({value}) * {_UNIT} + 0.5::double) / {_UNIT}::double"
 
 
 @query(f"WITH {_sql_grid(5)} SELECT row, col, max(z) AS top_z, min(z) AS low_z, count(*) AS n, arg_max(r, {{'z': z, 'i': pt_id}}) AS red FROM bin GROUP BY row, col")
@@ -170,21 +178,21 @@ def knock_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_SURFACE}, w AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3, 4])::double AS k)),
 h AS (SELECT f.row, f.col, sum(s.value * w.w) AS value FROM filled f, w, m, filled s WHERE s.row = f.row AND s.col = {_mirror('f.col + w.k::bigint', 'm.nx')} GROUP BY f.row, f.col)
-SELECT f.row, f.col, round(sum(s.value * w.w) + 3.7e-7, 5) AS value FROM h f, w, m, h s WHERE s.col = f.col AND s.row = {_mirror('f.row + w.k::bigint', 'm.ny')} GROUP BY f.row, f.col""")
+SELECT f.row, f.col, {_near_sql("sum(s.value * w.w)")} AS value FROM h f, w, m, h s WHERE s.col = f.col AND s.row = {_mirror('f.row + w.k::bigint', 'm.ny')} GROUP BY f.row, f.col""")
 def gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface, meta = _surface(spark, sf_dir)
     return morph.gaussian(surface, meta, 1.0).select("row", "col", _near("value"))
 
 
 @query(f"""WITH {_SURFACE}, t AS (SELECT r.row, c.col, least(greatest((r.row + 0.5) * 0.625 - 0.5, 0), ny - 1)::double AS fr, least(greatest((c.col + 0.5) * 0.625 - 0.5, 0), nx - 1)::double AS fc, ny, nx
-  FROM (SELECT unnest(range(30)) AS row) r, (SELECT unnest(range(40)) AS col) c, m),
+  FROM (SELECT unnest(range(ceil(ny * 1.6::double)::bigint)) AS row FROM m) r, (SELECT unnest(range(ceil(nx * 1.6::double)::bigint)) AS col FROM m) c, m),
 u AS (SELECT *, floor(fr)::bigint AS r0, floor(fc)::bigint AS c0 FROM t)
-SELECT u.row, u.col, round(a.value * (1 - (fr - r0)) * (1 - (fc - c0)) + b.value * (1 - (fr - r0)) * (fc - c0) + c.value * (fr - r0) * (1 - (fc - c0)) + d.value * (fr - r0) * (fc - c0) - 2 + 3.7e-7, 5) AS value
+SELECT u.row, u.col, {_near_sql("a.value * (1 - (fr - r0)) * (1 - (fc - c0)) + b.value * (1 - (fr - r0)) * (fc - c0) + c.value * (fr - r0) * (1 - (fc - c0)) + d.value * (fr - r0) * (fc - c0) - 2")} AS value
 FROM u JOIN filled a ON a.row = r0 AND a.col = c0 JOIN filled b ON b.row = r0 AND b.col = least(c0 + 1, nx - 1) JOIN filled c ON c.row = least(r0 + 1, ny - 1) AND c.col = c0
   JOIN filled d ON d.row = least(r0 + 1, ny - 1) AND d.col = least(c0 + 1, nx - 1)""")
 def bilinear_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface, meta = _surface(spark, sf_dir)
-    target = RasterMeta(meta.minx, meta.maxy, 2.5, 40, 30)
+    target = RasterMeta(meta.minx, meta.maxy, 2.5, math.ceil(meta.nx * 1.6), math.ceil(meta.ny * 1.6))
     return grid.bilinear(surface, meta, target, 2.0).select("row", "col", _near("value"))
 
 
@@ -192,7 +200,7 @@ def bilinear_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 l1 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM full_ GROUP BY 1, 2), l2 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM l1 GROUP BY 1, 2),
 l3 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM l2 GROUP BY 1, 2), l4 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM l3 GROUP BY 1, 2),
 l5 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM l4 GROUP BY 1, 2), l6 AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM l5 GROUP BY 1, 2)
-SELECT f.row, f.col, round(coalesce(f.value, l1.value, l2.value, l3.value, l4.value, l5.value, l6.value) + 3.7e-7, 5) AS value FROM full_ f
+SELECT f.row, f.col, {_near_sql("coalesce(f.value, l1.value, l2.value, l3.value, l4.value, l5.value, l6.value)")} AS value FROM full_ f
 LEFT JOIN l1 ON l1.row = f.row // 2 AND l1.col = f.col // 2 LEFT JOIN l2 ON l2.row = f.row // 4 AND l2.col = f.col // 4 LEFT JOIN l3 ON l3.row = f.row // 8 AND l3.col = f.col // 8
 LEFT JOIN l4 ON l4.row = f.row // 16 AND l4.col = f.col // 16 LEFT JOIN l5 ON l5.row = f.row // 32 AND l5.col = f.col // 32 LEFT JOIN l6 ON l6.row = f.row // 64 AND l6.col = f.col // 64""")
 def pyramid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +209,7 @@ def pyramid_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.pyramid_fill(grid.binned(points, meta), meta).select("row", "col", _near("value"))
 
 
-@query(f"WITH {_sql_grid(5)} SELECT row, col, round(avg(z) + 3.7e-7, 5) AS value FROM bin GROUP BY row, col")
+@query(f"WITH {_sql_grid(5)} SELECT row, col, {_near_sql("avg(z)")} AS value FROM bin GROUP BY row, col")
 def cell_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "points")
     return grid.binned(points, grid.plan(points, 5.0), "mean").select("row", "col", _near("value"))
@@ -309,9 +317,9 @@ def heightfield_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.heightfield(load(spark, sf_dir, "points"), 5.0)[1]
 
 
-@query("""WITH m AS (SELECT min(x) AS minx, min(y) AS miny FROM points),
+@query(f"""WITH m AS (SELECT min(x) AS minx, min(y) AS miny FROM points),
 c AS (SELECT floor((y - miny) / 5::double)::bigint AS row, floor((x - minx) / 5::double)::bigint AS col, avg(z) AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM points, m GROUP BY 1, 2)
-SELECT row_number() OVER (ORDER BY row, col) - 1 AS vid, round(minx + (col + 0.5) * 5, 6) AS x, round(miny + (row + 0.5) * 5, 6) AS y, round(z + 3.7e-7, 5) AS z, floor(r)::int AS r, floor(g)::int AS g, floor(b)::int AS b FROM c, m""")
+SELECT row_number() OVER (ORDER BY row, col) - 1 AS vid, round(minx + (col + 0.5) * 5, 6) AS x, round(miny + (row + 0.5) * 5, 6) AS y, {_near_sql("z")} AS z, floor(r)::int AS r, floor(g)::int AS g, floor(b)::int AS b FROM c, m""")
 def heightfield_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = terrain.heightfield(load(spark, sf_dir, "points"), 5.0)[0]
     return v.select("vid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), _near("z"), *"rgb")

@@ -11,21 +11,22 @@ from skyraster.functions import geo
 from skyraster.operators import cloud, control, grid, knn, ml, ortho, terrain, tiles
 from skyraster.plans.adapters import load
 from skyraster.plans.catalog import query
+from skyraster.plans.queries_grid import _near, _near_sql
 from skyraster.plans.tables import cut
 
 _SIM = control.similarity_from([2, 0, -1, 0, 1, 0, 0, 0, 0, 1, 500000, 4000000, 50])
 
 
-@query("SELECT pid, round(500000 - 2 * sy + 1.234567e-4, 3) AS x, round(4000000 + 2 * sx + 1.234567e-4, 3) AS y, round(50 + 2 * sz + 1.234567e-4, 3) AS z FROM pairs")
+@query(f"SELECT pid, {_near_sql('500000 - 2 * sy')} AS x, {_near_sql('4000000 + 2 * sx')} AS y, {_near_sql('50 + 2 * sz')} AS z FROM pairs")
 def similarity_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = _SIM.columns("sx", "sy", "sz")
-    return load(spark, sf_dir, "pairs").select("pid", *[F.round(c + 1.234567e-4, 3).alias(n) for n, c in zip("xyz", (x, y, z), strict=True)])
+    return load(spark, sf_dir, "pairs").select("pid", x.alias("x"), y.alias("y"), z.alias("z")).select("pid", *map(_near, "xyz"))
 
 
-@query("SELECT pid, round((dy - 4000000) / 2 + 1.234567e-4, 3) AS x, round(-(dx - 500000) / 2 + 1.234567e-4, 3) AS y, round((dz - 50) / 2 + 1.234567e-4, 3) AS z FROM pairs")
+@query(f"SELECT pid, {_near_sql('(dy - 4000000) / 2')} AS x, {_near_sql('-(dx - 500000) / 2')} AS y, {_near_sql('(dz - 50) / 2')} AS z FROM pairs")
 def similarity_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, z = _SIM.inverse().columns("dx", "dy", "dz")
-    return load(spark, sf_dir, "pairs").select("pid", *[F.round(c + 1.234567e-4, 3).alias(n) for n, c in zip("xyz", (x, y, z), strict=True)])
+    return load(spark, sf_dir, "pairs").select("pid", x.alias("x"), y.alias("y"), z.alias("z")).select("pid", *map(_near, "xyz"))
 
 
 @query("""WITH e AS (SELECT label % 2 = 1 AS is_check, 500000 - 2 * sy - dx AS ex, 4000000 + 2 * sx - dy AS ey, 50 + 2 * sz - dz AS ez FROM pairs)

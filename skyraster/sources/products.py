@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import struct
 
@@ -89,15 +90,11 @@ def write_ortho(cells: DataFrame, meta: RasterMeta, path: str) -> str:
     return binary.write_geotiff(path, np.stack(bands), meta.minx, meta.maxy, meta.cell, meta.epsg)
 
 
-def write_overviews(cells: DataFrame, meta: RasterMeta, base: str, dtype: str = "float32") -> list[str]:
-    """The raster and its halvings down to one tile, as files of their own."""
-    out, step = [], 1
-    while step == 1 or max(meta.nx, meta.ny) / step > 256:
-        part = grid.decimate(cells, step) if step > 1 else cells
-        small = RasterMeta(meta.minx, meta.maxy, meta.cell * step, -(-meta.nx // step), -(-meta.ny // step), meta.epsg)
-        out.append(write_raster(part, small, f"{base}_{step}.tif", dtype))
-        step *= 2
-    return out
+def write_cog(cells: DataFrame, meta: RasterMeta, path: str, dtype: str = "float32", nodata: float | None = None) -> str:
+    """One band with its overviews, halved down to one tile, in one file that readers of byte ranges can use."""
+    array = binary.raster_array(cells, meta.ny, meta.nx, dtype)
+    overviews = max(0, math.ceil(math.log2(max(meta.nx, meta.ny) / 256)))
+    return binary.write_geotiff(path, array, meta.minx, meta.maxy, meta.cell, meta.epsg, nodata, predictor=3 if dtype.startswith("f") else 2, overviews=overviews)
 
 
 def write_tiles(pixels: DataFrame, folder: str, zooms: tuple[int, int], bounds: tuple[float, float, float, float], kml: bool = True, title: str = "Orthomosaic") -> dict:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -251,6 +252,59 @@ def test_geotiff_round_trip_and_pruning(spark, tmp_path):
     assert got.where("band = 4").count() == 1200 and got.where("band = 2 and row = 3 and col = 4").first().value == rgba[1, 3, 4]
 
 
+@pytest.mark.parametrize(("dtype", "predictor"), [("float32", 1), ("float32", 3), ("float64", 3), ("uint8", 2), ("int16", 2), ("uint16", 1)])
+@pytest.mark.parametrize("big", [False, True])
+def test_geotiff_predictors_and_overviews(spark, tmp_path, dtype, predictor, big):
+    binary.register(spark)
+    a = (np.random.default_rng(3).normal(0, 300, (2, 300, 270))).astype(dtype)
+    path = binary.write_geotiff(str(tmp_path / "p.tif"), a, 5, 9, 0.5, 32645, predictor=predictor, overviews=2, big=big)
+    assert open(path, "rb").read(4) == (b"II+\0" if big else b"II*\0")
+    for level in range(3):
+        info, want = binary.geotiff_info(path, level), a
+        for _ in range(level):
+            want = binary.halved(want)
+        assert (info["w"], info["h"], info["cell"], info["bands"]) == (want.shape[2], want.shape[1], 0.5 * 2**level, 2)
+        got = np.zeros(want.shape)
+        for r in spark.read.format("geotiff").option("overview", level).load(path).toPandas().itertuples():
+            got[r.band - 1, r.row, r.col] = r.value
+        assert np.array_equal(got, want.astype(float))
+    with pytest.raises(ValueError, match="no overview"):
+        binary.geotiff_info(path, 3)
+
+
+def test_geotiff_directory_at_the_end(spark, tmp_path):
+    """What other writers do: blocks first, big-endian, and codes that are not supported."""
+    binary.register(spark)
+    values = np.arange(6, dtype=">u2").reshape(2, 3)
+    tags = [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 1, 16), (259, 3, 1, 1), (273, 4, 1, 8), (277, 3, 1, 1), (278, 3, 1, 2), (279, 4, 1, 12)]
+
+    def write(name, tags):
+        body = b"".join(struct.pack(">HHI", t, k, n) + (struct.pack(">HH", v, 0) if k == 3 else struct.pack(">I", v)) for t, k, n, v in tags)
+        (tmp_path / name).write_bytes(b"MM\0*" + struct.pack(">I", 20) + values.tobytes() + struct.pack(">H", len(tags)) + body + b"\0" * 4)
+        return spark.read.format("geotiff").load(str(tmp_path / name))
+
+    assert {(r.row, r.col): r.value for r in write("a.tif", tags).collect()} == {(r, c): 3.0 * r + c for r in range(2) for c in range(3)}
+    for bad in ((259, 3, 1, 7), (317, 3, 1, 9)):
+        some = sorted([t for t in tags if t[0] != bad[0]] + [bad])
+        with pytest.raises(Exception, match="not supported"):
+            write(f"{bad[0]}.tif", some).collect()
+
+
+def test_ply_ids_go_on(spark, tmp_path):
+    for name, n in (("b", 2), ("a", 3)):
+        rows = "".join(f"{k} 0 0\n" for k in range(n))
+        (tmp_path / f"{name}.ply").write_text(f"ply\nformat ascii 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nend_header\n{rows}")
+    got = sorted((r.pt_id, r.x) for r in binary.read_ply(spark, str(tmp_path)).collect())
+    assert got == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 0.0), (4, 1.0)]
+
+
+def test_volume_without_a_valid_cell(spark):
+    meta = schema.RasterMeta(0.0, 100.0, 1.0, 100, 100)
+    dsm = spark.range(10_000).select(F.floor(F.col("id") / 100).alias("row"), (F.col("id") % 100).alias("col"), F.lit(None).cast("double").alias("value"))
+    with pytest.raises(Exception, match="no valid surface cells"):
+        terrain.measure_volume(dsm, meta, [(20, 20), (40, 20), (40, 40), (20, 40)], "custom", 1.0).collect()
+
+
 def test_lzw_known_stream():
     # 7,7,7,8,8,7,7,6,6 as in the format's specification: clear, 7, 258, 8, 8, 258, 6, 6, end.
     codes, bits = [256, 7, 258, 8, 8, 258, 6, 6, 257], 0
