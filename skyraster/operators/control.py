@@ -14,6 +14,7 @@ from skyraster.functions import geo, photo
 from skyraster.operators.cloud import sample
 
 MAX_SMALL = 1_000_000  # rows of a table that is sent to every task
+POINT_BLOCK = 128
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -210,7 +211,7 @@ def triangulate(rays_: DataFrame, key: str = "gcp_id") -> DataFrame:
         m = rows[names].to_numpy(float).reshape(-1, 3, 4)
         u, v = rows["px"].to_numpy(float), rows["py"].to_numpy(float)
         a = np.concatenate([u[:, None] * m[:, 2] - m[:, 0], v[:, None] * m[:, 2] - m[:, 1]])
-        # The null vector from the 4 x 4 normal matrix: a point's rays may be many, its sums are not.
+        # The null vector of all rays' rows, from their singular values: a normal matrix would square the errors.
         w = np.linalg.svd(a, full_matrices=False)[2][-1]
         x = w[:3] if abs(w[3]) < 1e-12 else w[:3] / w[3]
         return pd.DataFrame({key: rows[key].iloc[:1], "x": x[:1], "y": x[1:2], "z": x[2:3]})
@@ -252,14 +253,81 @@ def rotation_matrix(r: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sinc(angle / np.pi) * k + (1 - np.cos(angle)) / safe**2 * (k @ k) * (angle > 1e-9)
 
 
+def rotation_vector(r: np.ndarray) -> np.ndarray:
+    """The inverse of ``rotation_matrix`` for (n, 3, 3), by way of the quaternion's greatest component."""
+    t = np.trace(r, axis1=1, axis2=2)
+    four = np.empty((len(r), 4, 4))  # 4 q q^T
+    four[:, 0, 0] = 1 + t
+    for i in range(3):
+        j, k = (i + 1) % 3, (i + 2) % 3
+        four[:, i + 1, i + 1] = 1 + 2 * r[:, i, i] - t
+        four[:, 0, i + 1] = four[:, i + 1, 0] = r[:, k, j] - r[:, j, k]
+        four[:, j + 1, k + 1] = four[:, k + 1, j + 1] = r[:, j, k] + r[:, k, j]
+    best = np.argmax(np.einsum("nii->ni", four), axis=1)
+    q = four[np.arange(len(r)), best]
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    q *= np.where(q[:, :1] < 0, -1, 1)
+    sine = np.linalg.norm(q[:, 1:], axis=1)
+    angle = 2 * np.arctan2(sine, q[:, 0])
+    return q[:, 1:] * (angle / np.maximum(sine, 1e-300))[:, None] * (sine > 0)[:, None]
+
+
+@dataclass
+class Refined:
+    centres: dict[int, np.ndarray]  # cam_id -> world position
+    rmse_before: float
+    rmse_after: float
+    n_obs: int
+    lens: np.ndarray | None
+
+
+def refine(views: DataFrame, ties: DataFrame, tracks: DataFrame, gcps: DataFrame, marks: DataFrame, sim: Similarity) -> Refined | None:
+    """Adjusts world poses and tie points to tracks and marks; control points stay where they were surveyed.
+
+    None if there is too little to hold on to: two views, three marked control points with six
+    marks, six observations a view. One shared lens is calibrated too if all views have one camera
+    model and fifteen observations each. What reaches the driver is bounded: views, and the tie
+    points of ``tie_sample`` with their tracks.
+    """
+    cams = views.select("cam_id", "name", "camera_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz", "fx", "fy", "ppx", "ppy").orderBy("cam_id").toPandas()
+    fixed = markable(gcps).select("gcp_id", "x", "y", "z").join(marks.select("gcp_id").distinct(), "gcp_id", "left_semi").orderBy("gcp_id").toPandas()
+    if len(cams) < 2 or len(fixed) < 3:
+        return None
+    picked = small(tie_sample(sim.apply(ties.select("pid", "x", "y", "z"))))
+    free = picked.orderBy("pid").toPandas()
+    seen = usable_tracks(tracks, small(views.select("name")), picked.select("pid")).select("name", "pid", "u", "v").orderBy("name", "pid", "u", "v").toPandas()
+    marked = marks.join(small(views.select("cam_id")), "cam_id", "left_semi").select("cam_id", "gcp_id", "px", "py").orderBy("cam_id", "gcp_id").toPandas()
+    marked = marked[marked["gcp_id"].isin(fixed["gcp_id"])]
+    by_name, by_id = {x: k for k, x in enumerate(cams["name"])}, {x: k for k, x in enumerate(cams["cam_id"])}
+    tie_row, gcp_row = {x: k for k, x in enumerate(free["pid"])}, {x: len(free) + k for k, x in enumerate(fixed["gcp_id"])}
+    obs = np.concatenate([
+        np.column_stack([seen["name"].map(by_name), seen["pid"].map(tie_row), seen["u"], seen["v"]]).astype(float).reshape(-1, 4),
+        np.column_stack([marked["cam_id"].map(by_id), marked["gcp_id"].map(gcp_row), marked["px"], marked["py"]]).astype(float).reshape(-1, 4)])
+    if marked["gcp_id"].nunique() < 3 or len(marked) < 6 or len(obs) < 6 * len(cams):
+        return None
+    w, x, y, z = cams[["qw", "qx", "qy", "qz"]].to_numpy(float).T
+    local = np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
+                      2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], axis=1).reshape(-1, 3, 3)
+    world = local @ sim.R.T
+    points = np.concatenate([free[["x", "y", "z"]].to_numpy(float), fixed[["x", "y", "z"]].to_numpy(float)])
+    middle = points.mean(0)  # projected coordinates are large; around their middle nothing is lost
+    shift = sim.s * cams[["tx", "ty", "tz"]].to_numpy(float) - world @ (sim.t - middle)
+    shared = cams["camera_id"].nunique() == 1 and len(obs) > 15 * len(cams)
+    lens = np.column_stack([(cams["fx"] + cams["fy"]) / 2, cams["ppx"], cams["ppy"], np.zeros(len(cams))])
+    held = np.arange(len(points)) >= len(free)
+    out = bundle_adjust(rotation_vector(world), shift, lens[:1] if shared else lens, points - middle, held, obs, refine_intrinsics=shared)
+    centres = -np.einsum("nji,nj->ni", rotation_matrix(out.rvecs), out.tvecs) + middle
+    return Refined({int(c): p for c, p in zip(cams["cam_id"], centres, strict=True)}, out.rmse_before, out.rmse_after, out.n_obs, out.intrinsics if shared else None)
+
+
 def bundle_adjust(rvecs: np.ndarray, tvecs: np.ndarray, intrinsics: np.ndarray, points: np.ndarray, fixed: np.ndarray, obs: np.ndarray,
                   refine_intrinsics: bool = False, rounds: int = 60) -> Adjustment:
     """Levenberg-Marquardt over poses, free points and, if asked, shared [f, cx, cy, k1].
 
     ``intrinsics`` is one [f, cx, cy, k1] row or one row a camera; ``obs`` rows are (camera, point,
     u, v). The problem is the one the survey bounds beforehand (a few thousand tie points), so it
-    is solved on the driver: points are eliminated block by block (Schur complement), which leaves
-    a dense system of six unknowns a camera.
+    is solved on the driver: points are eliminated POINT_BLOCK at a time (Schur complement), which leaves
+    a dense system of six unknowns a camera. Beside that system memory goes with the observations.
     """
     cam, pt, uv = obs[:, 0].astype(int), obs[:, 1].astype(int), obs[:, 2:4].astype(float)
     intr = np.atleast_2d(np.asarray(intrinsics, float))
@@ -298,30 +366,53 @@ def bundle_adjust(rvecs: np.ndarray, tvecs: np.ndarray, intrinsics: np.ndarray,
     size = lambda r: float(np.sqrt(np.mean(r**2))) if len(r) else 0.0
     res = project(poses, pts, intr) - uv
     before, lam = size(res), 1e-3
+    n = 6 * nc + ni
+    order = np.argsort(pt, kind="stable")
+    edges = np.searchsorted(pt[order], np.arange(0, len(pts) + POINT_BLOCK, POINT_BLOCK))
+    place = 6 * cam[:, None] + np.arange(6)
     for _ in range(rounds):
         a = jacobian(moved_pose, 6, 1e-6)
         b = jacobian(moved_point, 3, 1e-6) * free[pt][:, None, None]
-        n = 6 * nc + ni
-        u, w, v = np.zeros((n, n)), np.zeros((len(pts), n, 3)), np.zeros((len(pts), 3, 3))
+        c = jacobian(moved_lens, 4, 1e-6) if ni else np.zeros((len(obs), 2, 0))
+        u, v = np.zeros((n, n)), np.zeros((len(pts), 3, 3))
         gc, gp = np.zeros(n), np.zeros((len(pts), 3))
-        place = 6 * cam[:, None] + np.arange(6)
-        wide = np.zeros((len(obs), 2, n))
-        wide[np.arange(len(obs))[:, None], :, place] = a.transpose(0, 2, 1)
-        if ni:
-            wide[:, :, 6 * nc :] = jacobian(moved_lens, 4, 1e-6)
-        u = np.einsum("oai,oaj->ij", wide, wide)
-        gc = np.einsum("oai,oa->i", wide, res)
+        own, cross = np.zeros((nc, 6, 6)), np.zeros((nc, 6, ni))
+        np.add.at(own, cam, np.einsum("oai,oaj->oij", a, a))
+        np.add.at(cross, cam, np.einsum("oai,oaj->oij", a, c))
+        for k in range(nc):
+            u[6 * k : 6 * k + 6, 6 * k : 6 * k + 6] = own[k]
+        u[: 6 * nc, 6 * nc :] = cross.reshape(6 * nc, ni)
+        u[6 * nc :, : 6 * nc] = u[: 6 * nc, 6 * nc :].T
+        u[6 * nc :, 6 * nc :] = np.einsum("oai,oaj->ij", c, c)
+        np.add.at(gc, place, np.einsum("oai,oa->oi", a, res))
+        gc[6 * nc :] = np.einsum("oai,oa->i", c, res)
         np.add.at(v, pt, np.einsum("oai,oaj->oij", b, b))
         np.add.at(gp, pt, np.einsum("oai,oa->oi", b, res))
-        np.add.at(w, pt, np.einsum("oai,oaj->oij", wide, b))
+        ab, cb = np.einsum("oai,oaj->oij", a, b), np.einsum("oai,oaj->oij", c, b)
+
+        def blocks(ab: np.ndarray = ab, cb: np.ndarray = cb):
+            """(first point, what cameras and lens share with each point of a block)."""
+            for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                some, first = order[lo:hi], k * POINT_BLOCK
+                w = np.zeros((min(POINT_BLOCK, len(pts) - first), n, 3))
+                np.add.at(w, (pt[some][:, None] - first, place[some]), ab[some])
+                if ni:
+                    np.add.at(w, (pt[some][:, None] - first, 6 * nc + np.arange(ni)[None, :]), cb[some])
+                yield first, w
+
         better = False
         for _ in range(10):
             v2 = v + np.einsum("pij,ij->pij", v * lam, np.eye(3)) + np.eye(3) * 1e-12
             inv = np.linalg.inv(v2 + np.eye(3) * ~free[:, None, None])
-            wv = w @ inv
-            s = u + np.diag(lam * np.diag(u) + 1e-12) - np.einsum("pij,pkj->ik", wv, w)
-            dc = -np.linalg.solve(s, gc - np.einsum("pij,pj->i", wv, gp))
-            dp = -np.einsum("pij,pj->pi", inv, gp + np.einsum("pij,i->pj", w, dc)) * free[:, None]
+            s, g = u + np.diag(lam * np.diag(u) + 1e-12), gc.copy()
+            for first, w in blocks():
+                here = slice(first, first + len(w))
+                wv = w @ inv[here]
+                s -= wv.transpose(1, 0, 2).reshape(n, -1) @ w.transpose(1, 0, 2).reshape(n, -1).T
+                g -= np.einsum("pij,pj->i", wv, gp[here])
+            dc = -np.linalg.solve(s, g)
+            back = np.concatenate([np.einsum("pij,i->pj", w, dc) for _, w in blocks()]) if len(pts) else gp
+            dp = -np.einsum("pij,pj->pi", inv, gp + back) * free[:, None]
             p2, t2 = poses + dc[: 6 * nc].reshape(nc, 6), pts + dp
             i2 = intr + dc[6 * nc :] if ni else intr
             r2 = project(p2, t2, i2) - uv

@@ -10,6 +10,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,10 +72,14 @@ def georef(run: Run) -> None:
         pairs = cut(found.select("gcp_id", *[F.col(c).alias(f"s{c}") for c in "xyz"]).join(world, "gcp_id"), "control-pairs")
     if pairs is not None and pairs.where("not is_check").count() >= 3:
         run.sim = control.fit_similarity(pairs.where("not is_check"))
-        errors = {r.is_check: r for r in control.rmse(control.residuals(pairs, run.sim), "is_check").collect()}  # two rows
-        stats |= {"georef_method": "gcp", "control_rmse_m": errors[False].rmse, "gcp_control": errors[False].n}
+        found = control.residuals(pairs, run.sim)
+        errors = {r.is_check: r for r in control.rmse(found, "is_check").collect()}  # two rows
+        stats |= {"georef_method": "gcp", "control_rmse_m": errors[False].rmse, "gcp_control": errors[False].n, "gcp_check": errors[True].n if True in errors else 0}
+        stats["georef_rmse_xyz_m"] = [errors[False][f"rmse_{c}"] for c in "xyz"]
+        by_id = found.select("gcp_id", F.col("error").alias("_error"))
+        run.tables["gcps"] = cut(run.tables["gcps"].join(control.small(by_id), "gcp_id", "left").withColumn("error", F.coalesce("_error", "error")).drop("_error"), "gcps")
         if True in errors:
-            stats |= {"check_rmse_m": errors[True].rmse, "gcp_check": errors[True].n}
+            stats["check_rmse_m"] = errors[True].rmse
     else:
         x, y = geo.forward("lon", "lat", epsg)
         tagged = cams.where(photo.has_geotag()).select("cam_id", x.alias("dx"), y.alias("dy"), F.coalesce("alt", F.lit(0.0)).alias("dz"), *[F.col(f"est_{c}").alias(f"s{c}") for c in "xyz"])
@@ -85,10 +90,34 @@ def georef(run: Run) -> None:
         if tagged.limit(3).count() < 3:
             raise StageError("georeferencing needs three control points or geotagged photos")
         run.sim = control.fit_similarity(tagged)
-        stats |= {"georef_method": "gps", "georef_rmse_m": control.rmse(control.residuals(tagged, run.sim)).first().rmse}
+        fit = control.rmse(control.residuals(tagged, run.sim)).first()
+        stats |= {"georef_method": "gps", "georef_rmse_m": fit.rmse, "georef_rmse_xyz_m": [fit[f"rmse_{c}"] for c in "xyz"]}
+    if "views" in run.tables:
+        _place(run)
     run.survey.optimized = True
 
 
+def _place(run: Run) -> None:
+    """World positions of the solved cameras: by the similarity, then by bundle adjustment if there are marks and tracks for it."""
+    x, y, z = run.sim.columns("cx", "cy", "cz")
+    at = run.tables["views"].select("cam_id", x.alias("_x"), y.alias("_y"), z.alias("_z"))
+    if all(t in run.tables for t in ("tracks", "tie_points", "observations", "gcps")):
+        try:
+            found = control.refine(run.tables["views"], run.tables["tie_points"], run.tables["tracks"], run.tables["gcps"], run.tables["observations"], run.sim)
+        except np.linalg.LinAlgError as problem:  # the fit stands without it
+            run.log(f"no bundle adjustment: {problem}")
+            found = None
+        if found is not None:
+            stats = run.survey.stats
+            stats |= {"ba_rmse_px": found.rmse_after, "ba_rmse_before_px": found.rmse_before, "ba_observations": found.n_obs}
+            if found.lens is not None:
+                stats["calibration"] = dict(zip(("focal_px", "cx", "cy", "k1"), map(float, found.lens), strict=True)) | {"source": "bundle adjustment"}
+            at = run.spark.createDataFrame([(k, *map(float, p)) for k, p in found.centres.items()], "cam_id long, _x double, _y double, _z double")
+    moved = run.need("cameras").join(control.small(at), "cam_id", "left")
+    moved = moved.withColumns({f"est_{c}": F.coalesce(F.col(f"_{c}"), F.col(f"est_{c}")) for c in "xyz"}).drop("_x", "_y", "_z")
+    run.tables["cameras"] = cut(moved, "cameras")
+
+
 def dense(run: Run) -> None:
     if "dense_local" in run.tables:
         points = run.tables["dense_local"]

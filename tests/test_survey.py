@@ -136,6 +136,62 @@ def test_bundle_adjustment_converges():
     assert np.array_equal(out.points[:8], pts[:8])
 
 
+def test_rotation_vectors_round_trip():
+    rng = np.random.default_rng(1)
+    r = np.concatenate([rng.normal(0, 1.2, (50, 3)), np.zeros((1, 3)), [[np.pi, 0, 0], [0, 3.1, 0], [1e-9, 0, 0]]])
+    m = control.rotation_matrix(r)
+    assert np.allclose(control.rotation_matrix(control.rotation_vector(m)), m, atol=1e-7)
+
+
+def rig(spark, marks=True):
+    """A survey whose sparse model is a little off; marks and tracks are those of the true cameras."""
+    rng = np.random.default_rng(5)
+    centres = np.array([(x, y, 60.0) for x in (0.0, 20, 40) for y in (0.0, 15)])
+    down = np.diag([1.0, -1, -1])
+    ties, gcps = np.column_stack([rng.uniform(-10, 50, 80), rng.uniform(-10, 25, 80), rng.uniform(0, 4, 80)]), np.array([(0, 0, 1.0), (40, 0, 2), (0, 15, 0), (40, 15, 3), (20, 8, 1)])
+    move = np.array([500_000.0, 2_500_000, 10])
+    see = lambda c, p: (3000 * ((p - c) @ down.T)[:, :2] / ((p - c) @ down.T)[:, 2:]) + [2000, 1500]
+    spin = control.rotation_matrix(rng.normal(0, 0.002, (6, 3))) @ down
+    quats = []
+    for r in spin:
+        v = control.rotation_vector(r[None])[0]
+        quats.append((float(np.cos(np.linalg.norm(v) / 2)), *map(float, v / np.linalg.norm(v) * np.sin(np.linalg.norm(v) / 2))))
+    guess = (centres + rng.normal(0, 0.05, centres.shape)) / 2  # model units are two metres
+    shift = -np.einsum("nij,nj->ni", spin, guess)
+    views = [(k, f"i{k}.jpg", 1, *quats[k], *map(float, shift[k]), 3000.0, 3000.0, 2000.0, 1500.0, *map(float, guess[k]), 4000, 3000, True) for k in range(6)]
+    names = "cam_id long, name string, camera_id long, qw double, qx double, qy double, qz double, tx double, ty double, tz double, fx double, fy double, ppx double, ppy double, cx double, cy double, cz double, width int, height int, enabled boolean"
+    tables = {
+        "views": spark.createDataFrame(views, names),
+        "cameras": cameras(spark, *[DRONE | dict(cam_id=k, path=f"/p/i{k}.jpg") for k in range(7)]),
+        "tie_points": spark.createDataFrame([(k, *map(float, p / 2 + rng.normal(0, 0.02, 3)), 0.5) for k, p in enumerate(ties)], "pid long, x double, y double, z double, err double"),
+        "tracks": spark.createDataFrame([(f"i{c}.jpg", k, *map(float, uv)) for c in range(6) for k, uv in enumerate(see(centres[c], ties))], "name string, pid long, u double, v double"),
+        "gcps": spark.createDataFrame([(k, f"g{k}", *map(float, p + move), k == 4, True, 0.02, None) for k, p in enumerate(gcps)], schema.GCPS),
+        "observations": spark.createDataFrame([(k, c, *map(float, uv)) for c in range(6) for k, uv in enumerate(see(centres[c], gcps))] if marks else [], schema.OBSERVATIONS),
+    }
+    return pipeline.Run(spark, project.Survey(), tables, log=lambda m: None), centres + move
+
+
+def test_georef_adjusts_the_bundle(spark):
+    run, truth = rig(spark)
+    pipeline.georef(run)
+    stats = run.survey.stats
+    assert stats["georef_method"] == "gcp" and stats["gcp_control"] == 4 and stats["gcp_check"] == 1 and len(stats["georef_rmse_xyz_m"]) == 3 and stats["check_rmse_m"] > 0
+    assert stats["ba_rmse_px"] < 0.05 < 1 < stats["ba_rmse_before_px"] and stats["ba_observations"] == 6 * 85
+    assert abs(stats["calibration"]["focal_px"] - 3000) < 5
+    placed = {r.cam_id: (r.est_x, r.est_y, r.est_z) for r in run.tables["cameras"].collect()}
+    assert all(np.allclose(placed[k], truth[k], atol=0.05) for k in range(6)) and placed[6] == (None, None, None)
+    errors = {r.gcp_id: r.error for r in run.tables["gcps"].collect()}
+    assert all(0 <= errors[k] < 1 for k in range(5))
+
+
+def test_georef_without_marks_keeps_the_fit(spark):
+    run, _ = rig(spark, marks=False)
+    with pytest.raises(Exception, match="georeferencing needs"):  # one place for all photos is no three
+        run.tables["cameras"] = run.tables["cameras"].limit(2)
+        pipeline.georef(run)
+    assert control.refine(run.tables["views"], run.tables["tie_points"], run.tables["tracks"], run.tables["gcps"], run.tables["observations"], control.similarity_from([2, 1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0])) is None
+
+
 @pytest.fixture
 def dsm(spark):
     a = np.full((100, 100), 100.0)
