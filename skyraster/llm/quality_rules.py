@@ -57,7 +57,7 @@ def _spaced(text: Column) -> Column:
 
 
 def _words(spaced: Column) -> Column:
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _code(text: Column) -> Column:
@@ -83,15 +83,21 @@ def _repeats(words: Column, codes: Column) -> Column:
         same = F.filter(rows, lambda r, i: F.coalesce(F.get(rows, i - 1)["h"] == r["h"], F.lit(False)) | F.coalesce(F.get(rows, i + 1)["h"] == r["h"], F.lit(False)))
         return let(F.sort_array(F.transform(same, lambda r: r["i"])), covered)
 
-    def windows(of: Column) -> Column:
-        starts = F.slice(of, 1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(0)))
-        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(of, i + k) for k in range(1, WINDOW)]))
+    def starts(of: Column) -> Column:
+        return F.slice(of, 1, F.greatest(F.size(of) - (WINDOW - 1), F.lit(0)))
 
     def look(hashes: Column) -> Column:
         return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), again)
 
-    # Where no two windows have the same codes, no two are the same; else the words themselves are hashed.
-    return let(windows(codes), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(windows(words), look)))
+    def by_words() -> Column:
+        return let(F.transform(starts(words), lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, WINDOW)])), look)
+
+    # Where no two windows have the same codes, no two are the same; else the words themselves are hashed. WINDOW is two pairs and one.
+    def by_pairs(pairs: Column) -> Column:
+        return let(F.transform(starts(codes), lambda c, i: F.xxhash64(F.get(pairs, i), F.get(pairs, i + 2), F.get(codes, i + 4))),
+                   lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(by_words()))
+
+    return let(F.transform(codes, lambda c, i: c * F.lit(CODES).cast("long") + F.get(codes, i + 1)), by_pairs)
 
 
 def _dup_lines(text: Column) -> Column:
@@ -103,20 +109,26 @@ def _symbols(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
 
 
-def trusted(text: Column, words: Column, codes: Column) -> Column:
+def trusted(text: Column, words: Column, codes: Column, symbols: Column, dup_lines: Column) -> Column:
     """Whether a text's form is strict enough for the target distribution."""
     chars = F.length(text)
-    cheap = (F.size(codes) >= TRUST_WORDS) & (_symbols(text) * 200 <= chars) & (F.regexp_count(text, F.lit("[A-Z][A-Z]")) * 50 <= chars) & (_dup_lines(text) == 0)
-    return F.coalesce(cheap & (F.size(F.array_distinct(words)) * 5 >= F.size(codes)), F.lit(False))
+    cheap = (F.size(codes) >= TRUST_WORDS) & (symbols * 200 <= chars) & (dup_lines == 0) & (F.regexp_count(text, F.lit("[A-Z][A-Z]")) * 50 <= chars)
+    # As many different codes are as many different words; words are only told apart where codes do not do.
+    varied = (F.size(F.array_distinct(codes)) * 5 >= F.size(codes)) | (F.size(F.array_distinct(words)) * 5 >= F.size(codes))
+    return F.coalesce(cheap & varied, F.lit(False))
 
 
 def analysis(text: Column) -> Column:
     """Struct of the base counts, whether the text is trusted, and its words' codes."""
 
     def counted(spaced: Column) -> Column:
-        return let(_words(spaced), lambda w: let(F.transform(w, _code), lambda c: F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"), _symbols(text).cast("long").alias("n_symbols"),
-            _dup_lines(text).cast("long").alias("n_dup_lines"), _repeats(w, c).cast("long").alias("n_repeat_words"), trusted(text, w, c).alias("trusted"), c.alias("codes"))))
+        def of(w: Column, c: Column, form: Column) -> Column:
+            return F.struct(
+                F.size(w).cast("long").alias("n_words"), F.length(F.replace(spaced, F.lit(" "), F.lit(""))).cast("long").alias("word_chars"), form["symbols"].cast("long").alias("n_symbols"),
+                form["dup_lines"].cast("long").alias("n_dup_lines"), _repeats(w, c).cast("long").alias("n_repeat_words"), trusted(text, w, c, form["symbols"], form["dup_lines"]).alias("trusted"), c.alias("codes"))
+
+        form = F.struct(_symbols(text).alias("symbols"), _dup_lines(text).alias("dup_lines"))
+        return let(_words(spaced), lambda w: let(F.transform(w, _code), lambda c: let(form, lambda f: of(w, c, f))))
 
     return let(_spaced(text), counted)
 
