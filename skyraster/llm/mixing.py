@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 Every document gets an exponential key ``-ln(u) / weight``: u is a hash of its doc_id, weight
-its quality. Sorted by key within its source, the documents' sizes are prefix-summed to the
+a column that is passed in, or else its quality: one plus the mean log ratio of its words under trusted and
+under all texts (see quality_rules), held between ``LEAST`` and ``MOST``. Sorted by key within its source, the documents' sizes are prefix-summed to the
 source's budget. Budgets follow the source weights, and stop at ``cap`` times the source's
 size; what is cut off goes to the others by weight. Whole epochs come first, then the
 fractional part takes the documents with the smallest keys, up to the one whose middle word
@@ -23,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from skyraster.llm import quality_rules
 from skyraster.llm.common import cut, ensure, shared_dir
 
 WEIGHTS = (3, 1, 2)
@@ -30,26 +32,32 @@ SHARE = 1.5
 CAP = 2
 BUCKETS = 1024
 EDGE_ROWS = 50_000
+ORDERS = 1  # length of the word runs by which quality is told
+LEAST, MOST = 0.05, 1.5
 SEED = "mix"
 MAX_BROADCAST_SOURCES = 100_000
 _TEXT = "coalesce(cast(`text` as string), '')"
 
 
-def measures(seed: str = SEED) -> dict[str, Column]:
-    """Size, key, bucket and tie-breakers of a document, from its text and doc_id."""
+def measure(docs: DataFrame, folder: str, seed: str = SEED, weight: str | None = None, rows: bool = False) -> DataFrame:
+    """_doc, _source, _size, _tie, _key, _bucket of each row of docs, and with ``rows`` the row itself as _row.
+
+    weight: a column of docs, above 0; without one the weight is the text's quality.
+    """
     text, name = F.expr(_TEXT), F.expr("coalesce(cast(doc_id as string), '')")
-    size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("double")
-    weight = F.greatest(F.lit(0.05), 1.0 - 8.0 * symbols / F.greatest(F.length(text), F.lit(1)).cast("double"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    return {"size": size, "tie": F.md5(text), "weight": weight, "u": u}
-
-
-def measure(docs: DataFrame, seed: str = SEED, *keep: str) -> DataFrame:
-    """doc_id, source, size, key, bucket, tie of each row, and the columns to keep."""
-    m = measures(seed)
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("doc_id").cast("long").alias("_doc"), F.col("source").cast("string").alias("_source"),
-                      *[c.alias(f"_{n}") for n, c in m.items()])
+    known = [F.col("doc_id").cast("long").alias("_doc"), F.col("source").cast("string").alias("_source"), F.md5(text).alias("_tie"), u.alias("_u")]
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != weight]).alias("_row")] if rows else []
+    if weight is not None:
+        size = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+        out = docs.select(*kept, *known, size.alias("_size"), F.col(f"`{weight}`").cast("double").alias("_weight"))
+    else:
+        coded = cut(docs.select(*kept, *known, quality_rules.form(text).alias("of")).select(*["_row"] * rows, "_doc", "_source", "_tie", "_u", "of.*"), f"{folder}/coded")
+        ratios = quality_rules.log_ratios(coded, ORDERS)
+        n = F.size("codes")
+        score = quality_rules.units(F.col("codes"), ratios, ORDERS) / F.greatest(n, F.lit(1)).cast("double") / float(quality_rules.UNIT)
+        quality = F.least(F.greatest(1.0 + score, F.lit(LEAST)), F.lit(MOST))
+        out = coded.select(*["_row"] * rows, "_doc", "_source", "_tie", "_u", n.cast("long").alias("_size"), quality.alias("_weight"))
     out = out.withColumn("_key", -F.log("_u") / F.col("_weight"))
     return out.withColumn("_bucket", F.least(F.floor(BUCKETS * (1 - F.exp(-F.col("_key")))), F.lit(BUCKETS - 1)).cast("int")).drop("_u", "_weight")
 
@@ -127,32 +135,29 @@ def decide(measured: DataFrame, chosen: DataFrame) -> DataFrame:
     return out.withColumn("copies", F.col("epochs") + F.when(taken, 1).otherwise(0))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, weight: str | None = None) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken."""
     folder = shared_dir(docs.sparkSession)
-    measured = cut(measure(ensure(docs, doc_id="long", text="string", source="string"), seed), f"{folder}/measured")
+    docs = ensure(docs, doc_id="long", text="string", source="string", **({weight: "double"} if weight else {}))
+    measured = cut(measure(docs, folder, seed, weight), f"{folder}/measured")
     chosen = cut(plan(measured, folder, weights, share, cap), f"{folder}/plan")
     return decide(measured, chosen).select(
         F.col("_doc").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
 
-def apply(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """The mixture itself: every row of docs as often as the mix takes it, columns unchanged."""
+def apply(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, weight: str | None = None) -> DataFrame:
+    """The mixture itself: every row of docs as often as the mix takes it, columns unchanged (but for the weight, which goes)."""
     folder = shared_dir(docs.sparkSession)
-    measured = cut(measure(docs.select("doc_id", "text", "source"), seed), f"{folder}/measured")
-    chosen = cut(plan(measured, folder, weights, share, cap), f"{folder}/plan")
-    rows = decide(measure(docs.select(F.struct("*").alias("_row"), "doc_id", "text", "source"), seed, "_row"), chosen)
-    return rows.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
-
-
-ORACLE = r"""
-WITH m AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    md5(coalesce(text, '')) AS tie,
-    greatest(0.05::double, 1.0::double - 8.0::double * len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::double
-      / greatest(length(coalesce(text, '')), 1)::double) AS weight,
-    (('0x' || substr(md5('mix:' || coalesce(cast(doc_id AS varchar), '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double AS u
-  FROM documents),
+    measured = cut(measure(docs, folder, seed, weight, rows=True), f"{folder}/measured")
+    chosen = cut(plan(measured.drop("_row"), folder, weights, share, cap), f"{folder}/plan")
+    return decide(measured, chosen).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+
+
+ORACLE = quality_rules.scores_sql(ORDERS) + r""",
+m AS (
+  SELECT base.doc_id, source, n_words AS size, md5(text) AS tie, least(greatest(1.0::double + coalesce(units, 0)::double / greatest(n_words, 1)::double / 10000.0::double, 0.05::double), 1.5::double) AS weight,
+    (('0x' || substr(md5('mix:' || coalesce(cast(base.doc_id AS varchar), '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double AS u
+  FROM base LEFT JOIN sc USING (rid)),
 k AS (SELECT doc_id, source, size, tie, -ln(u) / weight AS key FROM m),
 s AS (SELECT source, sum(size)::double AS source_size FROM k GROUP BY source),
 ranked AS (

@@ -33,6 +33,7 @@ from skyraster.llm.common import cut, ensure, shared_dir
 BUCKETS = 1 << 14
 CODES = 1 << 26  # so that what is added below stays within int
 STEP = 5
+ORDERS = 3
 ALPHA = 1.0
 UNIT = 10_000
 THRESHOLD = -0.125
@@ -65,11 +66,9 @@ def _code(text: Column) -> Column:
     return (F.crc32(text.cast("binary")) % CODES).cast("int")
 
 
-def _runs(codes: Column, a: Column, i: Column) -> list[Column]:
-    """Buckets of the runs of one, two and three words that begin at a; null past the end."""
-    b, c = F.get(codes, i + 1), F.get(codes, i + 2)
-    two = a * STEP + b
-    return [a % BUCKETS, two % BUCKETS + BUCKETS, (a * STEP % CODES * STEP + b * STEP + c) % BUCKETS + 2 * BUCKETS]
+def _runs(a: Column, b: Column, c: Column, orders: int) -> list[Column]:
+    """Buckets of the runs of one to ``orders`` words that begin at a; null past the end."""
+    return [a % BUCKETS, (a * STEP + b) % BUCKETS + BUCKETS, (a * STEP % CODES * STEP + b * STEP + c) % BUCKETS + 2 * BUCKETS][:orders]
 
 
 def _repeats(words: Column, codes: Column) -> Column:
@@ -133,38 +132,48 @@ def analysis(text: Column) -> Column:
     return let(_spaced(text), counted)
 
 
-def log_ratios(coded: DataFrame) -> list[int]:
+def log_ratios(coded: DataFrame, orders: int = ORDERS) -> list[int]:
     """log(target / raw) of every bucket in units, from the trusted and codes of all documents."""
-    following = [F.slice("codes", k, F.size("codes")) for k in (1, 2, 3)]
-    rows = coded.where(F.size("codes") > 0).select(F.when(F.col("trusted"), 3 * BUCKETS).otherwise(0).alias("base"), F.inline(F.arrays_zip(*[x.alias(n) for x, n in zip(following, "abc", strict=True)])).alias("a", "b", "c"))
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    each = F.array(a % BUCKETS, (a * STEP + b) % BUCKETS + BUCKETS, (a * STEP % CODES * STEP + b * STEP + c) % BUCKETS + 2 * BUCKETS)
+    following = [F.slice("codes", k, F.size("codes")).alias(n) for k, n in enumerate("abc", 1)]
+    space = orders * BUCKETS
+    rows = coded.where(F.size("codes") > 0).select(F.when(F.col("trusted"), space).otherwise(0).alias("base"), F.inline(F.arrays_zip(*following)).alias(*"abc"))
+    each = F.array(*_runs(F.col("a"), F.col("b"), F.col("c"), orders))
     # Trusted texts count in buckets of their own, so that the sums need one key.
     seen = rows.select("base", F.explode(each).alias("b")).where("b is not null").groupBy((F.col("base") + F.col("b")).alias("bt")).agg(F.count(F.lit(1)).alias("n"))
-    target = F.when(F.col("bt") >= 3 * BUCKETS, F.col("n")).otherwise(0)
-    counts = seen.groupBy((F.col("bt") % (3 * BUCKETS)).alias("b")).agg(F.sum("n").alias("raw"), F.sum(target).alias("target"))
-    found = counts.collect()  # at most 3 * BUCKETS sums
-    n, all_raw, all_target = 3 * BUCKETS, sum(r.raw for r in found), sum(r.target for r in found)
-    out = [0] * n
+    target = F.when(F.col("bt") >= space, F.col("n")).otherwise(0)
+    counts = seen.groupBy((F.col("bt") % space).alias("b")).agg(F.sum("n").alias("raw"), F.sum(target).alias("target"))
+    found = counts.collect()  # at most ORDERS * BUCKETS sums
+    all_raw, all_target = sum(r.raw for r in found), sum(r.target for r in found)
+    out = [0] * space
     for r in found if all_target else []:
-        ratio = math.log((r.target + ALPHA) / (all_target + ALPHA * n)) - math.log((r.raw + ALPHA) / (all_raw + ALPHA * n))
+        ratio = math.log((r.target + ALPHA) / (all_target + ALPHA * space)) - math.log((r.raw + ALPHA) / (all_raw + ALPHA * space))
         out[r.b] = round(ratio * UNIT)
     return out
 
 
-def _rated(coded: DataFrame, threshold: float) -> DataFrame:
-    """Adds units, n_features, base_failed and kept to coded rows."""
-    table = F.split(F.lit(",".join(map(str, log_ratios(coded)))), ",").cast("array<int>")
+def units(codes: Column, ratios: list[int], orders: int = ORDERS) -> Column:
+    """Sum of the log ratios of a text's features."""
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
+
+    def at(c: Column, i: Column) -> Column:
+        found = [F.get(table, x) for x in _runs(c, F.get(codes, i + 1), F.get(codes, i + 2), orders)]
+        return sum((F.coalesce(x, F.lit(0)) for x in found[1:]), found[0])
+
+    return F.aggregate(F.transform(codes, at), F.lit(0).cast("long"), lambda x, y: x + y)
 
-    def units(codes: Column) -> Column:
-        def at(c: Column, i: Column) -> Column:
-            one, two, three = _runs(codes, c, i)
-            return F.get(table, one) + F.coalesce(F.get(table, two), F.lit(0)) + F.coalesce(F.get(table, three), F.lit(0))
 
-        return F.aggregate(F.transform(codes, at), F.lit(0).cast("long"), lambda x, y: x + y)
+def form(text: Column) -> Column:
+    """Struct of a text's codes and whether it is trusted: what ``log_ratios`` and ``units`` need."""
+    known = F.struct(_symbols(text).alias("symbols"), _dup_lines(text).alias("dup_lines"))
+    return let(_words(_spaced(text)), lambda w: let(F.transform(w, _code), lambda c: let(known, lambda f: F.struct(
+        c.alias("codes"), trusted(text, w, c, f["symbols"], f["dup_lines"]).alias("trusted")))))
 
+
+def _rated(coded: DataFrame, threshold: float) -> DataFrame:
+    """Adds units, n_features, base_failed and kept to coded rows."""
+    ratios = log_ratios(coded)
     features = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, 3)), F.col("n_words"))
-    out = coded.withColumn("units", units(F.col("codes"))).withColumn("n_features", features)
+    out = coded.withColumn("units", units(F.col("codes"), ratios)).withColumn("n_features", features)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("units") >= F.col("n_features") * int(threshold * UNIT)))
 
@@ -183,10 +192,10 @@ def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return _rated(cut(coded, f"{shared_dir(docs.sparkSession)}/coded"), threshold).where("kept").select("_row.*")
 
 
-ORACLE = r"""
+_BASE_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 grams AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
@@ -207,18 +216,26 @@ crc AS (
     lambda a, b: xor(a >> 8, tab[((xor(a, b) & 255) + 1)::bigint])), 4294967295::ubigint)::bigint % 67108864 AS c FROM tok, crc_table),
 pos AS (SELECT rid, trusted, unnest(w) AS tok, unnest(range(1, len(w) + 1)) AS i FROM base),
 coded AS (SELECT rid, trusted, c, lead(c) OVER o AS c2, lead(c, 2) OVER o AS c3 FROM pos JOIN crc USING (tok) WINDOW o AS (PARTITION BY rid ORDER BY i)),
-feat AS (
-  SELECT rid, trusted, c % 16384 AS b FROM coded
-  UNION ALL
-  SELECT rid, trusted, 16384 + (5 * c + c2) % 16384 FROM coded WHERE c2 IS NOT NULL
-  UNION ALL
-  SELECT rid, trusted, 32768 + (25 * c + 5 * c2 + c3) % 16384 FROM coded WHERE c3 IS NOT NULL),
+"""
+
+_SCORE_SQL = """
 cnt AS (SELECT b, count(*)::double AS raw, sum(trusted::int)::double AS target FROM feat GROUP BY b),
 tot AS (SELECT sum(raw) AS all_raw, sum(target) AS all_target FROM cnt),
 lw AS (
-  SELECT b, CASE WHEN all_target > 0 THEN round_even((ln((target + 1) / (all_target + 49152)) - ln((raw + 1) / (all_raw + 49152))) * 10000, 0)::bigint ELSE 0 END AS u
+  SELECT b, CASE WHEN all_target > 0 THEN round_even((ln((target + 1) / (all_target + {space})) - ln((raw + 1) / (all_raw + {space}))) * 10000, 0)::bigint ELSE 0 END AS u
   FROM cnt, tot),
 sc AS (SELECT rid, sum(u) AS units, count(*) AS n FROM feat JOIN lw USING (b) GROUP BY rid)
+"""
+
+
+def scores_sql(orders: int = ORDERS) -> str:
+    """CTEs up to ``base`` (rid, doc_id, text and counts of every document) and ``sc`` (rid, units, n)."""
+    runs = [("c", "true"), ("5 * c + c2", "c2 IS NOT NULL"), ("25 * c + 5 * c2 + c3", "c3 IS NOT NULL")][:orders]
+    feat = " UNION ALL ".join(f"SELECT rid, trusted, {k * BUCKETS} + ({x}) % {BUCKETS} AS b FROM coded WHERE {there}" for k, (x, there) in enumerate(runs))
+    return f"{_BASE_SQL} feat AS ({feat}), {_SCORE_SQL.format(space=orders * BUCKETS)}"
+
+
+ORACLE = scores_sql() + r"""
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
   n_repeat_words::bigint AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(units, 0) >= coalesce(n, 0) * -1250 AS kept,

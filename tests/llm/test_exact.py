@@ -436,7 +436,7 @@ def test_edges_are_divided_until_small(spark, nothing, edge_rows, monkeypatch):
     rows = [(k if k % 3 else None, "w " * (k % 17), "a" if k % 5 else "b") for k in range(900)] + [(5, "w w w", "c")] * 40
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     folder = common.shared_dir(spark)
-    measured = common.cut(mixing.measure(docs), f"{folder}/m")
+    measured = common.cut(mixing.measure(docs, folder), f"{folder}/m")
     chosen = mixing.plan(measured, folder, edge_rows=edge_rows)
     got = Counter((r._source, r._key, r._doc, r._size, r._tie, r.copies) for r in mixing.decide(measured, chosen).collect())
     want, goals = Counter(), {r.plan_source: r for r in chosen.collect()}
@@ -450,6 +450,14 @@ def test_edges_are_divided_until_small(spark, nothing, edge_rows, monkeypatch):
     assert got == want
 
 
+def test_weights_are_passed_in(spark):
+    rows = [(k, "w " * 20, "a", 0.01 if k % 2 else 1.0) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    got = mixing.mix(docs, share=0.5, weight="q").collect()  # half of the words: those of the heavy rows
+    assert sum(r.taken > 0 for r in got if r.doc_id % 2 == 0) > 280 and abs(sum(r.taken for r in got) - 6000) <= 20
+    assert mixing.apply(docs, share=0.5, weight="q").columns == ["doc_id", "text", "source"]
+
+
 def test_mixture_repeats_rows(spark, documents):
     mixed = mixing.apply(documents)
     want = mixing.mix(documents).agg(F.sum("taken")).first()[0]
