@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyraster.llm import decontaminate, html_main, jaccard_join, language, mixing, pii, quality_model, quality_rules, token_counts, tokenfile
 from skyraster.llm.common import table
@@ -14,7 +15,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("spans")
+    return found.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ","))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -77,8 +78,8 @@ ORACLES: dict[str, str] = {
 
 ORACLES["op2_decontaminate"] = r"""
 WITH dw AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
 iw AS (
   SELECT cast(item_id AS varchar) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -90,12 +91,21 @@ pos AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, size
 hits AS (
   SELECT pos.doc_id, pos.i, pos.n, win.item_id FROM pos
   JOIN win ON win.n = pos.n AND win.p = array_to_string(pos.w[pos.i:pos.i + pos.n - 1], ' ')),
-words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
+hit_words AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits)),
+words AS (SELECT doc_id, count(*) AS n_hit FROM hit_words GROUP BY 1),
+place AS (
+  SELECT doc_id, k, sum(length(w[k])) OVER o + sum(length(g[k])) OVER o AS e, length(w[k]) AS size FROM (
+    SELECT doc_id, w, string_split_regex(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS g, unnest(range(1, len(w) + 1)) AS k FROM dw WHERE doc_id IN (SELECT doc_id FROM words))
+  WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+runs AS (
+  SELECT doc_id, min(e - size) AS s, max(e) AS e FROM (SELECT doc_id, e, size, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM place JOIN hit_words USING (doc_id, k))
+  GROUP BY doc_id, run),
+spans AS (SELECT doc_id, string_agg(s::bigint || ':' || e::bigint, ',' ORDER BY s) AS spans FROM runs GROUP BY 1),
 items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
   FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
 SELECT d.doc_id, cast(len(d.w) AS bigint) AS n_words, cast(coalesce(words.n_hit, 0) AS bigint) AS n_hit,
   cast(coalesce(items.n_items, 0) AS bigint) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256,
-  coalesce(words.n_hit, 0) > 0 AS contaminated
-FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+  coalesce(words.n_hit, 0) > 0 AS contaminated, coalesce(spans.spans, '') AS spans
+FROM dw d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN spans USING (doc_id)
 """

@@ -78,9 +78,9 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         end = np.array([end_id], _width(tool.kind)).tobytes()
         for batch in batches:
             ids = [x + end for x in tool.encode_column(batch.column("text"))]
-            total = np.zeros(1, np.int64)
-            for one in ids:
-                n = np.bincount(np.frombuffer(one, _width(tool.kind)), minlength=len(total))
+            total = np.zeros(0, np.int64)
+            for a in range(0, len(ids), 500):
+                n = np.bincount(np.frombuffer(b"".join(ids[a : a + 500]), _width(tool.kind)), minlength=len(total))
                 n[: len(total)] += total
                 total = n
             seen = np.flatnonzero(total)

@@ -132,8 +132,13 @@ class PieceEncoder:
             lists = pc.split_pattern(pc.replace_substring(part, "\n", " "), " ")
             coded = lists.flatten().dictionary_encode()
             pieces = coded.dictionary.to_pylist()
-            self.learn(set(pieces))
-            yield list(map(self.new.__getitem__, pieces)), coded.indices.to_numpy(), lists.value_lengths().to_numpy().cumsum()
+            ids = list(map(self.new.get, pieces))
+            missing = [k for k, x in enumerate(ids) if x is None]
+            if missing:
+                self.learn({pieces[k] for k in missing})
+                for k in missing:
+                    ids[k] = self.new[pieces[k]]
+            yield ids, coded.indices.to_numpy(), lists.value_lengths().to_numpy().cumsum()
 
     def count_column(self, texts: pa.Array) -> np.ndarray:
         """Number of ids of each text of an Arrow column."""
