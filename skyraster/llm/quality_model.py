@@ -40,6 +40,7 @@ REACH = 2
 HIDDEN = 24
 MAX_TRAIN = 20_000
 EPOCHS = 40
+DECAY = 1e-4
 CUT = 0.3
 PARTS = 64
 SALTS = 64
@@ -166,6 +167,19 @@ def pool(texts: pa.Array, table: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, table.shape[1] + 1), np.float32)
 
 
+def loss(w: list[np.ndarray], z: np.ndarray, t: np.ndarray) -> float:
+    """Mean cross-entropy, and DECAY for the squares of the weights."""
+    logit = np.tanh(z @ w[0] + w[1]) @ w[2] + w[3]
+    return float(np.mean(np.logaddexp(0, logit) - t * logit) + DECAY / 2 * ((w[0] ** 2).sum() + (w[2] ** 2).sum()))
+
+
+def gradients(w: list[np.ndarray], z: np.ndarray, t: np.ndarray) -> list[np.ndarray]:
+    h = np.tanh(z @ w[0] + w[1])
+    d = (_sigmoid(h @ w[2] + w[3]) - t) / len(z)
+    back = d[:, None] * w[2] * (1 - h * h)
+    return [z.T @ back + DECAY * w[0], back.sum(0), h.T @ d + DECAY * w[2], d.sum(keepdims=True)]
+
+
 class Network:
     """tanh layer, logit, temperature."""
 
@@ -180,12 +194,8 @@ class Network:
             order = rng.permutation(len(z))
             for a in range(0, len(z), 256):
                 b = order[a : a + 256]
-                h = np.tanh(z[b] @ self.w[0] + self.w[1])
-                d = (_sigmoid(h @ self.w[2] + self.w[3]) - t[b]) / len(b)
-                back = d[:, None] * self.w[2] * (1 - h * h)
-                grads = [z[b].T @ back + 1e-4 * self.w[0], back.sum(0), h.T @ d + 1e-4 * self.w[2], d.sum(keepdims=True)]
                 step += 1
-                for k, g in enumerate(grads):
+                for k, g in enumerate(gradients(self.w, z[b], t[b])):
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.w[k] = self.w[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -229,8 +239,6 @@ def train(pooled: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Ne
     return Network(x, np.array([r.quality for r in rows], np.float64), np.array([r.h % 10 != 0 for r in rows]))
 
 
-
-
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     spark = docs.sparkSession

@@ -197,6 +197,43 @@ def test_network_gradient_step_and_temperature():
     y = (x[:, 0] + 0.5 * rng.normal(0, 1, 400) > 0).astype(float)
     net = quality_model.Network(x, y, np.arange(400) % 10 != 0)
     assert ((net.score(x) > 0.5) == y).mean() > 0.8 and net.temperature > 0
+    z, t = rng.normal(0, 1, (30, 6)), rng.integers(0, 2, 30).astype(float)
+    for part, g in zip(net.w, quality_model.gradients(net.w, z, t), strict=True):
+        flat, slopes = part.reshape(-1), g.reshape(-1)
+        for k in rng.choice(len(flat), min(5, len(flat)), replace=False):
+            old = flat[k]
+            flat[k] = old + 1e-5
+            up = quality_model.loss(net.w, z, t)
+            flat[k] = old - 1e-5
+            down = quality_model.loss(net.w, z, t)
+            flat[k] = old
+            assert slopes[k] == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-8)
+    rest, logit = y[np.arange(400) % 10 == 0], net.logits(x[np.arange(400) % 10 == 0])
+    calibrated = lambda g: np.mean(np.logaddexp(0, logit / g) - rest * logit / g)
+    assert all(calibrated(net.temperature) <= calibrated(net.temperature * f) for f in (0.8, 0.9, 1.1, 1.25))
+
+
+def test_pooling_by_brute_force():
+    rng = np.random.default_rng(3)
+    table = rng.normal(0, 1, (quality_model.VOCAB, 8)).astype(np.float32)
+    texts = pa.array(["one two, three!! ONE two", None, "", "x", "a b c d a b c a b c", *["w%d" % k for k in range(300)]])
+    got = quality_model.pool(texts, table)
+    words: dict[int, list[int]] = {}
+    for w, at, again in quality_model.word_ids(texts):
+        for a, b in zip(w.tolist(), at.tolist(), strict=True):
+            words.setdefault(b, []).append(a)
+        for b, n in enumerate(again.tolist()):
+            words[b] = words.get(b, []) + [quality_model.REPEAT] * n
+    assert words[4].count(quality_model.REPEAT) == 2  # a b c comes twice more
+    for k in range(len(texts)):
+        mean = table[words[k]].mean(0) if words[k] else np.zeros(8)
+        assert np.allclose(got[k], [*mean, np.log1p(len(words[k]))], atol=1e-5)
+
+
+def test_quality_does_not_depend_on_partitions(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    one, two = ({r.doc_id: round(r.score, 9) for r in quality_model.classify(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == two
 
 
 # --- language ---------------------------------------------------------------------------------
