@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -76,17 +78,40 @@ def solve_gains(ratios: DataFrame, sites: list, least_pairs: int = 5, least_samp
     used = [r for r in rows if r.n >= least_pairs]
     if not used:
         return gains
-    a, y = np.zeros((len(used) + 1, len(sites))), np.zeros((len(used) + 1, 3))
-    for k, r in enumerate(used):
-        w = np.sqrt(r.n)
-        a[k, place[r.ci]] += w
-        a[k, place[r.cj]] -= w
-        y[k] = np.array([r.red, r.green, r.blue]) * w
-    a[-1] = 10
-    solved = np.clip(np.exp(np.linalg.lstsq(a, y, rcond=None)[0]), 0.6, 1.6)
+    ci, cj = (np.array([place[r[c]] for r in used]) for c in ("ci", "cj"))
+    w, y = np.array([float(r.n) for r in used]), np.array([(r.red, r.green, r.blue) for r in used]) * 1.0
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        """The normal equations' matrix times x, pair by pair; the last row of the problem asks for a mean of 0."""
+        d = w[:, None] * (x[ci] - x[cj])
+        out = np.full_like(x, 100.0) * x.sum(0)
+        np.add.at(out, ci, d)
+        np.add.at(out, cj, -d)
+        return out
+
+    right = np.zeros((len(sites), 3))
+    np.add.at(right, ci, w[:, None] * y)
+    np.add.at(right, cj, -w[:, None] * y)
+    solved = np.clip(np.exp(_conjugate_gradients(normal, right)), 0.6, 1.6)
     return {s: solved[place[s]] for s in sites}
 
 
+def _conjugate_gradients(times: Callable[[np.ndarray], np.ndarray], right: np.ndarray) -> np.ndarray:
+    """Least solution of a symmetric system, column by column of the right side."""
+    x, r = np.zeros_like(right), right.copy()
+    p, size = r.copy(), (r * r).sum(0)
+    goal = 1e-24 * np.maximum(size, 1e-300)
+    for _ in range(10 * len(right) + 10):
+        if (size <= goal).all():
+            break
+        q = times(p)
+        step = np.where(size > goal, size / np.maximum((p * q).sum(0), 1e-300), 0.0)
+        x, r = x + step * p, r - step * q
+        size, before = (r * r).sum(0), size
+        p = r + p * np.where(before > 0, size / np.maximum(before, 1e-300), 0.0)
+    return x
+
+
 def _local(sim: Similarity) -> tuple[Column, ...]:
     return sim.inverse().columns("x", "y", "z")
 
@@ -142,9 +167,7 @@ def true_ortho(surface: DataFrame, surface_meta: RasterMeta, target: RasterMeta,
 
 def splat(points: DataFrame, meta: RasterMeta) -> DataFrame:
     """Colours of the topmost points, holes filled: (row, col, red, green, blue)."""
-    out = grid.scaffold(points.sparkSession, meta)
-    for c, name in (("r", "red"), ("g", "green"), ("b", "blue")):
-        value = points.withColumn("_v", F.col(c).cast("double"))
-        out = out.join(grid.native(value, meta, value="_v", by="z").withColumnRenamed("value", name), ["row", "col"])
-    return out
-
+    names = {"r": "red", "g": "green", "b": "blue"}
+    colour = F.struct(*[F.col(c).cast("double").alias(n) for c, n in names.items()])
+    filled = grid.native(points.withColumn("_v", colour), meta, value="_v", by="z")
+    return filled.select("row", "col", *[F.col(f"value.{n}").alias(n) for n in names.values()])

@@ -10,7 +10,7 @@ import mmap
 import os
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,9 +41,8 @@ def las_header(path: str) -> dict:
     return {"start": start, "kind": kind & 0x3F, "size": size, "n": n, "scale": scale, "offset": offset}
 
 
-def las_bytes(xyz: np.ndarray, rgb: np.ndarray, cls: np.ndarray) -> tuple[bytes, bytes]:
-    """(header, records) of a LAS 1.2 file, point format 3, millimetre steps from the least corner."""
-    offset = xyz.min(0) if len(xyz) else np.zeros(3)
+def las_records(xyz: np.ndarray, rgb: np.ndarray, cls: np.ndarray, offset: np.ndarray) -> bytes:
+    """Records of point format 3 in millimetre steps from an offset."""
     steps = np.rint((xyz - offset) / 0.001).astype("<i4")
     out = np.zeros(len(xyz), _LAS3)
     for k, c in enumerate("xyz"):
@@ -51,15 +50,19 @@ def las_bytes(xyz: np.ndarray, rgb: np.ndarray, cls: np.ndarray) -> tuple[bytes,
     for k, c in enumerate("rgb"):
         out[c] = rgb[:, k].astype(np.uint16) * 257
     out["cls"] = cls
-    high, low = (xyz.max(0), xyz.min(0)) if len(xyz) else (np.zeros(3), np.zeros(3))
+    return out.tobytes()
+
+
+def las_head(n: int, low: np.ndarray, high: np.ndarray) -> bytes:
+    """Header of a LAS 1.2 file of n points between two corners."""
     head = bytearray(227)
     head[:4], head[24:26] = b"LASF", bytes([1, 2])
     struct.pack_into("<H", head, 94, 227)
-    struct.pack_into("<IIBHI", head, 96, 227, 0, 3, _LAS3.itemsize, len(xyz))
-    struct.pack_into("<I", head, 111, len(xyz))
-    struct.pack_into("<6d", head, 131, 0.001, 0.001, 0.001, *offset)
+    struct.pack_into("<IIBHI", head, 96, 227, 0, 3, _LAS3.itemsize, n)
+    struct.pack_into("<I", head, 111, n)
+    struct.pack_into("<6d", head, 131, 0.001, 0.001, 0.001, *low)
     struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
-    return bytes(head), out.tobytes()
+    return bytes(head)
 
 
 class _Range(InputPartition):
@@ -112,10 +115,24 @@ class LasWriter(DataSourceWriter):
         return _Part(part + ".npy")
 
     def commit(self, messages: list) -> None:
-        parts = [np.load(m.path) for m in messages if m is not None and m.path]
-        rows = np.concatenate(parts) if parts else np.zeros((0, 8))
-        rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        finalize(self.path, b"".join(las_bytes(rows[:, 1:4], rows[:, 4:7], rows[:, 7].astype(np.uint8))))
+        """In order of pt_id, RECORDS at a time: only ids are held for the whole cloud."""
+        parts = [np.load(m.path, mmap_mode="r") for m in messages if m is not None and m.path]
+        ids = np.concatenate([p[:, 0] for p in parts]) if parts else np.zeros(0)
+        low, high = (np.min([p[:, 1:4].min(0) for p in parts], axis=0), np.max([p[:, 1:4].max(0) for p in parts], axis=0)) if parts else (np.zeros(3), np.zeros(3))
+        order, ends = np.argsort(ids, kind="stable"), np.cumsum([len(p) for p in parts])
+
+        def chunks() -> Iterator[bytes]:
+            yield las_head(len(ids), low, high)
+            for a in range(0, len(order), RECORDS):
+                some = order[a : a + RECORDS]
+                rows, part = np.empty((len(some), 8)), np.searchsorted(ends, some, side="right")
+                for k in np.unique(part):
+                    here = part == k
+                    rows[here] = parts[k][some[here] - (ends[k] - len(parts[k]))]
+                yield las_records(rows[:, 1:4], rows[:, 4:7], rows[:, 7].astype(np.uint8), low)
+
+        finalize(self.path, chunks())
+        del parts
         self._clear(messages)
 
     def abort(self, messages: list) -> None:
@@ -142,12 +159,13 @@ class LasSource(DataSource):
         return LasWriter(self.options["path"])
 
 
-def finalize(path: str, data: bytes) -> str:
+def finalize(path: str, data: bytes | Iterable[bytes]) -> str:
     """Write beside the target, then rename; if the target is locked, take a numbered name."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     part = f"{path}.part"
     with open(part, "wb") as f:
-        f.write(data)
+        for piece in [data] if isinstance(data, bytes) else data:
+            f.write(piece)
     base, end = os.path.splitext(path)
     for k in range(100):
         target = path if k == 0 else f"{base}_{k}{end}"
@@ -345,47 +363,40 @@ def halved(bands: np.ndarray, nodata: float | None = None) -> np.ndarray:
     return (np.rint(mean) if bands.dtype.kind in "ui" else mean).astype(bands.dtype)
 
 
-def write_geotiff(path: str, bands: np.ndarray, minx: float, maxy: float, cell: float, epsg: int | None = None, nodata: float | None = None, tile: int = 256,
-                  predictor: int = 1, overviews: int = 0, big: bool | None = None) -> str:
-    """A tiled, deflated GeoTIFF of (bands, rows, cols).
+def packed_tile(part: np.ndarray, tile: int, predictor: int) -> bytes:
+    """A (rows, cols, bands) piece as a whole tile's compressed bytes."""
+    block = np.zeros((tile, tile, part.shape[2]), part.dtype)
+    block[: part.shape[0], : part.shape[1]] = part
+    return zlib.compress(_predicted(block, predictor), 6)
 
-    predictor: 1 none, 2 differences (integers), 3 differences of bytes (floats). overviews: that many
-    levels of half the size each follow in the same file; directories stand before the blocks, coarse
-    blocks before fine ones, as a reader of byte ranges wants it. big: 64-bit offsets; by default where the
-    file needs them.
+
+def check_predictor(dtype: np.dtype, predictor: int) -> None:
+    if predictor not in (1, 2, 3) or (predictor == 2 and dtype.kind == "f") or (predictor == 3 and dtype.kind != "f"):
+        raise ValueError(f"predictor {predictor} does not go with {dtype}")
+
+
+def tiff_head(sizes: list[tuple[int, int, list[int]]], dtype: np.dtype, n: int, minx: float, maxy: float, cell: float, epsg: int | None, nodata: float | None,
+              tile: int, predictor: int, big: bool | None) -> bytes:
+    """Everything before the blocks of a tiled, deflated GeoTIFF.
+
+    sizes: (columns, rows, bytes of each tile) of the raster and its overviews. Directories stand before
+    the blocks, coarse blocks before fine ones, as a reader of byte ranges wants it.
     """
-    bands = bands if bands.ndim == 3 else bands[None]
-    if predictor not in (1, 2, 3) or predictor == 2 and bands.dtype.kind == "f" or predictor == 3 and bands.dtype.kind != "f":
-        raise ValueError(f"predictor {predictor} does not go with {bands.dtype}")
-    n = bands.shape[0]
-    kind = {"u": 1, "i": 2, "f": 3}[bands.dtype.kind]
+    check_predictor(dtype, predictor)
+    kind = {"u": 1, "i": 2, "f": 3}[dtype.kind]
     keys = [1, 1, 0, 2, 1024, 0, 1, 1, 1025, 0, 1, 1]
     if epsg:
         keys[3] = 3
         keys += [3072, 0, 1, epsg]
-    levels = [bands]
-    for _ in range(overviews):
-        levels.append(halved(levels[-1], nodata))
-    packed = []
-    for level in levels:
-        _, h, w = level.shape
-        blocks = []
-        for r in range(0, h, tile):
-            for c in range(0, w, tile):
-                block = np.zeros((tile, tile, n), bands.dtype)
-                part = level[:, r : r + tile, c : c + tile].transpose(1, 2, 0)
-                block[: part.shape[0], : part.shape[1]] = part
-                blocks.append(zlib.compress(_predicted(block, predictor), 6))
-        packed.append(blocks)
     if big is None:
-        big = sum(len(b) for blocks in packed for b in blocks) + 40 * sum(map(len, packed)) + 100_000 > 0xFFFFFFFF
+        big = sum(sum(x[2]) for x in sizes) + 40 * sum(len(x[2]) for x in sizes) + 100_000 > 0xFFFFFFFF
 
     def directory(k: int, at: int, places: list[int], following: int) -> bytes:
         """Directory k, to stand at an offset, with its long values behind it."""
-        _, h, w = levels[k].shape
+        w, h, lengths = sizes[k]
         tags: list[tuple[int, str, list]] = [
-            (254, "I", [int(k > 0)]), (256, "I", [w]), (257, "I", [h]), (258, "H", [bands.dtype.itemsize * 8] * n), (259, "H", [8]), (262, "H", [2 if n >= 3 else 1]), (277, "H", [n]),
-            (284, "H", [1]), (317, "H", [predictor]), (322, "H", [tile]), (323, "H", [tile]), (324, "Q" if big else "I", places), (325, "I", [len(b) for b in packed[k]])]
+            (254, "I", [int(k > 0)]), (256, "I", [w]), (257, "I", [h]), (258, "H", [dtype.itemsize * 8] * n), (259, "H", [8]), (262, "H", [2 if n >= 3 else 1]), (277, "H", [n]),
+            (284, "H", [1]), (317, "H", [predictor]), (322, "H", [tile]), (323, "H", [tile]), (324, "Q" if big else "I", places), (325, "I", lengths)]
         if n > (3 if n >= 3 else 1):
             tags.append((338, "H", [2 if n == 4 else 0] * (n - (3 if n >= 3 else 1))))
         tags += [(339, "H", [kind] * n), (33550, "d", [cell * 2**k, cell * 2**k, 0.0]), (33922, "d", [0.0, 0.0, 0.0, minx, maxy, 0.0]), (34735, "H", keys)]
@@ -405,14 +416,31 @@ def write_geotiff(path: str, bands: np.ndarray, minx: float, maxy: float, cell:
         return struct.pack("<" + count, len(tags)) + entries + struct.pack("<" + word, following) + extra
 
     head = b"II+\x00" + struct.pack("<HHQ", 8, 0, 16) if big else b"II*\x00" + struct.pack("<I", 8)
-    sizes = [len(directory(k, 0, [0] * len(packed[k]), 0)) for k in range(len(levels))]
-    starts = np.cumsum([len(head), *sizes]).tolist()
+    starts = np.cumsum([len(head), *[len(directory(k, 0, [0] * len(x[2]), 0)) for k, x in enumerate(sizes)]]).tolist()
     at, places = starts[-1], {}
-    for k in range(len(levels) - 1, -1, -1):
-        places[k] = np.cumsum([at, *map(len, packed[k])]).tolist()
+    for k in range(len(sizes) - 1, -1, -1):
+        places[k] = np.cumsum([at, *sizes[k][2]]).tolist()
         at = places[k].pop()
-    body = [directory(k, starts[k], places[k], starts[k + 1] if k + 1 < len(levels) else 0) for k in range(len(levels))]
-    return finalize(path, b"".join([head, *body, *[b for blocks in reversed(packed) for b in blocks]]))
+    return b"".join([head, *[directory(k, starts[k], places[k], starts[k + 1] if k + 1 < len(sizes) else 0) for k in range(len(sizes))]])
+
+
+def write_geotiff(path: str, bands: np.ndarray, minx: float, maxy: float, cell: float, epsg: int | None = None, nodata: float | None = None, tile: int = 256,
+                  predictor: int = 1, overviews: int = 0, big: bool | None = None) -> str:
+    """A tiled, deflated GeoTIFF of an array (bands, rows, cols).
+
+    predictor: 1 none, 2 differences (integers), 3 differences of bytes (floats). overviews: that many
+    levels of half the size each follow in the same file. big: 64-bit offsets; by default where the
+    file needs them.
+    """
+    bands = bands if bands.ndim == 3 else bands[None]
+    check_predictor(bands.dtype, predictor)
+    levels = [bands]
+    for _ in range(overviews):
+        levels.append(halved(levels[-1], nodata))
+    packed = [[packed_tile(level[:, r : r + tile, c : c + tile].transpose(1, 2, 0), tile, predictor) for r in range(0, level.shape[1], tile) for c in range(0, level.shape[2], tile)] for level in levels]
+    sizes = [(level.shape[2], level.shape[1], [len(b) for b in blocks]) for level, blocks in zip(levels, packed, strict=True)]
+    head = tiff_head(sizes, bands.dtype, bands.shape[0], minx, maxy, cell, epsg, nodata, tile, predictor, big)
+    return finalize(path, [head, *[b for blocks in reversed(packed) for b in blocks]])
 
 
 def _tiff_level(path: str, level: int) -> tuple[dict[int, tuple], str]:
@@ -523,16 +551,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(GeoTiffSource)
 
 
-def raster_array(cells: DataFrame, ny: int, nx: int, dtype: str = "float32") -> np.ndarray:
-    """A grid table as an array, one block of rows at a time; empty cells are NaN (0 for integers)."""
-    out = np.full((ny, nx), np.nan if dtype.startswith("f") else 0, dtype)
-    blocks = cells.where("value is not null").groupBy(F.floor(F.col("row") / 256).alias("k")).agg(F.collect_list(F.struct("row", "col", "value")).alias("v"))
-    for r in blocks.toLocalIterator():
-        v = np.array([(x.row, x.col, x.value) for x in r.v])
-        out[v[:, 0].astype(int), v[:, 1].astype(int)] = v[:, 2] if dtype.startswith("f") else np.clip(np.rint(v[:, 2]), 0, 255)
-    return out
-
-
 # --- photo headers ----------------------------------------------------------------------------
 
 EXIF = "width int, height int, make string, model string, datetime string, focal_mm double, focal35_mm double, lat double, lon double, alt double"

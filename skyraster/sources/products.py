@@ -1,4 +1,4 @@
-"""Product files that the driver writes from finished tables: shapefiles, meshes, tiles, rasters."""
+"""Product files from finished tables: shapefiles, meshes, tiles, and rasters, whose tiles are packed on executors."""
 
 from __future__ import annotations
 
@@ -6,14 +6,20 @@ import json
 import math
 import os
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from skyraster.operators import grid, tiles
+from skyraster.operators import tiles
+from skyraster.plans.tables import cut
 from skyraster.schema import RasterMeta
 from skyraster.sources import binary, text_models
 
+TILE = 256
+
 
 def write_shapefile(contours: DataFrame, path: str, epsg: int | None = None) -> int:
     """POLYLINEZ with ELEV and INDEX; returns the number of lines. Lines stream one partition at a time."""
@@ -79,22 +85,76 @@ def write_mesh(verts: DataFrame, faces: DataFrame, path: str, offset: tuple[floa
         f.write(note + "\n" + (f"EPSG:{epsg}\n" if epsg else ""))
 
 
+def _tiles(cells: DataFrame, meta: RasterMeta, bands: list[str], dtype: np.dtype, nodata: float | None, predictor: int) -> DataFrame:
+    """(k, data): compressed tiles of a grid, each made where its cells are; tiles without cells are left out."""
+    empty = np.nan if dtype.kind == "f" and nodata is None else nodata or 0
+    across = -(-meta.nx // TILE)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        block = np.full((TILE, TILE, len(bands)), empty, dtype)
+        r, c = (rows[x].to_numpy() % TILE for x in ("row", "col"))
+        for b, name in enumerate(bands):
+            v = rows[name].to_numpy(float)
+            ok = np.isfinite(v)
+            top = v[ok] if dtype.kind == "f" else np.clip(np.rint(v[ok]), np.iinfo(dtype).min, np.iinfo(dtype).max)
+            block[r[ok], c[ok], b] = top
+        return pd.DataFrame({"k": rows["k"].iloc[:1], "data": [binary.packed_tile(block, TILE, predictor)]})
+
+    at = (F.floor(F.col("row") / TILE) * across + F.floor(F.col("col") / TILE)).cast("long")
+    return cells.select(at.alias("k"), "row", "col", *[F.col(b).cast("double").alias(b) for b in bands]).groupBy("k").applyInPandas(pack, "k long, data binary")
+
+
+def _halved(cells: DataFrame, bands: list[str], dtype: np.dtype) -> DataFrame:
+    """Means of 2 x 2 cells that have a value."""
+    half = [F.floor(F.col(c) / 2).cast("long").alias(c) for c in ("row", "col")]
+    mean = (lambda b: F.avg(b)) if dtype.kind == "f" else (lambda b: F.rint(F.avg(b)))
+    return cells.select(*half, *bands).groupBy("row", "col").agg(*[mean(b).alias(b) for b in bands])
+
+
+def write_grid(cells: DataFrame, meta: RasterMeta, path: str, bands: list[str], dtype: str, nodata: float | None = None, predictor: int = 1, overviews: int = 0) -> str:
+    """A grid as a GeoTIFF: tiles are packed on executors; here pass by their sizes, then one tile after the other."""
+    kind = np.dtype(dtype)
+    binary.check_predictor(kind, predictor)
+    empty = np.full((1, 1, len(bands)), np.nan if kind.kind == "f" and nodata is None else nodata or 0, kind)
+    blank = binary.packed_tile(np.broadcast_to(empty, (TILE, TILE, len(bands))), TILE, predictor)
+    sizes, tables, nx, ny = [], [], meta.nx, meta.ny
+    for level in range(overviews + 1):
+        cells = cells if level == 0 else _halved(cells, bands, kind)
+        made = cut(_tiles(cells, RasterMeta(0.0, 0.0, 1.0, nx, ny), bands, kind, nodata, predictor), "raster-tiles")
+        lengths = np.full(-(-nx // TILE) * -(-ny // TILE), len(blank))
+        for r in made.select("k", F.length("data").alias("n")).toLocalIterator():
+            lengths[r.k] = r.n
+        sizes.append((nx, ny, lengths.tolist()))
+        tables.append(made)
+        nx, ny = (nx + 1) // 2, (ny + 1) // 2
+    head = binary.tiff_head(sizes, kind, len(bands), meta.minx, meta.maxy, meta.cell, meta.epsg, nodata, TILE, predictor, None)
+
+    def pieces() -> Iterator[bytes]:
+        yield head
+        for (_, _, lengths), made in zip(reversed(sizes), reversed(tables), strict=True):
+            at = 0
+            for r in made.orderBy("k").toLocalIterator():
+                yield from [blank] * (r.k - at)
+                yield bytes(r.data)
+                at = r.k + 1
+            yield from [blank] * (len(lengths) - at)
+
+    return binary.finalize(path, pieces())
+
+
 def write_raster(cells: DataFrame, meta: RasterMeta, path: str, dtype: str = "float32", nodata: float | None = None) -> str:
     """One band as a tiled GeoTIFF."""
-    array = binary.raster_array(cells, meta.ny, meta.nx, dtype)
-    return binary.write_geotiff(path, array, meta.minx, meta.maxy, meta.cell, meta.epsg, nodata)
+    return write_grid(cells, meta, path, ["value"], dtype, nodata)
 
 
 def write_ortho(cells: DataFrame, meta: RasterMeta, path: str) -> str:
-    bands = [binary.raster_array(cells.select("row", "col", cells[c].cast("double").alias("value")), meta.ny, meta.nx, "uint8") for c in ("red", "green", "blue", "alpha") if c in cells.columns]
-    return binary.write_geotiff(path, np.stack(bands), meta.minx, meta.maxy, meta.cell, meta.epsg)
+    return write_grid(cells, meta, path, [c for c in ("red", "green", "blue", "alpha") if c in cells.columns], "uint8")
 
 
 def write_cog(cells: DataFrame, meta: RasterMeta, path: str, dtype: str = "float32", nodata: float | None = None) -> str:
     """One band with its overviews, halved down to one tile, in one file that readers of byte ranges can use."""
-    array = binary.raster_array(cells, meta.ny, meta.nx, dtype)
-    overviews = max(0, math.ceil(math.log2(max(meta.nx, meta.ny) / 256)))
-    return binary.write_geotiff(path, array, meta.minx, meta.maxy, meta.cell, meta.epsg, nodata, predictor=3 if dtype.startswith("f") else 2, overviews=overviews)
+    overviews = max(0, math.ceil(math.log2(max(meta.nx, meta.ny) / TILE)))
+    return write_grid(cells, meta, path, ["value"], dtype, nodata, 3 if dtype.startswith("f") else 2, overviews)
 
 
 def write_tiles(pixels: DataFrame, folder: str, zooms: tuple[int, int], bounds: tuple[float, float, float, float], kml: bool = True, title: str = "Orthomosaic") -> dict:

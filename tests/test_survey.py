@@ -346,6 +346,29 @@ def test_geotiff_directory_at_the_end(spark, tmp_path):
             write(f"{bad[0]}.tif", some).collect()
 
 
+def test_rasters_are_written_by_tiles(spark, tmp_path):
+    binary.register(spark)
+    rng = np.random.default_rng(6)
+    a = rng.normal(0, 50, (700, 600)).astype(np.float32)
+    a[:, 300:] = np.nan  # one column of tiles has no cell at all
+    meta = RasterMeta(5.0, 9.0, 0.5, 600, 700, 32645)
+    cells = spark.createDataFrame([(int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(a) if v == v], "row long, col long, value double").repartition(5)
+    path = products.write_cog(cells, meta, str(tmp_path / "c.tif"))
+    for level, want in enumerate([a, binary.halved(a[None])[0], binary.halved(binary.halved(a[None]))[0]]):
+        info = binary.geotiff_info(path, level)
+        assert (info["h"], info["w"], info["cell"], info["epsg"]) == (*want.shape, 0.5 * 2**level, 32645)
+        if level < 2:
+            got = np.full(want.shape, np.nan)
+            for r in spark.read.format("geotiff").option("overview", level).load(path).where("value is not null").toPandas().itertuples():
+                got[r.row, r.col] = r.value
+            assert np.allclose(got, want, atol=1e-4, equal_nan=True)
+    plain = spark.read.format("geotiff").load(products.write_raster(cells, meta, str(tmp_path / "r.tif"), "int16", -9999.0))
+    assert plain.where("value is not null").count() == 700 * 300 and plain.where("row = 3 and col = 4").first().value == round(float(a[3, 4]))
+    colours = cells.where("row < 40 and col < 30").select("row", "col", (F.col("row") % 256).alias("red"), F.lit(7).alias("green"), (F.col("col") % 256).alias("blue"), F.lit(255).alias("alpha"))
+    got = spark.read.format("geotiff").load(products.write_ortho(colours, RasterMeta(0.0, 0.0, 1.0, 30, 40), str(tmp_path / "o.tif")))
+    assert got.count() == 4 * 1200 and {r.band: r.value for r in got.where("row = 17 and col = 21").collect()} == {1: 17, 2: 7, 3: 21, 4: 255}
+
+
 def test_ply_ids_go_on(spark, tmp_path):
     for name, n in (("b", 2), ("a", 3)):
         rows = "".join(f"{k} 0 0\n" for k in range(n))
