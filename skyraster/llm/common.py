@@ -42,12 +42,16 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables that nothing reads any more: operators keep only what their results need."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def drop(table: DataFrame) -> None:
     """Delete a table that ``cut`` wrote, once nothing reads it any more."""
-    spark = table.sparkSession
     for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove(table.sparkSession, path)
 
 
 def release() -> None:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, release, shared_dir, small_batches
+from skyraster.llm.common import cut, ensure, release, remove, shared_dir, small_batches
 from skyraster.llm.graph import components
 
 NGRAM = 5
@@ -367,19 +367,22 @@ def _join(docs: DataFrame, folder: str, threshold: float) -> DataFrame:
     """doc_id, node, worded, class_id, n_links of every row; and of each class the row that stands for it: chosen, chosen_node."""
     with small_batches(docs.sparkSession):
         signed = cut(sign(docs), f"{folder}/signed")
+    work = f"{folder}/work"
     nodes = signed.where("sig is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n"))
-    nodes = cut(nodes, f"{folder}/nodes")
-    groups = components(candidates(nodes, folder), folder, "candidates")
-    links = verify(docs, nodes, groups, folder, threshold)
-    found = components(links.where("n is null"), folder, "classes").join(nodes.select("node", "rep"), "node")
+    nodes = cut(nodes, f"{work}/nodes")
+    groups = components(candidates(nodes, work), work, "candidates")
+    links = verify(docs, nodes, groups, work, threshold)
+    found = components(links.where("n is null"), work, "classes").join(nodes.select("node", "rep"), "node")
     least = F.min(F.struct(F.col("rep").isNull(), "rep", "node")).alias("least")
     classes = found.join(found.groupBy("label").agg(least), "label").select("node", F.col("least.rep").alias("class_id"), F.col("least.node").alias("chosen_node"))
     counts = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     per_node = nodes.select("node", "rep", "copies").join(classes, "node", "left").join(counts, "node", "left").select(
         "node", F.when(F.col("chosen_node").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("chosen_node", "node").alias("chosen_node"),
         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    per_node = cut(per_node, f"{folder}/per_node")
+    remove(docs.sparkSession, work)
     rows = signed.select("doc_id", "node", F.col("sig").isNotNull().alias("worded"))
-    out = rows.join(cut(per_node, f"{folder}/per_node"), "node", "left")
+    out = rows.join(per_node, "node", "left")
     return out.select("doc_id", "node", "worded", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
                       F.when(F.col("worded"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "chosen_node")
 
@@ -392,12 +395,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class (of its smallest doc_id, nulls last, then text hash), columns unchanged."""
     folder = shared_dir(docs.sparkSession)
-    found = cut(_join(docs.select("doc_id", "text"), folder, threshold), f"{folder}/found")
+    work = f"{folder}/join"
+    found = cut(_join(docs.select("doc_id", "text"), work, threshold), f"{work}/found")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("chosen_node"))
     gone = found.where(F.col("worded") & ~stays).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")).distinct()
     gone = cut(gone, f"{folder}/gone")
     again = found.where(F.col("worded") & stays).groupBy("doc_id", "node").count().where("count > 1")
     again = cut(again.select(F.col("doc_id").alias("_again"), F.col("node").alias("_again_node")), f"{folder}/again")
+    remove(docs.sparkSession, work)
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), node_of("text").alias("_node"))
     rows = rows.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, F.col("_doc").eqNullSafe(F.col("_gone")) & (F.col("_node") == F.col("_gone_node")), "left_anti")
     if not again.isEmpty():

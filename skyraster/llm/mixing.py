@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skyraster.llm import quality_rules
-from skyraster.llm.common import cut, ensure, shared_dir
+from skyraster.llm.common import cut, ensure, remove, shared_dir
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -139,8 +139,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
     """Per document: doc_id, size, source_size, target, taken."""
     folder = shared_dir(docs.sparkSession)
     docs = ensure(docs, doc_id="long", text="string", source="string", **({weight: "double"} if weight else {}))
-    measured = cut(measure(docs, folder, seed, weight), f"{folder}/measured")
-    chosen = cut(plan(measured, folder, weights, share, cap), f"{folder}/plan")
+    measured = cut(measure(docs, f"{folder}/work", seed, weight), f"{folder}/measured")
+    chosen = cut(plan(measured, f"{folder}/work", weights, share, cap), f"{folder}/plan")
+    remove(docs.sparkSession, f"{folder}/work")
     return decide(measured, chosen).select(
         F.col("_doc").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"))
 
@@ -148,8 +149,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: in
 def apply(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED, weight: str | None = None) -> DataFrame:
     """The mixture itself: every row of docs as often as the mix takes it, columns unchanged (but for the weight, which goes)."""
     folder = shared_dir(docs.sparkSession)
-    measured = cut(measure(docs, folder, seed, weight, rows=True), f"{folder}/measured")
-    chosen = cut(plan(measured.drop("_row"), folder, weights, share, cap), f"{folder}/plan")
+    measured = cut(measure(docs, f"{folder}/work", seed, weight, rows=True), f"{folder}/measured")
+    remove(docs.sparkSession, f"{folder}/work")
+    chosen = cut(plan(measured.drop("_row"), f"{folder}/work", weights, share, cap), f"{folder}/plan")
+    remove(docs.sparkSession, f"{folder}/work")
     return decide(measured, chosen).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 

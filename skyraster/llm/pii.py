@@ -18,7 +18,8 @@ between matches, worked out in blocks, so that n matches in one text take about
 steps, and no step copies more than a block. Texts with base spans keep their terms once for each
 different text. Of entities that the same texts hold, one stands for all, and a term is paired
 with an entity only if its own count allows the threshold. Counts of terms are added up within each
-task before the shuffle. Tables are broadcast only up to ``MAX_BROADCAST`` rows.
+task before the shuffle. Tables are broadcast only up to ``MAX_BROADCAST`` rows and
+``MAX_BROADCAST_CHARS`` characters.
 
 Patterns are written so that no text costs more than linear time: a local part or a digit run
 is tried from its first character only, and repeats never give back what they took.
@@ -36,14 +37,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, shared_dir
+from skyraster.llm.common import cut, ensure, remove, shared_dir
 from skyraster.llm.quality_rules import let
 
 TERM_CHARS = 4
 SUPPORT = 3
 THRESHOLD = 0.8
 REMOVE = 0.95
-MAX_BROADCAST = 200_000
+MAX_BROADCAST, MAX_BROADCAST_CHARS = 200_000, 32_000_000
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _FILL = dict(zip(KINDS, "\x02\x03\x04\x05", strict=False))  # stand for characters of base spans
@@ -218,8 +219,9 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def _few(table: DataFrame) -> DataFrame:
-    """The table, marked for broadcast if it is small enough."""
-    return F.broadcast(table) if table.count() <= MAX_BROADCAST else table
+    """The table, marked for broadcast if it has few enough rows and characters."""
+    rows, chars = table.agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(table) if rows <= MAX_BROADCAST and (chars or 0) <= MAX_BROADCAST_CHARS else table
 
 
 def _entities(texts: DataFrame) -> DataFrame:
@@ -243,7 +245,7 @@ def disclosing(docs: DataFrame, folder: str) -> DataFrame:
         return wanted.select("term", F.lit(0.0).alias("disclosure"))
     seen = docs.select(F.explode(_words(_text())).alias("term"))
     if wanted.count() <= MAX_BROADCAST:  # words meet the few terms before they are counted
-        n_term = seen.join(F.broadcast(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+        n_term = seen.join(_few(wanted), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     else:  # an inner join: a semi join would move below the sums and meet every word
         n_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(wanted, "term")
     n_term = _few(cut(n_term, f"{folder}/counts"))
@@ -299,11 +301,14 @@ def sanitise(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Per document: doc_id, text, base (kind, start, end, value), hits (terms: at, start, end, disclosure) and clean_text."""
     docs = ensure(docs, doc_id="long", text="string")
     folder = folder or shared_dir(docs.sparkSession)
-    terms = cut(disclosing(docs, folder), f"{folder}/disclosing")
+    terms = cut(disclosing(docs, f"{folder}/work"), f"{folder}/disclosing")
+    remove(docs.sparkSession, f"{folder}/work")
     if terms.isEmpty():
         rows = docs.withColumns({"said": F.lit(None).cast("array<struct<term:string,disclosure:double>>"), "placed": F.expr(f"cast(null as {_HITS})")})
     else:
-        rows = docs.join(_few(cut(told(docs, terms, folder), f"{folder}/told")), _node() == F.col("t"), "left")
+        found = cut(told(docs, terms, f"{folder}/work"), f"{folder}/told")
+        remove(docs.sparkSession, f"{folder}/work")
+        rows = docs.join(_few(found), _node() == F.col("t"), "left")
     # Steps of their own: one nested expression would be too deep for the analyser. Each is used more than once, so they stay apart.
     rows = rows.select("doc_id", "text", "said", "placed", base_spans(_text()).alias("base"))
     plain = F.size("base") == 0

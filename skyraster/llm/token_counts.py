@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, shared_dir, small_batches
+from skyraster.llm.common import cut, ensure, remove, shared_dir, small_batches
 from skyraster.llm.tokens import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -193,4 +193,5 @@ def maintain(docs: DataFrame, path: str, tokenizer: str, folder: str | None = No
         rollup.commit("3-insert-unique", inserts(counts, unique, "n_tokens"))
         rollup.commit("4-delete-copies", deletes(every, unique, "n_tokens").unionByName(inserts(ones, unique, "n_tokens")))
     rollup.compact()
+    remove(spark, f"{folder}/counts")
     return rollup.totals()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, release, shared_dir, small_batches
+from skyraster.llm.common import cut, ensure, release, remove, shared_dir, small_batches
 from skyraster.llm.tokens import encoder
 
 END_ID = 2
@@ -154,6 +154,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID) -> int:
     ranged = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids").drop("tie")
     with small_batches(spark):
         ranged.mapInArrow(packed, BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    remove(spark, f"{folder}/tokens")
     return total
 
 
