@@ -349,7 +349,43 @@ def cloud_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.features(points)
 
 
-@query()
+def _median_of(src: str, name: str, h: int) -> str:
+    return _MEDIAN.format(src=src, offsets=_offsets(h)).replace("med AS (", f"{name} AS (", 1)
+
+
+def _opening_of(src: str, name: str, w: int) -> str:
+    """CTEs that open a dense grid with a (2w + 1) square."""
+    steps, before = [], src
+    for k, (f, axis, along) in enumerate((("min", "row", "col"), ("min", "col", "row"), ("max", "row", "col"), ("max", "col", "row"))):
+        steps.append(f"{name}_{k} AS (SELECT row, col, {f}(value) OVER (PARTITION BY {axis} ORDER BY {along} ROWS BETWEEN {w} PRECEDING AND {w} FOLLOWING) AS value FROM {before})")
+        before = f"{name}_{k}"
+    return ", ".join([*steps, f"{name} AS (SELECT * FROM {before})"])
+
+
+def _ground_sql() -> str:
+    """The progressive filter's rounds at 4 m: windows of 1, 2, 4 ... 32 cells, limits up to 2.5 m."""
+    parts = [_sql_grid(4), "v AS (SELECT row, col, min(z) AS value FROM bin GROUP BY row, col)", _DENSE, _FILL]
+    before = "filled"
+    for w in (1, 2, 4, 8, 16, 32):
+        limit = min(0.25 + 0.15 * (w * 4.0), 2.5)
+        parts += [_opening_of(before, f"o{w}", w), f"g{w} AS (SELECT f.row, f.col, CASE WHEN f.value - o.value > {limit!r}::double THEN o.value ELSE f.value END AS value FROM {before} f JOIN o{w} o USING (row, col))"]
+        before = f"g{w}"
+    parts.append(_median_of(before, "ground", 1))
+    return f"WITH {', '.join(parts)} SELECT b.pt_id, b.z - g.value AS hag, b.z - g.value <= 0.35 AS ground FROM bin b JOIN ground g USING (row, col)"
+
+
+def _projection_sql() -> str:
+    """Top surface at 4 m without spikes, holes filled from a pyramid of means, opened by 2 cells, median of 3."""
+    levels = [f"l{k} AS (SELECT row // 2 AS row, col // 2 AS col, avg(value) AS value FROM {'p0' if k == 1 else f'l{k - 1}'} GROUP BY 1, 2)" for k in range(1, 6)]
+    joins = " ".join(f"LEFT JOIN l{k} ON l{k}.row = f.row // {2 ** k} AND l{k}.col = f.col // {2 ** k}" for k in range(1, 6))
+    parts = [_SURFACE, _median_of("filled", "around", 4), "kept AS (SELECT v.row, v.col, v.value FROM v JOIN around USING (row, col) WHERE v.value - around.value <= 15)",
+             "p0 AS (SELECT f.row, f.col, k.value FROM filled f LEFT JOIN kept k USING (row, col))", *levels,
+             f"whole AS (SELECT f.row, f.col, coalesce(f.value, {', '.join(f'l{k}.value' for k in range(1, 6))}) AS value FROM p0 f {joins})",
+             _opening_of("whole", "opened", 2), _median_of("opened", "smooth", 1)]
+    return f"WITH {', '.join(parts)} SELECT row, col, {_near_sql('value')} AS value FROM smooth"
+
+
+@query(_ground_sql())
 def ground_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "points")
     meta = grid.plan(points, 4.0)
@@ -362,9 +398,9 @@ def rule_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cloud.classify(points).select("pt_id", "cls")
 
 
-@query()
+@query(_projection_sql())
 def projection_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morph.projection_surface(load(spark, sf_dir, "points"), 4.0)[0]
+    return morph.projection_surface(load(spark, sf_dir, "points"), 4.0)[0].select("row", "col", _near("value"))
 
 
 @query("SELECT DISTINCT floor(x / 10)::bigint AS i, floor(y / 10)::bigint AS j FROM points UNION SELECT DISTINCT floor(est_x / 10)::bigint, floor(est_y / 10)::bigint FROM cameras WHERE est_x IS NOT NULL")

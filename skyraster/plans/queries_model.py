@@ -11,7 +11,7 @@ from skyraster.functions import geo
 from skyraster.operators import cloud, control, grid, knn, ml, ortho, terrain, tiles
 from skyraster.plans.adapters import load
 from skyraster.plans.catalog import query
-from skyraster.plans.queries_grid import _near, _near_sql
+from skyraster.plans.queries_grid import _DENSE, _FILL, _near, _near_sql, _sql_grid
 from skyraster.plans.tables import cut
 
 _SIM = control.similarity_from([2, 0, -1, 0, 1, 0, 0, 0, 0, 1, 500000, 4000000, 50])
@@ -111,7 +111,8 @@ def true_ortho(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ortho.true_ortho(surface, meta, grid.plan(points, 5.0), cams, photos, sim, gains)
 
 
-@query()
+@query(f"""WITH {_sql_grid(5)}, v AS (SELECT row, col, {{'r': arg_max(r, {{'z': z, 'i': pt_id}}), 'g': arg_max(g, {{'z': z, 'i': pt_id}}), 'b': arg_max(b, {{'z': z, 'i': pt_id}})}} AS value FROM bin GROUP BY row, col), {_DENSE}, {_FILL}
+SELECT row, col, value.r::double AS red, value.g::double AS green, value.b::double AS blue FROM filled""")
 def splat_ortho(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = load(spark, sf_dir, "points")
     return ortho.splat(points, grid.plan(points, 5.0))
