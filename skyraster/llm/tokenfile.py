@@ -47,8 +47,9 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     code[: len(ranks)] = size - 1
     code = code.reshape(-1, 4)
     control = code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[used].tobytes()
+    widest = int(size.max(initial=1))
+    used = np.arange(widest, dtype=np.uint8) < size[:, None]
+    return control.astype(np.uint8).tobytes(), ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :widest][used].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
