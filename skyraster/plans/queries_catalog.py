@@ -150,11 +150,16 @@ def exif_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("gcp_id", "cam_id", F.round("px", 3).alias("px"), F.round("py", 3).alias("py"))
 
 
-@query()
+@query("""WITH m AS (SELECT gcp_id, cam_id, 3700 * (g.x - est_x) / (est_z - g.z) + 2640 AS u, 3700 * (est_y - g.y) / (est_z - g.z) + 1978 AS v, width AS w, height AS h FROM gcps g CROSS JOIN cameras c
+  WHERE g.enabled AND NOT (g.x = 0 AND g.y = 0 AND g.z = 0) AND est_x IS NOT NULL AND est_z - g.z > 1e-6),
+r AS (SELECT *, row_number() OVER (PARTITION BY gcp_id ORDER BY (u - w / 2.0::double) ** 2 + (v - h / 2.0::double) ** 2, cam_id) AS r FROM m
+  WHERE u BETWEEN w * 0.02::double AND w - w * 0.02::double AND v BETWEEN h * 0.02::double AND h - h * 0.02::double)
+SELECT gcp_id, cam_id, round(u, 6) AS px, round(v, 6) AS py FROM r WHERE r <= 8 AND NOT EXISTS (SELECT 1 FROM observations o WHERE o.gcp_id = r.gcp_id AND o.cam_id = r.cam_id)""")
 def solved_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = load(spark, sf_dir, "cameras").where("est_x is not null").select("cam_id", "width", "height", *[F.lit(v).alias(c) for c, v in (("qw", 0.0), ("qx", 1.0), ("qy", 0.0), ("qz", 0.0), ("fx", 3700.0), ("fy", 3700.0), ("ppx", 2640.0), ("ppy", 1978.0))],
                                                                             (-F.col("est_x")).alias("tx"), F.col("est_y").alias("ty"), F.col("est_z").alias("tz"))
-    return control.mark_solved(load(spark, sf_dir, "gcps"), views, load(spark, sf_dir, "observations"), control.similarity_from([1, 1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0]))
+    marks = control.mark_solved(load(spark, sf_dir, "gcps"), views, load(spark, sf_dir, "observations"), control.similarity_from([1, 1, 0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0]))
+    return marks.select("gcp_id", "cam_id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
 
 # --- coordinates ------------------------------------------------------------------------------

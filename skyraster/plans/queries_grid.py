@@ -295,11 +295,15 @@ def volume_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_SURFACE}, q AS (SELECT a.row, a.col, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM filled a JOIN filled b ON b.row = a.row AND b.col = a.col + 1
   JOIN filled c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN filled d ON d.row = a.row + 1 AND d.col = a.col),
 l AS (SELECT *, k * 2.0::double AS level FROM (SELECT *, unnest(range(floor(least(a, b, c, d) / 2)::bigint + 1, floor(greatest(a, b, c, d) / 2)::bigint + 1)) AS k FROM q)),
-n AS (SELECT k, ((a >= level) <> (b >= level))::int + ((b >= level) <> (c >= level))::int + ((c >= level) <> (d >= level))::int + ((d >= level) <> (a >= level))::int AS cuts FROM l)
-SELECT k, sum(cuts // 2)::bigint AS segments FROM n GROUP BY k""")
+x AS (SELECT k, (a >= level) = ((a + b + c + d) / 4 >= level) AS turned, list_filter([
+    CASE WHEN (a >= level) <> (b >= level) THEN {{'r': row::double, 'c': col + (level - a) / (b - a)}} END, CASE WHEN (b >= level) <> (c >= level) THEN {{'r': row + (level - b) / (c - b), 'c': col + 1.0::double}} END,
+    CASE WHEN (c >= level) <> (d >= level) THEN {{'r': row + 1.0::double, 'c': col + 1 - (level - c) / (d - c)}} END, CASE WHEN (d >= level) <> (a >= level) THEN {{'r': row + 1 - (level - d) / (a - d), 'c': col::double}} END],
+    lambda p: p IS NOT NULL) AS p FROM l),
+s AS (SELECT k, unnest(CASE WHEN len(p) = 2 THEN [{{'p': p[1], 'q': p[2]}}] WHEN turned THEN [{{'p': p[1], 'q': p[2]}}, {{'p': p[3], 'q': p[4]}}] ELSE [{{'p': p[4], 'q': p[1]}}, {{'p': p[2], 'q': p[3]}}] END) AS s FROM x)
+SELECT k, {_near_sql("s.p.r")} AS r1, {_near_sql("s.p.c")} AS c1, {_near_sql("s.q.r")} AS r2, {_near_sql("s.q.c")} AS c2 FROM s""")
 def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface, _ = _surface(spark, sf_dir)
-    return terrain.contour_segments(surface, 2.0).groupBy("k").agg(F.count(F.lit(1)).alias("segments"))
+    return terrain.contour_segments(surface, 2.0).select("k", *[_near(c) for c in ("r1", "c1", "r2", "c2")])
 
 
 @query()
@@ -338,9 +342,15 @@ def knn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.neighbours(load(spark, sf_dir, "tie_points"), 3).select("pt_id", "nbr_id", "rank")
 
 
-@query()
+@query(f"""WITH d AS (SELECT a.pt_id, b.pt_id AS nbr, b.x - a.x AS x, b.y - a.y AS y, b.z - a.z AS z FROM tie_points a CROSS JOIN tie_points b),
+k AS (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY x * x + y * y + z * z, nbr) AS r FROM d),
+c AS (SELECT pt_id, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(z, z) AS zz, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM k WHERE r <= 12 GROUP BY pt_id),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c), p AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
+t AS (SELECT *, (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz) AS det FROM p),
+low AS (SELECT pt_id, q + 2 * p * cos(acos(least(greatest(det / greatest(2 * p * p * p, 1e-300), -1), 1)) / 3 + 2 * pi() / 3) AS low FROM t)
+SELECT pt_id, {_near_sql('sqrt(greatest(low, 0))')} AS residual FROM low""")
 def plane_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cloud.plane_residual(load(spark, sf_dir, "tie_points"))
+    return cloud.plane_residual(load(spark, sf_dir, "tie_points")).select("pt_id", _near("residual"))
 
 
 @query()
