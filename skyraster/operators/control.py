@@ -48,6 +48,14 @@ def remove_gcps(gcps: DataFrame, marks: DataFrame, gone: DataFrame) -> tuple[Dat
     return gcps.join(gone, "gcp_id", "left_anti"), marks.join(gone, "gcp_id", "left_anti")
 
 
+def append_gcps(gcps: DataFrame, added: DataFrame, next_id: int) -> DataFrame:
+    """New control points (label, and x, y, z and is_check if known) with ids from a counter that never goes back, by label."""
+    order = Window.orderBy(*[c for c in ("label", "x", "y", "z") if c in added.columns])
+    rows = added.withColumn("gcp_id", (F.row_number().over(order) - 1 + next_id).cast("long"))
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in added.columns else F.lit(v) for c, v in (("x", 0.0), ("y", 0.0), ("z", 0.0), ("is_check", False), ("enabled", True))})
+    return gcps.unionByName(rows, allowMissingColumns=True)
+
+
 def append_photos(cameras: DataFrame, photos: DataFrame, next_id: int) -> DataFrame:
     """New photos with ids from a counter that never goes back (ordered by path)."""
     number = F.row_number().over(Window.orderBy("path")) - 1 + next_id
@@ -143,6 +151,17 @@ def mark_geotagged(gcps: DataFrame, cameras: DataFrame, marks: DataFrame, epsg:
     return _best(hits.withColumn("metric", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")), marks, most)
 
 
+def auto_mark(gcps: DataFrame, cameras: DataFrame, marks: DataFrame, views: DataFrame | None = None, sim: Similarity | None = None, epsg: int | None = None,
+              geoid: float = 0.0, ids: list[int] | None = None, most: int = 8) -> tuple[DataFrame, str]:
+    """(all marks, what the new ones come from): solved views if there are any, else geotags. Marks that are there stay."""
+    wanted = markable(gcps, ids)
+    if views is not None and sim is not None and not views.isEmpty():
+        found, method = mark_solved(wanted, views, marks, sim, most), "reconstruction"
+    else:
+        found, method = mark_geotagged(wanted, cameras, marks, epsg, geoid, most), "geotags"
+    return upsert_marks(marks, found), method
+
+
 # --- similarity -------------------------------------------------------------------------------
 
 

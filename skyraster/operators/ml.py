@@ -89,7 +89,7 @@ def training_set(spark: SparkSession, seeds: tuple[int, ...] = (7, 11, 23, 42, 9
 class Trained:
     model: PipelineModel
     accuracy: float
-    confusion: DataFrame
+    confusion: DataFrame  # ``class_report`` makes precision and recall of it
     importances: dict[str, float]
     cv_accuracy: float | None = None
 
@@ -115,6 +115,17 @@ def train(data: DataFrame, trees: int = 150, depth: int = 14, leaf: int = 12, se
     return Trained(model, judge.evaluate(guessed), confusion, dict(zip(cloud.FEATURES, map(float, model.stages[-1].featureImportances.toArray()), strict=True)), cv)
 
 
+def class_report(confusion: DataFrame) -> DataFrame:
+    """(cls, precision, recall, f1, support) from (cls, predicted, n); 0 where nothing was predicted or is there."""
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    true = confusion.groupBy("cls").agg(F.sum("n").alias("support"), F.sum(F.when(F.col("cls") == F.col("predicted"), F.col("n")).otherwise(0)).alias("hits"))
+    guessed = confusion.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("guesses"))
+    rows = true.join(guessed, "cls", "full").na.fill(0, ["support", "hits", "guesses"])
+    rows = rows.withColumn("precision", ratio(F.col("hits"), F.col("guesses"))).withColumn("recall", ratio(F.col("hits"), F.col("support")))
+    both = F.col("precision") + F.col("recall")
+    return rows.select("cls", "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), both).alias("f1"), "support")
+
+
 def predict(model: PipelineModel, points: DataFrame) -> DataFrame:
     """points with cls from the forest."""
     rows = cloud.features(points.drop("cls"))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyraster.functions import geo, photo
-from skyraster.operators import cloud, control, ortho, terrain
+from skyraster.operators import cloud, control, ml, ortho, terrain
 from skyraster.plans import report
 from skyraster.plans.adapters import load
 from skyraster.plans.catalog import query
+from skyraster.plans.queries_catalog import _EXIF_SQL
 from skyraster.plans.queries_grid import _surface
 from skyraster.sources import binary, text_models
 
@@ -137,6 +138,30 @@ def reproject_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("cam_id", F.when(F.col("lat").isNull(), F.col("est_x")).otherwise(F.round("est_x", 3)).alias("est_x"), "est_z")
 
 
+@query(f"""WITH {_EXIF_SQL.split('WITH ', 1)[1].replace('SELECT gcp_id, cam_id, round(px, 3) AS px, round(py, 3) AS py FROM k', ', new AS (SELECT gcp_id, cam_id, px, py FROM k', 1)})
+SELECT gcp_id, cam_id, round(px, 3) AS px, round(py, 3) AS py FROM (SELECT gcp_id, cam_id, px, py FROM observations UNION ALL SELECT * FROM new)""")
+def auto_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gcps = load(spark, sf_dir, "gcps").where("not (x = 0 and y = 0 and z = 0)").withColumn("x", 88.4 + F.col("x") / 20).withColumn("y", 22.5 + F.col("y") / 20)
+    marks, _ = control.auto_mark(gcps, load(spark, sf_dir, "cameras"), load(spark, sf_dir, "observations"))
+    return marks.select("gcp_id", "cam_id", F.round("px", 3).alias("px"), F.round("py", 3).alias("py"))
+
+
+@query("""SELECT gcp_id, label, x, enabled FROM gcps UNION ALL SELECT 999 + row_number() OVER (ORDER BY r_name), r_name, 0.0::double, true FROM region""")
+def added_gcps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = load(spark, sf_dir, "region").select(F.col("r_name").alias("label"))
+    return control.append_gcps(load(spark, sf_dir, "gcps"), added, 1000).select("gcp_id", "label", "x", "enabled")
+
+
+@query("""WITH p AS (SELECT cls, CASE WHEN z > 30 THEN 6 WHEN z > 20 THEN 5 ELSE 2 END AS g FROM points), t AS (SELECT cls, count(*) AS support, count(*) FILTER (WHERE cls = g) AS hits FROM p GROUP BY 1),
+q AS (SELECT g AS cls, count(*) AS guesses FROM p GROUP BY 1), r AS (SELECT cls, coalesce(support, 0) AS support, coalesce(hits, 0)::double AS hits, coalesce(guesses, 0) AS guesses FROM t FULL JOIN q USING (cls)),
+s AS (SELECT cls, support, CASE WHEN guesses > 0 THEN hits / guesses ELSE 0 END AS precision, CASE WHEN support > 0 THEN hits / support ELSE 0 END AS recall FROM r)
+SELECT cls, round(precision, 9) AS precision, round(recall, 9) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 9) AS f1, support::bigint AS support FROM s""")
+def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    guess = F.when(F.col("z") > 30, 6).when(F.col("z") > 20, 5).otherwise(2).alias("predicted")
+    confusion = load(spark, sf_dir, "points").groupBy("cls", guess).agg(F.count(F.lit(1)).alias("n"))
+    return ml.class_report(confusion).select("cls", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @query()
 def contour_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface, meta = _surface(spark, sf_dir, 8.0)

@@ -5,12 +5,14 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from skyraster.operators import grid, ml
-from skyraster.plans import adapters, catalog
+from skyraster.operators import grid, ml, morph, ortho, terrain
+from skyraster.plans import adapters, catalog, queries_grid, queries_model
+from skyraster.plans.tables import cut
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -38,8 +40,8 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"forest_classes", "rule_classes", "triangulate"}))
-def test_query_without_sql_has_rows(spark, name):
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"forest_classes", "triangulate"}))
+def test_query_without_sql_has_rows(spark, name):  # triangulate: no point has two rays at this scale, see below
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
@@ -73,3 +75,46 @@ def test_forest_is_trained_with_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(ml, "train", lambda data, **settings: seen.append(settings) or ml.Trained(None, 0.0, data, {}))
     catalog.QUERIES["forest_classes"](spark, SF)
     assert seen == [{}]
+
+
+def test_triangulate_finds_the_control_points(spark):
+    want = {r.gcp_id: (r.x, r.y, r.z) for r in adapters.load(spark, "/root/testdata/sf0.01", "gcps").collect()}
+    got = catalog.QUERIES["triangulate"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) > 20 and all(np.allclose((r.x, r.y, r.z), want[r.gcp_id], atol=1e-5) for r in got)
+
+
+def test_gains_by_dense_least_squares(spark):
+    ratios = queries_model._colors(spark, SF)
+    rows = ortho.pair_ratios(ratios).collect()
+    got = {r.site: (r.red, r.green, r.blue) for r in catalog.QUERIES["camera_gains"](spark, SF).collect()}
+    sites, used = sorted(got), [r for r in rows if r.n >= 5]
+    a, y = np.zeros((len(used) + 1, len(sites))), np.zeros((len(used) + 1, 3))
+    for k, r in enumerate(used):
+        a[k, sites.index(r.ci)], a[k, sites.index(r.cj)], y[k] = r.n**0.5, -(r.n**0.5), np.array((r.red, r.green, r.blue)) * r.n**0.5
+    a[-1] = 10
+    want = np.clip(np.exp(np.linalg.lstsq(a, y, rcond=None)[0]), 0.6, 1.6)
+    assert used and np.allclose([got[s] for s in sites], want, atol=1e-9)
+
+
+def test_similarity_by_singular_values(spark):
+    rows = adapters.load(spark, SF, "pairs").collect()
+    src, dst = (np.array([[r[f"{p}{c}"] for c in "xyz"] for r in rows]) for p in "sd")
+    a, b = src - src.mean(0), dst - dst.mean(0)
+    u, d, vt = np.linalg.svd(b.T @ a / len(a))
+    flip = np.diag([1, 1, np.sign(np.linalg.det(u @ vt))])
+    got = catalog.QUERIES["similarity_fit"](spark, SF).first()
+    r = u @ flip @ vt
+    s = (d * np.diag(flip)).sum() / a.var(0).sum()
+    assert np.allclose(got.r, r.reshape(-1), atol=1e-9) and abs(got.s - s) < 1e-9 and np.allclose(got.t, dst.mean(0) - s * r @ src.mean(0), atol=1e-5)
+
+
+def test_contour_lines_hold_their_segments(spark):
+    surface, meta = queries_grid._surface(spark, SF)
+    segments = terrain.contour_segments(cut(morph.smooth_valid(surface, meta), "smooth"), 2.0).toPandas()
+    want = (np.hypot(segments.r1 - segments.r2, segments.c1 - segments.c2) * meta.cell).groupby(segments.k).sum()
+    lines = catalog.QUERIES["contour_lines"](spark, SF).collect()
+    length = {}
+    for r in lines:
+        xy = np.array([(p.x, p.y) for p in r.coords])
+        length[round(r.level / 2)] = length.get(round(r.level / 2), 0) + np.hypot(*np.diff(xy, axis=0).T).sum()
+    assert all(abs(length[k] - v) < 1e-4 * v + 1e-6 for k, v in want.items() if v > 1) and all(r.is_index == (round(r.level / 2) % 5 == 0) for r in lines)
