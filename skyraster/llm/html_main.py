@@ -14,14 +14,15 @@ What is main text follows from these counts:
 * A text that half of a host's pages or more (two at least) hold alike, while others vary, is
   template.
 * The mass of a part is its varying text outside links. From the root one goes down into the
-  part with half the mass or more, as long as it neither repeats nor holds plain text only; where
-  it ends, after one step up if a heading stands before it there, is the container.
+  part with half the mass or more, as long as it neither repeats nor holds plain text only; a part
+  with a varying h1 needs only 1 / ``ASIDE`` of the greatest mass beside it. Where this ends, after one step
+  up if a heading stands before it there, is the container.
 * Main are the container's texts that are neither template nor mostly links.
 
 Names only break ties: parts whose masses are within ``TIE`` of each other go by what their tags
 and classes say; of nested containers one that is named as such is taken, with its constant texts;
-and a part of the container named as an aside (comments, advert, form and the like) is left out
-unless it outweighs the rest ``TIE`` times. One page alone has no template; there mass is all text
+and a part named as an aside (comments, advert, form and the like) counts for nothing unless it
+outweighs what stands beside it ``ASIDE`` times. One page alone has no template; there mass is all text
 outside links.
 
 Inference never brings a host's pages together. Tasks count expressions; a host's different ones
@@ -53,7 +54,7 @@ from pyspark.sql import functions as F
 from skyraster.llm.common import cut, ensure, shared_dir
 
 PERIOD = 4
-TIE = 4
+TIE, ASIDE = 4, 20
 FAN = 1000
 RARE = 1000
 MAX_BROADCAST_CHARS = 32_000_000
@@ -430,6 +431,11 @@ def _rank(key: str) -> int:
     return -1 if _aside(key, False) else max([MAIN_NAMES.get(w, 0) for w in key.split(".")])
 
 
+def _leads(node: Node) -> bool:
+    """Whether a part holds a page's first heading, in words that vary."""
+    return not node.repeated and any(x.key.split(".")[0] == "h1" and x.mass and not x.repeated for x in nodes(node))
+
+
 def label(root: Node) -> Node:
     """Marks the container's parts (inside) and the main texts (main), in place."""
     every = list(nodes(root))
@@ -447,15 +453,19 @@ def label(root: Node) -> Node:
     chain = [root]
     while True:
         here = chain[-1]
-        boxes = [k for k in here.kids if k.mass and not k.repeated and k.like.endswith(":blocks")]
+        plain = sum([k.mass for k in here.kids if not _aside(k.key, False)])
+        led = any(_leads(k) for k in here.kids if not _aside(k.key, False))
+        kids = [k for k in here.kids if not _aside(k.key, False) or (k.mass > ASIDE * plain and not led)]
+        boxes = [k for k in kids if k.mass and not k.repeated and k.like.endswith(":blocks")]
         if not boxes:
             break
-        most = max([k.mass for k in here.kids])
-        rivals = [k for k in boxes if TIE * k.mass >= most]
+        most, total = max([k.mass for k in kids]), sum([k.mass for k in kids])
+        rivals = [k for k in boxes if (ASIDE if _leads(k) else TIE) * k.mass >= most]
         if not rivals:
             break
-        best = max(rivals, key=lambda k: (_rank(k.key), k.mass))
-        if 2 * best.mass < here.mass and (_rank(best.key) < 1 or any(k is not best and _rank(k.key) >= 0 for k in rivals)):
+        best = max(rivals, key=lambda k: (_rank(k.key), _leads(k), k.mass))
+        told = (_rank(best.key), _leads(best))
+        if 2 * best.mass < total and (max(told) < 1 or any(k is not best and (_rank(k.key), _leads(k)) == told for k in rivals)):
             break
         chain.append(best)
     ranks = [_rank(x.key) for x in chain]
@@ -470,8 +480,9 @@ def label(root: Node) -> Node:
         x.inside = True
         if x.key == "#":
             x.main = named or not (template(x) or 2 * x.links > x.chars)
+        led = any(_leads(k) for k in x.kids if not _aside(k.key, named))
         for k in x.kids:
-            if k.key == "#" or not (_aside(k.key, named) and k.mass <= TIE * (top.mass - k.mass)):
+            if k.key == "#" or not (_aside(k.key, named) and (led or k.mass <= ASIDE * (top.mass - k.mass))):
                 todo.append(k)
     return root
 

@@ -96,8 +96,8 @@ def test_common_subsequence_is_longest(x, y):
 
 
 def neutral(page):
-    """The page without telling tags and attributes."""
-    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|aside|header|main|section)\b[^>]*>", r"<\1div>", page))
+    """The page without telling tags and attributes; its headings are divisions too."""
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer|aside|header|main|section|h[1-6])\b[^>]*>", r"<\1div>", page))
 
 
 def test_neutral_names_inference_and_partitions(spark):
@@ -135,6 +135,13 @@ def test_side_parts_go(side):
         assert told(w, page) == " ".join([f"Title {k}", *re.findall("<p>(.*?)</p>", STORY.format(k))])
 
 
+def test_a_varying_heading_leads(spark):
+    talk = "".join("<div><b>reader {0}</b><p>opinion " + f"{k}" + " about page {0}, and quite a long one at that, as such opinions are</p></div>" for k in range(6))
+    pages = [f"<div>Menu</div><div><div><h1>T{k}</h1><p>{k} is a short story about the weather</p></div><div><h3>Said</h3>{talk.format(k)}</div></div><div>All rights</div>" for k in range(6)]
+    w = wrapper(pages)
+    assert all(told(w, page) == f"T{k} {k} is a short story about the weather" for k, page in enumerate(pages))
+
+
 def test_names_only_break_ties():
     talk = "".join(f"<div class=comment><b>reader {{0}}</b><p>opinion {k} about page {{0}}, and quite a long one</p></div>" for k in range(3))
     pages = [f"<article><h1>T{k}</h1><p>{k} is a short story about a page of a site that has readers</p></article><div class=comments>{talk.format(k)}</div>" for k in range(6)]
