@@ -24,6 +24,7 @@ MEMO = 600_000
 CHUNK_CHARS = 1_000_000
 ROWS = 4_000
 STRIP = 500_000
+MARKS = ".,;:!?"
 
 
 class PieceEncoder:
@@ -72,21 +73,23 @@ class PieceEncoder:
         if self.lead:
             self._encode(list(missing))
             return
-        have = self.new
-        slow = []
+        have, slow, letters, kind = self.new, [], self.letters, self.kind
+        tokenize, marks = self.model.tokenize, {m: self._mark(m) for m in MARKS}
         for x in missing:
-            core, mark = (x[:-1], x[-1]) if x[-1] in ".,;:!?" and x[-2:-1].isalpha() else (x, "")
-            core = core.lower() if core.isascii() else core
-            if core not in have:
-                if core.isascii():
-                    plain = core.isalpha()
-                else:
-                    plain = core.isalpha() and max(core) <= "\xff"
-                if not plain:
+            last = x[-1]
+            core, mark = (x[:-1], marks[last]) if last in marks and x[-2:-1].isalpha() else (x, b"")
+            plain = core.isascii()
+            if plain:
+                core = core.lower()
+            known = have.get(core)
+            if known is None:
+                # A folded word of Latin-1 letters is one pre-token: straight to the library's model.
+                if not core.isalpha() or not (plain or max(core) <= "\xff"):
                     slow.append(x)
                     continue
-                have[core] = self._word(core.lower())
-            have[x] = have[core] + self._mark(mark)
+                word = core if plain else core.lower().translate(letters)
+                known = have[core] = array(kind, [t.id for t in tokenize(word)]).tobytes()
+            have[x] = known + mark
         if slow:
             self._encode(slow)
 
@@ -95,12 +98,6 @@ class PieceEncoder:
             self._encode([mark])
         return self.new[mark]
 
-    def _word(self, word: str) -> bytes:
-        """A folded word of Latin-1 letters is one pre-token: straight to the library's model."""
-        if not word.isascii():
-            word = word.translate(self.letters)
-        return array(self.kind, [t.id for t in self.model.tokenize(word)]).tobytes()
-
     def _encode(self, order: list[str]) -> None:
         """Remember the ids of pieces of any kind, by the whole tokenizer."""
         for x, e in zip(order, self.library.encode_batch_fast(order, add_special_tokens=False), strict=True):
