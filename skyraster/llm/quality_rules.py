@@ -10,9 +10,9 @@ whole units of 1 / ``UNIT`` so that sums do not depend on order. Texts below ``T
 Trusted texts are told by strict form: ``TRUST_WORDS`` words or more, under 0.5 % symbols,
 under 2 % pairs of capitals, no repeated line, and a fifth or more of the words distinct.
 
-Everything is DataFrame functions. One scan of the texts gives the base counts and the words'
-codes, which are kept in a table; buckets are counted (at most 3 * BUCKETS sums reach the driver) and
-texts decided from that. No text is shuffled.
+Everything is DataFrame functions. ``rate`` scans the texts once, for the base counts and the words'
+codes, which are kept in a table from which buckets are counted (at most 3 * BUCKETS sums reach the
+driver) and texts decided; ``keep`` scans them twice and writes nothing. No text is shuffled.
 
 Cases: null and empty texts have no words, so the base fails them; a table without trusted
 texts scores everything 0 and keeps what the base keeps; repeated rows are decided alike; very
@@ -169,9 +169,8 @@ def form(text: Column) -> Column:
         c.alias("codes"), trusted(text, w, c, f["symbols"], f["dup_lines"]).alias("trusted")))))
 
 
-def _rated(coded: DataFrame, threshold: float) -> DataFrame:
+def _rated(coded: DataFrame, ratios: list[int], threshold: float) -> DataFrame:
     """Adds units, n_features, base_failed and kept to coded rows."""
-    ratios = log_ratios(coded)
     features = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, 3)), F.col("n_words"))
     out = coded.withColumn("units", units(F.col("codes"), ratios)).withColumn("n_features", features)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
@@ -183,13 +182,15 @@ def rate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = ensure(docs, doc_id="long", text="string")
     coded = cut(docs.select("doc_id", analysis(_text()).alias("of")).select("doc_id", "of.*"), f"{shared_dir(docs.sparkSession)}/coded")
     score = F.when(F.col("n_features") > 0, F.floor(F.col("units") / F.col("n_features"))).otherwise(0).cast("long")
-    return _rated(coded, threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", score.alias("score"))
+    return _rated(coded, log_ratios(coded), threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", score.alias("score"))
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
+    # Whole rows are not written to a table for this: their codes are worked out twice instead.
+    ratios = log_ratios(docs.select(form(_text()).alias("of")).select("of.*"))
     coded = docs.select(F.struct("*").alias("_row"), analysis(_text()).alias("of")).select("_row", "of.*")
-    return _rated(cut(coded, f"{shared_dir(docs.sparkSession)}/coded"), threshold).where("kept").select("_row.*")
+    return _rated(coded, ratios, threshold).where("kept").select("_row.*")
 
 
 _BASE_SQL = r"""
