@@ -53,7 +53,7 @@ def measure(docs: DataFrame, folder: str, seed: str = SEED, weight: str | None =
         out = docs.select(*kept, *known, size.alias("_size"), F.col(f"`{weight}`").cast("double").alias("_weight"))
     else:
         coded = cut(docs.select(*kept, *known, quality_rules.form(text).alias("of")).select(*["_row"] * rows, "_doc", "_source", "_tie", "_u", "of.*"), f"{folder}/coded")
-        ratios = quality_rules.log_ratios(coded, ORDERS)
+        ratios = quality_rules.log_ratios(quality_rules.coded_features(coded, ORDERS), ORDERS)
         n = F.size("codes")
         score = quality_rules.units(F.col("codes"), ratios, ORDERS) / F.greatest(n, F.lit(1)).cast("double") / float(quality_rules.UNIT)
         quality = F.least(F.greatest(1.0 + score, F.lit(LEAST)), F.lit(MOST))

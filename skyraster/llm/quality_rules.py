@@ -132,14 +132,30 @@ def analysis(text: Column) -> Column:
     return let(_spaced(text), counted)
 
 
-def log_ratios(coded: DataFrame, orders: int = ORDERS) -> list[int]:
-    """log(target / raw) of every bucket in units, from the trusted and codes of all documents."""
+def coded_features(coded: DataFrame, orders: int = ORDERS) -> DataFrame:
+    """bt: one row for each feature of a table with trusted and codes; those of trusted texts in buckets of their own."""
     following = [F.slice("codes", k, F.size("codes")).alias(n) for k, n in enumerate("abc", 1)]
-    space = orders * BUCKETS
-    rows = coded.where(F.size("codes") > 0).select(F.when(F.col("trusted"), space).otherwise(0).alias("base"), F.inline(F.arrays_zip(*following)).alias(*"abc"))
+    rows = coded.where(F.size("codes") > 0).select(F.when(F.col("trusted"), orders * BUCKETS).otherwise(0).alias("base"), F.inline(F.arrays_zip(*following)).alias(*"abc"))
     each = F.array(*_runs(F.col("a"), F.col("b"), F.col("c"), orders))
-    # Trusted texts count in buckets of their own, so that the sums need one key.
-    seen = rows.select("base", F.explode(each).alias("b")).where("b is not null").groupBy((F.col("base") + F.col("b")).alias("bt")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("base", F.explode(each).alias("b")).where("b is not null").select((F.col("base") + F.col("b")).alias("bt"))
+
+
+def text_features(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
+    """The same from texts, without a table: all of a text's features are one array, since whatever stood
+    beside an exploded column here would be worked out again for every feature."""
+
+    def of(f: Column) -> Column:
+        base = F.when(f["trusted"], orders * BUCKETS).otherwise(0)
+        return let(F.struct(f["codes"].alias("codes"), base.alias("base")), lambda x: F.flatten(F.transform(x["codes"], lambda c, i: F.array(
+            *[r + x["base"] for r in _runs(c, F.get(x["codes"], i + 1), F.get(x["codes"], i + 2), orders)]))))
+
+    return docs.select(F.explode(let(form(_text()), of)).alias("bt")).where("bt is not null")
+
+
+def log_ratios(features: DataFrame, orders: int = ORDERS) -> list[int]:
+    """log(target / raw) of every bucket in units."""
+    space = orders * BUCKETS
+    seen = features.groupBy("bt").agg(F.count(F.lit(1)).alias("n"))
     target = F.when(F.col("bt") >= space, F.col("n")).otherwise(0)
     counts = seen.groupBy((F.col("bt") % space).alias("b")).agg(F.sum("n").alias("raw"), F.sum(target).alias("target"))
     found = counts.collect()  # at most ORDERS * BUCKETS sums
@@ -169,12 +185,24 @@ def form(text: Column) -> Column:
         c.alias("codes"), trusted(text, w, c, f["symbols"], f["dup_lines"]).alias("trusted")))))
 
 
+def _failed(of: Callable[[str], Column]) -> Column:
+    return (of("n_words") < MIN_WORDS) | (100 * of("n_repeat_words") > REPEAT_SHARE * of("n_words"))
+
+
+def _features(of: Callable[[str], Column]) -> Column:
+    return sum((F.greatest(of("n_words") - k, F.lit(0)) for k in range(1, ORDERS)), of("n_words"))
+
+
+def _kept(of: Column, threshold: float) -> Column:
+    """Whether a text stays, from one struct that is looked at once."""
+    return let(of, lambda x: ~_failed(lambda c: x[c]) & (x["units"] >= _features(lambda c: x[c]) * int(threshold * UNIT)))
+
+
 def _rated(coded: DataFrame, ratios: list[int], threshold: float) -> DataFrame:
-    """Adds units, n_features, base_failed and kept to coded rows."""
-    features = sum((F.greatest(F.col("n_words") - k, F.lit(0)) for k in range(1, 3)), F.col("n_words"))
-    out = coded.withColumn("units", units(F.col("codes"), ratios)).withColumn("n_features", features)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("units") >= F.col("n_features") * int(threshold * UNIT)))
+    """Adds units, n_features, base_failed and kept to a table of coded rows."""
+    out = coded.withColumn("units", units(F.col("codes"), ratios)).withColumn("n_features", _features(F.col))
+    out = out.withColumn("base_failed", _failed(F.col))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("units") >= F.col("n_features") * int(threshold * UNIT)))
 
 
 def rate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -182,15 +210,15 @@ def rate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs = ensure(docs, doc_id="long", text="string")
     coded = cut(docs.select("doc_id", analysis(_text()).alias("of")).select("doc_id", "of.*"), f"{shared_dir(docs.sparkSession)}/coded")
     score = F.when(F.col("n_features") > 0, F.floor(F.col("units") / F.col("n_features"))).otherwise(0).cast("long")
-    return _rated(coded, log_ratios(coded), threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", score.alias("score"))
+    return _rated(coded, log_ratios(coded_features(coded)), threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", score.alias("score"))
 
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
     # Whole rows are not written to a table for this: their codes are worked out twice instead.
-    ratios = log_ratios(docs.select(form(_text()).alias("of")).select("of.*"))
-    coded = docs.select(F.struct("*").alias("_row"), analysis(_text()).alias("of")).select("_row", "of.*")
-    return _rated(coded, ratios, threshold).where("kept").select("_row.*")
+    ratios = log_ratios(text_features(docs))
+    coded = docs.select(F.struct("*").alias("_row"), let(let(analysis(_text()), lambda a: F.struct(a["n_words"].alias("n_words"), a["n_repeat_words"].alias("n_repeat_words"), units(a["codes"], ratios).alias("units"))), lambda x: x).alias("of"))
+    return coded.where(_kept(F.col("of"), threshold)).select("_row.*")
 
 
 _BASE_SQL = r"""
