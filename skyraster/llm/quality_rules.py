@@ -12,7 +12,7 @@ under 2 % pairs of capitals, no repeated line, and a fifth or more of the words
 
 Everything is DataFrame functions. ``rate`` scans the texts once, for the base counts and the words'
 codes, which are kept in a table from which buckets are counted (at most 3 * BUCKETS sums reach the
-driver) and texts decided; ``keep`` scans them twice and writes nothing. No text is shuffled.
+driver) and texts decided; ``keep`` scans them twice and leaves no table. No text is shuffled.
 
 Cases: null and empty texts have no words, so the base fails them; a table without trusted
 texts scores everything 0 and keeps what the base keeps; repeated rows are decided alike; very
@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, shared_dir
+from skyraster.llm.common import cut, ensure, remove, shared_dir
 
 BUCKETS = 1 << 14
 CODES = 1 << 26  # so that what is added below stays within int
@@ -140,18 +140,6 @@ def coded_features(coded: DataFrame, orders: int = ORDERS) -> DataFrame:
     return rows.select("base", F.explode(each).alias("b")).where("b is not null").select((F.col("base") + F.col("b")).alias("bt"))
 
 
-def text_features(docs: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """The same from texts, without a table: all of a text's features are one array, since whatever stood
-    beside an exploded column here would be worked out again for every feature."""
-
-    def of(f: Column) -> Column:
-        base = F.when(f["trusted"], orders * BUCKETS).otherwise(0)
-        return let(F.struct(f["codes"].alias("codes"), base.alias("base")), lambda x: F.flatten(F.transform(x["codes"], lambda c, i: F.array(
-            *[r + x["base"] for r in _runs(c, F.get(x["codes"], i + 1), F.get(x["codes"], i + 2), orders)]))))
-
-    return docs.select(F.explode(let(form(_text()), of)).alias("bt")).where("bt is not null")
-
-
 def log_ratios(features: DataFrame, orders: int = ORDERS) -> list[int]:
     """log(target / raw) of every bucket in units."""
     space = orders * BUCKETS
@@ -215,8 +203,10 @@ def rate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
-    # Whole rows are not written to a table for this: their codes are worked out twice instead.
-    ratios = log_ratios(text_features(docs))
+    # Whole rows are not written to a table for this: their codes are, for the counts, and are worked out again.
+    work = shared_dir(docs.sparkSession)
+    ratios = log_ratios(coded_features(cut(docs.select(form(_text()).alias("of")).select("of.*"), f"{work}/codes")))
+    remove(docs.sparkSession, work)
     coded = docs.select(F.struct("*").alias("_row"), let(let(analysis(_text()), lambda a: F.struct(a["n_words"].alias("n_words"), a["n_repeat_words"].alias("n_repeat_words"), units(a["codes"], ratios).alias("units"))), lambda x: x).alias("of"))
     return coded.where(_kept(F.col("of"), threshold)).select("_row.*")
 
