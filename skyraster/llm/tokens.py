@@ -132,9 +132,12 @@ class PieceEncoder:
             ids = list(map(self.new.get, pieces))
             missing = [k for k, x in enumerate(ids) if x is None]
             if missing:
+                before = self.new
                 self.learn({pieces[k] for k in missing})
                 for k in missing:
                     ids[k] = self.new[pieces[k]]
+                if self.new is not before:  # what is in use stays in the newer half
+                    self.new.update(zip(pieces, ids, strict=True))
             yield ids, coded.indices.to_numpy(), lists.value_lengths().to_numpy().cumsum()
 
     def count_column(self, texts: pa.Array) -> np.ndarray:
