@@ -21,8 +21,9 @@ What is main text follows from these counts:
 
 Names only break ties: parts whose masses are within ``TIE`` of each other go by what their tags
 and classes say; of nested containers one that is named as such is taken, with its constant texts;
-and a part named as an aside (comments, advert, form and the like) counts for nothing unless it
-outweighs what stands beside it ``ASIDE`` times. One page alone has no template; there mass is all text
+and a part named as an aside (comments, advert, form and the like) counts for nothing, whatever its
+weight, where the container is named as the article, or a part beside it is or has a heading of varying words (but for an aside with a varying h1 of its own); elsewhere it has to
+outweigh what stands beside it ``ASIDE`` times. One page alone has no template; there mass is all text
 outside links.
 
 Inference never brings a host's pages together. Tasks count expressions; a host's different ones
@@ -56,6 +57,7 @@ from skyraster.llm.common import cut, ensure, shared_dir
 PERIOD = 4
 TIE, ASIDE = 4, 20
 FAN = 1000
+HELD = 8_000_000
 RARE = 1000
 MAX_BROADCAST_CHARS = 32_000_000
 MEMO = 5000
@@ -92,14 +94,14 @@ class Node:
     numbers of a page's blocks that stand here.
     """
 
-    __slots__ = ("key", "kids", "optional", "repeated", "shape", "n", "chars", "links", "low", "high", "blocks", "mass", "inside", "main")
+    __slots__ = ("key", "kids", "optional", "repeated", "shape", "n", "chars", "links", "low", "high", "blocks", "mass", "first", "told", "inside", "main")
 
     def __init__(self, key: str, kids: list[Node] | None = None):
         self.key, self.kids = key, kids or []
         self.optional = self.repeated = False
         self.n, self.chars, self.links, self.low, self.high = 1, 0, 0, 0, 0
         self.blocks: list[int] = []
-        self.mass, self.inside, self.main = 0, False, False
+        self.mass, self.first, self.told, self.inside, self.main = 0, False, False, False, False
         self.shape = key
 
     def settle(self) -> Node:
@@ -433,7 +435,12 @@ def _rank(key: str) -> int:
 
 def _leads(node: Node) -> bool:
     """Whether a part holds a page's first heading, in words that vary."""
-    return not node.repeated and any(x.key.split(".")[0] == "h1" and x.mass and not x.repeated for x in nodes(node))
+    return node.first and not node.repeated
+
+
+def _told(node: Node) -> bool:
+    """Whether a part says itself that it is the article: by any heading, or a name of the main text."""
+    return node.told and not node.repeated
 
 
 def label(root: Node) -> Node:
@@ -448,14 +455,19 @@ def label(root: Node) -> Node:
         x.inside = x.main = False
         if x.key == "#":
             x.mass = 0 if template(x) or 2 * x.links > x.chars else x.chars - x.links
+            x.first = x.told = False
         else:
             x.mass = sum([k.mass for k in x.kids])
+            tag, once, plain = x.key.split(".")[0], x.mass > 0 and not x.repeated, [k for k in x.kids if not _aside(k.key, True)]
+            x.first = tag == "h1" and once or any([k.first for k in x.kids])
+            x.told = once and (tag in HEADINGS or _rank(x.key) > 0) or any([k.told for k in plain])
     chain = [root]
     while True:
         here = chain[-1]
         plain = sum([k.mass for k in here.kids if not _aside(k.key, False)])
-        led = any(_leads(k) for k in here.kids if not _aside(k.key, False))
-        kids = [k for k in here.kids if not _aside(k.key, False) or (k.mass > ASIDE * plain and not led)]
+        beside = [k for k in here.kids if not _aside(k.key, False)]
+        led, told = any(map(_leads, beside)), any(map(_told, beside))
+        kids = [k for k in here.kids if not _aside(k.key, False) or (k.mass > ASIDE * plain and not led and (_leads(k) or not told))]
         boxes = [k for k in kids if k.mass and not k.repeated and k.like.endswith(":blocks")]
         if not boxes:
             break
@@ -464,8 +476,8 @@ def label(root: Node) -> Node:
         if not rivals:
             break
         best = max(rivals, key=lambda k: (_rank(k.key), _leads(k), k.mass))
-        told = (_rank(best.key), _leads(best))
-        if 2 * best.mass < total and (max(told) < 1 or any(k is not best and (_rank(k.key), _leads(k)) == told for k in rivals)):
+        says = (_rank(best.key), _leads(best))
+        if 2 * best.mass < total and (max(says) < 1 or any(k is not best and (_rank(k.key), _leads(k)) == says for k in rivals)):
             break
         chain.append(best)
     ranks = [_rank(x.key) for x in chain]
@@ -480,9 +492,10 @@ def label(root: Node) -> Node:
         x.inside = True
         if x.key == "#":
             x.main = named or not (template(x) or 2 * x.links > x.chars)
-        led = any(_leads(k) for k in x.kids if not _aside(k.key, named))
+        beside = [k for k in x.kids if not _aside(k.key, named)]
+        led, told = any(map(_leads, beside)), named or any(map(_told, beside))
         for k in x.kids:
-            if k.key == "#" or not (_aside(k.key, named) and (led or k.mass <= ASIDE * (top.mass - k.mass))):
+            if k.key == "#" or not (_aside(k.key, named) and (led or (told and not _leads(k)) or k.mass <= ASIDE * (top.mass - k.mass))):
                 todo.append(k)
     return root
 
@@ -581,18 +594,30 @@ def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _expressions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different expressions of a task's pages, with counts."""
+    """The different expressions of a task's pages, with counts; those seen go on when they fill HELD characters."""
     _deep()
+    seen: dict[tuple[str, str], np.ndarray] = {}
+    held = 0
+
+    def sums() -> pa.RecordBatch:
+        return _batch([(host, 0, text, numbers.tobytes()) for (host, text), numbers in seen.items()])
+
     for batch in batches:
-        seen: dict[tuple[str, str], np.ndarray] = {}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if page:
                 root, blocks = parse(page)
                 if blocks:
                     key, numbers = (host, stream(root)), np.frombuffer(counts(root), np.int64)
-                    seen[key] = _sum(seen[key], numbers) if key in seen else numbers
-        if seen:
-            yield _batch([(host, 0, text, numbers.tobytes()) for (host, text), numbers in seen.items()])
+                    if key in seen:
+                        seen[key] = _sum(seen[key], numbers)
+                    else:
+                        seen[key] = numbers
+                        held += len(key[1]) + numbers.nbytes
+        if held > HELD:
+            yield sums()
+            seen, held = {}, 0
+    if seen:
+        yield sums()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

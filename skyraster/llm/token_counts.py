@@ -8,6 +8,9 @@ next version, so that a commit costs as much as its batch and the number of grou
 names the batch, a digest of its sums, and the version's table. It is put in place by a
 rename that fails if the file is there: a writer that lost the race adds its sums to the newer totals and
 tries again. (On a local file system, where a rename replaces, a lock in this process does the same.)
+A commit counts once a state read after its put holds it: versions up to the newest snapshot are
+that snapshot's alone, so a writer whose place was taken, compacted and cleared meanwhile
+sees that its file is passed over, and tries again; so does one whose base table went away.
 
 A batch that is committed again changes nothing if its sums are the same, and is refused if they
 differ; one that broke off has left no commit and is done anew. ``compact`` puts the ids of
@@ -105,17 +108,33 @@ class Rollup:
         return done
 
     def _state(self) -> tuple[int, str | None, dict[str, str]]:
-        """(version, its table, digests by batch): the last snapshot, and the commits since."""
-        version, table, batches = 0, None, {}
-        for name in self._names("snapshots")[-1:]:
-            found = self._read(f"snapshots/{name}")
-            version, table, batches = int(name), found["table"], found["batches"]
-        for name in self._names("commits"):
-            if int(name) > version:
-                found = self._read(f"commits/{name}")
-                version, table = int(name), found["table"]
-                batches[found["batch"]] = found["digest"]
-        return version, table, batches
+        """(version, its table, digests by batch): the last snapshot, and the commits since.
+
+        A new snapshot meanwhile may have cleared commits before they were listed: then it is all read again.
+        """
+        while True:
+            last = self._names("snapshots")[-1:]
+            version, table, batches = 0, None, {}
+            try:
+                for name in last:
+                    found = self._read(f"snapshots/{name}")
+                    version, table, batches = int(name), found["table"], found["batches"]
+                for name in self._names("commits"):
+                    if int(name) > version:
+                        found = self._read(f"commits/{name}")
+                        version, table = int(name), found["table"]
+                        batches[found["batch"]] = found["digest"]
+            except Exception:
+                if self._names("snapshots")[-1:] == last:
+                    raise
+                continue
+            if self._names("snapshots")[-1:] == last:
+                return version, table, batches
+
+    def _add(self, sums: DataFrame, table: str | None, after: str) -> None:
+        """Write the totals of ``table`` and ``sums`` as ``after``."""
+        both = sums if table is None else self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{table}").unionByName(sums)
+        cut(_summed(both), f"{self.folder}/{after}")
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
@@ -136,10 +155,14 @@ class Rollup:
                     if known[batch] != digest:
                         raise ValueError(f"batch {batch!r} was committed with other sums")
                     return False
-                after = f"totals/{version + 1:012d}-{uuid.uuid4().hex}"
-                both = sums if table is None else self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{table}").unionByName(sums)
-                cut(_summed(both), f"{self.folder}/{after}")
-                if self._put(f"commits/{version + 1:012d}", {"batch": batch, "digest": digest, "table": after}):
+                after, place = f"totals/{version + 1:012d}-{uuid.uuid4().hex}", f"commits/{version + 1:012d}"
+                try:
+                    self._add(sums, table, after)
+                except Exception:
+                    if self._state()[0] == version:
+                        raise
+                    continue  # the base table was compacted away
+                if self._put(place, {"batch": batch, "digest": digest, "table": after}) and batch in self._state()[2]:
                     return True
                 self._fs.delete(self._path(f"{self.folder}/{after}"), True)
         finally:
@@ -158,8 +181,13 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens as of the last commit."""
-        table = self._state()[1]
-        return self.spark.createDataFrame([], SCHEMA) if table is None else self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{table}")
+        while True:
+            version, table, _ = self._state()
+            try:
+                return self.spark.createDataFrame([], SCHEMA) if table is None else self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{table}")
+            except Exception:
+                if self._state()[0] == version:
+                    raise
 
 
 def _summed(rows: DataFrame) -> DataFrame:

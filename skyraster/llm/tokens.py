@@ -79,14 +79,15 @@ class PieceEncoder:
             last = x[-1]
             core, mark = (x[:-1], marks[last]) if last in marks and x[-2:-1].isalpha() else (x, b"")
             plain = core.isascii()
+            # A folded word of Latin-1 letters is one pre-token: straight to the library's model. Of others the memo says nothing
+            # about what they are before a mark.
+            if not core.isalpha() or not (plain or max(core) <= "\xff"):
+                slow.append(x)
+                continue
             if plain:
                 core = core.lower()
             known = have.get(core)
             if known is None:
-                # A folded word of Latin-1 letters is one pre-token: straight to the library's model.
-                if not core.isalpha() or not (plain or max(core) <= "\xff"):
-                    slow.append(x)
-                    continue
                 word = core if plain else core.lower().translate(letters)
                 known = have[core] = array(kind, [t.id for t in tokenize(word)]).tobytes()
             have[x] = known + mark

@@ -509,6 +509,27 @@ def test_pieces_equal_whole_texts():
             assert tool.count_column(pa.array([*texts, None])).tolist() == [*map(len, want), 0]
 
 
+def test_pieces_whatever_came_before():
+    """A memo that knows words gives the same ids for them before a mark, and the other way round."""
+    import pyarrow as pa
+
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha() and (c < 0x2000 or c % 37 == 0 or chr(c).lower() != chr(c))]
+    words = ["EVİ", "İ", "aſ", "ŉ", "ß", "ǅx", "12", "x1", "x-y", *[f"a{c}" for c in letters], *[f"{c}B" for c in letters]]
+    marked = [w + ".,;:!?"[k % 6] for k, w in enumerate(words)]
+    tool = PieceEncoder(tokenizer_path())
+    want = {x: e.ids for x, e in zip(words + marked, tool.library.encode_batch_fast(words + marked, add_special_tokens=False), strict=True)}
+    for first, second in ((words, marked), (marked, words)):
+        tool = PieceEncoder(tokenizer_path())
+        for part in (first, second):
+            assert [np.frombuffer(x, "<u2").tolist() for x in tool.encode_column(pa.array(part))] == [want[x] for x in part]
+
+
+def test_token_ids_whatever_the_partitions(spark):
+    rows = spark.createDataFrame([(k, f"EVİ{'.' * (k % 2)} Straße{'!' * (k % 3)} x{k % 5}. ıI{'?' * (k % 2)}") for k in range(300)], "doc_id long, text string")
+    found = [sorted(map(tuple, tokenfile.round_trip(rows.repartition(n), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) for n in (1, 7, 64)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
+
+
 def test_rollup_is_idempotent(spark, documents, nothing):
     counts = token_counts.count(documents, tokenizer_path()).cache()
     rollup = token_counts.Rollup(spark, f"{common.shared_dir(spark)}/totals")
@@ -542,6 +563,36 @@ def test_writers_side_by_side(spark):
     assert {(r.source, r.n_docs, r.n_tokens) for r in rollup.totals().collect()} == {("s0", 2, 2), ("s1", 2, 4)} and rollup.batches() == ["b0", "b1", "b2", "b3"]
 
 
+@pytest.mark.parametrize("start", [0, 2])
+@pytest.mark.parametrize("later", [1, 2])
+def test_commit_beside_compaction(spark, monkeypatch, start, later):
+    """A writer that is overtaken by commits and a compaction, before its read or before its put, loses nothing."""
+    rows = spark.createDataFrame([("s", None, "v", 1, 1)], token_counts.SCHEMA)
+    for where in ("_put", "_add"):
+        folder = f"{common.shared_dir(spark)}/totals"
+        slow, quick = token_counts.Rollup(spark, folder), token_counts.Rollup(spark, folder)
+        for k in range(start):
+            quick.commit(f"before-{k}", rows)
+        quick.compact()
+        told, inner = [], getattr(slow, where)
+
+        def overtaken(*a, told=told, inner=inner, quick=quick):
+            if not told:
+                told.append(1)
+                for k in range(later):
+                    quick.commit(f"meanwhile-{k}", rows)
+                quick.compact()
+            return inner(*a)
+
+        monkeypatch.setattr(slow, where, overtaken)
+        assert slow.commit("slow", rows) and told
+        n = start + later + 1
+        assert len(quick.batches()) == n and "slow" in quick.batches()
+        assert [(r.n_docs, r.n_tokens) for r in quick.totals().collect()] == [(n, n)]
+        quick.compact()
+        assert len(quick.batches()) == n and not slow.commit("slow", rows)
+
+
 def test_token_totals_by_brute_force(spark, documents):
     from tokenizers import Tokenizer
 

@@ -6,6 +6,7 @@ import functools
 import html
 import itertools
 import re
+import time
 import zlib
 
 import duckdb
@@ -162,6 +163,37 @@ def test_runs_held_once_and_repeated(bodies):
             assert told(known, page) == " ".join(re.sub("<[^>]*>", " ", body).split())
 
 
+@pytest.mark.parametrize("article", ["<article><h2>{h}</h2><p>{p}</p>{c}</article>", "<article><h2>{h}</h2><p>{p}</p></article>{c}", "<div><h3>{h}</h3><p>{p}</p></div>{c}", "<div class='post'><p>{h}</p><p>{p}</p></div>{c}"])
+def test_comments_of_any_weight_go(spark, article):
+    talk = "<section class='comments'>" + "".join(f"<p>reader {k} said {{n}} words on and on, and then some more of the same kind</p>" for k in range(60)) + "</section>"
+    pages = [(k, "https://a.example/x", "<body><nav><a href='/'>Home</a></nav>" + article.format(h=f"Head {k}", p=f"A short text number {k}.", c=talk.format(n=k)) + "</body>") for k in range(6)]
+    got = {r.page_id: r.text for r in html_main.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Head {k} A short text number {k}." for k in range(6)}
+
+
+def test_nesting_takes_time_in_proportion():
+    html_main._deep()
+    took = []
+    for n in (2_000, 20_000):
+        page = "<body>" + "<div>" * n + "<h2>Some head</h2><p>Some text.</p>" + "</div>" * n + "</body>"
+        began = time.perf_counter()
+        assert html_main.Extractor().text("h", page, None) == "Some head Some text."
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * max(took[0], 0.02)
+
+
+def test_inference_tells_template_from_text_despite_names(spark):
+    """Which of two boxes without a telling name is the text, only the host's other pages show."""
+    page = "<body><article><h1>Head {k}</h1><p>Copy only with a written permission of the house.</p><p>Text {k} of its own.</p></article><div><p>All about us, and where to write to.</p></div></body>"
+    side = "<body><div><p>All about us, and where to write to.</p><p>And the terms of the house, at length, for all who would read them.</p></div><section><p>Text {k} alone.</p></section></body>"
+    rows = [(k, "https://a.example/x", page.format(k=k)) for k in range(5)] + [(k, "https://b.example/x", side.format(k=k)) for k in range(5, 10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told, alone = ({r.page_id: r.text for r in html_main.extract(df, infer=how).collect()} for how in (True, False))
+    assert [told[k] for k in range(5, 10)] == [f"Text {k} alone." for k in range(5, 10)]
+    assert all(told[k] != alone[k] for k in range(5, 10))
+    assert all(told[k].startswith(f"Head {k}") and told[k].endswith(f"Text {k} of its own.") for k in range(5))
+
+
 def test_page_without_container_keeps_a_folded_run():
     many = "<p>Welcome to the site</p>" + "".join(f"<h2>h{k}</h2><p>text {{0}} {k}</p>" for k in range(3))
     pages = [many.format(k) for k in range(6)] + ["<p>Welcome to the site</p><h2>once</h2><p>told</p>"]
