@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyraster.llm import decontaminate, html_main, jaccard_join, language, mixing, pii, quality_model, quality_rules, token_counts, tokenfile
+from skyraster.llm import decontaminate, html_main, jaccard_join, language, lexical_search, mixing, pii, quality_model, quality_rules, token_counts, tokenfile, whitening
 from skyraster.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_decontaminate": op2_decontaminate,
@@ -67,6 +75,8 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
+    "op11_whitening": op11_whitening,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,6 +84,7 @@ ORACLES: dict[str, str] = {
     "op4_jaccard_join": jaccard_join.ORACLE,
     "op5_pii": pii.ORACLE,
     "op6_mix": mixing.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
 
 ORACLES["op2_decontaminate"] = r"""

@@ -29,5 +29,5 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_operator_is_registered():
     found = __spark_entry__.queries()
-    assert {int(k[2:].split("_")[0]) for k in found if k.startswith("op")} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in found if k.startswith("op")} == set(range(1, 14))
     assert found["pipeline"] is corpus_pipeline.run and [f.__name__ for _, f in corpus_pipeline.STAGES] == ["rules", "near_duplicates", "benchmark_passages", "mixture", "token_ids"]
