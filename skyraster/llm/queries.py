@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyraster.llm import decontaminate, html_main, jaccard_join, language, lexical_search, mixing, pii, quality_model, quality_rules, token_counts, tokenfile, whitening
+from skyraster.llm import decontaminate, html_main, jaccard_join, language, lexical_search, mixing, pii, quality_model, quality_rules, repeats, token_counts, tokenfile, whitening
 from skyraster.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_language": op10_language,
     "op11_whitening": op11_whitening,
+    "op12_repeats": op12_repeats,
     "op13_lexical_search": op13_lexical_search,
 }
 
