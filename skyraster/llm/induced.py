@@ -5,8 +5,8 @@ S* suffixes. The text between two of them is named by rank, the string of names
 recursion, and from the order of the S* suffixes two sweeps induce the rest: in ascending order each suffix
 puts the one before it, if L, at the head of its character's bucket; in descending order likewise those of type S.
 
-All arrays are files in a scratch folder, mapped page by page. The queue of a sweep is one of them: tuples
-(suffix, rank of its source) lie in buckets by character and each bucket fills in order of the sources, so that the next
+The queue of a sweep is a file in a scratch folder, mapped page by page, and so are all other arrays of more than
+``MAPPED`` entries. Tuples (suffix, rank of its source) lie in the queue in buckets by character and each bucket fills in order of the sources, so that the next
 stretch in front of the sweep that is filled is the head of the queue, and is taken as one block. A tuple's common
 prefix with the one before it in its bucket is one more than the least common prefix between the
 two sources, which is looked up when the tuple is taken (minima over stretches of up to 64, and of blocks of 64, are kept).
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOCK = 1 << 18
-MAPPED = 1 << 20  # arrays of fewer entries stay in memory
+QUEUED, MAPPED = 1 << 16, 1 << 23  # queues, and other arrays, of fewer entries stay in memory
 SORTED = 1 << 21  # names sorted at once
 SPAN = 6
 
@@ -40,11 +40,14 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         self.folder.cleanup()
 
-    def array(self, n: int, kind: str) -> np.ndarray:
-        if n < MAPPED:
+    def array(self, n: int, kind: str, queue: bool = False) -> np.ndarray:
+        if n < (QUEUED if queue else MAPPED):
             return np.zeros(n, kind)
         self.count += 1
-        return np.asarray(np.memmap(os.path.join(self.folder.name, str(self.count)), kind, "w+", shape=(n,)))
+        path = os.path.join(self.folder.name, str(self.count))
+        out = np.asarray(np.memmap(path, kind, "w+", shape=(n,)))
+        os.unlink(path)  # its pages go with the array
+        return out
 
 
 def blocks(n: int, step: int = BLOCK) -> Iterator[tuple[int, int]]:
@@ -131,53 +134,46 @@ class Minima:
     """Least values of ranges of a growing list."""
 
     def __init__(self, n: int, scratch: Scratch):
-        self.levels = [scratch.array(n, "u2") for _ in range(SPAN + 1)]
-        self.coarse = [scratch.array((n >> SPAN) + 1, "u2") for _ in range(max(1, (n >> SPAN).bit_length()))]
+        depth = max(1, (n >> SPAN).bit_length())
+        self.levels = scratch.array((SPAN + 1) * n, "u2").reshape(SPAN + 1, n)
+        self.coarse = scratch.array(depth * ((n >> SPAN) + 1), "u2").reshape(depth, -1)
         self.done = 0
 
     def append(self, lo: int, values: np.ndarray) -> None:
         hi = lo + len(values)
-        self.levels[0][lo:hi] = values
-        for j in range(1, SPAN + 1):
-            half, below, here = 1 << j - 1, self.levels[j - 1], self.levels[j]
-            here[lo:hi] = below[lo:hi]
-            start = max(lo, half)
-            if start < hi:
-                np.minimum(here[start:hi], below[start - half : hi - half], out=here[start:hi])
+        _extend(self.levels, lo, hi, values)
         new = hi >> SPAN
         if new > self.done:
-            self.coarse[0][self.done : new] = self.levels[SPAN][(np.arange(self.done, new) << SPAN) + (1 << SPAN) - 1]
-            for j in range(1, len(self.coarse)):
-                half, below, here = 1 << j - 1, self.coarse[j - 1], self.coarse[j]
-                here[self.done : new] = below[self.done : new]
-                start = max(self.done, half)
-                if start < new:
-                    np.minimum(here[start:new], below[start - half : new - half], out=here[start:new])
+            _extend(self.coarse, self.done, new, self.levels[SPAN, (self.done + 1 << SPAN) - 1 : (new << SPAN) : 1 << SPAN])
             self.done = new
 
     def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """min of [a, b] for each pair, a <= b."""
-        wide = b - a + 1
-        out = np.zeros(len(a), np.uint16)
-        short = wide <= 1 << SPAN
-        j = np.frexp(wide.astype(np.float64))[1] - 1
-        for k in np.unique(j[short]).tolist():
-            some = np.flatnonzero(short & (j == k))
-            out[some] = np.minimum(self.levels[k][b[some]], self.levels[k][a[some] + (1 << k) - 1])
-        rest = np.flatnonzero(~short)
+        j = np.minimum(_LOG[np.minimum(b - a + 1, len(_LOG) - 1)], SPAN)
+        out = np.minimum(self.levels[j, b], self.levels[j, a + (1 << j) - 1])
+        rest = np.flatnonzero(b - a >= 2 << SPAN)
         if len(rest):
-            low, high = a[rest], b[rest]
-            found = np.minimum(self.levels[SPAN][high], self.levels[SPAN][low + (1 << SPAN) - 1])
-            first, last = -(-low >> SPAN), (high + 1 >> SPAN) - 1
-            many = last - first + 1
-            j = np.frexp(np.maximum(many, 1).astype(np.float64))[1] - 1
-            for k in np.unique(j[many > 0]).tolist():
-                some = np.flatnonzero((many > 0) & (j == k))
-                found[some] = np.minimum(found[some], np.minimum(self.coarse[k][last[some]], self.coarse[k][first[some] + (1 << k) - 1]))
-            out[rest] = found
+            first, last = -(-a[rest] >> SPAN), (b[rest] + 1 >> SPAN) - 1
+            j = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+            out[rest] = np.minimum(out[rest], np.minimum(self.coarse[j, last], self.coarse[j, first + (1 << j) - 1]))
         return out
 
 
+_LOG = np.frexp(np.maximum(np.arange(2 << SPAN), 1).astype(np.float64))[1].astype(np.int64) - 1
+
+
+def _extend(levels: np.ndarray, lo: int, hi: int, values: np.ndarray) -> None:
+    """Level j: the least of the 2^j values that end in each place."""
+    levels[0, lo:hi] = values
+    for j in range(1, len(levels)):
+        half, below, here = 1 << j - 1, levels[j - 1], levels[j]
+        start = max(lo, half)
+        if start > lo:
+            here[lo : min(start, hi)] = below[lo : min(start, hi)]
+        if start < hi:
+            np.minimum(below[start:hi], below[start - half : hi - half], out=here[start:hi])
+
+
 def _run(code: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
     """How often each suffix repeats its first character."""
     out, todo, n = np.ones(len(at), np.int64), np.arange(len(at)), len(code)
@@ -208,7 +204,8 @@ def sweep(code: np.ndarray, given: np.ndarray, given_lcp: np.ndarray, down: bool
     ends = np.cumsum(induced + there)
     head = ends - induced - there  # of the induced parts
     full, begin, total = ends - there, ends - induced - there, int(ends[-1])
-    suffix, source, lcp = scratch.array(total, "i4" if n < 2**31 else "i8"), scratch.array(total, "i4" if n < 2**31 else "i8"), Minima(total, scratch)
+    kind = "i4" if n < 2**31 else "i8"
+    suffix, source, lcp = scratch.array(total, kind, queue=True), scratch.array(total, kind, queue=True), Minima(total, scratch)
     skipped = np.cumsum(induced)
     for lo, hi in blocks(len(given)):
         c = code[given[lo:hi]] >> 1
@@ -314,6 +311,6 @@ def suffixes(text: np.ndarray, cap: int, scratch: Scratch) -> tuple[np.ndarray,
         kept[count : count + len(some)], kept_lcp[count + 1 : count + 1 + len(some)] = up[some], up_lcp[some]
         count += len(some)
     down, down_lcp = sweep(code, kept[:count], kept_lcp[:count], True, cap, scratch)
-    out = np.zeros(n, np.uint16) if n < MAPPED else scratch.array(n, "u2")
+    out = scratch.array(n, "u2")
     out[1:] = down_lcp[::-1][:-1]
     return down[::-1], out

@@ -44,10 +44,10 @@ class Sizes(NamedTuple):
 
     least: int = 400
     anchor: int = 128
-    strip: int = 1 << 21
+    strip: int = 1 << 18
     hot: int = 16_000_000
     near: int = 32
-    shard: int = 16_000_000
+    shard: int = 2_000_000
 
 
 GAP = 0xF8  # no byte of UTF-8
@@ -72,8 +72,11 @@ def _least_places(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments(text: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, hash of the segment, hash of its end, start, strings in it, anchor's place) of a strip's segments."""
+def segments(text: np.ndarray, least: int, anchor: int, valid: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(anchor hash, hash of the segment, hash of its end, start, strings in it, anchor's place) of the segments of a text.
+
+    ``valid``: the places where strings may start, if not all.
+    """
     n = len(text)
     h = (text.astype(np.uint64) + np.uint64(1)) * _MIX[0]
     size, at_anchor = 1, h
@@ -86,8 +89,12 @@ def segments(text: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, ...
     bits = np.uint64(max(1, int(n).bit_length()))
     place = _least_places(at_anchor >> bits << bits | np.arange(len(at_anchor), dtype=np.uint64), least - anchor + 1)
     place = (place & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    start = np.flatnonzero(np.diff(place, prepend=-1))
+    if valid is not None:
+        place[~valid] = -1
+    start = np.flatnonzero(np.diff(place, prepend=-2))
     wide = np.diff(np.append(start, len(place)))
+    real = place[start] >= 0
+    start, wide = start[real], wide[real]
     lead = place[start] - start
     end = h[start + wide - 1]
     whole = _mixed(_mixed(h[start], end), (wide.astype(np.uint64) << np.uint64(32)) + lead.astype(np.uint64))
@@ -123,24 +130,12 @@ def _all_segments(sizes: Sizes):
 
 def _rows(strips: list[tuple[bytes, int, int, np.ndarray]], plan: Sizes) -> pa.RecordBatch:
     """Segments of strips, which are hashed side by side; none reaches over an edge between strips."""
-    least = plan.least
     edge = np.concatenate([[0], np.cumsum([len(x[3]) for x in strips])])
-    h, g, e, start, wide, lead = segments(np.concatenate([x[3] for x in strips]), least, plan.anchor)
+    valid = np.ones(int(edge[-1]) - plan.least + 1, bool)
+    for end in edge[1:-1].tolist():
+        valid[end - plan.least + 1 : end] = False
+    h, g, e, start, wide, lead = segments(np.concatenate([x[3] for x in strips]), plan.least, plan.anchor, valid)
     which = np.searchsorted(edge, start, side="right") - 1
-    room = edge[which + 1] - least + 1 - start  # strings that begin here and end within their strip
-    whole = wide <= room
-    if not whole.all():  # segments over an edge: their strings before it, and those after it, are segments of their own
-        parts = [[x[whole] for x in (h, g, e, start, wide, lead, which)]]
-        for k in range(len(strips)):
-            inside = np.flatnonzero(~whole & (start < edge[k + 1] - least + 1) & (start + wide > edge[k]))
-            for r in inside.tolist():
-                lo, hi = max(int(start[r]), int(edge[k])), min(int(start[r] + wide[r]), int(edge[k + 1]) - least + 1)
-                if lo < hi:
-                    some = segments(strips[k][3][lo - edge[k] : hi - edge[k] + least - 1], least, plan.anchor)
-                    parts.append([*some[:3], some[3] + lo, *some[4:], np.full(len(some[0]), k)])
-        h, g, e, start, wide, lead, which = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(start, kind="stable")
-        h, g, e, start, wide, lead, which = (x[order] for x in (h, g, e, start, wide, lead, which))
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (g[1:] == g[:-1]) & (which[1:] == which[:-1]) & (start[1:] == start[:-1] + wide[:-1])
     first = np.flatnonzero(~same)

@@ -30,14 +30,14 @@ def suffixes(text, cap):
 @given(st.lists(st.integers(0, 4), max_size=30), st.integers(1, 4), st.sampled_from([2, 9, 400]), st.sampled_from([1, 16, 1 << 18]), st.sampled_from([1, 1 << 20]), st.sampled_from([3, 1 << 21]))
 def test_suffixes_by_brute_force(base, times, cap, block, mapped, at_once):
     text = base * times
-    before = induced.BLOCK, induced.MAPPED, induced.SORTED
-    induced.BLOCK, induced.MAPPED, induced.SORTED = block, mapped, at_once
+    before = induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED
+    induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED = block, mapped, mapped, at_once
     try:
         with induced.Scratch() as scratch:
             order, shared = induced.suffixes(np.array(text, np.int64), cap, scratch)
             assert ([int(x) for x in order], [int(x) for x in shared]) == suffixes(text, cap)
     finally:
-        induced.BLOCK, induced.MAPPED, induced.SORTED = before
+        induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED = before
 
 
 def test_suffixes_with_many_characters():
