@@ -2,7 +2,7 @@
 
 Suffixes are of type L (greater than the next one) or S (less); those of type S after one of type L are the
 S* suffixes. The text between two of them is named by rank, the string of names is sorted by
-recursion, and from the order of the S* suffixes two sweeps induce the rest: in ascending order each suffix
+recursion (one that is ``SHORT``, by doubling), and from the order of the S* suffixes two sweeps induce the rest: in ascending order each suffix
 puts the one before it, if L, at the head of its character's bucket; in descending order likewise those of type S.
 
 The queue of a sweep is a file in a scratch folder, mapped page by page, and so are all other arrays of more than
@@ -25,6 +25,7 @@ import numpy as np
 BLOCK = 1 << 18
 QUEUED, MAPPED = 1 << 16, 1 << 23  # queues, and other arrays, of fewer entries stay in memory
 SORTED = 1 << 21  # names sorted at once
+SHORT = 1 << 18  # strings of names up to this length are sorted in memory: the recursion ends
 SPAN = 6
 
 
@@ -276,6 +277,31 @@ def _shared(code: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray, c
     return out.astype(np.uint16)
 
 
+def doubled(text: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as ``suffixes`` for a short string: ranks of ever longer beginnings, in memory."""
+    n = len(text)
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    ranks = [rank]
+    while int(rank.max()) < n - 1:
+        step = 1 << len(ranks) - 1
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - step)] = rank[step:] + 1
+        key = rank * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        ranks.append(rank)
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    i, j, shared = order[:-1], order[1:], np.zeros(n - 1, np.int64)
+    for k in range(len(ranks) - 2, -1, -1):
+        a, b = i + shared, j + shared
+        alike = (np.maximum(a, b) < n) & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+        shared += alike.astype(np.int64) << k
+    return order, np.append(0, np.minimum(shared, cap)).astype(np.uint16)
+
+
 def suffixes(text: np.ndarray, cap: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common prefix of each suffix with the one before, up to cap < 65,535) of an array of whole numbers >= 0."""
     n = len(text)
@@ -290,7 +316,7 @@ def suffixes(text: np.ndarray, cap: int, scratch: Scratch) -> tuple[np.ndarray,
             order, alike = scratch.array(m, "i4"), np.zeros(m, np.uint16)
             order[names] = np.arange(m)
         else:
-            order, alike = suffixes(names, cap, scratch)
+            order, alike = doubled(np.asarray(names), cap) if m <= SHORT else suffixes(names, cap, scratch)
         given, given_lcp, stop = scratch.array(m, "i8"), scratch.array(m, "u2"), np.append(at, n)
         for lo, hi in blocks(m):
             j, l = np.asarray(order[lo:hi]).astype(np.int64), np.asarray(alike[lo:hi]).astype(np.int64)
@@ -310,6 +336,7 @@ def suffixes(text: np.ndarray, cap: int, scratch: Scratch) -> tuple[np.ndarray,
         some = np.flatnonzero(code[up[lo:hi]] & 1 == 0)[::-1] + lo
         kept[count : count + len(some)], kept_lcp[count + 1 : count + 1 + len(some)] = up[some], up_lcp[some]
         count += len(some)
+    del up, up_lcp, given, given_lcp
     down, down_lcp = sweep(code, kept[:count], kept_lcp[:count], True, cap, scratch)
     out = scratch.array(n, "u2")
     out[1:] = down_lcp[::-1][:-1]

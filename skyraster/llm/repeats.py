@@ -229,6 +229,7 @@ def _shards(sizes: Sizes):
                     if held >= sizes.shard:
                         yield solve()
                         shard, held = [], 0
+                        release()
                 this = (r["h"], r["g"], r["e"], r["skip"])
                 if this != before:
                     group.append((r["start"], r["wide"], r["node"], r["piece"], r["copies"]))

@@ -27,20 +27,21 @@ def suffixes(text, cap):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=30), st.integers(1, 4), st.sampled_from([2, 9, 400]), st.sampled_from([1, 16, 1 << 18]), st.sampled_from([1, 1 << 20]), st.sampled_from([3, 1 << 21]))
-def test_suffixes_by_brute_force(base, times, cap, block, mapped, at_once):
+@given(st.lists(st.integers(0, 4), max_size=30), st.integers(1, 4), st.sampled_from([2, 9, 400]), st.sampled_from([1, 16, 1 << 18]), st.sampled_from([1, 1 << 20]), st.sampled_from([3, 1 << 21]), st.sampled_from([0, 5, 1 << 18]))
+def test_suffixes_by_brute_force(base, times, cap, block, mapped, at_once, short):
     text = base * times
-    before = induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED
-    induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED = block, mapped, mapped, at_once
+    before = induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED, induced.SHORT
+    induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED, induced.SHORT = block, mapped, mapped, at_once, short
     try:
         with induced.Scratch() as scratch:
             order, shared = induced.suffixes(np.array(text, np.int64), cap, scratch)
             assert ([int(x) for x in order], [int(x) for x in shared]) == suffixes(text, cap)
     finally:
-        induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED = before
+        induced.BLOCK, induced.MAPPED, induced.QUEUED, induced.SORTED, induced.SHORT = before
 
 
-def test_suffixes_with_many_characters():
+def test_suffixes_with_many_characters(monkeypatch):
+    monkeypatch.setattr(induced, "SHORT", 0)
     rng = np.random.default_rng(1)
     for most in (2, 300, 70_000, 10**6):
         text = np.concatenate([rng.integers(0, most, 4000)] * 2 + [np.arange(500), np.zeros(700, np.int64)])
@@ -50,6 +51,13 @@ def test_suffixes_with_many_characters():
         assert (list(map(int, order)), list(map(int, shared))) == want
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.sampled_from([2, 400]))
+def test_doubling_by_brute_force(text, cap):
+    order, shared = induced.doubled(np.array(text, np.int32), cap)
+    assert (order.tolist(), shared.tolist()) == suffixes(text, cap)
+
+
 def test_minima_by_brute_force():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 1000, 5000).astype(np.uint16)
