@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from skyraster.operators import blocks
 from skyraster.plans.tables import cut
 from skyraster.schema import RasterMeta
 
@@ -89,36 +91,17 @@ def dense(cells: DataFrame, meta: RasterMeta) -> DataFrame:
 
 
 def fill_nearest(cells: DataFrame, meta: RasterMeta) -> DataFrame:
-    """Dense grid with nulls taken from the nearest valid cell; ties by row, then column.
-
-    The nearest valid cell always borders a hole, so only border cells are candidates. Holes are
-    matched by blocks: a match nearer than the block's reach is final, the rest go on with
-    blocks twice as large.
-    """
-    full = cut(dense(cells, meta), "dense")
-    valid = full.where("value is not null")
-    open_ = full.where("value is null").select(*KEY)
+    """Dense grid with nulls taken from the nearest valid cell; ties by row, then column. Values are numbers, or structs of them."""
+    kind = cells.schema["value"].dataType
+    valid = cells.where("value is not null")
     if valid.isEmpty():
         raise ValueError("no valid cell to fill from")
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s")
-    near = open_.select("row", "col", steps).select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col")).distinct()
-    border = cut(valid.join(near, KEY, "left_semi"), "border")
-    done, size = valid.select("row", "col", "value"), 2
-    reach = max(meta.nx, meta.ny)
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("s")
-    while not open_.isEmpty():
-        block = lambda c, n=size: F.floor(F.col(c) / n).cast("long")
-        holes = open_.select("row", "col", block("row").alias("br"), block("col").alias("bc"))
-        holes = holes.select("row", "col", "br", "bc", around).select("row", "col", (F.col("br") + F.col("s.dr")).alias("br"), (F.col("bc") + F.col("s.dc")).alias("bc"))
-        offers = border.select(F.col("row").alias("r2"), F.col("col").alias("c2"), "value", block("row").alias("br"), block("col").alias("bc"))
-        d2 = (F.col("row") - F.col("r2")) * (F.col("row") - F.col("r2")) + (F.col("col") - F.col("c2")) * (F.col("col") - F.col("c2"))
-        best = holes.join(offers, ["br", "bc"]).withColumn("d2", d2).groupBy(*KEY).agg(
-            F.min_by("value", F.struct("d2", "r2", "c2")).alias("value"), F.min("d2").alias("d2"))
-        final = cut(best.where(F.lit(size > reach) | (F.col("d2") < (size + 1) ** 2)), f"filled-{size}")
-        done = done.unionByName(final.select("row", "col", "value"))
-        open_ = cut(open_.join(final, KEY, "left_anti"), f"open-{size}")
-        size *= 2
-    return done
+    names = [f.name for f in kind.fields] if isinstance(kind, StructType) else []
+    planes = {"_valid": F.lit(1.0), **{f"_{n}": F.col(f"value.{n}") for n in names}} if names else {"_value": F.col("value")}
+    packed = blocks.pack(valid.select(*KEY, *[c.alias(n) for n, c in planes.items()]), meta, list(planes))
+    full = blocks.unpack(blocks.nearest(packed, meta, len(planes)), meta, list(planes))
+    value = F.struct(*[F.col(f"_{f.name}").cast(f.dataType).alias(f.name) for f in kind.fields]) if names else F.col("_value").cast(kind)
+    return full.select(*KEY, value.alias("value"))
 
 
 def native(points: DataFrame, meta: RasterMeta, how: str = "max", value: str = "z", by: str | None = None) -> DataFrame:
@@ -186,10 +169,3 @@ def pyramid_fill(cells: DataFrame, meta: RasterMeta) -> DataFrame:
         at = (F.floor(F.col("row") / 2) == F.col("r2")) & (F.floor(F.col("col") / 2) == F.col("c2"))
         level = finer.join(coarse, at).select(*KEY, F.coalesce("value", "coarse").alias("value"))
     return level
-
-
-def neighbours(grid: DataFrame, axis: str, offsets: range, name: str = "value") -> DataFrame:
-    """Adds lag/lead columns along an axis (null outside)."""
-    other = "col" if axis == "row" else "row"
-    w = Window.partitionBy(other).orderBy(axis)
-    return grid.withColumns({f"{name}_{k}": F.lead(name, k).over(w) if k >= 0 else F.lag(name, -k).over(w) for k in offsets})

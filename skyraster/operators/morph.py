@@ -1,85 +1,103 @@
 """Neighbourhood filters on dense grids: opening, median, Gaussian, ground and projection surfaces.
 
-All filters are separable or made of two passes over windows of rows and of columns; edges
-mirror (the edge cell is repeated), written out as padding cells so that frames stay plain.
+All of them work on blocks with a margin (``blocks.filtered``), so that a task holds one block, however
+large the grid. Edges mirror: the edge cell is repeated. Of an opening that is the same as cutting the frame off.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.operators import grid
+from skyraster.operators import blocks, grid
 from skyraster.plans.tables import cut
 from skyraster.schema import RasterMeta
 
+Filter = Callable[[np.ndarray, int, int], np.ndarray]
 
-def _line(axis: str, before: int, after: int):
-    other = "col" if axis == "row" else "row"
-    return Window.partitionBy(other).orderBy(axis).rowsBetween(-before, after)
 
+def _opened(meta: RasterMeta, w: int) -> Filter:
+    """Opening of a window that has 2w more cells on all sides."""
 
-def _padded(cells: DataFrame, axis: str, n: int, reach: int) -> DataFrame:
-    """Cells with ``reach`` mirrored cells beyond both ends of the axis (period 2n, so any reach)."""
-    shifts = range(-(-(-reach // n)), -(-reach // n) + 1)
-    out = cells
-    for k in shifts:
-        if k == 0:
-            continue
-        at = F.col(axis) + k * n if k % 2 == 0 else (k + 1) * n - 1 - F.col(axis)
-        more = cells.withColumn(axis, at.cast("long")).where((F.col(axis) >= -reach) & (F.col(axis) < n + reach))
-        out = out.unionByName(more)
-    return out
+    def f(window: np.ndarray, row: int, col: int) -> np.ndarray:
+        low = blocks.running(blocks.running(window, 2 * w + 1, np.fmin, 1), 2 * w + 1, np.fmin, 2)
+        r, c = (np.arange(n) + first - w for n, first in zip(low.shape[1:], (row, col), strict=True))
+        low[:, (r < 0) | (r >= meta.ny)] = np.nan  # outside the grid there is nothing to grow from
+        low[:, :, (c < 0) | (c >= meta.nx)] = np.nan
+        return blocks.running(blocks.running(low, 2 * w + 1, np.fmax, 1), 2 * w + 1, np.fmax, 2)
 
+    return f
 
-def opening(cells: DataFrame, w: int) -> DataFrame:
-    """Grey opening by a (2w+1) square. A mirrored edge adds nothing to a flat minimum or maximum,
-    so frames are just cut off at the edge."""
-    out = cells
-    for f in (F.min, F.max):
-        for axis in ("col", "row"):
-            out = out.withColumn("value", f("value").over(_line(axis, w, w)))
-    return out
+
+def _median(meta: RasterMeta, size: int) -> Filter:
+    h = size // 2
+
+    def f(window: np.ndarray, row: int, col: int) -> np.ndarray:
+        whole = blocks.mirrored(window, meta, row, col, h)
+        n, m = whole.shape[1] - 2 * h, whole.shape[2] - 2 * h
+        around = np.stack([whole[:, a : a + n, b : b + m] for a in range(size) for b in range(size)])
+        return np.partition(around, size * size // 2, axis=0)[size * size // 2]
+
+    return f
+
+
+def _gaussian(meta: RasterMeta, sigma: float) -> tuple[int, Filter]:
+    reach = int(4 * sigma + 0.5)
+    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    weights = [w / sum(weights) for w in weights]
+
+    def f(window: np.ndarray, row: int, col: int) -> np.ndarray:
+        whole = np.nan_to_num(blocks.mirrored(window, meta, row, col, reach))
+        n, m = whole.shape[1] - 2 * reach, whole.shape[2] - 2 * reach
+        flat = sum(w * whole[:, :, k : k + m] for k, w in enumerate(weights))
+        return sum(w * flat[:, k : k + n] for k, w in enumerate(weights))
+
+    return reach, f
+
+
+def _cells(cells: DataFrame, meta: RasterMeta, reach: int, f: Filter, columns: tuple[str, ...] = ("value",)) -> DataFrame:
+    packed = blocks.pack(cells, meta, list(columns))
+    return blocks.unpack(blocks.filtered(packed, meta, reach, f, len(columns)), meta, list(columns))
+
+
+def opening(cells: DataFrame, meta: RasterMeta, w: int) -> DataFrame:
+    """Grey opening by a (2w+1) square."""
+    return _cells(cells, meta, 2 * w, _opened(meta, w))
 
 
 def median(cells: DataFrame, meta: RasterMeta, size: int = 3) -> DataFrame:
     """Median over a size x size square."""
-    h = size // 2
-    out = _padded(cells.select("row", "col", F.array("value").alias("v")), "col", meta.nx, h)
-    out = out.withColumn("v", F.flatten(F.collect_list("v").over(_line("col", h, h)))).where(f"col between 0 and {meta.nx - 1}")
-    out = _padded(out, "row", meta.ny, h)
-    out = out.withColumn("v", F.flatten(F.collect_list("v").over(_line("row", h, h)))).where(f"row between 0 and {meta.ny - 1}")
-    return out.select("row", "col", F.get(F.sort_array("v"), F.lit(size * size // 2)).alias("value"))
+    return _cells(cells, meta, size // 2, _median(meta, size))
 
 
 def gaussian(cells: DataFrame, meta: RasterMeta, sigma: float, columns: tuple[str, ...] = ("value",)) -> DataFrame:
     """Gaussian blur of dense columns, cut off at four sigmas."""
-    reach = int(4 * sigma + 0.5)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
-    weights = F.array(*[F.lit(w / sum(weights)) for w in weights])
-    out = cells.select("row", "col", *columns)
-    for axis, n in (("col", meta.nx), ("row", meta.ny)):
-        out = _padded(out, axis, n, reach)
-        for c in columns:
-            parts = F.zip_with(F.collect_list(c).over(_line(axis, reach, reach)), weights, lambda v, w: v * w)
-            out = out.withColumn(f"_{c}", F.aggregate(parts, F.lit(0.0), lambda a, b: a + F.coalesce(b, F.lit(0.0))))
-        out = out.where(f"{axis} between 0 and {n - 1}").select("row", "col", *[F.col(f"_{c}").alias(c) for c in columns])
-    return out
+    return _cells(cells, meta, *_gaussian(meta, sigma), columns)
 
 
 def smooth_valid(cells: DataFrame, meta: RasterMeta, sigma: float = 1.0) -> DataFrame:
-    """Blur of the valid cells only: blurred values over blurred weights; nulls stay null."""
-    full = grid.dense(cells, meta).select("row", "col", F.coalesce("value", F.lit(0.0)).alias("value"), F.col("value").isNotNull().cast("double").alias("ok"), F.col("value").alias("raw"))
-    blurred = gaussian(full, meta, sigma, ("value", "ok"))
-    valid = full.where("raw is not null").select("row", "col")
-    return blurred.join(valid, ["row", "col"], "left_semi").select("row", "col", (F.col("value") / F.greatest("ok", F.lit(1e-9))).alias("value"))
+    """Blur of the valid cells only: blurred values over blurred weights; other cells go."""
+    reach, blur = _gaussian(meta, sigma)
+
+    def f(window: np.ndarray, row: int, col: int) -> np.ndarray:
+        both = blur(np.concatenate([window, (~np.isnan(window)).astype(float)]), row, col)
+        inner = window[:, reach : window.shape[1] - reach, reach : window.shape[2] - reach]
+        return np.where(np.isnan(inner), np.nan, both[:1] / np.maximum(both[1:], 1e-9))
+
+    return _cells(cells.where("value is not null"), meta, reach, f).where("value is not null")
 
 
 def knock_out(cells: DataFrame, meta: RasterMeta, height: float = 15.0, size: int = 9) -> DataFrame:
     """Cells without those that tower over the median of their (filled) neighbourhood."""
-    around = median(grid.fill_nearest(cells, meta), meta, size).withColumnRenamed("value", "around")
+    valid = cells.where("value is not null")
+    if valid.isEmpty():
+        return valid.select("row", "col", "value")
+    full = blocks.nearest(blocks.pack(valid, meta, ["value"]), meta)
+    around = blocks.unpack(blocks.filtered(full, meta, size // 2, _median(meta, size)), meta, ["around"])
     return cells.join(around, ["row", "col"]).where(F.col("value") - F.col("around") <= height).select("row", "col", "value")
 
 
@@ -89,8 +107,9 @@ def projection_surface(points: DataFrame, cell: float, frame: tuple[float, float
         points = points.where(F.col("x").between(frame[0], frame[2]) & F.col("y").between(frame[1], frame[3]))
     meta = grid.plan(points, max(cell, 1.0), frame)
     cells = knock_out(cut(grid.binned(points, meta, "max"), "top"), meta)
-    full = cut(grid.pyramid_fill(cells, meta), "surface")
-    return median(cut(opening(full, 2), "opened"), meta, 3), meta
+    full = blocks.pack(grid.pyramid_fill(cells, meta), meta, ["value"])
+    opened = blocks.filtered(full, meta, 4, _opened(meta, 2))
+    return blocks.unpack(blocks.filtered(opened, meta, 1, _median(meta, 3)), meta, ["value"]), meta
 
 
 def ground_cell(points: DataFrame) -> float:
@@ -99,16 +118,25 @@ def ground_cell(points: DataFrame) -> float:
 
 
 def ground_surface(points: DataFrame, meta: RasterMeta, max_window: int = 33, slope: float = 0.15, base: float = 0.25, max_drop: float = 2.5) -> DataFrame:
-    """Progressive morphological filter: cells that drop too far at a scale take the opened height."""
-    dem = cut(grid.native(points, meta, "min"), "ground-0")
+    """Progressive morphological filter: cells that drop too far at a scale take the opened height.
+
+    Blocks stay packed from round to round; a round is one exchange of margins.
+    """
+    lowest = grid.binned(points, meta, "min")
+    if lowest.isEmpty():
+        raise ValueError("no points to filter")
+    surface = blocks.nearest(blocks.pack(lowest, meta, ["value"]), meta)
     w = 1
     while w <= max_window:
-        opened = opening(dem, w).withColumnRenamed("value", "opened")
-        limit = min(base + slope * (w * meta.cell), max_drop)
-        lower = F.when(F.col("value") - F.col("opened") > limit, F.col("opened")).otherwise(F.col("value"))
-        dem = cut(dem.join(opened, ["row", "col"]).select("row", "col", lower.alias("value")), f"ground-{w}")
+
+        def lower(window: np.ndarray, row: int, col: int, w: int = w, limit: float = min(base + slope * (w * meta.cell), max_drop)) -> np.ndarray:
+            n, m = window.shape[1] - 4 * w, window.shape[2] - 4 * w
+            here, opened = window[:, 2 * w : 2 * w + n, 2 * w : 2 * w + m], _opened(meta, w)(window, row, col)
+            return np.where(here - opened > limit, opened, here)
+
+        surface = blocks.filtered(surface, meta, 2 * w, lower)
         w *= 2
-    return median(dem, meta, 3)
+    return blocks.unpack(blocks.filtered(surface, meta, 1, _median(meta, 3)), meta, ["value"])
 
 
 def height_above(points: DataFrame, surface: DataFrame, meta: RasterMeta) -> DataFrame:

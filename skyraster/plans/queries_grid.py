@@ -147,7 +147,8 @@ e2 AS (SELECT row, col, min(value) OVER (PARTITION BY col ORDER BY row ROWS BETW
 d1 AS (SELECT row, col, max(value) OVER (PARTITION BY row ORDER BY col ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS value FROM e2)
 SELECT row, col, max(value) OVER (PARTITION BY col ORDER BY row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS value FROM d1""")
 def grey_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morph.opening(_surface(spark, sf_dir)[0], 2)
+    surface, meta = _surface(spark, sf_dir)
+    return morph.opening(surface, meta, 2)
 
 
 def _offsets(h: int) -> str:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skyraster.operators import cloud, grid, knn, morph
+from skyraster.operators import blocks, cloud, grid, knn, morph
 from skyraster.schema import RasterMeta
 
 
@@ -61,6 +61,45 @@ def test_fill_nearest_equals_brute_force(spark):
             assert got[r, c] == a[rows[k], cols[k]]
 
 
+@pytest.mark.parametrize(("ny", "nx", "holes", "side"), [(23, 31, 0.95, 5), (40, 17, 0.99, 4), (30, 30, 0.97, 7), (1, 50, 0.9, 8), (50, 1, 0.9, 8), (12, 12, 0.0, 5)])
+def test_nearest_cells_over_blocks(spark, ny, nx, holes, side):
+    rng = np.random.default_rng(nx)
+    a = rng.uniform(0, 9, (ny, nx))
+    a[rng.random(a.shape) < holes] = np.nan
+    a[ny // 2, nx // 2] = 1.0
+    meta = RasterMeta(0, 0, 1, nx, ny)
+    rows, cols = np.nonzero(~np.isnan(a))
+    cells = spark.createDataFrame([(int(r), int(c), float(a[r, c]), float(r * nx + c)) for r, c in zip(rows, cols, strict=True)], "row long, col long, v double, at double")
+    full = blocks.nearest(blocks.pack(cells, meta, ["v", "at"], side), meta, 2, side)
+    got = {(r.row, r.col): (r.v, r["at"]) for r in blocks.unpack(full, meta, ["v", "at"], side).collect()}
+    assert len(got) == nx * ny
+    for r in range(ny):
+        for c in range(nx):
+            d = (rows - r) ** 2 + (cols - c) ** 2
+            k = min(range(len(d)), key=lambda i: (d[i], rows[i], cols[i]))
+            assert got[r, c] == (a[rows[k], cols[k]], rows[k] * nx + cols[k])
+
+
+@pytest.mark.parametrize("side", [6, 9, 256])
+def test_filters_do_not_depend_on_blocks(spark, monkeypatch, side):
+    a = np.random.default_rng(7).uniform(0, 5, (21, 25))
+    meta, df = RasterMeta(0, 0, 1, 25, 21), None
+    df = blocks.pack(table(spark, a), meta, ["value"], side)
+    whole = blocks.pack(table(spark, a), meta, ["value"])
+    for reach, f in ((6, morph._opened(meta, 3)), (4, morph._median(meta, 9)), morph._gaussian(meta, 1.2)):
+        got, want = (array(blocks.unpack(blocks.filtered(x, meta, reach, f, side=n), meta, ["value"], n), a.shape) for x, n in ((df, side), (whole, blocks.SIDE)))
+        assert np.array_equal(got, want)
+    with pytest.raises(ValueError, match="margin"):
+        blocks.filtered(df, meta, side + 1, morph._opened(meta, 1), side=side)
+
+
+def test_running_extremes():
+    a = np.random.default_rng(8).uniform(0, 1, (2, 40, 30))
+    for size in (1, 2, 3, 7, 30):
+        assert np.array_equal(blocks.running(a, size, np.fmin, 2), np.lib.stride_tricks.sliding_window_view(a, size, axis=2).min(-1))
+        assert np.array_equal(blocks.running(a, size, np.fmax, 1), np.lib.stride_tricks.sliding_window_view(a, size, axis=1).max(-1))
+
+
 def mirrored(a: np.ndarray, h: int) -> np.ndarray:
     return np.pad(a, h, mode="symmetric")
 
@@ -82,10 +121,10 @@ def test_opening_equals_numpy_and_is_idempotent(spark, w):
         p = np.pad(x, w, mode="symmetric") if w < 12 else np.pad(x, w, mode="constant", constant_values=np.inf if f is np.min else -np.inf)
         return np.array([[f(p[r : r + 2 * w + 1, c : c + 2 * w + 1]) for c in range(17)] for r in range(12)])
 
-    got = array(morph.opening(table(spark, a), w), a.shape)
+    got = array(morph.opening(table(spark, a), RasterMeta(0, 0, 1, 17, 12), w), a.shape)
     assert np.array_equal(got, flat(flat(a, np.min), np.max))
     assert (got <= a).all()
-    assert np.array_equal(array(morph.opening(table(spark, got), w), a.shape), got)
+    assert np.array_equal(array(morph.opening(table(spark, got), RasterMeta(0, 0, 1, 17, 12), w), a.shape), got)
 
 
 def test_gaussian_equals_numpy(spark):
