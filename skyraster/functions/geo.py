@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,28 +88,85 @@ def utm_epsg(lon, lat) -> Column:
     return F.when(_c(lat) >= 0, 32600 + utm_zone(lon)).otherwise(32700 + utm_zone(lon))
 
 
-def utm_forward(lon, lat, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """Easting and northing by Krueger's series to the fourth order in n (WGS84)."""
+def _series() -> tuple[float, float, list[float], list[float], list[float]]:
+    """n, the rectifying radius, and Krueger's coefficients to the fourth order in n: forward, back, and of latitude (WGS84)."""
     flat = 1 / 298.257223563
     n = flat / (2 - flat)
-    radius = EARTH / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = [
+    forward_ = [
         n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
         13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
         61 * n**3 / 240 - 103 * n**4 / 140,
         49561 * n**4 / 161280,
     ]
-    phi, lam = F.radians(_c(lat)), F.radians(_c(lon) - (6 * zone - 183))
+    back = [
+        n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360,
+        n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440,
+        17 * n**3 / 480 - 37 * n**4 / 840,
+        4397 * n**4 / 161280,
+    ]
+    latitude = [
+        2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45,
+        7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
+        56 * n**3 / 15 - 136 * n**4 / 35,
+        4279 * n**4 / 630,
+    ]
+    return n, EARTH / (1 + n) * (1 + n**2 / 4 + n**4 / 64), forward_, back, latitude
+
+
+# The functions that the series takes, by their names for columns.
+ARRAYS = SimpleNamespace(sin=np.sin, cos=np.cos, sinh=np.sinh, cosh=np.cosh, atanh=np.arctanh, atan2=np.arctan2, sqrt=np.sqrt, radians=np.radians)
+
+
+def utm_forward(lon, lat, zone: int, south: bool = False, m=F) -> tuple:
+    """Easting and northing by Krueger's series, of columns or (m=ARRAYS) of arrays."""
+    n, radius, alpha, _, _ = _series()
+    lon, lat = (lon, lat) if m is ARRAYS else (_c(lon), _c(lat))
+    phi, lam = m.radians(lat), m.radians(lon - (6 * zone - 183))
     e = 2 * math.sqrt(n) / (1 + n)
-    t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    t = m.sinh(m.atanh(m.sin(phi)) - e * m.atanh(e * m.sin(phi)))
+    xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t))
     east, north = eta, xi
     for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + a * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+        north = north + a * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
     return 500_000 + 0.9996 * radius * east, (10_000_000 if south else 0) + 0.9996 * radius * north
 
 
+def utm_inverse(east: np.ndarray, north: np.ndarray, zone: int, south: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Longitude and latitude of arrays of eastings and northings."""
+    _, radius, _, beta, delta = _series()
+    xi, eta = (north - (10_000_000 if south else 0)) / (0.9996 * radius), (east - 500_000) / (0.9996 * radius)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x = x - b * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+        y = y - b * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+    chi = np.arcsin(np.sin(x) / np.cosh(y))
+    phi = chi + sum(d * np.sin(2 * j * chi) for j, d in enumerate(delta, 1))
+    return 6 * zone - 183 + np.degrees(np.arctan2(np.sinh(y), np.cos(x))), np.degrees(phi)
+
+
+def mercator_to(mx: np.ndarray, my: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of mercator metres in another system."""
+    if epsg == 3857:
+        return mx, my
+    lon, lat = np.degrees(mx / EARTH), np.degrees(2 * np.arctan(np.exp(my / EARTH)) - math.pi / 2)
+    if epsg == 4326:
+        return lon, lat
+    if not is_valid_epsg(epsg):
+        raise ValueError(f"EPSG:{epsg} is not supported")
+    return utm_forward(lon, lat, epsg % 100, epsg > 32700, ARRAYS)
+
+
+def to_mercator(x: np.ndarray, y: np.ndarray, epsg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mercator metres of arrays of coordinates."""
+    if epsg == 3857:
+        return x, y
+    if not is_valid_epsg(epsg):
+        raise ValueError(f"EPSG:{epsg} is not supported")
+    lon, lat = (x, y) if epsg == 4326 else utm_inverse(x, y, epsg % 100, epsg > 32700)
+    return np.radians(lon) * EARTH, np.log(np.tan(math.pi / 4 + np.radians(np.clip(lat, -MAX_LAT, MAX_LAT)) / 2)) * EARTH
+
+
 def forward(lon, lat, epsg: int | None) -> tuple[Column, Column]:
     """Project coordinates of lon/lat: None (unchanged), 3857, or a UTM zone; others are an error."""
     if epsg is None or epsg == 4326:

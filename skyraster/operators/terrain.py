@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -9,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyraster.operators import grid, morph
-from skyraster.plans.tables import cut
+from skyraster.operators import blocks, grid, morph
+from skyraster.plans.tables import cut, drop
 from skyraster.schema import RasterMeta
 
 BASES = ("lowest", "mean", "fit", "custom")
@@ -141,7 +142,9 @@ def contour_levels(dem: DataFrame, interval: float) -> DataFrame:
 
 
 def contour_segments(dem: DataFrame, interval: float, corners: bool = True) -> DataFrame:
-    """(k, r1, c1, r2, c2): marching squares over fractional grid positions.
+    """(k, row, col, r1, c1, r2, c2, a, b): marching squares over fractional grid positions.
+
+    row, col: the quad; a, b: the grid edges that the segment runs between, named by the sum of their cells' rows and columns.
 
     A quad of four valid cells gives one segment a level, or two at a saddle (joined by its
     centre's mean); with ``corners`` a quad of three gives the part inside the triangle. Quads
@@ -164,7 +167,8 @@ def contour_segments(dem: DataFrame, interval: float, corners: bool = True) -> D
     def crossing(p: str, q: str) -> Column:
         t = (F.col("level") - F.col(p)) / (F.col(q) - F.col(p))
         (r1, c1), (r2, c2) = names[p], names[q]
-        at = F.struct((F.col("row") + r1 + t * (r2 - r1)).alias("r"), (F.col("col") + c1 + t * (c2 - c1)).alias("c"))
+        edge = F.struct((2 * F.col("row") + r1 + r2).alias("r"), (2 * F.col("col") + c1 + c2).alias("c"))
+        at = F.struct((F.col("row") + r1 + t * (r2 - r1)).alias("r"), (F.col("col") + c1 + t * (c2 - c1)).alias("c"), edge.alias("e"))
         return F.when((F.col(p) >= F.col("level")) != (F.col(q) >= F.col("level")), at)
 
     ring = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a")]
@@ -179,47 +183,99 @@ def contour_segments(dem: DataFrame, interval: float, corners: bool = True) -> D
     turned = (F.col("a") >= F.col("level")) == (mean >= F.col("level"))
     pair = lambda i, j: F.struct(F.col("cuts")[i].alias("p"), F.col("cuts")[j].alias("q"))
     lines = F.when(F.size("cuts") == 2, F.array(pair(0, 1))).when(F.size("cuts") == 4, F.when(turned, F.array(pair(0, 1), pair(2, 3))).otherwise(F.array(pair(3, 0), pair(1, 2))))
-    out = out.select("k", F.explode(lines).alias("s"))
-    return out.select("k", F.col("s.p.r").alias("r1"), F.col("s.p.c").alias("c1"), F.col("s.q.r").alias("r2"), F.col("s.q.c").alias("c2"))
+    out = out.select("k", "row", "col", F.explode(lines).alias("s"))
+    return out.select("k", "row", "col", F.col("s.p.r").alias("r1"), F.col("s.p.c").alias("c1"), F.col("s.q.r").alias("r2"), F.col("s.q.c").alias("c2"), F.col("s.p.e").alias("a"), F.col("s.q.e").alias("b"))
+
+
+_CHAIN = "id string, k long, ar long, ac long, br long, bc long, segments long, coords array<struct<r:double,c:double>>"
+
+
+def _chains(segments: DataFrame, side: int) -> DataFrame:
+    """Segments of each block of quads joined end to end: (id, k, ends a and b, segments, coords from a to b)."""
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        k, i, j = (int(rows[c].iloc[0]) for c in ("k", "i", "j"))
+        ends = [((a, b), (c, d)) for a, b, c, d in rows[["ar", "ac", "br", "bc"]].itertuples(index=False)]
+        spots = [((a, b), (c, d)) for a, b, c, d in rows[["r1", "c1", "r2", "c2"]].itertuples(index=False)]
+        at: dict[tuple[int, int], list[int]] = {}
+        for n, pair in enumerate(ends):
+            for p in pair:
+                at.setdefault(p, []).append(n)
+        used, out = [False] * len(ends), []
+        for start in [p for p in sorted(at) if len(at[p]) == 1] + sorted(at):  # open lines begin at an end, the others anywhere
+            p, coords, count = start, [], 0
+            while (n := next((n for n in at[p] if not used[n]), None)) is not None:
+                used[n] = True
+                near, far = (0, 1) if ends[n][0] == p else (1, 0)
+                coords += [spots[n][near]] * (not coords) + [spots[n][far]]
+                p, count = ends[n][far], count + 1
+            if count:
+                out.append((f"{k}/{i}/{j}/{len(out)}", k, *start, *p, count, [{"r": r, "c": c} for r, c in coords]))
+        return pd.DataFrame(out, columns=["id", "k", "ar", "ac", "br", "bc", "segments", "coords"])
 
+    block = lambda c: F.floor(F.col(c) / side).cast("long")
+    rows = segments.select("k", block("row").alias("i"), block("col").alias("j"), "r1", "c1", "r2", "c2", F.col("a.r").alias("ar"), F.col("a.c").alias("ac"), F.col("b.r").alias("br"), F.col("b.c").alias("bc"))
+    return rows.groupBy("k", "i", "j").applyInPandas(join, _CHAIN)
 
-def contours(dem: DataFrame, meta: RasterMeta, interval: float, sigma: float = 1.0) -> DataFrame:
-    """(level, is_index, line_id, coords): segments joined end to end, one task a level."""
+
+def _ends() -> list[Column]:
+    return [F.struct(F.col(f"{n}r").alias("r"), F.col(f"{n}c").alias("c")).alias(n) for n in "ab"]
+
+
+def _linked(chains: DataFrame) -> DataFrame:
+    """(id, pieces): which chains, and which of them backwards, make up each line; chains meet where their ends are equal.
+
+    By contraction: in each round a hash deals heads and tails, each tail hangs itself on one neighbouring head, and lines
+    shrink by a constant share of their pieces, however long they are. Ends meet two by two, since a grid edge has two sides.
+    """
+    state = chains.select("id", "k", *_ends(), F.array(F.struct("id", F.lit(False).alias("back"))).alias("pieces"))
+    done = state.where("a = b").select("id", "pieces")
+    state = state.where("a <> b")
+    turned = lambda c: F.reverse(F.transform(c, lambda x: F.struct(x["id"].alias("id"), (~x["back"]).alias("back"))))
+    for k in itertools.count():
+        state = cut(state, f"contours-{k}")
+        side = lambda c: state.select("k", F.col(c).alias("node"), "id", F.lit(c == "b").alias("last"))
+        head = F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0
+        ends = side("a").unionByName(side("b")).withColumn("head", head)
+        pairs = ends.groupBy("k", "node").agg(F.collect_list(F.struct("head", "id", "last")).alias("x")).where("size(x) = 2")  # a grid edge has two sides
+        if pairs.isEmpty():
+            break
+        mixed = pairs.where("x[0].head <> x[1].head").select("node", F.sort_array("x").alias("x"))  # the tail comes first
+        hung = mixed.groupBy(F.col("x")[0]["id"].alias("tail")).agg(F.min(F.struct("node", F.col("x")[0]["last"].alias("by"), F.col("x")[1]["id"].alias("to"), F.col("x")[1]["last"].alias("at"))).alias("h")).select("tail", "h.*")
+        tail = state.select(F.col("id").alias("tail"), F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("pieces").alias("tp"))
+        hung = hung.join(tail, "tail")
+        # a tail after its head runs from the node, one before its head runs to it
+        after = hung.where("at").select(F.col("to").alias("id"), F.when(F.col("by"), F.col("ta")).otherwise(F.col("tb")).alias("b2"), F.when(F.col("by"), turned("tp")).otherwise(F.col("tp")).alias("p2"))
+        front = hung.where("not at").select(F.col("to").alias("id"), F.when(F.col("by"), F.col("ta")).otherwise(F.col("tb")).alias("a0"), F.when(F.col("by"), F.col("tp")).otherwise(turned("tp")).alias("p0"))
+        none = F.expr("cast(array() as array<struct<id: string, back: boolean>>)")
+        grown = state.join(hung.select(F.col("tail").alias("id")), "id", "left_anti").join(after, "id", "left").join(front, "id", "left")
+        grown = grown.select("id", "k", F.coalesce("a0", "a").alias("a"), F.coalesce("b2", "b").alias("b"), F.concat(F.coalesce("p0", none), "pieces", F.coalesce("p2", none)).alias("pieces"))
+        grown = cut(grown, f"contours-grown-{k}")
+        done = done.unionByName(grown.where("a = b").select("id", "pieces"))
+        drop(state)
+        state = grown.where("a <> b")
+    return done.unionByName(state.select("id", "pieces"))
+
+
+def contours(dem: DataFrame, meta: RasterMeta, interval: float, sigma: float = 1.0, side: int = blocks.SIDE) -> DataFrame:
+    """(level, is_index, line_id, closed, segments, coords): segments joined block by block, then blocks' chains by contraction."""
     if interval <= 0:
         raise ValueError("the contour interval must be positive")
     smooth = cut(morph.smooth_valid(dem, meta, sigma) if sigma > 0 else dem.where("value is not null"), "smooth")
-    if smooth.limit(4).count() < 4:
-        return dem.sparkSession.createDataFrame([], "level double, is_index boolean, line_id int, coords array<struct<x:double,y:double>>")
-    segments = contour_segments(smooth, interval)
-
-    def stitch(rows: pd.DataFrame) -> pd.DataFrame:
-        ends: dict[tuple, list[int]] = {}
-        points = [((round(a, 9), round(b, 9)), (round(c, 9), round(d, 9))) for a, b, c, d in rows[["r1", "c1", "r2", "c2"]].itertuples(index=False)]
-        points = [p for p in points if p[0] != p[1]]
-        for n, pair in enumerate(points):
-            for p in pair:
-                ends.setdefault(p, []).append(n)
-        used, lines = [False] * len(points), []
-
-        def follow(p: tuple) -> list[tuple]:
-            out = []
-            while True:
-                n = next((n for n in ends[p] if not used[n]), None)
-                if n is None:
-                    return out
-                used[n] = True
-                p = points[n][1] if points[n][0] == p else points[n][0]
-                out.append(p)
-
-        for p in [p for p, n in ends.items() if len(n) == 1] + list(ends):
-            line = [p, *follow(p)]
-            if len(line) > 1:
-                lines.append(line)
-        k = int(rows["k"].iloc[0])
-        coords = [[{"x": meta.minx + (c + 0.5) * meta.cell, "y": meta.maxy - (r + 0.5) * meta.cell} for r, c in line] for line in lines]
-        return pd.DataFrame({"level": [k * interval] * len(lines), "is_index": [k % INDEX_EVERY == 0] * len(lines), "line_id": range(len(lines)), "coords": coords})
-
-    return segments.groupBy("k").applyInPandas(stitch, "level double, is_index boolean, line_id int, coords array<struct<x:double,y:double>>")
+    chains = cut(_chains(contour_segments(smooth, interval), side), "chains")
+    lines = _linked(chains).select("id", F.posexplode("pieces").alias("pos", "piece")).select("id", "pos", F.col("piece.id").alias("piece"), "piece.back")
+    each = chains.select(F.col("id").alias("piece"), "k", "segments", "coords", *_ends())
+    rows = lines.join(each, "piece")
+    coords = F.when(F.col("back"), F.reverse("coords")).otherwise(F.col("coords"))
+    coords = F.when(F.col("pos") > 0, F.slice(coords, 2, F.size("coords"))).otherwise(coords)  # it begins where the one before ends
+    begin, end = (F.when(F.col("back"), x).otherwise(y) for x, y in ((F.col("b"), F.col("a")), (F.col("a"), F.col("b"))))
+    lines = rows.groupBy("id", "k").agg(F.sum("segments").alias("segments"), F.min_by(begin, "pos").alias("from"), F.max_by(end, "pos").alias("to"), F.sort_array(F.collect_list(F.struct("pos", coords.alias("c")))).alias("c"))
+    flat = F.flatten(F.transform("c", lambda x: x["c"]))
+    flat = F.filter(flat, lambda x, i: (i == 0) | (x != F.get(flat, i - 1)))  # a value on the level makes segments of no length
+    at = F.transform(flat, lambda p: F.struct((meta.minx + (p["c"] + 0.5) * meta.cell).alias("x"), (meta.maxy - (p["r"] + 0.5) * meta.cell).alias("y")))
+    closed = F.col("from") == F.col("to")
+    out = lines.select((F.col("k") * interval).alias("level"), (F.col("k") % INDEX_EVERY == 0).alias("is_index"), F.col("id").alias("line_id"), closed.alias("closed"), "segments", at.alias("coords"))
+    return out.where("size(coords) > 1")
 
 
 # --- meshes -----------------------------------------------------------------------------------

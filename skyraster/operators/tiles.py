@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyraster.functions import geo
+from skyraster.operators import warp
+from skyraster.schema import RasterMeta
 
 
 def tiles_in_bounds(spark: SparkSession, west: float, south: float, east: float, north: float, zoom: int, cap: int | None = None) -> DataFrame:
@@ -57,29 +60,26 @@ def unpng(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + 4 * w)[:, 1:].reshape(h, w, 4)
 
 
-def cut_tiles(pixels: DataFrame, zooms: tuple[int, int]) -> DataFrame:
-    """(z, x, y, png) from pixels (mx, my, size, red, green, blue, alpha) in mercator metres.
-
-    Each pixel is scattered over the tile pixels that its square covers at each zoom; a tile pixel
-    is the mean of what falls into it, so coarse levels average and fine levels repeat. A tile has
-    65,536 pixels at most, which bounds a group; empty tiles never arise.
-    """
-    z = F.explode(F.sequence(F.lit(zooms[0]), F.lit(zooms[1])))
-    rows = pixels.where("alpha > 0").withColumn("z", z).withColumn("res", geo.resolution("z"))
-    span = lambda a, b: F.sequence(F.floor(a / F.col("res")).cast("long"), F.greatest(F.floor(a / F.col("res")), F.ceil(b / F.col("res")) - 1).cast("long"))
-    half = F.col("size") / 2
-    rows = rows.withColumn("gx", F.explode(span(F.col("mx") - half + geo.ORIGIN, F.col("mx") + half + geo.ORIGIN)))
-    rows = rows.withColumn("gy", F.explode(span(geo.ORIGIN - F.col("my") - half, geo.ORIGIN - F.col("my") + half)))
-    mean = rows.groupBy("z", "gx", "gy").agg(*[F.avg(c).alias(c) for c in ("red", "green", "blue", "alpha")])
-    mean = mean.withColumn("x", F.floor(F.col("gx") / geo.TILE).cast("long")).withColumn("y", F.floor(F.col("gy") / geo.TILE).cast("long"))
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((geo.TILE, geo.TILE, 4), np.uint8)
-        at = (rows["gy"].to_numpy() % geo.TILE, rows["gx"].to_numpy() % geo.TILE)
-        image[at] = np.clip(np.rint(rows[["red", "green", "blue", "alpha"]].to_numpy(float)), 0, 255)
-        return pd.DataFrame({"z": rows["z"].iloc[:1], "x": rows["x"].iloc[:1], "y": rows["y"].iloc[:1], "png": [png(image)]})
-
-    return mean.groupBy("z", "x", "y").applyInPandas(draw, "z int, x long, y long, png binary")
+def targets(spark: SparkSession, box: tuple[float, float, float, float], zooms: tuple[int, int]) -> DataFrame:
+    """(z, x, y, west, north, res) of the tiles that meet a mercator rectangle (west, south, east, north)."""
+    rows = None
+    for z in range(zooms[0], zooms[1] + 1):
+        some = tiles_in_bounds(spark, *box, z).select(F.lit(z).alias("z"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+        rows = some if rows is None else rows.unionByName(some)
+    place = geo.tile_box("x", "y", "z")
+    return rows.select("z", "x", "y", place["west"].alias("west"), place["north"].alias("north"), geo.resolution("z").alias("res"))
+
+
+def cut_tiles(cells: DataFrame, meta: RasterMeta, zooms: tuple[int, int]) -> DataFrame:
+    """(z, x, y, png) of a colour raster (row, col, red, green, blue, alpha): bilinear, alpha as weight; wholly transparent tiles are left out."""
+    drawn = warp.warp(cells, meta, targets(cells.sparkSession, warp.bounds(meta), zooms), warp.levels_for(meta, 2 * geo.ORIGIN / (geo.TILE << zooms[0])))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            images = [png(np.frombuffer(x, np.uint8).reshape(geo.TILE, geo.TILE, 4)) for x in batch["pixels"]]
+            yield pd.DataFrame({"z": batch["z"], "x": batch["x"], "y": batch["y"], "png": images})
+
+    return drawn.mapInPandas(pack, "z int, x long, y long, png binary")
 
 
 def children(tiles: DataFrame) -> DataFrame:

@@ -307,10 +307,42 @@ def contour_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terrain.contour_segments(surface, 2.0).select("k", *[_near(c) for c in ("r1", "c1", "r2", "c2")])
 
 
-@query()
+def _line_sql(cell: float, interval: float, rounds: int = 20) -> str:
+    """CTEs up to `line`: the contour lines of the smoothed surface (k, segments, length, closed), components of segments that share a grid edge."""
+    smooth = f"""w AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM (SELECT unnest([-4, -3, -2, -1, 0, 1, 2, 3, 4])::double AS k)),
+h AS (SELECT f.row, f.col, sum(s.value * w.w) AS value FROM filled f, w, m, filled s WHERE s.row = f.row AND s.col = {_mirror('f.col + w.k::bigint', 'm.nx')} GROUP BY f.row, f.col),
+blur AS (SELECT f.row, f.col, sum(s.value * w.w) AS value FROM h f, w, m, h s WHERE s.col = f.col AND s.row = {_mirror('f.row + w.k::bigint', 'm.ny')} GROUP BY f.row, f.col)"""
+    surface = f"{_sql_grid(cell)}, v AS (SELECT row, col, max(z) AS value FROM bin GROUP BY row, col), {_DENSE}, {_FILL}"
+    cross = ("row::double", "col + (level - a) / (b - a)", "2 * row", "2 * col + 1"), ("row + (level - b) / (c - b)", "col + 1.0::double", "2 * row + 1", "2 * col + 2"), (
+        "row + 1.0::double", "col + 1 - (level - c) / (d - c)", "2 * row + 2", "2 * col + 1"), ("row + 1 - (level - d) / (a - d)", "col::double", "2 * row + 1", "2 * col")
+    sides = ", ".join(f"CASE WHEN ({p} >= level) <> ({q} >= level) THEN {{'r': {r}, 'c': {c}, 'i': {i}, 'j': {j}}} END" for (p, q), (r, c, i, j) in zip(("ab", "bc", "cd", "da"), cross, strict=True))
+    parts = [surface, smooth, f"""q AS (SELECT a.row, a.col, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM blur a JOIN blur b ON b.row = a.row AND b.col = a.col + 1
+  JOIN blur c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN blur d ON d.row = a.row + 1 AND d.col = a.col),
+l AS (SELECT *, k * {interval}::double AS level FROM (SELECT *, unnest(range(floor(least(a, b, c, d) / {interval})::bigint + 1, floor(greatest(a, b, c, d) / {interval})::bigint + 1)) AS k FROM q)),
+x AS (SELECT k, (a >= level) = ((a + b + c + d) / 4 >= level) AS turned, list_filter([{sides}], lambda p: p IS NOT NULL) AS p FROM l),
+s AS (SELECT k, unnest(CASE WHEN len(p) = 2 THEN [{{'p': p[1], 'q': p[2]}}] WHEN turned THEN [{{'p': p[1], 'q': p[2]}}, {{'p': p[3], 'q': p[4]}}] ELSE [{{'p': p[4], 'q': p[1]}}, {{'p': p[2], 'q': p[3]}}] END) AS s FROM x),
+seg AS MATERIALIZED (SELECT hash(row_number() OVER ()) AS n, k, s.p AS p, s.q AS q FROM s),
+node AS MATERIALIZED (SELECT n, k, p.i AS i, p.j AS j FROM seg UNION ALL SELECT n, k, q.i, q.j FROM seg),
+e0 AS MATERIALIZED (SELECT a.n AS u, b.n AS v FROM node a JOIN node b ON a.k = b.k AND a.i = b.i AND a.j = b.j AND a.n <> b.n),
+c0 AS (SELECT n, n AS c FROM seg)"""]
+    for r in range(1, rounds + 1):  # each takes the least of itself and its neighbours; numbers are hashes, so that a round leaves about two thirds
+        parts += [f"h{r} AS MATERIALIZED (SELECT u, least(u, min(v)) AS h FROM e{r - 1} GROUP BY u)", f"c{r} AS MATERIALIZED (SELECT n, coalesce(h, c) AS c FROM c{r - 1} LEFT JOIN h{r} ON u = c)",
+                  f"e{r} AS MATERIALIZED (SELECT DISTINCT a.h AS u, b.h AS v FROM e{r - 1} e JOIN h{r} a ON a.u = e.u JOIN h{r} b ON b.u = e.v WHERE a.h <> b.h)"]
+    parts.append(f"""ends AS (SELECT c.c, count(*) AS ends FROM (SELECT min(n) AS n FROM node GROUP BY k, i, j HAVING count(*) = 1) e JOIN c{rounds} c USING (n) GROUP BY 1),
+line AS (SELECT any_value(seg.k) AS k, count(*) AS segments, sum(sqrt((p.r - q.r) ** 2 + (p.c - q.c) ** 2)) * {cell}::double AS length, any_value(ends.ends) IS NULL AS closed
+  FROM seg JOIN c{rounds} c USING (n) LEFT JOIN ends ON ends.c = c.c GROUP BY c.c)""")
+    return ", ".join(parts)
+
+
+def _length() -> Column:
+    step = F.transform(F.sequence(F.lit(1), F.size("coords") - 1), lambda i: F.sqrt(F.pow(F.get("coords", i)["x"] - F.get("coords", i - 1)["x"], 2) + F.pow(F.get("coords", i)["y"] - F.get("coords", i - 1)["y"], 2)))
+    return F.aggregate(step, F.lit(0.0), lambda a, b: a + b)
+
+
+@query(f"WITH {_line_sql(4, 2.0)} SELECT k * 2.0::double AS level, k % 5 = 0 AS is_index, segments, closed, round(length, 3) AS length FROM line")
 def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface, meta = _surface(spark, sf_dir)
-    return terrain.contours(surface, meta, 2.0)
+    return terrain.contours(surface, meta, 2.0).select("level", "is_index", "segments", "closed", F.round(_length(), 3).alias("length"))
 
 
 @query("""WITH m AS (SELECT min(x) AS minx, min(y) AS miny FROM points),

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyraster.functions import geo
-from skyraster.operators import cloud, control, grid, knn, ml, ortho, terrain, tiles
+from skyraster.operators import cloud, control, grid, knn, ml, ortho, terrain, tiles, warp
 from skyraster.plans.adapters import load
 from skyraster.plans.catalog import query
 from skyraster.plans.queries_grid import _DENSE, _FILL, _near, _near_sql, _sql_grid
 from skyraster.plans.tables import cut
+from skyraster.schema import RasterMeta
 
 _SIM = control.similarity_from([2, 0, -1, 0, 1, 0, 0, 0, 0, 1, 500000, 4000000, 50])
 
@@ -118,11 +119,55 @@ def splat_ortho(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ortho.splat(points, grid.plan(points, 5.0))
 
 
-@query()
+def _tiles_sql(cell: float, east: float, north: float, zooms: dict[int, int]) -> str:
+    """Sums of the pixels of web tiles: a colour grid in mercator metres, halved by alpha, sampled between the four nearest cells. zooms: overview by zoom."""
+    names = ("red", "green", "blue")
+    parts = [f"""{_sql_grid(cell)}, v AS (SELECT row, col, {', '.join(f"arg_max({c}, {{'z': z, 'i': pt_id}})::double AS {n}" for c, n in zip("rgb", names, strict=True))}, 255.0::double AS alpha FROM bin GROUP BY row, col),
+l0 AS (SELECT r.row, c.col, {', '.join(f'coalesce(v.{n}, 0) AS {n}' for n in (*names, 'alpha'))} FROM (SELECT unnest(range(ny)) AS row FROM m) r CROSS JOIN (SELECT unnest(range(nx)) AS col FROM m) c LEFT JOIN v ON v.row = r.row AND v.col = c.col)"""]
+    for k in range(1, max(zooms.values()) + 1):
+        parts.append(f"l{k} AS (SELECT row // 2 AS row, col // 2 AS col, {', '.join(f'round_even(sum({n} * alpha) / greatest(sum(alpha), 1), 0) AS {n}' for n in names)}, round_even(sum(alpha) / count(*), 0) AS alpha FROM l{k - 1} GROUP BY 1, 2)")
+    drawn = []
+    for z, k in zooms.items():
+        size = 2 * geo.ORIGIN / (1 << z)
+        res = size / 256
+        place = f"""(SELECT x // 256 AS tx, y // 256 AS ty, (m.maxy + {north}::double - ({geo.ORIGIN!r}::double - (y // 256) * {size!r}::double - (y % 256 + 0.5) * {res!r}::double)) / {cell}::double AS row,
+  (-{geo.ORIGIN!r}::double + (x // 256) * {size!r}::double + (x % 256 + 0.5) * {res!r}::double - (m.minx + {east}::double)) / {cell}::double AS col FROM m,
+  (SELECT unnest(range(floor((minx + {east} + {geo.ORIGIN!r}) / {res!r})::bigint - 1, ceil((minx + nx * {cell} + {east} + {geo.ORIGIN!r}) / {res!r})::bigint + 1)) AS x FROM m),
+  (SELECT unnest(range(floor(({geo.ORIGIN!r} - maxy - {north}) / {res!r})::bigint - 1, ceil(({geo.ORIGIN!r} - maxy - {north} + ny * {cell}) / {res!r})::bigint + 1)) AS y FROM m))"""
+        corners = [(dr, dc) for dr in (0, 1) for dc in (0, 1)]
+        w = [f"(CASE WHEN g{dr}{dc}.alpha IS NULL THEN 0 ELSE abs({1 - dr} - (r - r0)) * abs({1 - dc} - (c - c0)) END)" for dr, dc in corners]
+        alpha = " + ".join(f"{x} * coalesce(g{dr}{dc}.alpha, 0)" for x, (dr, dc) in zip(w, corners, strict=True))
+        colour = lambda n: " + ".join(f"{x} * coalesce(g{dr}{dc}.alpha, 0) * coalesce(g{dr}{dc}.{n}, 0)" for x, (dr, dc) in zip(w, corners, strict=True))  # noqa: B023, E731
+        joins = " ".join(f"LEFT JOIN l{k} g{dr}{dc} ON g{dr}{dc}.row = r0 + {dr} AND g{dr}{dc}.col = c0 + {dc}" for dr, dc in corners)
+        drawn.append(f"""SELECT {z} AS z, tx AS x, ty AS y, {', '.join(f'CASE WHEN a > 0 THEN round_even({n} / a, 0) ELSE 0 END AS {n}' for n in names)}, round_even(a / w, 0) AS alpha
+FROM (SELECT tx, ty, {' + '.join(w)} AS w, {alpha} AS a, {', '.join(f'{colour(n)} AS {n}' for n in names)}
+  FROM (SELECT *, floor(r)::bigint AS r0, floor(c)::bigint AS c0 FROM (SELECT tx, ty, row / {2 ** k} - 0.5 AS r, col / {2 ** k} - 0.5 AS c FROM {place} p, m WHERE row >= 0 AND row < m.ny AND col >= 0 AND col < m.nx)) {joins})""")
+    return f"WITH {', '.join(parts)} SELECT z, x, y, count(*) FILTER (WHERE alpha > 0) AS opaque, {', '.join(f'sum({n})::bigint AS {n}' for n in (*names, 'alpha'))} FROM ({' UNION ALL '.join(drawn)}) GROUP BY z, x, y HAVING max(alpha) > 0"
+
+
+def _mosaic(spark: SparkSession, sf_dir: str, epsg: int, east: float, north: float) -> tuple[DataFrame, RasterMeta]:
+    """Colours of the topmost points on a 4 m grid, where there are any, at a place on the globe."""
+    points = load(spark, sf_dir, "points")
+    meta = grid.plan(points, 4.0)
+    top = grid.indexed(points, meta).groupBy("row", "col").agg(*[F.max_by(c, F.struct("z", "pt_id")).alias(n) for c, n in (("r", "red"), ("g", "green"), ("b", "blue"))])
+    return top.withColumn("alpha", F.lit(255)), RasterMeta(meta.minx + east, meta.maxy + north, 4.0, meta.nx, meta.ny, epsg)
+
+
+@query(_tiles_sql(4, 9_840_000, 2_570_000, {13: 2, 14: 1, 15: 0, 16: 0}))
 def web_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "points").select((F.col("x") + 9_840_000).alias("mx"), (F.col("y") + 2_570_000).alias("my"), F.lit(4.0).alias("size"),
-                                               F.col("r").alias("red"), F.col("g").alias("green"), F.col("b").alias("blue"), F.lit(255).alias("alpha"))
-    return tiles.cut_tiles(rows, (12, 15)).select("z", "x", "y", F.length("png").alias("bytes"))
+    found = tiles.cut_tiles(*_mosaic(spark, sf_dir, 3857, 9_840_000, 2_570_000), (13, 16))
+
+    def sums(batches):
+        for b in batches:
+            images = [tiles.unpng(x).reshape(-1, 4).astype(np.int64) for x in b["png"]]
+            yield pd.DataFrame({**{c: b[c] for c in "zxy"}, "opaque": [int((i[:, 3] > 0).sum()) for i in images], **{n: [int(i[:, k].sum()) for i in images] for k, n in enumerate(("red", "green", "blue", "alpha"))}})
+
+    return found.mapInPandas(sums, "z int, x long, y long, opaque long, red long, green long, blue long, alpha long")
+
+
+@query()
+def mercator_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warp.preview(*_mosaic(spark, sf_dir, 32645, 500_000, 2_500_000), 1400)[0]
 
 
 @query()

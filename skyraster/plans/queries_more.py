@@ -165,7 +165,7 @@ def class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def contour_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     surface, meta = _surface(spark, sf_dir, 8.0)
-    return text_models.geojson(terrain.contours(surface, meta, 5.0), 32645)
+    return text_models.geojson(terrain.contours(surface, meta, 5.0))
 
 
 @query()

@@ -17,7 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from skyraster.sources import files
 
 RECORDS = 500_000
 
@@ -92,58 +94,6 @@ class LasReader(DataSourceReader):
             names=["pt_id", "x", "y", "z", "r", "g", "b", "cls"])
 
 
-class _Part(WriterCommitMessage):
-    def __init__(self, path: str | None):
-        self.path = path
-
-
-class LasWriter(DataSourceWriter):
-    """Parts beside the target, put together at commit; a failed job leaves no target."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def write(self, rows: Iterator) -> _Part:
-        from pyspark import TaskContext
-
-        t = TaskContext.get()
-        part = f"{self.path}.part-{t.partitionId():06d}-{t.taskAttemptId()}"
-        data = [(r.pt_id, r.x, r.y, r.z, r.r, r.g, r.b, r.cls) for r in rows]
-        if not data:
-            return _Part(None)
-        np.save(part + ".npy", np.array(data, float))
-        return _Part(part + ".npy")
-
-    def commit(self, messages: list) -> None:
-        """In order of pt_id, RECORDS at a time: only ids are held for the whole cloud."""
-        parts = [np.load(m.path, mmap_mode="r") for m in messages if m is not None and m.path]
-        ids = np.concatenate([p[:, 0] for p in parts]) if parts else np.zeros(0)
-        low, high = (np.min([p[:, 1:4].min(0) for p in parts], axis=0), np.max([p[:, 1:4].max(0) for p in parts], axis=0)) if parts else (np.zeros(3), np.zeros(3))
-        order, ends = np.argsort(ids, kind="stable"), np.cumsum([len(p) for p in parts])
-
-        def chunks() -> Iterator[bytes]:
-            yield las_head(len(ids), low, high)
-            for a in range(0, len(order), RECORDS):
-                some = order[a : a + RECORDS]
-                rows, part = np.empty((len(some), 8)), np.searchsorted(ends, some, side="right")
-                for k in np.unique(part):
-                    here = part == k
-                    rows[here] = parts[k][some[here] - (ends[k] - len(parts[k]))]
-                yield las_records(rows[:, 1:4], rows[:, 4:7], rows[:, 7].astype(np.uint8), low)
-
-        finalize(self.path, chunks())
-        del parts
-        self._clear(messages)
-
-    def abort(self, messages: list) -> None:
-        self._clear(messages)
-
-    def _clear(self, messages: list) -> None:
-        for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
-
-
 class LasSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -155,27 +105,6 @@ class LasSource(DataSource):
     def reader(self, schema) -> LasReader:
         return LasReader(self.options["path"])
 
-    def writer(self, schema, overwrite: bool) -> LasWriter:
-        return LasWriter(self.options["path"])
-
-
-def finalize(path: str, data: bytes | Iterable[bytes]) -> str:
-    """Write beside the target, then rename; if the target is locked, take a numbered name."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    part = f"{path}.part"
-    with open(part, "wb") as f:
-        for piece in [data] if isinstance(data, bytes) else data:
-            f.write(piece)
-    base, end = os.path.splitext(path)
-    for k in range(100):
-        target = path if k == 0 else f"{base}_{k}{end}"
-        try:
-            os.replace(part, target)
-            return target
-        except PermissionError:
-            continue
-    raise PermissionError(path)
-
 
 # --- PLY --------------------------------------------------------------------------------------
 
@@ -440,7 +369,7 @@ def write_geotiff(path: str, bands: np.ndarray, minx: float, maxy: float, cell:
     packed = [[packed_tile(level[:, r : r + tile, c : c + tile].transpose(1, 2, 0), tile, predictor) for r in range(0, level.shape[1], tile) for c in range(0, level.shape[2], tile)] for level in levels]
     sizes = [(level.shape[2], level.shape[1], [len(b) for b in blocks]) for level, blocks in zip(levels, packed, strict=True)]
     head = tiff_head(sizes, bands.dtype, bands.shape[0], minx, maxy, cell, epsg, nodata, tile, predictor, big)
-    return finalize(path, [head, *[b for blocks in reversed(packed) for b in blocks]])
+    return files.write(None, path, [head, *[b for blocks in reversed(packed) for b in blocks]])
 
 
 def _tiff_level(path: str, level: int) -> tuple[dict[int, tuple], str]:

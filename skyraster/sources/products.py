@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.operators import tiles
-from skyraster.plans.tables import cut
+from skyraster.functions import geo
+from skyraster.operators import tiles, warp
+from skyraster.plans.tables import cut, drop
 from skyraster.schema import RasterMeta
-from skyraster.sources import binary, text_models
+from skyraster.sources import binary, files, text_models
 
 TILE = 256
 
@@ -45,28 +46,27 @@ def write_shapefile(contours: DataFrame, path: str, epsg: int | None = None) ->
     def head(words: int) -> bytes:
         return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, words) + struct.pack("<2i8d", 1000, 13, *box, *heights, 0.0, 0.0)
 
-    base = os.path.splitext(path)[0]
-    binary.finalize(f"{base}.shp", head(at) + b"".join(shapes))
-    binary.finalize(f"{base}.shx", head(50 + 4 * len(index)) + b"".join(index))
+    base, spark = os.path.splitext(path)[0], contours.sparkSession
+    files.write(spark, f"{base}.shp", head(at) + b"".join(shapes))
+    files.write(spark, f"{base}.shx", head(50 + 4 * len(index)) + b"".join(index))
     fields = b"".join(name.ljust(11, b"\x00") + b"N" + b"\x00" * 4 + bytes([size, places]) + b"\x00" * 14 for name, size, places in ((b"ELEV", 20, 3), (b"INDEX", 10, 0)))
     dbf = struct.pack("<BBBBIHH20x", 3, 124, 1, 1, len(records), 32 + len(fields) + 1, 31) + fields + b"\r" + b"".join(records) + b"\x1a"
-    binary.finalize(f"{base}.dbf", dbf)
+    files.write(spark, f"{base}.dbf", dbf)
     if epsg:
-        binary.finalize(f"{base}.prj", f"EPSG:{epsg}".encode())
+        files.write(spark, f"{base}.prj", f"EPSG:{epsg}".encode())
     return len(shapes)
 
 
 def write_contours(contours: DataFrame, folder: str, name: str, epsg: int | None = None, formats: tuple[str, ...] = ("shp", "dxf", "geojson")) -> list[str]:
-    os.makedirs(folder, exist_ok=True)
-    done = []
+    done, spark = [], contours.sparkSession
     for kind in formats:
         path = f"{folder}/{name}.{kind}"
         if kind == "shp":
             write_shapefile(contours, path, epsg)
         elif kind == "dxf":
-            binary.finalize(path, text_models.dxf_document(contours).encode("ascii"))
+            files.write(spark, path, text_models.dxf_pieces(contours))
         elif kind == "geojson":
-            binary.finalize(path, text_models.geojson(contours, epsg).first().value.encode())
+            files.write(spark, path, text_models.geojson_pieces(contours, epsg))
         else:
             raise ValueError(f"unknown contour format {kind}")
         done.append(path)
@@ -76,13 +76,14 @@ def write_contours(contours: DataFrame, folder: str, name: str, epsg: int | None
 def write_mesh(verts: DataFrame, faces: DataFrame, path: str, offset: tuple[float, float, float] = (0.0, 0.0, 0.0), epsg: int | None = None) -> None:
     """OBJ with vertex colours, and the offset in a file beside it."""
     note = f"{offset[0]:.3f} {offset[1]:.3f} {offset[2]:.3f}"
-    with open(f"{path}.part", "w", encoding="utf-8") as f:
-        f.write(f"# mesh with vertex colours\n# add to vertices: {note}\n")
-        for r in text_models.mesh_lines(verts, faces, offset).orderBy("part", "pos", "value").toLocalIterator():
-            f.write(r.value + "\n")
-    os.replace(f"{path}.part", path)
-    with open(os.path.splitext(path)[0] + "_offset.txt", "w", encoding="utf-8") as f:
-        f.write(note + "\n" + (f"EPSG:{epsg}\n" if epsg else ""))
+    spark = verts.sparkSession
+
+    def pieces() -> Iterator[bytes]:
+        yield f"# mesh with vertex colours\n# add to vertices: {note}\n".encode()
+        yield from files.lines(text_models.mesh_lines(verts, faces, offset), "part", "pos", "value")
+
+    files.write(spark, path, pieces())
+    files.write(spark, os.path.splitext(path)[0] + "_offset.txt", (note + "\n" + (f"EPSG:{epsg}\n" if epsg else "")).encode())
 
 
 def _tiles(cells: DataFrame, meta: RasterMeta, bands: list[str], dtype: np.dtype, nodata: float | None, predictor: int) -> DataFrame:
@@ -139,7 +140,10 @@ def write_grid(cells: DataFrame, meta: RasterMeta, path: str, bands: list[str],
                 at = r.k + 1
             yield from [blank] * (len(lengths) - at)
 
-    return binary.finalize(path, pieces())
+    done = files.write(cells.sparkSession, path, pieces())
+    for made in tables:
+        drop(made)
+    return done
 
 
 def write_raster(cells: DataFrame, meta: RasterMeta, path: str, dtype: str = "float32", nodata: float | None = None) -> str:
@@ -157,22 +161,18 @@ def write_cog(cells: DataFrame, meta: RasterMeta, path: str, dtype: str = "float
     return write_grid(cells, meta, path, ["value"], dtype, nodata, 3 if dtype.startswith("f") else 2, overviews)
 
 
-def write_tiles(pixels: DataFrame, folder: str, zooms: tuple[int, int], bounds: tuple[float, float, float, float], kml: bool = True, title: str = "Orthomosaic") -> dict:
-    """z/x/y.png, tiles.json and, if asked, the KML overlay."""
-    done = tiles.cut_tiles(pixels, zooms).cache()
-    n = 0
-    for r in done.toLocalIterator():
-        os.makedirs(f"{folder}/{r.z}/{r.x}", exist_ok=True)
-        with open(f"{folder}/{r.z}/{r.x}/{r.y}.png", "wb") as f:
-            f.write(r.png)
-        n += 1
-    meta = {"format": "xyz", "min_zoom": zooms[0], "max_zoom": zooms[1], "tiles": n, "bounds_3857": list(bounds), "tile_size": 256}
-    os.makedirs(folder, exist_ok=True)
-    with open(f"{folder}/tiles.json", "w", encoding="utf-8") as f:
-        json.dump(meta, f, indent=2)
+def write_tiles(cells: DataFrame, meta: RasterMeta, folder: str, zooms: tuple[int, int] | None = None, kml: bool = True, title: str = "Orthomosaic") -> dict:
+    """z/x/y.png of a colour raster, tiles.json and, if asked, the KML overlay. Tiles are written where they are drawn."""
+    box = warp.bounds(meta)
+    zooms = zooms or tiles.zoom_range(meta.nx, *box)
+    spark = cells.sparkSession
+    made = cut(tiles.cut_tiles(cells, meta, zooms), "web-tiles")
+    files.write_each(made.select(F.concat_ws("/", "z", "x", F.concat(F.col("y").cast("string"), F.lit(".png"))).alias("path"), F.col("png").alias("data")), folder)
+    n = made.count()
+    found = {"format": "xyz", "min_zoom": zooms[0], "max_zoom": zooms[1], "tiles": n, "bounds_3857": list(box), "tile_size": geo.TILE}
+    files.write(spark, f"{folder}/tiles.json", json.dumps(found, indent=2).encode())
     if kml and n:
-        for r in tiles.kml(done.select("z", "x", "y"), *zooms, title).toLocalIterator():
-            with open(f"{folder}/{r.path}", "w", encoding="utf-8") as f:
-                f.write(r.kml)
-    done.unpersist()
-    return meta
+        overlay = tiles.kml(made.select("z", "x", "y"), *zooms, title)
+        files.write_each(overlay.select("path", F.col("kml").cast("binary").alias("data")), folder)
+    drop(made)
+    return found

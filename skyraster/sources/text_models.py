@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,15 +158,22 @@ def mesh_lines(verts: DataFrame, faces: DataFrame, offset: tuple[float, float, f
     return v.unionByName(f)
 
 
-def geojson(contours: DataFrame, epsg: int | None = None) -> DataFrame:
-    """One row: a FeatureCollection of contour lines, in order of level and line."""
+def geojson(contours: DataFrame) -> DataFrame:
+    """(level, line_id, value): the feature of each contour line."""
     points = F.transform("coords", lambda p: F.array(F.round(p["x"], 3), F.round(p["y"], 3)))
     feature = F.to_json(F.struct(
         F.lit("Feature").alias("type"), F.struct(F.round("level", 3).alias("elevation"), F.col("is_index").cast("int").alias("index")).alias("properties"),
         F.struct(F.lit("LineString").alias("type"), points.alias("coordinates")).alias("geometry")))
+    return contours.select("level", "line_id", feature.alias("value"))
+
+
+def geojson_pieces(contours: DataFrame, epsg: int | None = None) -> Iterator[bytes]:
+    """A FeatureCollection of contour lines in order of level and line, feature by feature."""
+    yield b'{"type":"FeatureCollection","features":['
+    for k, r in enumerate(geojson(contours).orderBy("level", "line_id").toLocalIterator()):
+        yield ("," * (k > 0) + r.value).encode()
     crs = "" if not epsg else ',"crs":' + json.dumps({"type": "name", "properties": {"name": f"urn:ogc:def:crs:EPSG::{epsg}"}})
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "line_id", feature.alias("f")))), lambda s: s["f"]), ",")
-    return contours.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit(f"]{crs}}}")).alias("value"))
+    yield f"]{crs}}}".encode()
 
 
 def dxf(contours: DataFrame) -> DataFrame:
@@ -176,9 +184,11 @@ def dxf(contours: DataFrame) -> DataFrame:
     return contours.select("level", "line_id", text.alias("value"))
 
 
-def dxf_document(contours: DataFrame) -> str:
-    """A whole drawing: header, two layers, entities. Lines are read one partition at a time."""
+def dxf_pieces(contours: DataFrame) -> Iterator[bytes]:
+    """A whole drawing: header, two layers, and the lines one after the other."""
     layers = "".join(f"0\nLAYER\n2\n{name}\n70\n0\n62\n{color}\n6\nCONTINUOUS\n" for name, color in (("CONTOUR_MINOR", 8), ("CONTOUR_MAJOR", 1)))
     head = "0\nSECTION\n2\nHEADER\n9\n$ACADVER\n1\nAC1009\n0\nENDSEC\n0\nSECTION\n2\nTABLES\n0\nTABLE\n2\nLAYER\n70\n2\n" + layers + "0\nENDTAB\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n"
-    body = "".join(r.value + "\n" for r in dxf(contours).orderBy("level", "line_id").toLocalIterator())
-    return head + body + "0\nENDSEC\n0\nEOF\n"
+    yield head.encode("ascii")
+    for r in dxf(contours).orderBy("level", "line_id").toLocalIterator():
+        yield (r.value + "\n").encode("ascii")
+    yield b"0\nENDSEC\n0\nEOF\n"

@@ -112,7 +112,7 @@ def test_contour_lines_hold_their_segments(spark):
     surface, meta = queries_grid._surface(spark, SF)
     segments = terrain.contour_segments(cut(morph.smooth_valid(surface, meta), "smooth"), 2.0).toPandas()
     want = (np.hypot(segments.r1 - segments.r2, segments.c1 - segments.c2) * meta.cell).groupby(segments.k).sum()
-    lines = catalog.QUERIES["contour_lines"](spark, SF).collect()
+    lines = terrain.contours(surface, meta, 2.0).collect()
     length = {}
     for r in lines:
         xy = np.array([(p.x, p.y) for p in r.coords])

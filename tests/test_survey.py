@@ -14,7 +14,7 @@ from skyraster.functions import geo, photo
 from skyraster.operators import cloud, control, ml, ortho, terrain, tiles
 from skyraster.plans import pipeline, report
 from skyraster.schema import RasterMeta, Settings
-from skyraster.sources import binary, products, project, text_models
+from skyraster.sources import binary, clouds, products, project, text_models
 
 DRONE = dict(cam_id=1, path="/a/b/IMG 1.JPG", width=5280, height=3956, make="DJI", model="M3E", focal_mm=12.29, lat=22.58, lon=88.49, alt=108.5, rel_alt=100.0, pitch=-90.0, aligned=False, enabled=True)
 
@@ -284,7 +284,7 @@ def test_las_round_trip(spark, tmp_path):
     rows = [(k, *map(float, rng.uniform(0, 100, 3) + [5e5, 2e6, 0]), k % 256, 7, 255, k % 8) for k in range(200)]
     points = spark.createDataFrame(rows, schema.POINTS).repartition(3)
     path = str(tmp_path / "a.las")
-    points.write.format("las").option("path", path).mode("append").save()
+    assert clouds.write_las(points, path) == path
     back = {r.pt_id: r for r in spark.read.format("las").load(path).collect()}
     assert len(back) == 200 and not [p for p in os.listdir(tmp_path) if "part" in p]
     for k, x, y, z, r, g, b, cls in rows:
@@ -451,12 +451,15 @@ def test_tiles_and_kml(spark, tmp_path):
     image = np.zeros((4, 5, 4), np.uint8)
     image[1, 2] = (1, 2, 3, 255)
     assert np.array_equal(tiles.unpng(tiles.png(image)), image)
-    rows = [(9_840_000 + c * 4.0, 2_570_000 + r * 4.0, 4.0, 200, 10, 10, 0 if r < 5 and c < 5 else 255) for r in range(40) for c in range(40)]
-    pixels = spark.createDataFrame(rows, "mx double, my double, size double, red int, green int, blue int, alpha int")
+    cells = spark.createDataFrame([(r, c, 200, 10, 10, 0 if r > 34 and c < 5 else 255) for r in range(40) for c in range(40)], "row long, col long, red int, green int, blue int, alpha int")
     low, high = tiles.zoom_range(40, 9_840_000, 2_570_000, 9_840_160, 2_570_160)
     assert low <= high and tiles.zoom_range(40, 0, 0, 160, 160, 15, 13) == (13, 15)
-    meta = products.write_tiles(pixels, str(tmp_path), (14, 16), (0, 0, 0, 0))
+    place = RasterMeta(9_840_000, 2_570_160, 4.0, 40, 40, 3857)
+    meta = products.write_tiles(cells, place, str(tmp_path), (14, 16))
+    assert meta["bounds_3857"] == [9_840_000, 2_570_000, 9_840_160, 2_570_160] and not [n for n in os.listdir(tmp_path) if "part" in n]
     assert meta["tiles"] == sum(f.endswith(".png") for _, _, fs in os.walk(tmp_path) for f in fs) and json.load(open(tmp_path / "tiles.json"))["max_zoom"] == 16
+    with pytest.raises(ValueError, match="coordinate system"):
+        products.write_tiles(cells, RasterMeta(0, 160, 4.0, 40, 40), str(tmp_path))
     for root, _, files in os.walk(tmp_path):
         for f in files:
             if f.endswith(".kml"):
