@@ -153,6 +153,61 @@ def test_knn_of_few_points(spark):
     assert knn.neighbours(cloud_table(spark, np.array([(0, 0, 0), (1, 0, 0.0)])), 8).count() == 2
 
 
+def brute_nearest(query, spots, k, own):
+    out = []
+    for i, q in enumerate(query):
+        d = ((q - spots) ** 2).T
+        d = sum(d[1:], d[0])
+        order = [j for j in sorted(range(len(spots)), key=lambda j: (d[j], j)) if not own or j != i][:k]
+        out.append([(j, d[j]) for j in order])
+    return out
+
+
+@pytest.mark.parametrize(("k", "dims"), [(1, 2), (5, 2), (8, 3)])
+def test_index_equals_brute_force(monkeypatch, k, dims):
+    monkeypatch.setattr(knn, "PIECE", 8)
+    rng = np.random.default_rng(k)
+    spots = np.round(rng.normal(0, 3, (200, dims)), 0)  # many ties
+    query = np.concatenate([spots[:50], rng.normal(0, 9, (30, dims))])
+    index = knn.Index(spots)
+    for own in (None, np.arange(len(query))):
+        d2, at = index.nearest(query, k, own)
+        want = brute_nearest(query, spots, k, own is not None)
+        assert [[(int(j), x) for j, x in zip(a, d, strict=True) if j >= 0] for a, d in zip(at, d2, strict=True)] == want
+    assert (knn.Index(spots[:3]).nearest(query, 5)[1] >= 0).sum(1).tolist() == [3] * len(query)
+
+
+def test_neighbours_over_parts(spark, monkeypatch):
+    """Half of the points in one small spot, and copies: the same as brute force, whatever the split; parts are of about one size."""
+    rng = np.random.default_rng(3)
+    xyz = np.concatenate([rng.uniform(0, 100, (700, 3)), rng.normal(50, 0.01, (700, 3)), np.full((20, 3), 7.0)])
+    points = cloud_table(spark, xyz)
+    monkeypatch.setattr(knn, "LEAF", 100)
+    split = knn._split(points, ("x", "y", "z"))
+    sizes = np.bincount(split.part(xyz), minlength=1 << split.depth)
+    assert split.depth == 4 and sizes.max() < 2 * np.median(sizes)
+    for include in (False, True):
+        got = knn.neighbours(points, 6, include_self=include).toPandas().sort_values(["pt_id", "rank"])
+        want = brute_nearest(xyz, xyz, 6, not include)
+        assert [(int(a), b) for a, b in zip(got.nbr_id, got.d2, strict=True)] == [x for row in want for x in row]
+    flat = knn.neighbours(points, 4, ("x", "y")).toPandas().sort_values(["pt_id", "rank"])
+    assert flat.nbr_id.tolist() == [j for row in brute_nearest(xyz[:, :2], xyz[:, :2], 4, True) for j, _ in row]
+
+
+@pytest.mark.parametrize(("few", "many"), [(32, 200_000), (0, 200_000), (0, 0)])
+def test_nearest_sites_in_three_ways(spark, monkeypatch, few, many):
+    monkeypatch.setattr(knn, "FEW_SITES", few)
+    monkeypatch.setattr(knn, "MANY_SITES", many)
+    monkeypatch.setattr(knn, "LEAF", 8)
+    rng = np.random.default_rng(4)
+    xy, spots = np.round(rng.uniform(0, 20, (150, 2))), np.round(rng.uniform(0, 20, (30, 2)))
+    rows = spark.createDataFrame([(k // 10, k % 10, *map(float, p), "more") for k, p in enumerate(xy)], "row long, col int, x double, y double, note string")
+    sites = spark.createDataFrame([(f"s{k:02d}", *map(float, p)) for k, p in enumerate(spots)], "site string, sx double, sy double")
+    got = {(r.row, r.col, r["rank"]): (r.site, r.d2, r.note) for r in knn.nearest_sites(rows, sites, 3, ["row", "col"]).collect()}
+    want = {(k // 10, k % 10, n + 1): (f"s{j:02d}", d, "more") for k, near in enumerate(brute_nearest(xy, spots, 3, False)) for n, (j, d) in enumerate(near)}
+    assert got == want
+
+
 def test_thinning_reaches_density(spark):
     rng = np.random.default_rng(0)
     xyz = np.column_stack([rng.uniform(0, 100, (60_000, 2)), rng.normal(10, 0.05, 60_000)])
