@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skyraster.functions import geo, photo
 from skyraster.operators.cloud import sample
+from skyraster.plans.tables import numbered
 
 MAX_SMALL = 1_000_000  # rows of a table that is sent to every task
 POINT_BLOCK = 128
@@ -50,16 +52,14 @@ def remove_gcps(gcps: DataFrame, marks: DataFrame, gone: DataFrame) -> tuple[Dat
 
 def append_gcps(gcps: DataFrame, added: DataFrame, next_id: int) -> DataFrame:
     """New control points (label, and x, y, z and is_check if known) with ids from a counter that never goes back, by label."""
-    order = Window.orderBy(*[c for c in ("label", "x", "y", "z") if c in added.columns])
-    rows = added.withColumn("gcp_id", (F.row_number().over(order) - 1 + next_id).cast("long"))
+    rows = numbered(added, [c for c in ("label", "x", "y", "z") if c in added.columns], "gcp_id", next_id)
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in added.columns else F.lit(v) for c, v in (("x", 0.0), ("y", 0.0), ("z", 0.0), ("is_check", False), ("enabled", True))})
     return gcps.unionByName(rows, allowMissingColumns=True)
 
 
 def append_photos(cameras: DataFrame, photos: DataFrame, next_id: int) -> DataFrame:
     """New photos with ids from a counter that never goes back (ordered by path)."""
-    number = F.row_number().over(Window.orderBy("path")) - 1 + next_id
-    return cameras.unionByName(photos.withColumn("cam_id", number.cast("long")), allowMissingColumns=True)
+    return cameras.unionByName(numbered(photos, ["path"], "cam_id", next_id), allowMissingColumns=True)
 
 
 def by_file_name(cameras: DataFrame) -> DataFrame:
@@ -123,13 +123,50 @@ def _best(hits: DataFrame, marks: DataFrame, most: int) -> DataFrame:
     return hits.withColumn("_r", rank).where(F.col("_r") <= most).join(marks, ["gcp_id", "cam_id"], "left_anti").select("gcp_id", "cam_id", "px", "py")
 
 
+def _within_reach(views: DataFrame, points: DataFrame) -> DataFrame:
+    """Views (wx, wy, reach) with the points (x, y) that lie within reach of them, and some more; reach is null where it has no bound.
+
+    A view takes the cells, of the least power of two that is twice its reach, which its square touches: four at most.
+    A point takes its cell of each of the sizes that occur. Views without bound and points meet in one cell of a size of its own.
+    """
+    level = F.when(F.col("reach").isNull(), _NO_BOUND).otherwise(F.greatest(F.ceil(F.log2(F.greatest(2 * F.col("reach"), F.lit(1e-3)))), F.lit(-10)).cast("int"))
+    cell = lambda c, n="_level": F.when(F.col(n) == _NO_BOUND, F.lit(0)).otherwise(F.floor(c / F.pow(F.lit(2.0), n))).cast("long")
+    reach = F.coalesce("reach", F.lit(0.0))
+    views = views.withColumn("_level", level)
+    views = views.withColumns({f"_{c}": F.explode(F.sequence(cell(F.col(f"w{c}") - reach), cell(F.col(f"w{c}") + reach))) for c in "x"})
+    views = views.withColumn("_y", F.explode(F.sequence(cell(F.col("wy") - reach), cell(F.col("wy") + reach))))
+    sizes = views.select("_level").distinct()  # powers of two: some dozens
+    spots = points.crossJoin(F.broadcast(sizes)).withColumn("_x", cell(F.col("x"))).withColumn("_y", cell(F.col("y")))
+    return views.join(spots, ["_level", "_x", "_y"]).drop("_level", "_x", "_y")
+
+
+_NO_BOUND = 1000
+_STEEP = math.radians(89.5)  # rays that are flatter than this may meet the ground anywhere
+
+
+def _reach(height: Column, off: Column, half: Column) -> Column:
+    """How far from a view's foot the ground can be that it sees: from its height over the lowest ground, its angle from nadir, and half its field of view."""
+    return F.when(off + half < _STEEP, F.greatest(height, F.lit(0.0)) * F.tan(off + half) * 1.0001 + 1e-3)
+
+
 def mark_solved(gcps: DataFrame, views: DataFrame, marks: DataFrame, sim: Similarity, most: int = 8) -> DataFrame:
-    """Marks from solved views (qw..qz, tx..tz, fx, fy, ppx, ppy, width, height), most central first."""
+    """Marks from solved views (qw..qz, tx..tz, fx, fy, ppx, ppy, width, height), most central first.
+
+    Views meet the points within reach of their foot in the world; which they see is then worked out exactly.
+    """
     inv = sim.inverse()
     x, y, z = geo.similarity(inv.s, inv.R.tolist(), inv.t.tolist())
-    local = markable(gcps).select("gcp_id", x.alias("lx"), y.alias("ly"), z.alias("lz"))
-    both = views.where("width > 0").crossJoin(small(local))  # every control point against every view is the operator
-    xc, yc, zc = geo.camera_point(geo.quaternion_rows(), "lx", "ly", "lz", "tx", "ty", "tz")
+    points = markable(gcps).select("gcp_id", "x", "y", x.alias("lx"), y.alias("ly"), z.alias("lz"), "z")
+    lowest = points.agg(F.min("z")).first()[0]
+    rows = geo.quaternion_rows()
+    wx, wy, wz = geo.similarity(sim.s, sim.R.tolist(), sim.t.tolist(), *geo.centre(rows))
+    down = sum(-float(sim.R[2, k]) * rows[2][k] for k in range(3))  # of the view's axis, in the world
+    side = lambda p, n, f: F.greatest(F.abs(F.col(p)), F.abs(F.col(n) - F.col(p))) / F.abs(F.col(f))
+    half = F.atan(F.hypot(side("ppx", "width", "fx"), side("ppy", "height", "fy")))
+    off = F.acos(F.least(F.greatest(down, F.lit(-1.0)), F.lit(1.0)))
+    seen = views.where("width > 0").withColumns({"wx": wx, "wy": wy, "reach": _reach(wz - F.lit(lowest), off, half)})
+    both = _within_reach(seen, points.drop("z"))
+    xc, yc, zc = geo.camera_point(rows, "lx", "ly", "lz", "tx", "ty", "tz")
     u, v = geo.pinhole(xc, yc, zc, "fx", "fy", "ppx", "ppy")
     hits = both.withColumn("px", u).withColumn("py", v).where(geo.inside("px", "py", "width", "height", 0.02))
     du, dv = F.col("px") - F.col("width") / 2, F.col("py") - F.col("height") / 2
@@ -137,14 +174,19 @@ def mark_solved(gcps: DataFrame, views: DataFrame, marks: DataFrame, sim: Simila
 
 
 def mark_geotagged(gcps: DataFrame, cameras: DataFrame, marks: DataFrame, epsg: int | None, geoid: float = 0.0, most: int = 8) -> DataFrame:
-    """Marks from geotags and gimbal angles alone, nearest camera first."""
+    """Marks from geotags and gimbal angles alone, nearest camera first. Cameras meet the points within reach, as in ``mark_solved``."""
     x, y = geo.forward("lon", "lat", epsg)
     cams = cameras.where(F.col("enabled") & photo.has_geotag() & (F.col("width") > 0)).withColumn("f", photo.focal_px()).where("f > 0")
-    cams = cams.select("cam_id", "width", "height", "f", "yaw", "pitch", "rel_alt", x.alias("camx"), y.alias("camy"), (F.coalesce("alt", F.lit(0.0)) - geoid).alias("alt0"))
-    both = cams.crossJoin(small(markable(gcps).select("gcp_id", "x", "y", "z")))  # as above
+    cams = cams.select("cam_id", "width", "height", "f", "yaw", "pitch", "rel_alt", x.alias("wx"), y.alias("wy"), (F.coalesce("alt", F.lit(0.0)) - geoid).alias("alt0"))
+    points = markable(gcps).select("gcp_id", "x", "y", "z")
+    lowest = points.agg(F.min("z")).first()[0]
+    tilt = F.abs(F.radians(F.coalesce("pitch", F.lit(-90.0)) + 90))
+    half = F.atan(F.hypot(F.col("width") / 2, F.col("height") / 2) / F.col("f"))
+    height = F.greatest(F.col("alt0") - F.lit(lowest), F.coalesce("rel_alt", F.lit(0.0)))
+    both = _within_reach(cams.withColumn("reach", _reach(height, tilt, half)), points)
     low = F.col("alt0") - F.col("z") < 5
     both = both.withColumn("camz", F.when(~low, F.col("alt0")).when(F.col("rel_alt") > 5, F.col("z") + F.col("rel_alt"))).where("camz is not null")
-    both = both.withColumn("dx", F.col("x") - F.col("camx")).withColumn("dy", F.col("y") - F.col("camy")).withColumn("dz", F.col("z") - F.col("camz"))
+    both = both.withColumn("dx", F.col("x") - F.col("wx")).withColumn("dy", F.col("y") - F.col("wy")).withColumn("dz", F.col("z") - F.col("camz"))
     xc, yc, zc = geo.camera_point(geo.nadir_rows(), "dx", "dy", "dz", F.lit(0.0), F.lit(0.0), F.lit(0.0))
     u, v = geo.pinhole(xc, yc, zc, "f", "f", F.col("width") / 2, F.col("height") / 2)
     hits = both.withColumn("px", u).withColumn("py", v).where(geo.inside("px", "py", "width", "height", 0.05))

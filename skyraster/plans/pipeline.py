@@ -224,5 +224,8 @@ def execute(run: Run, stages: list[str] | None = None) -> tuple[bool, str]:
         except Exception as problem:  # a stage's failure is a result, not a crash
             run.log(f"{name}: {problem}")
             return False, f"{name}: {problem}"
+        finally:
+            for key in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                run.spark.sparkContext.setLocalProperty(key, None)
         seconds[name] = round(time.time() - began, 3)
     return True, ""

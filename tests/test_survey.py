@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skyraster import schema
 from skyraster.functions import geo, photo
 from skyraster.operators import cloud, control, ml, ortho, terrain, tiles
-from skyraster.plans import pipeline, report
+from skyraster.plans import pipeline, report, tables
 from skyraster.schema import RasterMeta, Settings
 from skyraster.sources import binary, clouds, products, project, text_models
 
@@ -530,3 +530,35 @@ def test_photo_pixels(spark, tmp_path):
     assert (row.h, row.w) == (3, 4) and np.frombuffer(row.data, np.uint8).reshape(3, 4, 3)[1, 2].tolist() == [250, 100, 5]
     plain = photos.image_sizes(photos.read_photos(spark, str(tmp_path / "*.png")))
     assert photos.camera_set(plain, plain.limit(0)) is plain
+
+
+def test_reach_loses_no_mark(spark, monkeypatch):
+    """Straight, tilted and flat views, from near and far: the same marks as when every view meets every point."""
+    rng = np.random.default_rng(0)
+    gcps = spark.createDataFrame([(k, f"g{k}", *map(float, rng.uniform(-400, 400, 2)), float(rng.uniform(-20, 20)), False, True) for k in range(60)], "gcp_id long, label string, x double, y double, z double, is_check boolean, enabled boolean")
+    none = spark.createDataFrame([], "gcp_id long, cam_id long, px double, py double")
+    sim = control.similarity_from([2.5, *(0, -1, 0, 1, 0, 0, 0, 0, 1), 10, -20, 5])
+    rows = []
+    for k in range(80):
+        axis, angle = rng.normal(size=3), rng.uniform(0, np.pi if k % 4 == 0 else 0.5)
+        turn = control.rotation_matrix(axis / np.linalg.norm(axis) * angle)[0] @ np.diag([1.0, -1.0, -1.0])
+        centre = np.array([*rng.uniform(-150, 150, 2), rng.uniform(10, 120)])
+        q = np.array([1 + np.trace(turn), turn[2, 1] - turn[1, 2], turn[0, 2] - turn[2, 0], turn[1, 0] - turn[0, 1]])
+        if np.linalg.norm(q) < 1e-3:
+            continue
+        rows.append((k, *map(float, q / np.linalg.norm(q)), *map(float, -turn @ centre), 900.0, 950.0, 500.0, 420.0, 1000, 800))
+    views = spark.createDataFrame(rows, "cam_id long, qw double, qx double, qy double, qz double, tx double, ty double, tz double, fx double, fy double, ppx double, ppy double, width int, height int")
+    cams = spark.createDataFrame([(k, f"/p/{k}.jpg", 1000, 800, "DJI", "M3E", 12.29, 24.0, *map(float, rng.uniform(-0.004, 0.004, 2)), float(rng.uniform(-5, 120)), [None, 60.0, 3.0][k % 3], float(rng.uniform(0, 360)), [-90.0, -60.0, -20.0, None][k % 4], True) for k in range(80)],
+                                "cam_id long, path string, width int, height int, make string, model string, focal_mm double, focal35_mm double, lat double, lon double, alt double, rel_alt double, yaw double, pitch double, enabled boolean")
+    lists = lambda: [sorted(map(tuple, f().collect())) for f in (lambda: control.mark_solved(gcps, views, none, sim, 100), lambda: control.mark_geotagged(gcps, cams, none, 3857, 0.0, 100))]
+    got = lists()
+    monkeypatch.setattr(control, "_within_reach", lambda views, points: views.crossJoin(points))
+    want = lists()
+    assert got == want and all(len(x) > 100 for x in want)
+
+
+def test_numbers_go_on(spark):
+    rows = spark.createDataFrame([(f"p{k:04d}",) for k in np.random.default_rng(0).permutation(500)], "path string").repartition(7)
+    got = tables.numbered(rows, ["path"], "n", 10).collect()
+    assert {(r.path, r.n) for r in got} == {(f"p{k:04d}", 10 + k) for k in range(500)}
+    assert tables.numbered(rows.limit(0), ["path"], "n").count() == 0
