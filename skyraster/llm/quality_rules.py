@@ -5,9 +5,10 @@ Features of a text are its runs of one, two and three words, in their order, has
 ``STEP`` times that of the run without its last word, and that word's. Two multinomials over the
 buckets, with add-``ALPHA`` smoothing, are estimated from all documents (raw) and from the trusted
 ones (target); a text's score is the mean over its features of log(target / raw), with logs kept as
-whole units of 1 / ``UNIT`` so that sums do not depend on order. Texts below ``THRESHOLD`` are rejected.
+whole units of 1 / ``UNIT`` so that sums do not depend on order. Texts below a threshold are rejected, which comes from the
+trusted texts' own scores: ``SPREAD`` times as far below their ``LOW`` quantile as that is below their median.
 
-Trusted texts are told by strict form: ``TRUST_WORDS`` words or more, under 0.5 % symbols,
+Trusted texts are those of a table that is passed in; without one, texts of strict form: ``TRUST_WORDS`` words or more, under 0.5 % symbols,
 under 2 % pairs of capitals, no repeated line, and a fifth or more of the words distinct.
 
 Everything is DataFrame functions. ``rate`` scans the texts once, for the base counts and the words'
@@ -36,7 +37,7 @@ STEP = 5
 ORDERS = 3
 ALPHA = 1.0
 UNIT = 10_000
-THRESHOLD = -0.125
+LOW, SPREAD = 0.01, 3
 TRUST_WORDS = 30
 MIN_WORDS = 10
 REPEAT_SHARE = 20
@@ -133,9 +134,11 @@ def analysis(text: Column) -> Column:
 
 
 def coded_features(coded: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """bt: one row for each feature of a table with trusted and codes; those of trusted texts in buckets of their own."""
+    """bt: one row for each feature of a table with trusted, codes and, if there is a target from outside, outside; those of trusted texts in buckets of their own, and those of a target from outside."""
     following = [F.slice("codes", k, F.size("codes")).alias(n) for k, n in enumerate("abc", 1)]
-    rows = coded.where(F.size("codes") > 0).select(F.when(F.col("trusted"), orders * BUCKETS).otherwise(0).alias("base"), F.inline(F.arrays_zip(*following)).alias(*"abc"))
+    outside = F.col("outside") if "outside" in coded.columns else F.lit(False)
+    base = F.when(outside, 2 * orders * BUCKETS).when(F.col("trusted"), orders * BUCKETS).otherwise(0).alias("base")
+    rows = coded.where(F.size("codes") > 0).select(base, F.inline(F.arrays_zip(*following)).alias(*"abc"))
     each = F.array(*_runs(F.col("a"), F.col("b"), F.col("c"), orders))
     return rows.select("base", F.explode(each).alias("b")).where("b is not null").select((F.col("base") + F.col("b")).alias("bt"))
 
@@ -145,7 +148,8 @@ def log_ratios(features: DataFrame, orders: int = ORDERS) -> list[int]:
     space = orders * BUCKETS
     seen = features.groupBy("bt").agg(F.count(F.lit(1)).alias("n"))
     target = F.when(F.col("bt") >= space, F.col("n")).otherwise(0)
-    counts = seen.groupBy((F.col("bt") % space).alias("b")).agg(F.sum("n").alias("raw"), F.sum(target).alias("target"))
+    raw = F.when(F.col("bt") < 2 * space, F.col("n")).otherwise(0)
+    counts = seen.groupBy((F.col("bt") % space).alias("b")).agg(F.sum(raw).alias("raw"), F.sum(target).alias("target"))
     found = counts.collect()  # at most ORDERS * BUCKETS sums
     all_raw, all_target = sum(r.raw for r in found), sum(r.target for r in found)
     out = [0] * space
@@ -181,34 +185,64 @@ def _features(of: Callable[[str], Column]) -> Column:
     return sum((F.greatest(of("n_words") - k, F.lit(0)) for k in range(1, ORDERS)), of("n_words"))
 
 
-def _kept(of: Column, threshold: float) -> Column:
+def _kept(of: Column, threshold: int) -> Column:
     """Whether a text stays, from one struct that is looked at once."""
-    return let(of, lambda x: ~_failed(lambda c: x[c]) & (x["units"] >= _features(lambda c: x[c]) * int(threshold * UNIT)))
+    return let(of, lambda x: ~_failed(lambda c: x[c]) & (x["units"] >= _features(lambda c: x[c]) * threshold))
 
 
-def _rated(coded: DataFrame, ratios: list[int], threshold: float) -> DataFrame:
+def _score(units_: Column, features: Column) -> Column:
+    return F.when(features > 0, F.floor(units_ / features)).otherwise(0).cast("long")
+
+
+def _with(coded: DataFrame, target: DataFrame | None) -> DataFrame:
+    """trusted, outside and codes of coded rows, and of the texts of a target if there is one; then no other text is trusted."""
+    rows = coded.select(F.col("trusted") if target is None else F.lit(False).alias("trusted"), F.lit(False).alias("outside"), "codes")
+    if target is None:
+        return rows
+    return rows.unionByName(ensure(target, text="string").select(form(_text()).alias("of")).select(F.lit(True).alias("trusted"), F.lit(True).alias("outside"), "of.codes"))
+
+
+def _threshold(coded: DataFrame, ratios: list[int], threshold: float | None) -> int:
+    """Units a feature below which a text goes."""
+    if threshold is not None:
+        return int(threshold * UNIT)
+    n = F.size("codes")
+    features = sum((F.greatest(n - k, F.lit(0)) for k in range(1, ORDERS)), n)
+    scores = coded.where(F.col("trusted") & (n > 0)).select(_score(units(F.col("codes"), ratios), features).alias("s"))
+    found = scores.agg(*[F.expr(f"percentile_disc({q}) within group (order by s)").alias(c) for q, c in ((LOW, "low"), (0.5, "middle"))]).first()
+    return 0 if found.low is None else int(found.low - SPREAD * (found.middle - found.low))
+
+
+def _rated(coded: DataFrame, ratios: list[int], threshold: int) -> DataFrame:
     """Adds units, n_features, base_failed and kept to a table of coded rows."""
     out = coded.withColumn("units", units(F.col("codes"), ratios)).withColumn("n_features", _features(F.col))
     out = out.withColumn("base_failed", _failed(F.col))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("units") >= F.col("n_features") * int(threshold * UNIT)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("units") >= F.col("n_features") * threshold))
+
 
+def rate(docs: DataFrame, target: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, base counts, base_failed, kept, and score (units a feature).
 
-def rate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, n_words, base counts, base_failed, kept, and score (units a feature)."""
+    target: trusted texts (text), where there are any; threshold: a mean log ratio, in place of that of the target's scores.
+    """
     docs = ensure(docs, doc_id="long", text="string")
     coded = cut(docs.select("doc_id", analysis(_text()).alias("of")).select("doc_id", "of.*"), f"{shared_dir(docs.sparkSession)}/coded")
-    score = F.when(F.col("n_features") > 0, F.floor(F.col("units") / F.col("n_features"))).otherwise(0).cast("long")
-    return _rated(coded, log_ratios(coded_features(coded)), threshold).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", score.alias("score"))
+    both = _with(coded, target)
+    ratios = log_ratios(coded_features(both))
+    rated = _rated(coded, ratios, _threshold(both, ratios, threshold))
+    return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", _score(F.col("units"), F.col("n_features")).alias("score"))
 
 
-def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep(docs: DataFrame, target: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
     """The rows of docs that the rules keep, columns unchanged."""
     # Whole rows are not written to a table for this: their codes are, for the counts, and are worked out again.
     work = shared_dir(docs.sparkSession)
-    ratios = log_ratios(coded_features(cut(docs.select(form(_text()).alias("of")).select("of.*"), f"{work}/codes")))
+    both = _with(cut(docs.select(form(_text()).alias("of")).select("of.*"), f"{work}/codes"), target)
+    ratios = log_ratios(coded_features(both))
+    least = _threshold(both, ratios, threshold)
     remove(docs.sparkSession, work)
     coded = docs.select(F.struct("*").alias("_row"), let(let(analysis(_text()), lambda a: F.struct(a["n_words"].alias("n_words"), a["n_repeat_words"].alias("n_repeat_words"), units(a["codes"], ratios).alias("units"))), lambda x: x).alias("of"))
-    return coded.where(_kept(F.col("of"), threshold)).select("_row.*")
+    return coded.where(_kept(F.col("of"), least)).select("_row.*")
 
 
 _BASE_SQL = r"""
@@ -243,7 +277,9 @@ tot AS (SELECT sum(raw) AS all_raw, sum(target) AS all_target FROM cnt),
 lw AS (
   SELECT b, CASE WHEN all_target > 0 THEN round_even((ln((target + 1) / (all_target + {space})) - ln((raw + 1) / (all_raw + {space}))) * 10000, 0)::bigint ELSE 0 END AS u
   FROM cnt, tot),
-sc AS (SELECT rid, sum(u) AS units, count(*) AS n FROM feat JOIN lw USING (b) GROUP BY rid)
+sc AS (SELECT rid, any_value(trusted) AS trusted, sum(u) AS units, count(*) AS n FROM feat JOIN lw USING (b) GROUP BY rid),
+qu AS (SELECT quantile_disc(floor(units / n::double)::bigint, {low}::double) AS low, quantile_disc(floor(units / n::double)::bigint, 0.5::double) AS middle FROM sc WHERE trusted),
+th AS (SELECT coalesce(low - {spread} * (middle - low), 0) AS least FROM qu)
 """
 
 
@@ -251,13 +287,13 @@ def scores_sql(orders: int = ORDERS) -> str:
     """CTEs up to ``base`` (rid, doc_id, text and counts of every document) and ``sc`` (rid, units, n)."""
     runs = [("c", "true"), ("5 * c + c2", "c2 IS NOT NULL"), ("25 * c + 5 * c2 + c3", "c3 IS NOT NULL")][:orders]
     feat = " UNION ALL ".join(f"SELECT rid, trusted, {k * BUCKETS} + ({x}) % {BUCKETS} AS b FROM coded WHERE {there}" for k, (x, there) in enumerate(runs))
-    return f"{_BASE_SQL} feat AS ({feat}), {_SCORE_SQL.format(space=orders * BUCKETS)}"
+    return f"{_BASE_SQL} feat AS ({feat}), {_SCORE_SQL.format(space=orders * BUCKETS, low=LOW, spread=SPREAD)}"
 
 
 ORACLE = scores_sql() + r"""
 SELECT doc_id, n_words::bigint AS n_words, word_chars::bigint AS word_chars, n_symbols::bigint AS n_symbols, n_dup_lines::bigint AS n_dup_lines,
   n_repeat_words::bigint AS n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(units, 0) >= coalesce(n, 0) * -1250 AS kept,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce(units, 0) >= coalesce(n, 0) * (SELECT least FROM th) AS kept,
   coalesce(floor(units / n::double), 0)::bigint AS score
 FROM base LEFT JOIN sc USING (rid)
 """

@@ -139,6 +139,23 @@ def test_rules_part_junk_from_prose(spark, nothing):
     assert kept.columns == docs.columns and kept.count() == quality_rules.rate(docs).where("kept").count()
 
 
+def test_rules_with_a_target_and_a_threshold(spark):
+    """Texts like those that are passed in stay, whatever most of the table is like; the threshold is that of the target's scores."""
+    rng = np.random.default_rng(4)
+    make = lambda n, p: [" ".join(f"{p}{k}" for k in rng.zipf(1.5, 60) % 200) for _ in range(n)]
+    rows = list(enumerate(make(150, "a") + make(50, "b")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(t, 1) for t in [*make(40, "b"), None, ""]], "text string, doc_id int")
+    rated = {r.doc_id: r for r in quality_rules.rate(docs, target).collect()}
+    assert all(rated[k].kept == (k >= 150 and not rated[k].base_failed) for k in rated) and sum(r.kept for r in rated.values()) > 30
+    assert {r.doc_id for r in quality_rules.keep(docs, target).collect()} == {k for k, r in rated.items() if r.kept}
+    own = quality_rules.rate(docs, docs).collect()  # the table as its own target: its scores are all zero
+    assert all(r.score == 0 and r.kept == (not r.base_failed) for r in own)
+    cut = {r.doc_id: (r.score, r.kept, r.base_failed) for r in quality_rules.rate(docs, target, 0.5).collect()}
+    assert all(kept == (score >= 5000 and not failed) for score, kept, failed in cut.values())
+    assert quality_rules.rate(docs, target.limit(0)).where("kept").count() == sum(not r.base_failed for r in rated.values())
+
+
 # --- n-gram Jaccard join ----------------------------------------------------------------------
 
 
