@@ -18,8 +18,10 @@ it is connected with) and its number of links (documents linked with it, copies
    has less or more than that, its difference, is all that goes on. With r shingles of the reference R
    missing, |A and B| = |R| - r(A) - r(B) + |difference of A and difference of B|.
 
-Buckets of more than ``BUCKET`` nodes and components of more than ``BLOCK`` are cut into blocks, and
-each pair of blocks is a task's work of bounded size; nothing is capped. A component's differences go
+Buckets of more than ``BUCKET`` nodes and components of more than ``BLOCK`` are cut into blocks, and what two blocks have
+to do with each other is a task's work of bounded size; nothing is capped. A large bucket's nodes are first searched block by block,
+with other blocks in each band; most are in one component then, and only nodes outside of it still meet the other blocks.
+Keys that many rows share (``MANY``) are looked up in a broadcast: of those there can only be few. A component's differences go
 to up to ``SPREAD`` blocks of pairs each, to more only if blocks would grow over ``MOST``. Pairs are
 lost only as the method has it: a pair at exactly the threshold shares no band with probability 3e-6, and
 is pruned with about TOLERANCE.
@@ -56,6 +58,7 @@ BUCKET = 4096
 PART_SHINGLES = 1 << 19
 CELLS = 1 << 22
 MAX_BROADCAST = 300_000
+MANY = 100_000  # keys of more than 1 / MANY of the rows: fewer than MANY, so they can be sent to every task
 MEMO = 200_000
 
 _RNG = np.random.default_rng(20_240_229)
@@ -218,17 +221,25 @@ def _block_pairs(rows: DataFrame, n_blocks: Column) -> DataFrame:
     return out.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("n_blocks", "other")
 
 
-def candidates(nodes: DataFrame, folder: str) -> DataFrame:
-    """(u, v) stars over the components of the pairs that share a band and outlive the pruning."""
-    width = 4 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substr(F.col("sig"), k * width + 1, F.lit(width)), k))
-    rows = nodes.select("node", F.explode(keys).alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(rows.join(shared, "band"), f"{folder}/bands")
-    rows = _block_pairs(shared, F.ceil(F.col("size") / BUCKET)).join(nodes.select("node", "sig"), "node")
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
+    """rows with what ``per_key`` has of their key; ``size`` is its column of how many rows have the key.
+
+    Frequent keys are few by their definition and are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    frequent = F.col(size) > max(1000, total // MANY)
+    often = per_key.where(frequent)
+    if often.isEmpty():
+        return rows.join(per_key, key, how)
+    often = F.broadcast(often)  # at most MANY keys
+    rest = rows.join(F.broadcast(per_key.where(frequent).select(key)), key, "left_anti").join(per_key.where(~frequent), key, how)
+    return rows.join(often, key).unionByName(rest)
+
+
+def _searched(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(u, v) stars over the components of surviving pairs in each group of (keys, node, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["band", "bi", "bj"]):
+        for group in _groups(batches, keys):
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
             found = reached(sig)
             if found:
@@ -236,9 +247,63 @@ def candidates(nodes: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
         release()
 
-    keys = ["band", "bi", "bj"]
-    rows = rows.select(*keys, "node", "sig").repartition(*keys).sortWithinPartitions(*keys)
-    return rows.mapInArrow(run, "u binary, v binary")
+    return rows.select(*keys, "node", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u binary, v binary")
+
+
+def candidates(nodes: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame:
+    """(u, v) stars over the components of the pairs that share a band and outlive the pruning."""
+    width = 4 * ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substr(F.col("sig"), k * width + 1, F.lit(width)), k))
+    rows = nodes.select("node", F.explode(keys).alias("band"))
+    sizes = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{folder}/sizes")
+    shared = cut(spread_join(rows, sizes, "band", "size", nodes.count(), "inner"), f"{folder}/bands")
+    sigs = nodes.select("node", "sig")
+    block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / bucket)).cast("int")  # bands part the nodes in different ways
+    first = _searched(shared.select("band", "node", block.alias("block")).join(sigs, "node"), ["band", "block"])
+    large = shared.where(F.col("size") > bucket)
+    if sizes.where(F.col("size") > bucket).isEmpty():
+        return first
+    first = cut(first, f"{folder}/first")
+    label = components(first, folder, "first-labels")
+    large = cut(large.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), f"{folder}/large")
+    each = large.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    most = each.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n")).where("all > n")
+    if most.isEmpty():  # every large band is one component
+        return first
+    few = F.broadcast(most) if most.count() <= MAX_BROADCAST else most
+    left = large.join(few, "band").withColumn("rest", F.col("label") != F.col("most"))
+    # blocks of the greatest component's nodes, then blocks of all others; a pair of blocks of the former has nothing left to find
+    inner, outer = F.ceil(F.col("n") / bucket).cast("int"), F.ceil((F.col("all") - F.col("n")) / bucket).cast("int")
+    own = F.when(F.col("rest"), inner + F.pmod(F.xxhash64("node", "band"), outer)).otherwise(F.pmod(F.xxhash64("node", "band"), inner)).cast("int")
+    other = F.when(F.col("rest"), F.sequence(F.lit(0), inner + outer - 1)).otherwise(F.sequence(inner, inner + outer - 1))
+    pairs = left.select("band", "node", own.alias("own"), F.explode(other).alias("other"))
+    pairs = pairs.select("band", "node", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    return first.unionByName(_searched(pairs.join(sigs, "node"), ["band", "bi", "bj"]))
+
+
+def pairs_left(docs: DataFrame) -> DataFrame:
+    """(step, pairs): pairs of different texts in a band of up to BUCKET texts, and how many of them outlive the pruning after so many values."""
+    nodes = sign(docs).where("sig is not null").groupBy("node").agg(F.first("sig").alias("sig"))
+    width = 4 * ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substr(F.col("sig"), k * width + 1, F.lit(width)), k))
+    rows = nodes.select("node", "sig", F.explode(keys).alias("band"))
+    few = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where(f"size between 2 and {BUCKET}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = [0, *range(STEP, HASHES + 1, STEP)]
+        left = dict.fromkeys(steps, 0)
+        for group in _groups(batches, ["band"]):
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+            for k in range(len(sig)):
+                same = np.cumsum(sig[k + 1 :] == sig[k], axis=1)
+                alive = np.ones(len(same), bool)
+                for n in steps:
+                    alive = alive & (same[:, n - 1] >= _LEAST[n]) if n else alive
+                    left[n] += int(alive.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(steps, pa.int32()), pa.array([left[n] for n in steps], pa.int64())], names=["step", "pairs"])
+
+    found = rows.join(few, "band").select("band", "sig").repartition("band").sortWithinPartitions("band").mapInArrow(run, "step int, pairs long")
+    return found.groupBy("step").agg(F.sum("pairs").alias("pairs"))
 
 
 def _shared(d: list[np.ndarray], e: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -378,11 +443,11 @@ def _join(docs: DataFrame, folder: str, threshold: float) -> DataFrame:
     counts = links.where("n is not null").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n_links"))
     per_node = nodes.select("node", "rep", "copies").join(classes, "node", "left").join(counts, "node", "left").select(
         "node", F.when(F.col("chosen_node").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("chosen_node", "node").alias("chosen_node"),
-        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     per_node = cut(per_node, f"{folder}/per_node")
     remove(docs.sparkSession, work)
     rows = signed.select("doc_id", "node", F.col("sig").isNotNull().alias("worded"))
-    out = rows.join(per_node, "node", "left")
+    out = spread_join(rows, per_node, "node", "copies", rows.count())
     return out.select("doc_id", "node", "worded", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
                       F.when(F.col("worded"), F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), "chosen_node")
 

@@ -239,6 +239,48 @@ def test_texts_are_shipped_once(spark):
     assert np.mean([len(r.diff) / 8 / r.n for r in got]) < 0.2
 
 
+def test_large_bands_lose_no_component(spark, tmp_path):
+    """Blocks of a few nodes, with nearly all of a band in one component or in many: the same components as in one piece."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for g, (size, edits) in enumerate([(90, 1), (40, 3), (40, 4), (30, 40)]):
+        base = [f"g{g}w{k}" for k in range(120)]
+        for _ in range(size):
+            t = list(base)
+            for k in rng.integers(0, 120, edits):
+                t[k] = f"x{rng.integers(0, 1000)}"
+            texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = jaccard_join.sign(docs).select("node", "sig").cache()
+
+    def parts(bucket):
+        edges = jaccard_join.candidates(nodes, f"file://{tmp_path}/{bucket}", bucket)
+        label = {bytes(r.node): bytes(r.label) for r in graph.components(edges, f"file://{tmp_path}/{bucket}", "c").collect()}
+        groups = {}
+        for node, x in label.items():
+            groups.setdefault(x, set()).add(node)
+        return sorted(map(sorted, groups.values()))
+
+    whole = parts(4096)
+    assert parts(7) == whole == parts(20) and max(map(len, whole)) >= 90 and len(whole) > 1
+
+
+def test_frequent_keys_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MANY", 2)
+    rows = spark.createDataFrame([(k, "a" if k % 3 else f"b{k}") for k in range(4000)] + [(k, None) for k in range(4000, 4010)], "i long, key string")
+    per_key = rows.where("key is not null and key <> 'b9'").groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    for how, n in (("left", 4010), ("inner", 3999)):
+        got = jaccard_join.spread_join(rows, per_key, "key", "size", 4010, how)
+        assert got.count() == n and got.where("key = 'a'").agg(F.min("size"), F.max("size"), F.count(F.lit(1))).first() == (2666, 2666, 2666)
+        assert got.where("key = 'b12'").first()["size"] == 1 and got.where("key = 'b9' and size is not null").isEmpty()
+
+
+def test_pairs_left_step_by_step(spark, documents):
+    got = {r.step: r.pairs for r in jaccard_join.pairs_left(documents).collect()}
+    assert sorted(got) == list(range(0, jaccard_join.HASHES + 1, jaccard_join.STEP))
+    assert all(got[a] >= got[b] for a, b in zip(sorted(got), sorted(got)[1:])) and got[jaccard_join.HASHES] > 0
+
+
 def test_block_pairs_by_brute_force():
     rng = np.random.default_rng(8)
     ref = set(range(100))
