@@ -18,6 +18,7 @@ from skyraster.functions import geo, photo
 from skyraster.operators import cloud, control, grid, ml, morph, ortho, terrain
 from skyraster.plans.tables import cut
 from skyraster.schema import RasterMeta
+from skyraster.sources import text_models
 from skyraster.sources.project import Survey
 
 
@@ -131,6 +132,18 @@ def dense(run: Run) -> None:
 
 
 def mesh(run: Run) -> None:
+    if "engine_obj" in run.tables:  # lines of a textured mesh: moved into the survey's system, with a round offset
+        lines = run.tables["engine_obj"]
+        first = text_models.first_vertex(lines).first()
+        if first is None:
+            raise StageError("the mesh has no vertices")
+        at = run.spark.createDataFrame([first])
+        x, y, z = run.sim.columns() if run.sim is not None else (F.col("x"), F.col("y"), F.col("z"))
+        offset = tuple(map(float, at.select(x.alias("x"), y.alias("y"), z.alias("z")).select(*terrain.offset(F.col("x"), F.col("y"))).first()))
+        run.tables["mesh_lines"] = cut(text_models.transform_obj(lines, run.sim, offset), "mesh-lines")
+        counts = text_models.obj_counts(run.tables["mesh_lines"]).first()
+        run.survey.stats |= {"mesh_vertices": counts.vertices, "mesh_faces": counts.faces, "mesh_offset": list(offset), "mesh_engine": "model"}
+        return
     points = run.need("dense")
     e = grid.extent(points).first()
     cell = max(max(e.maxx - e.minx, e.maxy - e.miny) / 400, 0.05)
@@ -198,7 +211,11 @@ def orthomosaic(run: Run) -> None:
             out = out.join(band.select("row", "col", F.least(F.greatest(F.rint("value"), F.lit(0.0)), F.lit(255.0)).cast("int").alias(c)), ["row", "col"])
         out, engine = out.withColumn("alpha", F.lit(255)), "splat"
     run.tables["ortho"] = cut(out, "ortho")
-    run.survey.stats["ortho"] = {"w": target.nx, "h": target.ny, "gsd_m": target.cell, "engine": engine}
+    stats = {"w": target.nx, "h": target.ny, "gsd_m": target.cell, "engine": engine}
+    if engine == "true":
+        covered = run.tables["ortho"].where("alpha > 0").count()
+        stats |= {"cameras": run.tables["site_views"].select("site").distinct().count(), "blend_views": 2, "coverage_pct": round(100 * covered / (target.nx * target.ny), 1)}
+    run.survey.stats["ortho"] = stats
 
 
 STAGES: dict[str, Callable[[Run], None]] = {"align": align, "georef": georef, "dense": dense, "mesh": mesh, "classify": classify, "dsm": dsm, "dtm": dtm, "ortho": orthomosaic}

@@ -187,11 +187,19 @@ def utm_xy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "cameras").where("lat is not null").select("cam_id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
-@query("""WITH t AS (SELECT unnest(range(71240, 71260)) AS tx, 0 AS j) SELECT tx, ty FROM (SELECT unnest(range(55000, 55012)) AS ty) y CROSS JOIN t ORDER BY ty, tx LIMIT 150""")
+_SIZE = 2 * geo.ORIGIN / (1 << 20)
+
+
+@query(f"""WITH b AS (SELECT min(radians(lon)) * {geo.EARTH}::double AS west, max(radians(lon)) * {geo.EARTH}::double AS east, min(ln(tan(pi() / 4 + radians(lat) / 2))) * {geo.EARTH}::double AS south,
+  max(ln(tan(pi() / 4 + radians(lat) / 2))) * {geo.EARTH}::double AS north FROM cameras WHERE lat IS NOT NULL),
+x AS (SELECT unnest(range(floor((west + {geo.ORIGIN!r}::double) / {_SIZE!r}::double)::bigint, floor((east + {geo.ORIGIN!r}::double) / {_SIZE!r}::double)::bigint + 1)) AS tx FROM b),
+y AS (SELECT unnest(range(floor(({geo.ORIGIN!r}::double - north) / {_SIZE!r}::double)::bigint, floor(({geo.ORIGIN!r}::double - south) / {_SIZE!r}::double)::bigint + 1)) AS ty FROM b)
+SELECT tx, ty FROM x CROSS JOIN y ORDER BY ty, tx LIMIT 500""")
 def tiles_in_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = 2 * geo.ORIGIN / (1 << 17)
-    west, north = -geo.ORIGIN + 71240.5 * size, geo.ORIGIN - 55000.5 * size
-    return tiles.tiles_in_bounds(spark, west, north - 11 * size, west + 19 * size, north, 17, 150)
+    """The first tiles, row by row, of the rectangle that the geotags span: the cap is the feature."""
+    tagged = load(spark, sf_dir, "cameras").where("lat is not null").select(geo.mercator_x("lon").alias("x"), geo.mercator_y("lat").alias("y"))
+    e = tagged.agg(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north")).first()
+    return tiles.tiles_in_bounds(spark, e.west, e.south, e.east, e.north, 20, 500)
 
 
 _TILES = """tiles AS (SELECT DISTINCT z, floor((lon + 180) / 360 * (1 << z))::bigint AS x, floor((0.5 - lat / 360) * (1 << z))::bigint AS y

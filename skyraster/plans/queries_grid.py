@@ -244,9 +244,12 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "points").where(terrain.in_polygon(_POLYGON, F.col("x"), F.col("y"))).select("pt_id", "x", "y")
 
 
-@query(f"SELECT round(0.5 * abs(sum(x1 * y2 - x2 * y1)), 6) AS area_m2 FROM {_RING}")
+@query("""WITH r AS (SELECT x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2, first_value(x) OVER o AS x0, first_value(y) OVER o AS y0 FROM gcps WINDOW o AS (ORDER BY gcp_id))
+SELECT round(0.5 * abs(sum(x * coalesce(y2, y0) - coalesce(x2, x0) * y)), 6) AS area_m2 FROM r""")
 def shoelace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terrain.polygon_area(terrain.polygon_table(spark, _POLYGON)).select(F.round("area_m2", 6).alias("area_m2"))
+    """Area of the ring that the control points make in the order of their ids."""
+    ring = load(spark, sf_dir, "gcps").select(F.col("gcp_id").alias("i"), "x", "y")
+    return terrain.polygon_area(ring).select(F.round("area_m2", 6).alias("area_m2"))
 
 
 def _volume_sql(base: str) -> str:

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import json
+import math
 import os
 import subprocess
 import sys
+from xml.etree import ElementTree
 
 import duckdb
 import numpy as np
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from skyraster.operators import grid, ml, morph, ortho, terrain
-from skyraster.plans import adapters, catalog, queries_grid, queries_model
+from skyraster.plans import adapters, catalog, queries_catalog, queries_grid, queries_model
 from skyraster.plans.tables import cut
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +121,73 @@ def test_contour_lines_hold_their_segments(spark):
         xy = np.array([(p.x, p.y) for p in r.coords])
         length[round(r.level / 2)] = length.get(round(r.level / 2), 0) + np.hypot(*np.diff(xy, axis=0).T).sum()
     assert all(abs(length[k] - v) < 1e-4 * v + 1e-6 for k, v in want.items() if v > 1) and all(r.is_index == (round(r.level / 2) % 5 == 0) for r in lines)
+
+
+def test_features_by_numpy(spark):
+    """All nine features of every point, from its fifteen nearest points."""
+    got = {r.pt_id: r for r in catalog.QUERIES["cloud_features"](spark, SF).collect()}
+    ids = sorted(got)
+    xyz, rgb = (np.array([[float(got[i][c]) for c in cs] for i in ids]) for cs in ("xyz", "rgb"))
+    low = {}
+    cells = [tuple(np.minimum(np.floor((p[:2] - xyz[:, :2].min(0)) / 3), np.ceil(np.ptp(xyz[:, :2], axis=0) / 3)).astype(int)) for p in xyz]
+    for c, p in zip(cells, xyz, strict=True):
+        low[c] = min(low.get(c, np.inf), p[2])
+    for k, i in enumerate(ids):
+        d2 = ((xyz - xyz[k]) ** 2).sum(1)
+        near = xyz[np.lexsort((ids, d2))[:15]]
+        value, vector = np.linalg.eigh(np.cov(near.T, bias=True))
+        l3, l2, l1 = value
+        light = rgb[k].sum() + 1e-6
+        want = dict(hag=xyz[k, 2] - low[cells[k]], planarity=(l2 - l3) / l1, linearity=(l1 - l2) / l1, sphericity=l3 / l1, surface_variation=l3 / value.sum(), verticality=1 - abs(vector[2, 0]),
+                    z_range=np.ptp(near[:, 2]), greenness=(2 * rgb[k, 1] - rgb[k, 0] - rgb[k, 2]) / light, brightness=light / 3 / 255)
+        assert np.allclose([got[i][c] for c in want], list(want.values()), atol=1e-7), i
+
+
+def test_samples_lie_on_their_faces(spark):
+    """A point for each square metre of a face, within it, and all vertices."""
+    verts, faces = terrain.heightfield(adapters.load(spark, SF, "points"), 5.0)
+    at = {r.vid: np.array((r.x, r.y, r.z)) for r in verts.collect()}
+    corners = np.array([[at[r.a], at[r.b], at[r.c]] for r in faces.collect()])
+    area = np.linalg.norm(np.cross(corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]), axis=1) / 2
+    rows = catalog.QUERIES["mesh_samples"](spark, SF).toPandas().to_numpy()
+    assert len(rows) == len(at) + np.minimum(np.ceil(area), 64).sum()
+    known = {tuple(np.round(v, 9)) for v in at.values()}
+    extra = np.array([r for r in rows if tuple(np.round(r, 9)) not in known])
+    for p in extra[::50]:
+        weights = [np.linalg.solve(np.vstack([c[:, :2].T, np.ones(3)]), [*p[:2], 1.0]) for c in corners if (c[:, :2].min(0) - 1e-9 <= p[:2]).all() and (p[:2] <= c[:, :2].max(0) + 1e-9).all()]
+        assert any((w > -1e-6).all() for w in weights)
+
+
+def test_contour_texts_hold_their_lines(spark):
+    surface, meta = queries_grid._surface(spark, SF, 8.0)
+    lines = {r.line_id: r for r in terrain.contours(surface, meta, 5.0).collect()}
+    ring = lambda r: [[round(p.x, 3), round(p.y, 3)] for p in r.coords]
+    for r in catalog.QUERIES["contour_geojson"](spark, SF).collect():
+        doc = json.loads(r.value)
+        want = lines[r.line_id]
+        assert doc["properties"] == {"elevation": want.level, "index": int(want.is_index)} and np.allclose(doc["geometry"]["coordinates"], ring(want), atol=1.1e-3)
+    found = catalog.QUERIES["contour_dxf"](spark, SF).collect()
+    assert {r.line_id for r in found} == set(lines)
+    for r in found:
+        pairs = r.value.split("\n")
+        code = list(zip(pairs[::2], pairs[1::2], strict=True))
+        x, y, z = ([float(v) for c, v in code if c == n] for n in ("10", "20", "30"))
+        want = lines[r.line_id]
+        assert np.allclose(np.column_stack([x, y]), ring(want), atol=1.1e-3) and set(z) == {round(want.level, 3)} and ("8", "CONTOUR_MAJOR" if want.is_index else "CONTOUR_MINOR") in code
+
+
+def test_overlay_links_its_tiles(spark):
+    """Each document has its tile's box and picture, and links to just those children that there are."""
+    tiles_ = {(r.z, r.x, r.y) for r in queries_catalog._camera_tiles(spark, SF).collect()}
+    docs = {r.path: r.kml for r in catalog.QUERIES["kml_overlay"](spark, SF).collect()}
+    assert set(docs) == {"doc.kml", *(f"{z}/{x}/{y}.kml" for z, x, y in tiles_)}
+    for z, x, y in tiles_:
+        root = ElementTree.fromstring(docs[f"{z}/{x}/{y}.kml"].encode())
+        tag = lambda e, *path: e.findall("/".join("{http://www.opengis.net/kml/2.2}" + p for p in path))
+        box = {k: float(tag(root, "Document", "GroundOverlay", "LatLonBox", k)[0].text) for k in ("north", "south", "east", "west")}
+        lon = lambda v, z=z: v / 2**z * 360 - 180
+        lat = lambda v, z=z: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * v / 2**z))))
+        assert np.allclose([box["west"], box["east"], box["north"], box["south"]], [lon(x), lon(x + 1), lat(y), lat(y + 1)], atol=1e-8)
+        links = {e.text for e in tag(root, "Document", "NetworkLink", "Link", "href")}
+        assert links == {f"../../{c[0]}/{c[1]}/{c[2]}.kml" for c in tiles_ if c[0] == z + 1 and (c[1] // 2, c[2] // 2) == (x, y)}
+        assert tag(root, "Document", "GroundOverlay", "Icon", "href")[0].text == f"{y}.png"

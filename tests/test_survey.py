@@ -562,3 +562,18 @@ def test_numbers_go_on(spark):
     got = tables.numbered(rows, ["path"], "n", 10).collect()
     assert {(r.path, r.n) for r in got} == {(f"p{k:04d}", 10 + k) for k in range(500)}
     assert tables.numbered(rows.limit(0), ["path"], "n").count() == 0
+
+
+def test_mesh_of_an_engine(spark):
+    """An engine's OBJ moves into the survey's system; a round offset is taken off its vertices."""
+    text = ["mtllib m.mtl", "v 1 2 3", "v 4 5 6 0.5 0.5 0.5", "vt 0 0", "vn 0 0 1", "f 1/1/1 2/1/1 1/1/1"]
+    lines = spark.createDataFrame([("m.obj", k, t) for k, t in enumerate(text)], "path string, pos int, value string")
+    sim = control.similarity_from([2, 0, -1, 0, 1, 0, 0, 0, 0, 1, 500_000, 4_000_000, 50])
+    run = pipeline.Run(spark, project.Survey(), {"engine_obj": lines}, sim=sim, log=lambda m: None)
+    assert pipeline.execute(run, ["mesh"]) == (True, "")
+    got = [r.value for r in run.tables["mesh_lines"].orderBy("pos").collect()]
+    assert got == ["mtllib m.mtl", "v 96.0000 2.0000 56.0000", "v 90.0000 8.0000 62.0000 0.5 0.5 0.5", "vt 0 0", "vn 0.0000 0.0000 1.0000", "f 1/1/1 2/1/1 1/1/1"]
+    assert run.survey.stats["mesh_offset"] == [499_900.0, 4_000_000.0, 0.0] and (run.survey.stats["mesh_vertices"], run.survey.stats["mesh_faces"]) == (2, 1)
+    assert run.spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    run.tables["engine_obj"] = lines.where("pos > 2")
+    assert not pipeline.execute(run, ["mesh"])[0]
