@@ -17,6 +17,7 @@ from skyraster.plans.tables import numbered
 
 MAX_SMALL = 1_000_000  # rows of a table that is sent to every task
 POINT_BLOCK = 128
+MOST_TIES = 4000  # tie points that are adjusted on the driver
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -347,38 +348,55 @@ def refine(views: DataFrame, ties: DataFrame, tracks: DataFrame, gcps: DataFrame
 
     None if there is too little to hold on to: two views, three marked control points with six
     marks, six observations a view. One shared lens is calibrated too if all views have one camera
-    model and fifteen observations each. What reaches the driver is bounded: views, and the tie
-    points of ``tie_sample`` with their tracks.
+    model and fifteen observations each. Views reach the driver. Up to MOST_TIES tie points are
+    solved there too; more stay in tables (``bundle.adjust``), all of them.
     """
     cams = views.select("cam_id", "name", "camera_id", "qw", "qx", "qy", "qz", "tx", "ty", "tz", "fx", "fy", "ppx", "ppy").orderBy("cam_id").toPandas()
-    fixed = markable(gcps).select("gcp_id", "x", "y", "z").join(marks.select("gcp_id").distinct(), "gcp_id", "left_semi").orderBy("gcp_id").toPandas()
-    if len(cams) < 2 or len(fixed) < 3:
+    marked = marks.join(small(views.select("cam_id")), "cam_id", "left_semi").select("cam_id", "gcp_id", "px", "py")
+    fixed = markable(gcps).select("gcp_id", "x", "y", "z").join(marks.select("gcp_id").distinct(), "gcp_id", "left_semi")
+    marked = marked.join(fixed.select("gcp_id"), "gcp_id", "left_semi")
+    held = marked.agg(F.count_distinct("gcp_id").alias("points"), F.count(F.lit(1)).alias("n")).first()
+    if len(cams) < 2 or fixed.count() < 3 or held.points < 3 or held.n < 6:
         return None
-    picked = small(tie_sample(sim.apply(ties.select("pid", "x", "y", "z"))))
-    free = picked.orderBy("pid").toPandas()
-    seen = usable_tracks(tracks, small(views.select("name")), picked.select("pid")).select("name", "pid", "u", "v").orderBy("name", "pid", "u", "v").toPandas()
-    marked = marks.join(small(views.select("cam_id")), "cam_id", "left_semi").select("cam_id", "gcp_id", "px", "py").orderBy("cam_id", "gcp_id").toPandas()
-    marked = marked[marked["gcp_id"].isin(fixed["gcp_id"])]
-    by_name, by_id = {x: k for k, x in enumerate(cams["name"])}, {x: k for k, x in enumerate(cams["cam_id"])}
-    tie_row, gcp_row = {x: k for k, x in enumerate(free["pid"])}, {x: len(free) + k for k, x in enumerate(fixed["gcp_id"])}
-    obs = np.concatenate([
-        np.column_stack([seen["name"].map(by_name), seen["pid"].map(tie_row), seen["u"], seen["v"]]).astype(float).reshape(-1, 4),
-        np.column_stack([marked["cam_id"].map(by_id), marked["gcp_id"].map(gcp_row), marked["px"], marked["py"]]).astype(float).reshape(-1, 4)])
-    if marked["gcp_id"].nunique() < 3 or len(marked) < 6 or len(obs) < 6 * len(cams):
+    world_ties = sim.apply(ties.select("pid", "x", "y", "z"))
+    tables = ties.limit(MOST_TIES + 1).count() > MOST_TIES
+    seen = usable_tracks(tracks, small(views.select("name")), ties.select("pid")).select("name", "pid", "u", "v")
+    n_obs = seen.count() + held.n
+    if n_obs < 6 * len(cams):
         return None
     w, x, y, z = cams[["qw", "qx", "qy", "qz"]].to_numpy(float).T
     local = np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
                       2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], axis=1).reshape(-1, 3, 3)
     world = local @ sim.R.T
-    points = np.concatenate([free[["x", "y", "z"]].to_numpy(float), fixed[["x", "y", "z"]].to_numpy(float)])
-    middle = points.mean(0)  # projected coordinates are large; around their middle nothing is lost
+    # projected coordinates are large; around the control points' middle nothing is lost
+    middle = np.array(fixed.agg(*[F.avg(c) for c in "xyz"]).first(), float)
     shift = sim.s * cams[["tx", "ty", "tz"]].to_numpy(float) - world @ (sim.t - middle)
-    shared = cams["camera_id"].nunique() == 1 and len(obs) > 15 * len(cams)
+    shared = cams["camera_id"].nunique() == 1 and n_obs > 15 * len(cams)
     lens = np.column_stack([(cams["fx"] + cams["fy"]) / 2, cams["ppx"], cams["ppy"], np.zeros(len(cams))])
-    held = np.arange(len(points)) >= len(free)
-    out = bundle_adjust(rotation_vector(world), shift, lens[:1] if shared else lens, points - middle, held, obs, refine_intrinsics=shared)
+    start = (rotation_vector(world), shift, lens[:1] if shared else lens)
+    near = [(F.col(c) - float(m)).alias(c) for c, m in zip("xyz", middle, strict=True)]
+    if tables:
+        from skyraster.operators import bundle
+
+        number = small(views.sparkSession.createDataFrame([(int(c), n, k) for k, (c, n) in enumerate(zip(cams["cam_id"], cams["name"], strict=True))], "cam_id long, name string, cam int"))
+        own = (-1 - F.col("gcp_id")).alias("pid")  # beside the tie points' ids, which are not negative
+        points = world_ties.select("pid", *near, F.lit(False).alias("fixed")).unionByName(fixed.select(own, *near, F.lit(True).alias("fixed")))
+        observed = seen.join(number, "name").select("pid", "cam", "u", "v").unionByName(marked.join(number, "cam_id").select(own, "cam", F.col("px").alias("u"), F.col("py").alias("v")))
+        out = bundle.adjust(points, observed, *start, refine_intrinsics=shared)
+        found = out.intrinsics[0] if shared else None
+    else:
+        free, still = world_ties.select("pid", *near).orderBy("pid").toPandas(), fixed.select("gcp_id", *near).orderBy("gcp_id").toPandas()
+        seen, marked = seen.orderBy("name", "pid", "u", "v").toPandas(), marked.orderBy("cam_id", "gcp_id").toPandas()
+        by_name, by_id = {x: k for k, x in enumerate(cams["name"])}, {x: k for k, x in enumerate(cams["cam_id"])}
+        tie_row, gcp_row = {x: k for k, x in enumerate(free["pid"])}, {x: len(free) + k for k, x in enumerate(still["gcp_id"])}
+        obs = np.concatenate([
+            np.column_stack([seen["name"].map(by_name), seen["pid"].map(tie_row), seen["u"], seen["v"]]).astype(float).reshape(-1, 4),
+            np.column_stack([marked["cam_id"].map(by_id), marked["gcp_id"].map(gcp_row), marked["px"], marked["py"]]).astype(float).reshape(-1, 4)])
+        points = np.concatenate([free[["x", "y", "z"]].to_numpy(float), still[["x", "y", "z"]].to_numpy(float)])
+        out = bundle_adjust(*start, points, np.arange(len(points)) >= len(free), obs, refine_intrinsics=shared)
+        found = out.intrinsics if shared else None
     centres = -np.einsum("nji,nj->ni", rotation_matrix(out.rvecs), out.tvecs) + middle
-    return Refined({int(c): p for c, p in zip(cams["cam_id"], centres, strict=True)}, out.rmse_before, out.rmse_after, out.n_obs, out.intrinsics if shared else None)
+    return Refined({int(c): p for c, p in zip(cams["cam_id"], centres, strict=True)}, out.rmse_before, out.rmse_after, out.n_obs, found)
 
 
 def bundle_adjust(rvecs: np.ndarray, tvecs: np.ndarray, intrinsics: np.ndarray, points: np.ndarray, fixed: np.ndarray, obs: np.ndarray,

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyraster.functions import geo
+from skyraster.operators import bundle as bundle_
 from skyraster.operators import cloud, control, grid, knn, ml, ortho, terrain, tiles, warp
 from skyraster.plans.adapters import load
 from skyraster.plans.catalog import query
 from skyraster.plans.queries_grid import _DENSE, _FILL, _near, _near_sql, _sql_grid
-from skyraster.plans.tables import cut
+from skyraster.plans.tables import cut, numbered
 from skyraster.schema import RasterMeta
 
 _SIM = control.similarity_from([2, 0, -1, 0, 1, 0, 0, 0, 0, 1, 500000, 4000000, 50])
@@ -181,19 +182,29 @@ def triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.triangulate(control.rays(seen, cams.select("cam_id")))
 
 
+def _flight(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]:
+    """Tie points seen from four cameras each and control points from six, as pixels of straight views with an error of up to half a pixel,
+    and a start off by decimetres: (points, observed, rotation vectors, translations). All errors are hashes of the rows' keys."""
+    off = lambda size, *key: (F.pmod(F.xxhash64(*[F.lit(k) if isinstance(k, str) and not k.startswith("=") else F.col(k[1:]) for k in key]), F.lit(1 << 20)) / float(1 << 20) - 0.5) * 2 * size
+    cams = cut(numbered(load(spark, sf_dir, "cameras").where("est_x is not null"), ["cam_id"], "cam").select(F.col("cam").cast("int").alias("cam"), "cam_id", "est_x", "est_y", "est_z"), "flight")
+    ties = load(spark, sf_dir, "tie_points").select(F.col("pt_id").alias("pid"), (F.col("x") * 3 + 100).alias("x"), (F.col("y") * 3 + 100).alias("y"), (F.col("z") / 5).alias("z"), F.lit(False).alias("fixed"))
+    control_ = load(spark, sf_dir, "gcps").select((-1 - F.col("gcp_id")).alias("pid"), "x", "y", "z", F.lit(True).alias("fixed"))
+    sites = cams.select(F.col("cam").alias("site"), F.col("est_x").alias("sx"), F.col("est_y").alias("sy"))
+    near = knn.nearest_sites(ties, sites, 4, ["pid"]).unionByName(knn.nearest_sites(control_, sites, 6, ["pid"]))
+    seen = near.join(control.small(cams), F.col("site") == F.col("cam"))
+    depth = F.col("est_z") - F.col("z")
+    observed = seen.select("pid", "cam", (2640 + 3700 * (F.col("x") - F.col("est_x")) / depth + off(0.5, "=pid", "=cam_id", "u")).alias("u"), (1978 - 3700 * (F.col("y") - F.col("est_y")) / depth + off(0.5, "=pid", "=cam_id", "v")).alias("v"))
+    start = ties.select("pid", *[(F.col(c) + off(0.3, "=pid", c)).alias(c) for c in "xyz"], "fixed")
+    rows = cams.select("cam", *[(F.col(f"est_{c}") + off(0.3, "=cam_id", c)).alias(c) for c in "xyz"], *[off(0.003, "=cam_id", f"r{c}").alias(f"r{c}") for c in "xyz"]).orderBy("cam").toPandas()
+    turns = rows[["rx", "ry", "rz"]].to_numpy() + [np.pi, 0, 0]
+    return start.unionByName(control_), observed, turns, -np.einsum("nij,nj->ni", control.rotation_matrix(turns), rows[["x", "y", "z"]].to_numpy())
+
+
 @query()
 def bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ties = control.tie_sample(load(spark, sf_dir, "tie_points").withColumnRenamed("pt_id", "pid")).collect()
-    rng = np.random.default_rng(0)
-    pts = np.array([(r.x / 10, r.y / 10, r.z / 10) for r in ties])
-    rvecs, tvecs = rng.normal(0, 0.05, (5, 3)), np.column_stack([rng.normal(0, 2, (5, 2)), np.full(5, 60.0)])
-    lens = np.array([1000.0, 500, 400, 0.0])
-    cam, pt = (a.ravel() for a in np.meshgrid(np.arange(5), np.arange(len(pts)), indexing="ij"))
-    local = np.einsum("nij,nj->ni", control.rotation_matrix(rvecs)[cam], pts[pt]) + tvecs[cam]
-    uv = local[:, :2] / local[:, 2:] * lens[0] + lens[1:3]
-    fixed = np.arange(len(pts)) < 6
-    start = np.where(fixed[:, None], pts, pts + rng.normal(0, 0.05, pts.shape))
-    out = control.bundle_adjust(rvecs + 0.002, tvecs + 0.02, lens, start, fixed, np.column_stack([cam, pt, uv]))
+    """Adjusts all cameras and tie points of the tables; control points stay where they are."""
+    points, observed, turns, shifts = _flight(spark, sf_dir)
+    out = bundle_.adjust(points, observed, turns, shifts, np.array([3700.0, 2640, 1978, 0]))
     return spark.createDataFrame([(out.n_obs, out.rmse_before, out.rmse_after)], "n_obs int, rmse_before double, rmse_after double")
 
 

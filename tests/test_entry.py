@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from skyraster.operators import grid, ml, morph, ortho, terrain
+from skyraster.operators import control, grid, ml, morph, ortho, terrain
 from skyraster.plans import adapters, catalog, queries_catalog, queries_grid, queries_model
 from skyraster.plans.tables import cut
 
@@ -68,9 +68,17 @@ def test_true_ortho_covers_the_surface(spark):
 
 
 def test_bundle_adjusts_all_tie_points(spark):
-    n = adapters.load(spark, "/root/testdata/sf0.01", "tie_points").count()
-    got = catalog.QUERIES["bundle"](spark, "/root/testdata/sf0.01").first()
-    assert n > 60 and got.n_obs == 5 * n and got.rmse_after < got.rmse_before
+    """What the query finds is what the dense solver finds on the same rows."""
+    n, m = (adapters.load(spark, SF, t).count() for t in ("tie_points", "gcps"))
+    got = catalog.QUERIES["bundle"](spark, SF).first()
+    points, observed, turns, shifts = queries_model._flight(spark, SF)
+    seen = min(4, len(turns)), min(6, len(turns))
+    assert n > 60 and got.n_obs == seen[0] * n + seen[1] * m and got.rmse_after < 0.5 < got.rmse_before
+    rows = points.orderBy("pid").toPandas()
+    place = {p: k for k, p in enumerate(rows["pid"])}
+    obs = np.array([(r.cam, place[r.pid], r.u, r.v) for r in observed.collect()])
+    want = control.bundle_adjust(turns, shifts, np.array([3700.0, 2640, 1978, 0]), rows[["x", "y", "z"]].to_numpy(float), rows["fixed"].to_numpy(bool), obs)
+    assert np.isclose(got.rmse_before, want.rmse_before, rtol=1e-9) and np.isclose(got.rmse_after, want.rmse_after, rtol=1e-6)
 
 
 def test_forest_is_trained_with_the_defaults(spark, monkeypatch):
