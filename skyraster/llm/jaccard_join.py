@@ -54,7 +54,7 @@ TOLERANCE = 1e-8
 BLOCK = 128
 SPREAD = 32
 MOST = 8192
-BUCKET = 4096
+BUCKET = 1024
 PART_SHINGLES = 1 << 19
 CELLS = 1 << 22
 MAX_BROADCAST = 300_000
