@@ -171,7 +171,9 @@ def rig(spark, marks=True):
     return pipeline.Run(spark, project.Survey(), tables, log=lambda m: None), centres + move
 
 
-def test_georef_adjusts_the_bundle(spark):
+@pytest.mark.parametrize("ties", [4000, 10])
+def test_georef_adjusts_the_bundle(spark, monkeypatch, ties):
+    monkeypatch.setattr(control, "MOST_TIES", ties)  # on the driver, and in tables
     run, truth = rig(spark)
     pipeline.georef(run)
     stats = run.survey.stats
