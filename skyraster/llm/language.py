@@ -273,11 +273,12 @@ def sample(docs: DataFrame, n_windows: int = TRAIN_WINDOWS) -> list:
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # one row for each output of the network
     counts = docs.sparkSession.createDataFrame(counts.collect(), counts.schema)
     n_docs = max(1.0, n_windows / DOC_WINDOWS / max(counts.count(), 1))
-    u = (F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    key = F.coalesce("doc_id", F.xxhash64("text"))  # rows without an id are told apart by their text
+    u = (F.pmod(F.xxhash64(F.lit("language"), key), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     few = rows.join(F.broadcast(counts), "lang").where(u < n_docs / F.col("n"))
     most = F.least(F.ceil(F.length("text") / WINDOW).cast("int"), F.lit(DOC_WINDOWS))
     room = F.greatest(F.length("text") - WINDOW + 1, F.lit(1))
-    start = F.pmod(F.xxhash64("doc_id", F.col("k")), room.cast("long")).cast("int") + 1
+    start = F.pmod(F.xxhash64(key, F.col("k")), room.cast("long")).cast("int") + 1
     windows = few.select("lang", "doc_id", "text", F.explode(F.sequence(F.lit(1), most)).alias("k")).select("lang", "doc_id", "k", F.substr("text", start, F.lit(WINDOW)).alias("text"))
     return windows.orderBy("lang", "doc_id", "k", "text").collect()
 

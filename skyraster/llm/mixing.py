@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
-Every document gets an exponential key ``-ln(u) / weight``: u is a hash of its doc_id, weight
+Every document gets an exponential key ``-ln(u) / weight``: u is a hash of its doc_id (of its text, where that is null), weight
 a column that is passed in, or else its quality: one plus the mean log ratio of its words under trusted and
 under all texts (see quality_rules), held between ``LEAST`` and ``MOST``. Sorted by key within its source, the documents' sizes are prefix-summed to the
 source's budget. Budgets follow the source weights, and stop at ``cap`` times the source's
@@ -44,7 +44,8 @@ def measure(docs: DataFrame, folder: str, seed: str = SEED, weight: str | None =
 
     weight: a column of docs, above 0; without one the weight is the text's quality.
     """
-    text, name = F.expr(_TEXT), F.expr("coalesce(cast(doc_id as string), '')")
+    text = F.expr(_TEXT)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(text))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     known = [F.col("doc_id").cast("long").alias("_doc"), F.col("source").cast("string").alias("_source"), F.md5(text).alias("_tie"), u.alias("_u")]
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != weight]).alias("_row")] if rows else []
@@ -159,7 +160,7 @@ def apply(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
 ORACLE = quality_rules.scores_sql(ORDERS) + r""",
 m AS (
   SELECT base.doc_id, source, n_words AS size, md5(text) AS tie, least(greatest(1.0::double + coalesce(units, 0)::double / greatest(n_words, 1)::double / 10000.0::double, 0.05::double), 1.5::double) AS weight,
-    (('0x' || substr(md5('mix:' || coalesce(cast(base.doc_id AS varchar), '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double AS u
+    (('0x' || substr(md5('mix:' || coalesce(cast(base.doc_id AS varchar), md5(text))), 1, 13))::bigint::double + 0.5::double) / 4503599627370496::double AS u
   FROM base LEFT JOIN sc USING (rid)),
 k AS (SELECT doc_id, source, size, tie, -ln(u) / weight AS key FROM m),
 s AS (SELECT source, sum(size)::double AS source_size FROM k GROUP BY source),

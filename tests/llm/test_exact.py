@@ -509,6 +509,16 @@ def test_edges_are_divided_until_small(spark, nothing, edge_rows, monkeypatch):
     assert got == want
 
 
+def test_rows_without_ids_are_told_apart(spark):
+    """Many different texts without an id have keys of their own, so that about the budget is taken, not all or none."""
+    rows = [(None, f"w{k} " * 10, "a", 1.0) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    measured = mixing.measure(docs, common.shared_dir(spark), weight="q")
+    assert measured.select("_key").distinct().count() == 500
+    taken = [r.taken for r in mixing.mix(docs, share=0.5, weight="q").collect()]
+    assert abs(sum(taken) - 2500) <= 10
+
+
 def test_weights_are_passed_in(spark):
     rows = [(k, "w " * 20, "a", 0.01 if k % 2 else 1.0) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")

@@ -296,6 +296,12 @@ def test_language_on_held_out_rows(spark, documents, nothing):
     assert {r.doc_id: r.lang_pred == "und" for r in got} == {-1: True, -2: False}
 
 
+def test_texts_without_ids_are_sampled_one_by_one(spark):
+    rows = [(None, f"text number {k} of some length " * 20, "en" if k % 2 else "de") for k in range(4000)]
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4000)
+    assert 300 < len(got) < 1500 and {r.lang for r in got} == {"en", "de"}
+
+
 def test_gradients_by_differences():
     model = language.Model(["a", "b", "c"])
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
