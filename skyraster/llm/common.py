@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+MANY = 100_000  # keys of more than 1 / MANY of the rows: fewer than MANY, so they can be sent to every task
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,3 +83,18 @@ def ensure(df: DataFrame, **types: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: str | list[str], size: str, total: int, how: str = "left") -> DataFrame:
+    """rows with what ``per_key`` has of their keys; ``size`` is its column of how many of the ``total`` rows have the key.
+
+    Frequent keys are few by their definition and are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    frequent = F.col(size) > max(1000, total // MANY)
+    often = per_key.where(frequent)
+    if often.isEmpty():
+        return rows.join(per_key, keys, how)
+    often = F.broadcast(often)  # at most MANY keys
+    rest = rows.join(F.broadcast(per_key.where(frequent).select(*keys)), keys, "left_anti").join(per_key.where(~frequent), keys, how)
+    return rows.join(often, keys).unionByName(rest)

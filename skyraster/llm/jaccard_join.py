@@ -21,7 +21,7 @@ it is connected with) and its number of links (documents linked with it, copies
 Buckets of more than ``BUCKET`` nodes and components of more than ``BLOCK`` are cut into blocks, and what two blocks have
 to do with each other is a task's work of bounded size; nothing is capped. A large bucket's nodes are first searched block by block,
 with other blocks in each band; most are in one component then, and only nodes outside of it still meet the other blocks.
-Keys that many rows share (``MANY``) are looked up in a broadcast: of those there can only be few. A component's differences go
+Keys that many rows share are looked up in a broadcast (``common.spread_join``): of those there can only be few. A component's differences go
 to up to ``SPREAD`` blocks of pairs each, to more only if blocks would grow over ``MOST``. Pairs are
 lost only as the method has it: a pair at exactly the threshold shares no band with probability 3e-6, and
 is pruned with about TOLERANCE.
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyraster.llm.common import cut, ensure, release, remove, shared_dir, small_batches
+from skyraster.llm.common import cut, ensure, release, remove, shared_dir, small_batches, spread_join
 from skyraster.llm.graph import components
 
 NGRAM = 5
@@ -58,7 +58,6 @@ BUCKET = 1024
 PART_SHINGLES = 1 << 19
 CELLS = 1 << 22
 MAX_BROADCAST = 300_000
-MANY = 100_000  # keys of more than 1 / MANY of the rows: fewer than MANY, so they can be sent to every task
 MEMO = 200_000
 
 _RNG = np.random.default_rng(20_240_229)
@@ -221,20 +220,6 @@ def _block_pairs(rows: DataFrame, n_blocks: Column) -> DataFrame:
     return out.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("n_blocks", "other")
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int, how: str = "left") -> DataFrame:
-    """rows with what ``per_key`` has of their key; ``size`` is its column of how many rows have the key.
-
-    Frequent keys are few by their definition and are broadcast, so that their rows stay where they are; the others are shuffled.
-    """
-    frequent = F.col(size) > max(1000, total // MANY)
-    often = per_key.where(frequent)
-    if often.isEmpty():
-        return rows.join(per_key, key, how)
-    often = F.broadcast(often)  # at most MANY keys
-    rest = rows.join(F.broadcast(per_key.where(frequent).select(key)), key, "left_anti").join(per_key.where(~frequent), key, how)
-    return rows.join(often, key).unionByName(rest)
-
-
 def _searched(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(u, v) stars over the components of surviving pairs in each group of (keys, node, sig)."""
 

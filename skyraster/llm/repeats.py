@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyraster.llm import induced
-from skyraster.llm.common import cut, ensure, release, remove, shared_dir, small_batches
+from skyraster.llm.common import cut, ensure, release, remove, shared_dir, small_batches, spread_join
 
 class Sizes(NamedTuple):
     """least: bytes of a string; anchor: bytes of an anchor; strip: bytes read at once; hot: bytes of different
@@ -249,13 +249,14 @@ def marks(texts: DataFrame, folder: str, sizes: Sizes = Sizes()) -> DataFrame:
     rows = cut(long.mapInArrow(_all_segments(sizes), f"node binary, {_SEGMENT}, m int"), f"{folder}/segments")
     total = F.sum(F.col("m").cast("long") * F.col("times"))
     anchors = rows.groupBy("h").agg(total.alias("n"), F.min("g").alias("low"), F.max("g").alias("high"), F.min("e").alias("first"), F.max("e").alias("last"))
-    anchors = cut(anchors.where("n > 1").select("h", F.expr("low <> high or first <> last").alias("several")), f"{folder}/anchors")
-    rows = cut(rows.join(anchors, "h"), f"{folder}/rows")
+    anchors = cut(anchors.where("n > 1").select("h", "n", F.expr("low <> high or first <> last").alias("several")), f"{folder}/anchors")
+    count = rows.count()
+    rows = cut(spread_join(rows, anchors, "h", "n", count, "inner").drop("n"), f"{folder}/rows")
     remove(texts.sparkSession, f"{folder}/segments")
     whole = rows.where("not several").select("node", "start", "wide", "times")
     kinds = rows.where("several").groupBy("h", "g", "e").agg(total.alias("copies"), F.min(F.struct("node", "start", "wide", "lead")).alias("one"))
     kinds = cut(kinds.select("h", "g", "e", "copies", "one.*"), f"{folder}/kinds")
-    again = rows.where("several").join(kinds.where("copies > 1").select("h", "g", "e"), ["h", "g", "e"], "left_semi").select("node", "start", "wide", "times")
+    again = spread_join(rows.where("several"), kinds.where("copies > 1").select("h", "g", "e", "copies"), ["h", "g", "e"], "copies", count, "inner").select("node", "start", "wide", "times")
     hot = kinds.groupBy("h").agg(F.sum(F.col("wide") + sizes.least).alias("size")).where(F.col("size") > sizes.hot).select("h", F.lit(True).alias("hot"))
     wanted = kinds.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = wanted.groupBy("node").agg(F.collect_list(F.struct("h", "g", "e", "start", "wide", "lead", "copies", "hot")).alias("wanted"))

@@ -266,11 +266,11 @@ def test_large_bands_lose_no_component(spark, tmp_path):
 
 
 def test_frequent_keys_stay_where_they_are(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "MANY", 2)
+    monkeypatch.setattr(common, "MANY", 2)
     rows = spark.createDataFrame([(k, "a" if k % 3 else f"b{k}") for k in range(4000)] + [(k, None) for k in range(4000, 4010)], "i long, key string")
     per_key = rows.where("key is not null and key <> 'b9'").groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     for how, n in (("left", 4010), ("inner", 3999)):
-        got = jaccard_join.spread_join(rows, per_key, "key", "size", 4010, how)
+        got = common.spread_join(rows, per_key, "key", "size", 4010, how)
         assert got.count() == n and got.where("key = 'a'").agg(F.min("size"), F.max("size"), F.count(F.lit(1))).first() == (2666, 2666, 2666)
         assert got.where("key = 'b12'").first()["size"] == 1 and got.where("key = 'b9' and size is not null").isEmpty()
 
