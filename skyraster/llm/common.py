@@ -86,7 +86,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, keys: str | list[str], size: str, total: int, how: str = "left") -> DataFrame:
-    """rows with what ``per_key`` has of their keys; ``size`` is its column of how many of the ``total`` rows have the key.
+    """rows with what ``per_key`` has of their keys; ``size`` is its column of how many rows (or more) have the key, ``total`` the sum of all sizes, or more.
 
     Frequent keys are few by their definition and are broadcast, so that their rows stay where they are; the others are shuffled.
     """

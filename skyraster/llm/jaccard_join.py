@@ -241,7 +241,7 @@ def candidates(nodes: DataFrame, folder: str, bucket: int = BUCKET) -> DataFrame
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.substr(F.col("sig"), k * width + 1, F.lit(width)), k))
     rows = nodes.select("node", F.explode(keys).alias("band"))
     sizes = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{folder}/sizes")
-    shared = cut(spread_join(rows, sizes, "band", "size", nodes.count(), "inner"), f"{folder}/bands")
+    shared = cut(spread_join(rows, sizes, "band", "size", BANDS * nodes.count(), "inner"), f"{folder}/bands")
     sigs = nodes.select("node", "sig")
     block = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / bucket)).cast("int")  # bands part the nodes in different ways
     first = _searched(shared.select("band", "node", block.alias("block")).join(sigs, "node"), ["band", "block"])

@@ -250,7 +250,7 @@ def marks(texts: DataFrame, folder: str, sizes: Sizes = Sizes()) -> DataFrame:
     total = F.sum(F.col("m").cast("long") * F.col("times"))
     anchors = rows.groupBy("h").agg(total.alias("n"), F.min("g").alias("low"), F.max("g").alias("high"), F.min("e").alias("first"), F.max("e").alias("last"))
     anchors = cut(anchors.where("n > 1").select("h", "n", F.expr("low <> high or first <> last").alias("several")), f"{folder}/anchors")
-    count = rows.count()
+    count = anchors.agg(F.sum("n")).first()[0] or 0
     rows = cut(spread_join(rows, anchors, "h", "n", count, "inner").drop("n"), f"{folder}/rows")
     remove(texts.sparkSession, f"{folder}/segments")
     whole = rows.where("not several").select("node", "start", "wide", "times")
