@@ -11,7 +11,7 @@ from skyraster.plans import report
 from skyraster.plans.adapters import load
 from skyraster.plans.catalog import query
 from skyraster.plans.queries_catalog import _EXIF_SQL
-from skyraster.plans.queries_grid import _surface
+from skyraster.plans.queries_grid import _near, _near_sql, _surface
 from skyraster.sources import binary, text_models
 
 
@@ -174,15 +174,18 @@ def contour_dxf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_models.dxf(terrain.contours(surface, meta, 5.0))
 
 
-_MESH_SQL = """WITH m AS (SELECT min(x) AS minx, min(y) AS miny FROM points),
-c AS (SELECT floor((y - miny) / 5::double)::bigint AS row, floor((x - minx) / 5::double)::bigint AS col, avg(z) AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM points, m GROUP BY 1, 2),
+# Heights are held to 2^-20 m, and written with a half rounded up, as here; a decimal cast does the same.
+_MESH_SQL = f"""WITH m AS (SELECT min(x) AS minx, min(y) AS miny FROM points),
+c AS (SELECT floor((y - miny) / 5::double)::bigint AS row, floor((x - minx) / 5::double)::bigint AS col, {_near_sql('avg(z)')} AS z, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM points, m GROUP BY 1, 2),
 v AS (SELECT *, row_number() OVER (ORDER BY row, col) - 1 AS vid FROM c),
-f AS (SELECT unnest([{'a': a.vid, 'b': b.vid, 'c': c.vid}, {'a': b.vid, 'b': d.vid, 'c': c.vid}]) AS f
+f AS (SELECT unnest([{{'a': a.vid, 'b': b.vid, 'c': c.vid}}, {{'a': b.vid, 'b': d.vid, 'c': c.vid}}]) AS f
   FROM v a JOIN v b ON b.row = a.row AND b.col = a.col + 1 JOIN v c ON c.row = a.row + 1 AND c.col = a.col JOIN v d ON d.row = a.row + 1 AND d.col = a.col + 1)
-SELECT 0 AS part, vid AS pos, format('v {:.4f} {:.4f} {:.4f} {:.4f} {:.4f} {:.4f}', minx + (col + 0.5) * 5, miny + (row + 0.5) * 5, z, floor(r) / 255.0::double, floor(g) / 255.0::double, floor(b) / 255.0::double) AS value FROM v, m
-UNION ALL SELECT 1, f.a, format('f {} {} {}', f.a + 1, f.b + 1, f.c + 1) FROM f"""
+SELECT 0 AS part, vid AS pos, format('v {{:.4f}} {{:.4f}} {{}} {{:.4f}} {{:.4f}} {{:.4f}}', minx + (col + 0.5) * 5, miny + (row + 0.5) * 5, z::varchar::decimal(38, 20)::decimal(20, 4)::varchar,
+  floor(r) / 255.0::double, floor(g) / 255.0::double, floor(b) / 255.0::double) AS value FROM v, m
+UNION ALL SELECT 1, f.a, format('f {{}} {{}} {{}}', f.a + 1, f.b + 1, f.c + 1) FROM f"""
 
 
 @query(_MESH_SQL)
 def mesh_obj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_models.mesh_lines(*terrain.heightfield(load(spark, sf_dir, "points"), 5.0))
+    verts, faces = terrain.heightfield(load(spark, sf_dir, "points"), 5.0)
+    return text_models.mesh_lines(verts.withColumn("z", _near("z")), faces)
