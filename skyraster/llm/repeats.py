@@ -45,8 +45,8 @@ class Sizes(NamedTuple):
     least: int = 400
     anchor: int = 128
     strip: int = 1 << 18
-    hot: int = 16_000_000
-    near: int = 32
+    hot: int = 1_000_000
+    near: int = 64
     shard: int = 2_000_000
 
 
