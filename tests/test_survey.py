@@ -28,6 +28,13 @@ def raster(spark, a):
     return spark.createDataFrame([(int(r), int(c), None if np.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(a)], "row long, col long, value double")
 
 
+def test_photos_are_sorted_by_squared_distance(spark):
+    """Squares that differ in their last bit have one root; the nearer photo still comes first."""
+    near, far = ({**DRONE, "cam_id": k, "est_x": 13.34, "est_y": y} for k, y in ((2, 7.77), (1, 7.7700000000000005)))
+    rows = cameras(spark, far, near, {**DRONE, "cam_id": 0})
+    assert [r.cam_id for r in control.sort_photos(rows, "gcp", (0.0, 0.0)).collect()] == [2, 1, 0]
+
+
 def test_focal_and_gsd(spark):
     f = 5280 * 12.29 / 17.3
     one = cameras(spark, DRONE, {**DRONE, "cam_id": 2, "make": "Unknown", "model": "", "focal_mm": None, "focal35_mm": 24.0})
