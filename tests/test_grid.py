@@ -287,3 +287,21 @@ def test_pyramid_fill_has_no_holes(spark):
     got = array(grid.pyramid_fill(table(spark, a).where("value is not null"), RasterMeta(0, 0, 1, 9, 13)), a.shape)
     assert not np.isnan(got).any()
     assert got[0, 0] == 1 and got[12, 8] == 3
+
+
+def test_a_search_works_out_few_distances(monkeypatch):
+    """With sixteen times the sites a query meets hardly more of them."""
+    count, distances = [0], knn.Index._distances
+
+    def counted(self, *args):
+        out = distances(self, *args)
+        count[0] += out[0].size
+        return out
+
+    monkeypatch.setattr(knn.Index, "_distances", counted)
+    rng, met = np.random.default_rng(5), []
+    for n in (4_000, 64_000):
+        count[0] = 0
+        knn.Index(rng.uniform(0, 100, (n, 2)), 2).nearest(rng.uniform(0, 100, (3_000, 2)), 2)
+        met.append(count[0] / 3_000)
+    assert met[1] < 1.2 * met[0] < 200
