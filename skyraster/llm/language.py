@@ -33,7 +33,7 @@ from skyraster.llm.common import ensure, release
 from skyraster.llm.quality_model import held_out
 
 HIDDEN = 16
-CHUNK = 1024
+CHUNK = 2048
 BACK = 64
 SAME = 1e-3
 LANES = 2048

@@ -325,6 +325,20 @@ def test_gradients_by_differences():
             assert g[name].reshape(-1)[k] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=2e-4), name
 
 
+def test_texts_of_two_thousand_bytes_are_read_once(monkeypatch):
+    """No state has to be worked out twice for texts of usual lengths."""
+    steps, run = [0], language.Model._pass
+
+    def counted(self, way, data, active, *rest):
+        steps[0] += sum(active)
+        return run(self, way, data, active, *rest)
+
+    monkeypatch.setattr(language.Model, "_pass", counted)
+    raw, sizes = np.random.default_rng(2).integers(97, 123, 6_000, dtype=np.uint8), np.array([2_000, 2_000, 2_000])
+    language.Model(["a", "b"]).texts(raw, np.cumsum(sizes) - sizes, sizes)
+    assert steps[0] == 2 * len(raw)
+
+
 @pytest.mark.parametrize(("chunk", "back", "lanes"), [(7, 2, 3), (50, 64, 4), (1024, 64, 2048)])
 def test_whole_texts_are_read(chunk, back, lanes, monkeypatch):
     """Chunks give what one run over each whole text gives, and words are not read by themselves."""
