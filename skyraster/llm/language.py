@@ -33,12 +33,13 @@ from skyraster.llm.common import ensure, release
 from skyraster.llm.quality_model import held_out
 
 HIDDEN = 16
-CHUNK = 2048
+CHUNK = 8192
 BACK = 64
 SAME = 1e-3
 LANES = 2048
-CELLS = 1 << 24  # of a table of logits: lanes * CHUNK * languages
-BYTES = 16_000_000
+BLOCK = 16  # steps whose probabilities are worked out together
+CELLS = 1 << 25  # of a table of logits: lanes * steps * languages
+BYTES = 32_000_000
 WINDOW = 96
 TRAIN_WINDOWS = 40_000
 DOC_WINDOWS = 40
@@ -147,30 +148,34 @@ class Model:
 
     def _pass(self, way: str, data: np.ndarray, active: list[int], state: np.ndarray, sink: Callable[[int, np.ndarray], None] | None = None) -> np.ndarray:
         """Last states after the steps (rows) of data; at step k the first active[k] lanes run. ``sink``: sees the states of each step."""
-        h, size = HIDDEN, state.shape
-        x, u = self.p["x" + way].copy(), self.p["u" + way].copy()
-        x[:, : 2 * h] *= 0.5
-        u[:, : 2 * h] *= 0.5  # a sigmoid is a tanh of half its argument
-        xs, us = ([np.ascontiguousarray(w[:, k * h : (k + 1) * h]) for k in range(3)] for w in (x, u))
-        room = [np.empty(size, np.float32) for _ in range(4)]
-        for k, n in enumerate(active):
-            now, byte = state[:n], data[k, :n]
-            reset, update, new, inner = (r[:n] for r in room)
-            for gate, w, v in ((reset, xs[0], us[0]), (update, xs[1], us[1])):
-                np.take(w, byte, axis=0, out=gate, mode="clip")
-                gate += np.matmul(now, v, out=inner)
-                np.tanh(gate, out=gate)
-                gate *= 0.5
-                gate += 0.5
-            np.take(xs[2], byte, axis=0, out=new, mode="clip")
-            reset *= np.matmul(now, us[2], out=inner)
-            new += reset
-            np.tanh(new, out=new)
-            now -= new
-            now *= update
-            now += new
-            if sink is not None:
-                sink(k, now)
+        h = HIDDEN
+        # exp takes half the time of tanh: a sigmoid is 1 / (1 + exp(-a)), a tanh 2 / (1 + exp(-2a)) - 1; signs and the 2 are in the weights.
+        scale = np.array([-1, -1, -2], np.float32)[:, None, None]
+        x, u = (np.ascontiguousarray(self.p[w + way].reshape(-1, 3, h).swapaxes(0, 1) * scale) for w in "xu")
+        x, rows = x.reshape(-1, h), np.arange(3)[:, None] * 256
+        room, width = [np.empty(3 * state.size, np.float32) for _ in range(2)], -1
+        with np.errstate(over="ignore"):  # of a gate that is shut
+            for k, n in enumerate(active):
+                if n != width:
+                    width, now = n, state[:n]
+                    gate, inner = (r[: 3 * n * h].reshape(3, n, h) for r in room)
+                    (reset, update, new), both, recent = gate, gate[:2], inner[2]
+                np.take(x, data[k, :n] + rows, axis=0, out=gate, mode="clip")
+                np.matmul(now, u, out=inner)
+                both += inner[:2]
+                np.exp(both, out=both)
+                both += 1
+                recent /= reset
+                new += recent
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                now -= new
+                now /= update
+                now += new
+                if sink is not None:
+                    sink(k, now)
         return state
 
     def _carried(self, way: str, raw: np.ndarray, at: np.ndarray, edge: np.ndarray) -> np.ndarray:
@@ -197,7 +202,11 @@ class Model:
         sign, active = (1, 0) if way == "f" else (-1, -1), [int(k) for k in (n[:, None] > np.arange(n.max(initial=0))).sum(0)]
         step = np.arange(len(active))[:, None]
         place = at + sign[1] - sign[0] * n + sign[0] * step
-        return self._pass(way, raw[np.clip(place, 0, len(raw) - 1)], active, np.zeros((len(at), HIDDEN), np.float32))
+        return self._pass(way, self._bytes(raw, place), active, np.zeros((len(at), HIDDEN), np.float32))
+
+    @staticmethod
+    def _bytes(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return raw[np.clip(place, 0, len(raw) - 1, out=place)]
 
     def texts(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Sum over its bytes of each text's probabilities."""
@@ -211,36 +220,44 @@ class Model:
         ahead[inner] = self._carried("f", raw, first[inner], starts[text[inner]])
         behind[more] = self._carried("b", raw, last[more], (starts + sizes)[text[more]])
         order = np.argsort(first - last, kind="stable")  # longest first
-        lanes = max(16, min(LANES, CELLS // (CHUNK * len(self.languages))))
-        for lo in range(0, len(order), lanes):
-            some = order[lo : lo + lanes]
+        out, ones = self.p["o"], np.ones((len(self.languages),) * 2, np.float32)
+        wide = np.abs(out).sum(0).max() + np.abs(self.p["c"]).max() > 80  # else no exp is out of range
+        lo = 0
+        while lo < len(order):
+            steps = int((last - first)[order[lo]])
+            some = order[lo : lo + max(16, min(LANES, CELLS // (steps * len(self.languages))))]
+            lo += len(some)
             length = (last - first)[some]
-            steps = int(length[0])
             step = np.arange(steps)[:, None]
             # Lanes end together, so that both readers' steps meet without looking places up.
-            logits = np.empty((steps, len(self.languages), len(some)), np.float32)
-            out = np.ascontiguousarray(self.p["o"].T)
+            logits = np.zeros((steps, len(some), len(self.languages)), np.float32)
 
             def forwards(k: int, state: np.ndarray) -> None:
-                np.matmul(out[:, :HIDDEN], state.T, out=logits[k, :, : len(state)])
+                np.matmul(state, out[:HIDDEN], out=logits[k, : len(state)])
 
-            data = raw[np.clip(last[some] - steps + step, 0, len(raw) - 1)]
+            data = self._bytes(raw, last[some] - steps + step)
             self._pass("f", data, (length[None, :] >= steps - step).sum(1).tolist(), ahead[some], forwards)
-            sums = np.zeros((len(self.languages), len(some)))
+            sums = np.zeros((len(some), len(self.languages)))
+            left = (length[None, :] > step).sum(1).tolist()
 
             def backwards(k: int, state: np.ndarray) -> None:
-                m = len(state)
-                z = out[:, HIDDEN:] @ state.T
-                z += logits[steps - 1 - k, :, :m]
-                z += self.p["c"][:, None]
-                z -= z.max(0)
-                np.exp(z, out=z)
-                z /= z.sum(0)
-                sums[:, :m] += z
-
-            data = raw[np.clip(last[some] - 1 - step, 0, len(raw) - 1)]
-            self._pass("b", data, (length[None, :] > step).sum(1).tolist(), behind[some], backwards)
-            np.add.at(total, text[some], sums.T)
+                at = steps - 1 - k
+                logits[at, : len(state)] += state @ out[HIDDEN:]
+                if at % BLOCK == 0:  # the steps from here on are done
+                    running = left[max(k - BLOCK + 1, 0) : k + 1]
+                    z = np.ascontiguousarray(logits[at : at + BLOCK, : running[0]])
+                    z += self.p["c"]
+                    if wide:
+                        z -= z.max(2, keepdims=True)
+                    np.exp(z, out=z)
+                    z /= z @ ones if len(ones) <= 16 else z.sum(2, keepdims=True)
+                    for j, m in enumerate(reversed(running)):
+                        z[j, m:] = 0  # shorter texts
+                    sums[: running[0]] += z.sum(0)
+
+            data = self._bytes(raw, last[some] - 1 - step)
+            self._pass("b", data, left, behind[some], backwards)
+            np.add.at(total, text[some], sums)
         return total
 
     def column(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
