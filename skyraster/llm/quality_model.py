@@ -147,23 +147,26 @@ def contexts(docs: DataFrame) -> np.ndarray:
 
 
 def vectors(sums: np.ndarray) -> np.ndarray:
-    """Word vectors: context of length one, and index."""
+    """Word vectors: context of length one, in steps of 2^-24, and index."""
     length = np.sqrt((sums.astype(np.float64) ** 2).sum(1, keepdims=True))
-    return np.hstack([sums / np.maximum(length, 1), INDEX]).astype(np.float32)
+    return np.hstack([np.rint(sums / np.maximum(length, 1) * 2**24) / 2**24, INDEX]).astype(np.float32)
 
 
 def pool(texts: pa.Array, table: np.ndarray) -> np.ndarray:
-    """One row for each text: mean word vector, log of the number of words."""
-    out = []
+    """One row for each text: mean word vector, log of the number of words.
+
+    Sums are double, of steps of 2^-24: exact below 2^29 words, so that a row does not depend on the rows beside it.
+    """
+    table, out = table.astype(np.float64), []
     for words, row, again in word_ids(texts):
-        n = (np.bincount(row, minlength=len(again)) + again).astype(np.float32)
-        total = again[:, None].astype(np.float32) * table[REPEAT]
+        n = (np.bincount(row, minlength=len(again)) + again).astype(np.float64)
+        total = again[:, None] * table[REPEAT]
         cuts = np.searchsorted(row, np.arange(0, len(again) + STRIP, STRIP))
         for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):  # counts of words times vectors
             some = total[k * STRIP : (k + 1) * STRIP]
             bag = np.bincount((row[lo:hi] - k * STRIP) * VOCAB + words[lo:hi], minlength=len(some) * VOCAB)
-            some += bag.reshape(len(some), VOCAB).astype(np.float32) @ table
-        out.append(np.hstack([total / np.maximum(n, 1)[:, None], np.log1p(n)[:, None]]))
+            some += bag.reshape(len(some), VOCAB).astype(np.float64) @ table
+        out.append(np.hstack([total / np.maximum(n, 1)[:, None], np.log1p(n)[:, None]]).astype(np.float32))
     return np.concatenate(out) if out else np.zeros((0, table.shape[1] + 1), np.float32)
 
 

@@ -270,6 +270,14 @@ def test_pooling_by_brute_force():
         assert np.allclose(got[k], [*mean, np.log1p(len(words[k]))], atol=1e-5)
 
 
+def test_pooling_does_not_depend_on_neighbours():
+    rng = np.random.default_rng(6)
+    table = quality_model.vectors(rng.integers(-50, 50, (quality_model.VOCAB, quality_model.DIMS)))
+    texts = pa.array([" ".join("w%d" % k for k in rng.integers(0, 900, n)) for n in rng.integers(0, 600, 150)])
+    alone = np.concatenate([quality_model.pool(texts.slice(k, 7), table) for k in range(0, 150, 7)])
+    assert np.array_equal(quality_model.pool(texts, table), alone)
+
+
 def test_quality_does_not_depend_on_partitions(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     one, two = ({r.doc_id: round(r.score, 9) for r in quality_model.classify(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
