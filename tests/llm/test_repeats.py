@@ -121,6 +121,40 @@ def test_repeats_of_documents(spark, documents, nothing):
     assert {r.doc_id for r in out} == {d for d, _ in rows if d is not None and d < 50}
 
 
+def test_many_copies_of_a_text_do_not_meet_in_a_task(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(900)]
+    shared = " ".join(words[:100])
+    texts = [shared + " " + " ".join(words[100:200])] * 2500 + [" ".join(words[k : k + 50]) + " " + shared for k in range(200, 800, 60)]
+    pieces, folder = repeats._pieces, str(tmp_path)
+
+    def counted(sizes):
+        inner = pieces(sizes)
+
+        def run(batches):
+            import pathlib
+            import uuid
+
+            n = 0
+
+            def passed():
+                nonlocal n
+                for batch in batches:
+                    n += batch.num_rows
+                    yield batch
+
+            yield from inner(passed())
+            pathlib.Path(folder, uuid.uuid4().hex).write_text(str(n))
+
+        return run
+
+    monkeypatch.setattr(repeats, "_pieces", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = collections.Counter((k, *r) for k, r in enumerate(brute(texts, 400)))
+    assert collections.Counter(map(tuple, repeats.report(rows).collect())) == want
+    assert 0 < sum(int(x.read_text()) for x in tmp_path.iterdir()) <= 11
+
+
 def test_segments_tell_all_strings_once():
     rng = np.random.default_rng(3)
     for text in (rng.integers(0, 3, 3000), np.zeros(900, int), np.arange(1200) % 7):
