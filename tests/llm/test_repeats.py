@@ -155,6 +155,39 @@ def test_many_copies_of_a_text_do_not_meet_in_a_task(spark, tmp_path, monkeypatc
     assert 0 < sum(int(x.read_text()) for x in tmp_path.iterdir()) <= 11
 
 
+def test_near_copies_do_not_meet_in_a_shard(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    base = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(145))
+    texts = [base[:at] + "#" + base[at + 1 :] for at in (rng.randrange(len(base)) for _ in range(600))]
+    shards, folder = repeats._shards, str(tmp_path)
+
+    def counted(sizes):
+        inner = shards(sizes)
+
+        def run(batches):
+            import collections
+            import pathlib
+            import uuid
+
+            n = collections.Counter()
+
+            def passed():
+                for batch in batches:
+                    n.update(batch.column(0).to_pylist())
+                    yield batch
+
+            yield from inner(passed())
+            pathlib.Path(folder, uuid.uuid4().hex).write_text(str(max(n.values(), default=0)))
+
+        return run
+
+    monkeypatch.setattr(repeats, "_shards", counted)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = collections.Counter((k, *r) for k, r in enumerate(brute(texts, 400)))
+    assert collections.Counter(map(tuple, repeats.report(rows, repeats.Sizes(hot=50_000)).collect())) == want
+    assert 0 < max(int(x.read_text()) for x in tmp_path.iterdir()) <= 60
+
+
 def test_segments_tell_all_strings_once():
     rng = np.random.default_rng(3)
     for text in (rng.integers(0, 3, 3000), np.zeros(900, int), np.arange(1200) % 7):
